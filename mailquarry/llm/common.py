@@ -67,3 +67,22 @@ def ascii_lower(c: Column) -> Column:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % folds).cast("int")
+
+
+def mark(text: Column) -> Column:
+    """A 64-bit hash of the text, which with doc_id tells rows apart."""
+    return F.xxhash64(text)
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. verdicts has doc_id, mark and kept for every
+    row of docs. Where rows that repeat in full (same id, same text) are kept and dropped, one stays."""
+    verdicts = verdicts.select("doc_id", "mark", "kept")
+    tally = verdicts.groupBy("doc_id", "mark").agg(F.max(F.col("kept").cast("int")).alias("any"), F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
+    odd = cut(tally.filter(F.col("k") < F.col("n")))
+    lost = odd.filter(F.col("any") == 0).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    marked = docs.withColumn("__own", mark(docs["text"]))
+    left = marked.join(lost, marked["doc_id"].eqNullSafe(lost["__id"]) & (marked["__own"] == lost["__mark"]), "left_anti")
+    if not odd.filter(F.col("any") > 0).isEmpty():
+        left = left.dropDuplicates(["doc_id", "__own"])
+    return left.select(*(left[c] for c in docs.columns))

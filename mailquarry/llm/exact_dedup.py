@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, only, table
+from .common import cut, keep_rows, mark, new_path, only, table
 
 #: The characters that equality of texts ignores.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,13 +31,15 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_points (code points of the original text), digest (SHA-256 of the normalised text) and row_id."""
+    """doc_id, n_points (code points of the original text), digest (SHA-256 of the normalised text),
+    row_id and mark."""
     text = F.col("text")
     return only(docs, "doc_id", "text").select(
         "doc_id",
         F.length(F.coalesce(text, F.lit(""))).alias("n_points"),
         F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"),
         F.monotonically_increasing_id().alias("row_id"),
+        mark(text).alias("mark"),
     )
 
 
@@ -84,7 +86,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.n")).alias("n_points"), F.lit(batch).alias("batch"), F.col("best.row_id").alias("row_id")
     )
     index.append(index.unseen(winners))
-    known = index.read().select("digest", "keep_id", F.col("n_points").alias("keep_points"), F.when(F.col("batch") == batch, F.col("row_id")).alias("keep_row"))
+    known = index.read().select("digest", "keep_id", F.when(F.col("batch") == batch, F.col("row_id")).alias("keep_row"))
     stands = cut(groups.select("digest", "group_size").join(known.hint("merge"), "digest"))
     out = rows.join(stands, "digest")
     return out.select(
@@ -93,33 +95,24 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         F.col("group_size").cast("long").alias("group_size"),
         F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        "n_points",
-        "keep_points",
+        "mark",
     )
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"), DigestIndex(spark, new_path(spark, "digest-index")))
+    return deduplicate(table(spark, sf_dir, "documents"), DigestIndex(spark, new_path(spark, "digest-index"))).drop("mark")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without repeated texts: of equal texts the row that deduplicate() keeps, with all its columns."""
-    gone = cut(deduplicate(docs, DigestIndex(spark, new_path(spark, "digest-index"))).filter(~F.col("kept")))
-    alike = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
-    other = gone.filter(~alike).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_points").alias("__n")).distinct()
-    keyed = docs.withColumn("__sha2", F.sha2(normalised(docs["text"]).cast("binary"), 256)).withColumn("__n2", F.length(F.coalesce(docs["text"], F.lit(""))))
-    left = keyed.join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha2") == F.col("__sha")) & (F.col("__n2") == F.col("__n")), "left_anti")
-    if not gone.filter(alike).isEmpty():  # rows that repeat in full, as a rule there are none
-        left = left.dropDuplicates(["doc_id", "__sha2", "__n2"])
-    return left.select(*docs.columns)
+    return keep_rows(docs, deduplicate(docs, DigestIndex(spark, new_path(spark, "digest-index"))))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS sha FROM documents),
-r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(n) OVER w AS keep_points,
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id,
              count(*) OVER (PARTITION BY sha) AS group_size FROM d
       WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id NULLS LAST))
-SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha AS text_sha256,
-       CAST(n AS INTEGER) AS n_points, CAST(keep_points AS INTEGER) AS keep_points FROM r
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha AS text_sha256 FROM r
 """

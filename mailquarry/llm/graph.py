@@ -1,0 +1,31 @@
+"""Connected components of an edge table, on the executors only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the smallest node reachable) of every node of edges (a, b) that isn't a root itself.
+
+    Alternates large-star and small-star steps: each hangs neighbours on the smallest one known, and the
+    number of edges never grows. Neighbour minima are aggregated before the shuffle and kept before they are
+    joined, so a node with many neighbours can be split. Every round is written to the shared folder.
+    """
+    own = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    now, last = cut(own), None
+    while True:
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not state[0] or state == last:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        last = state
+        both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).union(now.select(F.col("v").alias("n"), F.col("u").alias("m")))
+        least = cut(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
+        large = both.filter("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("low").alias("v"))
+        large = cut(large.distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("low")))
+        small = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        now = cut(small.union(least.select("u", F.col("low").alias("v"))).distinct())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, urlfilter
+from . import exact_dedup, simhash, urlfilter
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op9_url_filter": urlfilter.op9_url_filter,
 }

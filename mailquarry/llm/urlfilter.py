@@ -28,6 +28,9 @@ RULES = [
 #: Hexadecimal digits of the short hash.
 SHORT = 8
 
+#: Rules up to this many bytes of hosts and paths are broadcast; longer lists are shuffled.
+BROADCAST_BYTES = 32 << 20
+
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame(rules, "verdict string, host string, path string")
@@ -57,8 +60,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """page_id, host, path, rule ('host' + 'path', null if none fits) and verdict for every row of pages.
 
     The driver learns only which label counts and path lengths the rules have, two short lists of numbers
-    bounded by the length of a host name and of a path. The join is left to Spark: rules that fit its
-    broadcast threshold are broadcast, longer lists are shuffled and skewed keys split.
+    bounded by the length of a host name and of a path. Rules whose measured size is within
+    BROADCAST_BYTES are broadcast; longer lists are shuffled, where Spark splits skewed keys.
     """
     spark = pages.sparkSession
     known = rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull()).select(
@@ -66,6 +69,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     )
     sizes = known.select((F.size(F.split("host", r"\.", -1))).alias("labels"), F.length("path").alias("length")).distinct()
     pairs = sizes.agg(F.array_sort(F.collect_set("labels")), F.array_sort(F.collect_set("length"))).first()
+    weight = known.agg(F.sum(F.length("host") + F.length("path") + 150)).first()[0] or 0
     labels, lengths = pairs[0], pairs[1]
     urls = only(pages, "page_id", "url").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row_id")
@@ -83,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     spread = urls.withColumn("e", F.explode_outer(_expressions(F.col("host"), F.col("path"), labels, lengths)))
     spread = spread.withColumn("digest", _digest(F.col("e.host"), F.col("e.path"))).drop("e")
     spread = spread.withColumn("short", F.substring("digest", 1, SHORT))
-    met = spread.join(listed, "short", "left")
+    met = spread.join(F.broadcast(listed) if weight <= BROADCAST_BYTES else listed, "short", "left")
     fits = F.when(F.col("digest") == F.col("full"), F.struct(F.length("rule").alias("n"), F.col("verdict"), F.col("rule")))
     # the rows of a page lie together, so the partial aggregate sends one row a page to the shuffle
     best = met.groupBy("row_id", "page_id", "host", "path").agg(F.max(fits).alias("best"))
