@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, urlfilter
+from . import exact_dedup, langid, packing, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op9_url_filter": urlfilter.op9_url_filter,
 }
