@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, simhash, toxicity, urlfilter
+from . import exact_dedup, langid, packing, secretscan, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op9_url_filter": urlfilter.op9_url_filter,
+    "op10_secret_scan": secretscan.op10_secret_scan,
 }
 
 ORACLES = {
