@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, secretscan, simhash, toxicity, urlfilter
+from . import chat, exact_dedup, langid, packing, secretscan, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_secret_scan": secretscan.op10_secret_scan,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op8_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
 }
