@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, packing, secretscan, simhash, toxicity, urlfilter
+from . import chat, exact_dedup, langid, packing, pii, secretscan, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_pii_pseudonyms": pii.op4_pii_pseudonyms,
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op8_chat_format": chat.op8_chat_format,
