@@ -32,7 +32,7 @@ WINDOW = 4096
 END_ID = 2
 OPEN_LIMIT = 1024
 #: Entries of the caches of words and of blank-separated chunks, after which a cache starts anew.
-CACHE = 400_000
+CACHE = 700_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -60,33 +60,68 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def single(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one pre-token each: encoded together, and cut behind the ids that end a word."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self.whole(words)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def is_odd(self, text: str) -> bool:
+        if text.isascii():
+            return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return self.ODD.search(text) is not None
+
+    def parts(self, chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.WORD.findall(chunk)
+
+    def learn(self, chunks: set[str]) -> None:
+        fresh = {c: self.parts(c) for c in chunks}
+        new = list({w for parts in fresh.values() for w in parts}.difference(self.words))
+        for at in range(0, len(new), 4096):
+            self.words.update(zip(new[at : at + 4096], self.single(new[at : at + 4096]), strict=True))
+        word = self.words.__getitem__
+        self.chunks.update((c, word(p[0]) if len(p) == 1 else b"".join(map(word, p))) for c, p in fresh.items())
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        odd = [i for i, t in enumerate(texts) if self.ODD.search(t)]
-        out: list = [None] * len(texts)
-        for i, b in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = b
         if len(self.words) > CACHE:
             self.words.clear()
         if len(self.chunks) > CACHE:
             self.chunks.clear()
-        split = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
-        fresh: dict[str, list[str]] = {}
-        for parts in split.values():
-            for c in set(parts).difference(self.chunks):
-                if c not in fresh:
-                    fresh[c] = self.WORD.findall(c)
-        new = list({w for parts in fresh.values() for w in parts}.difference(self.words))
-        for at in range(0, len(new), 4096):
-            self.words.update(zip(new[at : at + 4096], self.whole(new[at : at + 4096]), strict=True))
-        for c, parts in fresh.items():
-            self.chunks[c] = b"".join(map(self.words.__getitem__, parts))
+        out: list = [b""] * len(texts)
+        odd, split, unknown = [], {}, set()
+        known = self.chunks.get
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.is_odd(text):
+                odd.append(i)
+                continue
+            parts = text.lower().split()
+            ids = list(map(known, parts))
+            if None in ids:
+                unknown.update(c for c, v in zip(parts, ids, strict=True) if v is None)
+                split[i] = parts
+            else:
+                out[i] = b"".join(ids)
+        for i, b in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            out[i] = b
+        self.learn(unknown)
         for i, parts in split.items():
             out[i] = b"".join(map(self.chunks.__getitem__, parts))
         return out
