@@ -2,8 +2,8 @@
 
 A sentence's probability is logistic in the distinct words that it has; a document's is the noisy-or of its
 sentences'. Weights are fitted by gradient ascent on the document labels' likelihood, over a sample of
-at most about SAMPLE labelled documents a class, drawn by a hash of the id. Executors send the driver sentence and
-word hashes of the sample only. Scoring reads whole texts, needs no shuffle and locates the sentences that
+at most about SAMPLE labelled documents a class, drawn by a hash of the id. Executors choose the
+words that go with the label, and send the driver the sample's sentences as places in that vocabulary. Scoring reads whole texts, needs no shuffle and locates the sentences that
 offend.
 
 Only the text is an input of a score. Defined results: null texts, empty ones and those without words have
@@ -15,7 +15,6 @@ null ids are scored like any other row.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, only, table
+from .common import cut, fold_of, only, table
 from .sampling import drawn_ids
 
 #: Documents are learnt from unless crc32(doc_id) modulo FOLDS is HELD_OUT.
@@ -82,26 +81,16 @@ def _log_clean(s: float) -> float:
     return -(max(s, 0.0) + float(np.log1p(np.exp(-abs(s)))))
 
 
-def fit(docs: list[tuple[int, list[set[int]]]], names: dict[int, str]) -> Model:
-    """docs: label and the sets of word hashes of each sentence; names: the word of each hash."""
-    docs = sorted(docs, key=lambda d: (d[0], [sorted(s) for s in d[1]]))
+def fit(docs: list[tuple[int, list[tuple[int, ...]]]], vocabulary: list[str]) -> Model:
+    """docs: label and, for each sentence with words, the places of its words in the vocabulary."""
+    docs = sorted(docs)
     labels = np.array([y for y, _ in docs], float)
     if len(set(labels.tolist())) < 2:
         return Model(-50.0, {})
-    df = Counter(w for _, ss in docs for w in set().union(*ss))
-    toxic_df = Counter(w for y, ss in docs if y for w in set().union(*ss))
-    n, pos = len(docs), float(labels.sum())
-
-    def chi2(w: int) -> float:
-        a, all_w = toxic_df[w], df[w]
-        return n * (a * n - all_w * pos) ** 2 / max(1.0, all_w * (n - all_w) * pos * (n - pos))
-
-    vocabulary = sorted(w for w, k in df.items() if k >= LEAST_DOCS and chi2(w) >= LEAST_CHI2)
-    at = {w: k for k, w in enumerate(vocabulary)}
     # sentences with the same known words in one document are one instance with a weight
     tokens, sizes, weight, owner = [], [], [], []
     for d, (_, ss) in enumerate(docs):
-        kinds = Counter(tuple(sorted(at[w] for w in s if w in at)) for s in ss) or {(): 1}
+        kinds = Counter(ss) or {(): 1}
         for words, n in kinds.items():
             tokens.extend(words)
             sizes.append(len(words))
@@ -124,17 +113,35 @@ def fit(docs: list[tuple[int, list[set[int]]]], names: dict[int, str]) -> Model:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         theta, bias = theta + step[:-1], bias + float(step[-1])
-    return Model(bias, {names[w]: float(theta[k]) for w, k in at.items() if abs(theta[k]) > 1e-3})
+    return Model(bias, {w: float(v) for w, v in zip(vocabulary, theta, strict=True) if abs(v) > 1e-3})
 
 
-def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each word of a batch the documents and the toxic documents that have it."""
     for b in batches:
-        out, said = [], []
-        for text in b.column(0).to_pylist():
-            parts = [s for _, _, s in sentences(text)]
-            out.append(b"".join(np.array([len(s), *sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in s)], "<u4").tobytes() for s in parts))
-            said.append("\n".join(sorted(set().union(*parts))))
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary()), pa.array(said, pa.string())], names=["toxic", "sentences", "words"])
+        df: Counter = Counter()
+        toxic_df: Counter = Counter()
+        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own = set().union(*(s for _, _, s in sentences(text)))
+            df.update(own)
+            if y:
+                toxic_df.update(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([toxic_df[w] for w in df], pa.int64())], names=["word", "df", "toxic_df"]
+        )
+
+
+def _instances(vocabulary: list[str]):
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: k for k, w in enumerate(vocabulary)}
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                parts = [sorted(at[w] for w in s if w in at) for _, _, s in sentences(text)]
+                out.append(np.array([x for p in parts for x in (len(p), *p)], "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["toxic", "sentences"])
+
+    return bags
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -145,24 +152,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     shares = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     # at most about `sample` rows a class, so they can be broadcast
     drawn = F.broadcast(drawn_ids(known, "toxic", sample))
-    rows = only(docs, "doc_id", "text").join(drawn, "doc_id").select("text", "toxic")
-    got = rows.mapInArrow(_instances, "toxic int, sentences binary, words string").collect()
-    names: dict[int, str] = {}
+    rows = cut(only(docs, "doc_id", "text").join(drawn, "doc_id").select("text", "toxic"))
+    taken = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(taken) < 2:
+        return Model(-50.0, {})
+    n, pos = sum(taken.values()), taken[1]
+    # only words that pass both tests go to the driver, at most a few thousand
+    words = rows.mapInArrow(_words, "word string, df long, toxic_df long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("toxic_df").alias("toxic_df"))
+    a, d = F.col("toxic_df").cast("double"), F.col("df").cast("double")
+    value = n * (a * n - d * pos) ** 2 / F.greatest(F.lit(1.0), d * (n - d) * pos * (n - pos))
+    vocabulary = sorted(r.word for r in words.filter((F.col("df") >= LEAST_DOCS) & (value >= LEAST_CHI2)).select("word").collect())
     bags = []
-    for r in got:
-        for w in r.words.split("\n"):
-            names[zlib.crc32(w.encode("utf-8", "surrogatepass"))] = w
-        a, i, parts = np.frombuffer(r.sentences, "<u4").tolist(), 0, []
-        while i < len(a):
-            parts.append(set(a[i + 1 : i + 1 + a[i]]))
-            i += 1 + a[i]
+    for r in rows.mapInArrow(_instances(vocabulary), "toxic int, sentences binary").collect():
+        flat, i, parts = np.frombuffer(r.sentences, "<u4").tolist(), 0, []
+        while i < len(flat):
+            parts.append(tuple(flat[i + 1 : i + 1 + flat[i]]))
+            i += 1 + flat[i]
         bags.append((r.toxic, parts))
-    model = fit(bags, names)
-    taken = Counter(y for y, _ in bags)
-    if model.weights and min(taken.values()) and len(shares) == 2:
-        # rarer positives among all rows than in the sample lower every sentence's odds alike
-        odds = (shares[1] / shares[0]) / (taken[1] / taken[0])
-        model.bias += float(np.log(min(1.0, odds)))
+    model = fit(bags, vocabulary)
+    # rarer positives among all rows than in the sample lower every sentence's odds alike
+    model.bias += float(np.log(min(1.0, (shares[1] / shares[0]) / (taken[1] / taken[0]))))
     return model
 
 
