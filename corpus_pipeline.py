@@ -1,5 +1,38 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents that can be told apart by language, once each, without near-copies and without
+benchmark passages, packed into training windows.
 
-STAGES = []
-QUERIES = {}
-ORACLES = {}
+Every stage works on all that its predecessor kept. Between stages the rows are written to the shared folder
+and read again, so a lost executor costs no finished stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mailquarry.llm import decontam, exact_dedup, langid, packing, simhash
+from mailquarry.llm.common import new_path, table
+
+STAGES = [
+    ("language_id", langid.stage),
+    ("exact_dedup", exact_dedup.stage),
+    ("near_dedup", simhash.stage),
+    ("decontamination", decontam.stage),
+    ("packing", packing.stage),
+]
+
+#: SQL has no centroids, SimHash, alignment or tokenizer; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that the stages keep, as packing.pack() gives them."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

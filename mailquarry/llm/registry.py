@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, packing, pii, secretscan, simhash, toxicity, urlfilter
+from . import chat, decontam, exact_dedup, langid, packing, pii, secretscan, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii_pseudonyms": pii.op4_pii_pseudonyms,
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
+    "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
     "op8_chat_format": chat.op8_chat_format,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_secret_scan": secretscan.op10_secret_scan,
