@@ -119,24 +119,28 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
-#: Elements that end a line, and that end a cell.
-BLOCKS = "p|div|br|tr|li|h[1-6]|ul|ol|table|blockquote|pre|hr"
-CELLS = "td|th"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+#: Elements whose content is not shown, tags that end a line, and entities.
+UNSEEN = ["script", "style", "head", "title", "xml", "o:p"]
+LINE_ENDS = r"<\s*(?:br|/p|/div|/tr|/li|/h[1-6]|/table|/blockquote)\b[^>]*>"
+CELL_ENDS = r"<\s*/t[dh]\s*>"
+ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
 def html_to_text(c: Column) -> Column:
-    """Text of an HTML page: comments and unseen elements go, blocks end lines, cells become tabs, tags blanks."""
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    for element in ("script", "style", "head", "title"):
-        c = F.regexp_replace(c, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", "")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{CELLS})\b[^>]*>", "\t")
+    """Text of an HTML page: unseen elements and comments go, block ends become line feeds, tags blanks.
+
+    Knows the entities of ENTITIES; extract.plain.html_text() knows all and is used on attachments.
+    """
+    c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
+    for element in UNSEEN:
+        c = F.regexp_replace(c, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", " ")
+    c = F.regexp_replace(c, "(?i)" + LINE_ENDS, "\n")
+    c = F.regexp_replace(c, "(?i)" + CELL_ENDS, " \t")
     c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
     for entity, text in ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(text))
-    c = F.regexp_replace(c, "[ \\t]+", " ")
-    return F.trim(F.regexp_replace(c, " ?\n[ \n]*", "\n"))
+    c = F.replace(F.regexp_replace(c, "[ \\t\u00a0]+", " "), F.lit("\r"), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(c, r"(?:\s*\n){3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 #: What may run or load something in a page.
