@@ -7,7 +7,6 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 #: Characters that look like a Latin letter (zero, one, five, Cyrillic and Greek letters), and the
 #: hyphens that are ignored.
@@ -46,12 +45,15 @@ def skeleton_of(label: str | None) -> str:
     return s
 
 
-@pandas_udf("string")
-def skeleton(labels: pd.Series) -> pd.Series:
-    """For distinct labels only: punycode and compatibility forms have no built-in function."""
+def _skeletons(labels: pd.Series) -> pd.Series:
     return labels.map(skeleton_of)
 
 
+def skeleton(label: Column) -> Column:
+    """For distinct labels only: punycode and compatibility forms have no built-in function."""
+    return F.pandas_udf(_skeletons, "string")(label)
+
+
 def plain_skeleton(label: Column) -> Column:
     """skeleton() for labels in ASCII, without Python."""
     c = F.lower(label)

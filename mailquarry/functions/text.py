@@ -143,8 +143,8 @@ def html_to_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?:\s*\n){3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-#: What may run or load something in a page.
-REMOTE = r"""(?i)(?:src|href|background|poster|data|srcset)\s*=\s*["']?\s*(?:https?:)?//|url\s*\(\s*["']?\s*(?:https?:)?//|@import"""
+#: What may run or load something in a page. Quotes are written as codes, as generated code repeats patterns in strings.
+REMOTE = r"(?i)(?:src|href|background|poster|data|srcset)\s*=\s*[\x22\x27]?\s*(?:https?:)?//|url\s*\(\s*[\x22\x27]?\s*(?:https?:)?//|@import"
 
 
 def sanitise(c: Column) -> Column:
@@ -152,8 +152,8 @@ def sanitise(c: Column) -> Column:
     for element in ("script", "style", "iframe", "object", "embed", "form", "svg", "math"):
         c = F.regexp_replace(c, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", "")
     c = F.regexp_replace(c, r"(?i)</?(?:script|iframe|object|embed|form|svg|math|link|meta|base)\b[^>]*>", "")
-    c = F.regexp_replace(c, r"""(?i)\son[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
-    c = F.regexp_replace(c, r"""(?i)\s(?:src|background|poster|srcset)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
+    c = F.regexp_replace(c, r"(?i)\son[a-z]+\s*=\s*(?:\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s>]+)", "")
+    c = F.regexp_replace(c, r"(?i)\s(?:src|background|poster|srcset)\s*=\s*(?:\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s>]+)", "")
     return F.regexp_replace(c, r"(?i)javascript\s*:", "")
 
 

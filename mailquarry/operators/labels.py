@@ -77,7 +77,7 @@ def size_text(b: Column) -> Column:
 
 def file_name(c: Column) -> Column:
     """A name that every file system takes, at most 120 characters."""
-    out = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), '[\\x00-\\x1f<>:"/\\\\|?*]', "_"))
+    out = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f<>:\x22/\\|?*]", "_"))
     out = F.regexp_replace(F.substring(out, 1, 120), r"[. ]+$", "")
     return F.when(out == "", "message").otherwise(out)
 

@@ -26,7 +26,7 @@ def values(rows: list[tuple], names: str) -> str:
 _ADDR = r"[A-Za-z0-9._%+\-''!#$&*/=?^`{|}~]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 
 
-@query(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{_ADDR}'), x -> lower(x)), ',') AS addresses FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{_ADDR}'), lambda x: lower(x)), ',') AS addresses FROM documents")
 def str1_addresses(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(M.addresses(F.col("text")), ",").alias("addresses"))
 
@@ -120,12 +120,12 @@ def str10_header_block(spark, sf_dir):
     return block(spark).select(F.posexplode("h").alias("k", "x")).select((F.col("k") + 1).alias("k"), "x.name")
 
 
-@query(values([(1, "198.51.100.7", "mail-out.example.com", "2025-10-07 08:00:01", None), (2, "203.0.113.5", "store.dest.fr", "2025-10-07 08:00:05", 4)], "k, ip, server, at, delay"))
+@query(values([(1, "198.51.100.7", "mail-out.example.com", "2025-10-07 08:00:01", None), (2, "203.0.113.5", "store.dest.fr", "2025-10-07 08:00:05", 4)], "k, ip, server, stamp, delay"))
 def str11_received_hops(spark, sf_dir):
     path = block(spark).select(M.hops(F.col("h")).alias("p")).select(F.arrays_zip(F.col("p"), M.with_delays(F.col("p")).alias("d")).alias("z"))
     out = path.select(F.posexplode("z").alias("k", "z"))
     hop = out.select((F.col("k") + 1).alias("k"), F.col("z").getField("p").alias("p"), F.col("z").getField("d").cast("int").alias("delay"))
-    return hop.select("k", F.col("p.from_ip").alias("ip"), F.col("p.by").alias("server"), F.date_format("p.time", "yyyy-MM-dd HH:mm:ss").alias("at"), "delay")
+    return hop.select("k", F.col("p.from_ip").alias("ip"), F.col("p.by").alias("server"), F.date_format("p.time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "delay")
 
 
 _AUTH = [
@@ -266,10 +266,10 @@ _STAMPS = [
 ]
 
 
-@query(values(_STAMPS, "said, at"))
+@query(values(_STAMPS, "said, stamp"))
 def dat1_header_dates(spark, sf_dir):
     df = spark.createDataFrame([(a,) for a, _ in _STAMPS], "said string")
-    return df.select("said", F.date_format(D.parse_date(F.col("said")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return df.select("said", F.date_format(D.parse_date(F.col("said")), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN epoch(l_shipdate) < epoch(o_orderdate) - 300 THEN 1 ELSE 0 END
@@ -284,7 +284,7 @@ def dat2_date_flags(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", flags.alias("flags"))
 
 
-@query("SELECT event_id, epoch_ms(ts) AS ms, strftime(make_timestamp(epoch_ms(ts) * 1000), '%Y-%m-%d %H:%M:%S') AS back FROM events")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%d %H:%M:%S') AS back FROM events")
 def dat3_milliseconds(spark, sf_dir):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", ms.alias("ms"), F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss").alias("back"))
@@ -307,7 +307,7 @@ def val1_iban(spark, sf_dir):
     return spark.createDataFrame([(a,) for a, _ in _IBANS], "value string").select("value", S.is_iban(F.col("value")).alias("ok"))
 
 
-_LUHN = "list_sum(list_transform(range(1, length(d) + 1), i -> CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) WHEN CAST(d[i] AS INTEGER) > 4 THEN 2 * CAST(d[i] AS INTEGER) - 9 ELSE 2 * CAST(d[i] AS INTEGER) END)) % 10 = 0"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) WHEN CAST(d[i] AS INTEGER) > 4 THEN 2 * CAST(d[i] AS INTEGER) - 9 ELSE 2 * CAST(d[i] AS INTEGER) END)) % 10 = 0"
 
 
 @query(f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d{{16}}\\b')) AS d FROM documents)

@@ -316,7 +316,7 @@ def txt3_column_match(spark, sf_dir):
 
 
 _BM25 = f"""WITH {MSG}, t AS (SELECT id, {toks('subject')} AS s, {toks('body')} AS b FROM msg),
-f AS (SELECT id, len(s) + len(b) AS dl, len(list_filter(s, x -> x = 'the')) AS fs, len(list_filter(b, x -> x = 'the')) AS fb FROM t),
+f AS (SELECT id, len(s) + len(b) AS dl, len(list_filter(s, lambda x: x = 'the')) AS fs, len(list_filter(b, lambda x: x = 'the')) AS fb FROM t),
 k AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (fs + fb > 0) AS df FROM f)
 SELECT id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * (5 * fs + fb) * 2.2 / ((5 * fs + fb) + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS rank
 FROM f, k WHERE fs + fb > 0"""

@@ -201,7 +201,7 @@ def agg17_distinct_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(COUNT.alias("n")).agg(F.countDistinct("n").alias("sizes"))
 
 
-@query("SELECT CAST(epoch(ts) AS BIGINT) // 3600 AS hour, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events GROUP BY 1")
 def agg18_throughput(spark, sf_dir):
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
     return table(spark, sf_dir, "events").groupBy(hour.alias("hour")).agg(COUNT.alias("n"))
@@ -274,7 +274,7 @@ def src9_recipient_display(spark, sf_dir):
 @query("SELECT c_custkey, trim(u.part) AS recipient FROM customer, unnest(string_split(c_name || ';' || c_mktsegment || '; x', ';')) AS u(part)")
 def src9_recipient_fallback(spark, sf_dir):
     shown = F.concat(F.col("c_name"), F.lit(";"), F.col("c_mktsegment"), F.lit("; x"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.transform(F.split(shown, ";"), F.trim)).alias("recipient"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.transform(F.split(shown, ";"), lambda x: F.trim(x))).alias("recipient"))
 
 
 # --- sinks ------------------------------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 #: The case view in SQL, as common table expressions.
 MSG = """msg AS (SELECT d.doc_id AS id, d.source AS mailbox, d.lang || '/' || d.source AS folder_path, split_part(d.text, chr(10), 1) AS subject, d.text AS body,
-  d.n_chars AS size, md5(d.text) AS message_id, epoch_ms(e.ts) AS date_ms, e.user_id AS sender_id, e.event_type AS msg_class,
+  d.n_chars AS size, md5(d.text) AS message_id, epoch_us(e.ts) // 1000 AS date_ms, e.user_id AS sender_id, e.event_type AS msg_class,
   CAST(l.quality + 2 * l.toxic AS INTEGER) AS flags, CAST(l.quality AS INTEGER) AS quality
   FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
