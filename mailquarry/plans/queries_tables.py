@@ -16,7 +16,11 @@ from mailquarry.plans.registry import ATT, MSG, query
 from mailquarry.sources.case import fixture_attachments, fixture_domains, fixture_messages, table
 from mailquarry.sources.discovery import mailbox_names
 
-COUNT = F.count(F.lit(1))
+
+
+def n_rows():
+    return F.count(F.lit(1))
+
 
 # --- joins ----------------------------------------------------------------------------------------------------
 
@@ -67,7 +71,7 @@ def jon7_exists(spark, sf_dir):
 
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS first_order FROM customer")
 def jon8_scalar_subqueries(spark, sf_dir):
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(COUNT.alias("n"), F.min("o_orderkey").alias("first_order"))
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(n_rows().alias("n"), F.min("o_orderkey").alias("first_order"))
     out = table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
     return out.select("c_custkey", F.coalesce("n", F.lit(0).cast("long")).alias("n_orders"), "first_order")
 
@@ -84,7 +88,7 @@ def jon11_reference_lookup(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM documents WHERE n_chars > 1000")
 def agg1_total(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("n_chars > 1000").agg(COUNT.alias("n"))
+    return table(spark, sf_dir, "documents").filter("n_chars > 1000").agg(n_rows().alias("n"))
 
 
 _DOMAIN = "array_to_string(list_reverse(list_reverse(string_split(replace(regexp_extract(url, '://([^/?#]*)', 1), '.example.', '.'), '.'))[1:2]), '.')"
@@ -100,7 +104,7 @@ _ORG = "CASE WHEN len(p) <= 2 THEN array_to_string(p, '.') WHEN length(p[-1]) =
 
 @query(f"WITH h AS (SELECT string_split(lower(regexp_extract(url, '://([^/?#]*)', 1)), '.') AS p FROM pages) SELECT {_ORG} AS domain, count(*) AS n FROM h GROUP BY 1 HAVING contains(domain, '.')")
 def agg3_organisations(spark, sf_dir):
-    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("domain")).groupBy("domain").agg(COUNT.alias("n"))
+    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("domain")).groupBy("domain").agg(n_rows().alias("n"))
     return impersonation.organisations(hosts)
 
 
@@ -127,7 +131,7 @@ def agg5_dominant_address(spark, sf_dir):
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 1")
 def agg6_most_frequent(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(COUNT.alias("n")).orderBy(F.col("n").desc(), "p_brand").limit(1)
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(n_rows().alias("n")).orderBy(F.col("n").desc(), "p_brand").limit(1)
 
 
 _TREE = f"""WITH {MSG}, o AS (SELECT folder_path AS path, count(*) AS items FROM msg GROUP BY 1),
@@ -138,7 +142,7 @@ _TREE = f"""WITH {MSG}, o AS (SELECT folder_path AS path, count(*) AS items FROM
 
 
 def _folders(spark, sf_dir):
-    return fixture_messages(spark, sf_dir).groupBy(F.col("folder_path").alias("path")).agg(COUNT.alias("items"))
+    return fixture_messages(spark, sf_dir).groupBy(F.col("folder_path").alias("path")).agg(n_rows().alias("items"))
 
 
 @query(_TREE)
@@ -162,12 +166,12 @@ def agg7_merged_folders(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def agg10_status_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(COUNT.alias("n"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(n_rows().alias("n"))
 
 
 @query("SELECT event_type, count(*) AS hits, count(DISTINCT user_id) AS messages FROM events GROUP BY event_type")
 def agg11_hits_and_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(COUNT.alias("hits"), F.countDistinct("user_id").alias("messages"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(n_rows().alias("hits"), F.countDistinct("user_id").alias("messages"))
 
 
 @query(f"WITH {MSG} SELECT id, CASE WHEN f < id THEN f END AS dup_of FROM (SELECT id, min(id) OVER (PARTITION BY mailbox, message_id) AS f FROM msg)")
@@ -183,7 +187,7 @@ def agg14_flags_and_counts(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
 def agg15_counters(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(COUNT.alias("n"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(n_rows().alias("n"))
 
 
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus <> 'F'")
@@ -193,18 +197,18 @@ def agg16_pending_sources(spark, sf_dir):
 
 @query("SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def agg17_repeated_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(COUNT.alias("n")).filter("n > 1")
+    return table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(n_rows().alias("n")).filter("n > 1")
 
 
 @query("SELECT count(DISTINCT n) AS sizes FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def agg17_distinct_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(COUNT.alias("n")).agg(F.countDistinct("n").alias("sizes"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(n_rows().alias("n")).agg(F.countDistinct("n").alias("sizes"))
 
 
 @query("SELECT epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events GROUP BY 1")
 def agg18_throughput(spark, sf_dir):
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    return table(spark, sf_dir, "events").groupBy(hour.alias("hour")).agg(COUNT.alias("n"))
+    return table(spark, sf_dir, "events").groupBy(hour.alias("hour")).agg(n_rows().alias("n"))
 
 
 # --- sources ----------------------------------------------------------------------------------------------------
@@ -237,13 +241,13 @@ def src13_list_mailboxes(spark, sf_dir):
 
 @query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS indexed FROM orders")
 def src14_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(COUNT.alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("indexed"))
+    return table(spark, sf_dir, "orders").agg(n_rows().alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("indexed"))
 
 
 @query("SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P') AS pending")
 def src15_pending_work(spark, sf_dir):
     some = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_orderkey").limit(1)
-    return some.agg((COUNT > 0).alias("pending"))
+    return some.agg((n_rows() > 0).alias("pending"))
 
 
 @query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey = 100")
@@ -318,9 +322,9 @@ def snk5_replace_findings(spark, sf_dir):
 _CELL = "CASE WHEN coalesce({0}, '') = '' THEN '' ELSE chr(34) || replace(CASE WHEN regexp_matches(translate({0}, chr(10) || chr(13), '  '), '^[=+@\\t-]') THEN chr(39) || translate({0}, chr(10) || chr(13), '  ') ELSE translate({0}, chr(10) || chr(13), '  ') END, chr(34), chr(34) || chr(34)) || chr(34) END"
 
 
-@query(f"SELECT doc_id, {_CELL.format('text')} || ';' || {_CELL.format('neg')} AS line FROM (SELECT doc_id, left(text, 500) AS text, CASE WHEN doc_id % 2 = 0 THEN '-' || lang ELSE '=' || source END AS neg FROM documents)")
+@query(f"SELECT doc_id, {_CELL.format('text')} || ';' || {_CELL.format('neg')} AS line FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '-' || lang ELSE '=' || source END AS neg FROM documents)")
 def snk6_csv_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 500).alias("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), "lang")).otherwise(F.concat(F.lit("="), "source")).alias("neg"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), "lang")).otherwise(F.concat(F.lit("="), "source")).alias("neg"))
     return d.select("doc_id", F.concat_ws(";", csv_cell(F.col("text")), csv_cell(F.col("neg"))).alias("line"))
 
 
@@ -333,7 +337,7 @@ def snk7_attachment_inventory(spark, sf_dir):
 @query("SELECT event_type AS kind, count(*) AS hits, count(DISTINCT user_id) AS messages, max('**** ' || right(CAST(event_id AS VARCHAR), 2)) AS sample FROM events GROUP BY 1")
 def snk8_sensitive_report(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("kind")).agg(COUNT.alias("hits"), F.countDistinct("user_id").alias("messages"), F.max(F.concat(F.lit("**** "), F.right(F.col("event_id").cast("string"), F.lit(2)))).alias("sample"))
+    return e.groupBy(F.col("event_type").alias("kind")).agg(n_rows().alias("hits"), F.countDistinct("user_id").alias("messages"), F.max(F.concat(F.lit("**** "), F.right(F.col("event_id").cast("string"), F.lit(2)))).alias("sample"))
 
 
 @query("SELECT doc_id, upper(sha256(text)) AS hash FROM documents")
@@ -346,7 +350,7 @@ def snk12_remove_source(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("source_id"))
     tables = {"messages": d, "attachments": table(spark, sf_dir, "pages").select(F.col("page_id").alias("message_id")), "sources": d.select(F.col("source_id").alias("id")).distinct()}
     left = store.remove_source(tables, 1)
-    out = [left[t].agg(COUNT.alias("n")).select(F.lit(t).alias("tab"), "n") for t in ("messages", "attachments", "sources")]
+    out = [left[t].agg(n_rows().alias("n")).select(F.lit(t).alias("tab"), "n") for t in ("messages", "attachments", "sources")]
     return out[0].union(out[1]).union(out[2])
 
 
@@ -384,7 +388,7 @@ def snk14_inferred_prefixes(spark, sf_dir):
 def snk15_compaction(spark, sf_dir):
     path = store.shared_dir(spark).rstrip("/") + "/compacted-orders"
     store.compact(spark, f"{sf_dir}/orders.parquet", path, 2, "o_orderdate", "o_orderkey")
-    return spark.read.parquet(path).agg(COUNT.alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    return spark.read.parquet(path).agg(n_rows().alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
 @query("SELECT doc_id AS message_id, lang AS name FROM documents UNION ALL SELECT page_id + 1000000, url FROM pages")
