@@ -42,8 +42,13 @@ def fold_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def fold(c: Column) -> Column:
-    return F.translate(c, *fold_table())
+    """Texts in ASCII, which need no table, only change case."""
+    return F.when(is_ascii(c), F.lower(c)).otherwise(F.translate(c, *fold_table()))
 
 
 def fold_text(s: str) -> str:
@@ -58,7 +63,10 @@ def tokens(c: Column) -> Column:
 
 def padded(c: Column) -> Column:
     """' token token ' of a text; a blank for null."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(fold(c), F.lit("")), NOT_TOKEN, " ")), F.lit(" "))
+    plain = F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+    other = F.regexp_replace(F.translate(c, *fold_table()), NOT_TOKEN, " ")
+    words = F.when(c.isNull(), F.lit("")).when(is_ascii(c), plain).otherwise(other)
+    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
 def split_tokens(s: str) -> list[str]:

@@ -107,12 +107,16 @@ def scope(messages: DataFrame, q: Query, r: Request) -> DataFrame:
 
 def hits(case: Case, messages: DataFrame, clauses: list[Clause]) -> DataFrame:
     """messages with a boolean column m0, m1, ... for each clause: found in the message or in an attachment."""
-    pads = {f: padded(F.col(f)) for f in MESSAGE_FIELDS if f in messages.columns}
-    own = messages.select("*", *(clause_column(c, message_fields, pads).alias(f"m{k}") for k, c in enumerate(clauses)))
+    have = [f for f in MESSAGE_FIELDS if f in messages.columns]
+    # padded texts are columns of their own, so that all clauses share one computation
+    pads = {f: F.col(f"__p_{f}") for f in have}
+    own = messages.select("*", *(padded(F.col(f)).alias(f"__p_{f}") for f in have))
+    own = own.select(*messages.columns, *(clause_column(c, message_fields, pads).alias(f"m{k}") for k, c in enumerate(clauses)))
     if not any(attachment_fields(t) for c in clauses for t in c.alternatives):
         return own
-    pads = {f: padded(F.col(f)) for f in ("name", "content")}
-    flags = case.attachments.select("message_id", *(clause_column(c, attachment_fields, pads).alias(f"a{k}") for k, c in enumerate(clauses)))
+    pads = {f: F.col(f"__p_{f}") for f in ("name", "content")}
+    texts = case.attachments.select("message_id", *(padded(F.col(f)).alias(f"__p_{f}") for f in ("name", "content")))
+    flags = texts.select("message_id", *(clause_column(c, attachment_fields, pads).alias(f"a{k}") for k, c in enumerate(clauses)))
     family = flags.groupBy("message_id").agg(*(F.max(f"a{k}").alias(f"a{k}") for k in range(len(clauses)))).withColumnRenamed("message_id", "__family")
     both = own.join(family, own["id"] == family["__family"], "left")
     return both.select(*messages.columns, *((F.col(f"m{k}") | F.coalesce(f"a{k}", F.lit(False))).alias(f"m{k}") for k in range(len(clauses))))
@@ -127,10 +131,9 @@ def candidates(case: Case, q: Query, r: Request) -> DataFrame:
     clauses = q.positive + q.negative
     if not clauses:
         return messages
-    out = hits(case, messages, clauses)
-    for k, c in enumerate(clauses):
-        out = out.filter(~F.col(f"m{k}") if c.negated else F.col(f"m{k}"))
-    return out.select(*messages.columns)
+    met = F.array(*(~F.col(f"m{k}") if c.negated else F.col(f"m{k}") for k, c in enumerate(clauses)))
+    # one condition that can't be taken apart: a part pushed below the join would pad every text once more
+    return hits(case, messages, clauses).filter(~F.array_contains(met, False)).select(*messages.columns)
 
 
 def ranks(case: Case, q: Query) -> DataFrame | None:

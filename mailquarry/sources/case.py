@@ -44,6 +44,12 @@ class Case:
     attachments: DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. Only a scan with fewer splits than cores, such as one small file, is dealt out anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -51,6 +57,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def fixture_messages(spark: SparkSession, folder: str) -> DataFrame:
     """documents with the event and the labels of the same id, as messages."""
     d, e, k = (table(spark, folder, n) for n in ("documents", "events", "labels"))
+    d = spread(d)
     e = e.select(F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("date_ms"), F.col("user_id").alias("sender_id"), F.col("event_type").alias("msg_class"))
     k = k.select(F.col("doc_id").alias("id"), (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("flags"), F.col("quality").cast("int").alias("quality"))
     own = d.select(
@@ -67,7 +74,7 @@ def fixture_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def fixture_attachments(spark: SparkSession, folder: str) -> DataFrame:
     """pages as attachments of the message with the same number."""
-    p = table(spark, folder, "pages")
+    p = spread(table(spark, folder, "pages"))
     return p.select(F.col("page_id").alias("message_id"), F.lit("0").alias("idx_path"), F.col("url").alias("name"), html_to_text(F.col("html")).alias("content"))
 
 
