@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_analysis, queries_functions, queries_search, queries_tables  # noqa: F401  they register themselves
+from . import queries_analysis, queries_formats, queries_functions, queries_search, queries_tables  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -1,4 +1,4 @@
-"""Writes small compound files and message files for tests."""
+"""Writes compound files and Outlook message files, for exchange and for tests of their readers."""
 
 from __future__ import annotations
 

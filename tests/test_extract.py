@@ -11,7 +11,7 @@ from mailquarry.extract.mime import decode_words
 from mailquarry.extract.ole import CompoundFile
 from mailquarry.extract.plain import decode
 from mailquarry.extract.rtf import decompress, rtf_html, rtf_text
-from msgfile import compound, message_tree
+from mailquarry.sinks.msgfile import compound, message_tree
 
 
 def zipped(files: dict) -> bytes:

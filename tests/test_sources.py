@@ -6,7 +6,7 @@ from mailquarry.sinks.eml import eml_bytes, write_eml
 from mailquarry.sources import discovery, msg
 from mailquarry.sources.case import MESSAGES, TABLES
 from mailquarry.streaming.ingest import ingest, ingested
-from msgfile import compound, message_tree
+from mailquarry.sinks.msgfile import compound, message_tree
 
 
 def write(folder, name, subject, **more):
