@@ -21,4 +21,5 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
+    "op10_secret_scan": secretscan.oracle(),
 }

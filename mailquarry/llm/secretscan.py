@@ -235,3 +235,35 @@ def find_secrets(docs: DataFrame, added: list[Rule] | None = None) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def _cased(pattern: str) -> str:
+    """The rule's expression for an engine whose case folding goes beyond ASCII."""
+
+    def both(m: re.Match) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in m.group(1))
+
+    return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + both(m) + ")", pattern)
+
+
+def oracle() -> str:
+    """SQL that finds the same spans: positions are summed from the lengths of matches and of what lies between."""
+    parts = []
+    for k, r in enumerate(BASE + ADDED):
+        rx = _cased(r.pattern).replace("'", "''")
+        least = getattr(r.passes, "n", 12)
+        if r.kind == "hex":  # runs are maximal, so those of 16 are the same matches and far fewer
+            rx, least = "[0-9a-f]{16,}", 16
+        size = f"length(regexp_extract_all(t, '{rx}', 2)[i])" if r.kind == "assign" else "length(m[i])"
+        parts.append(
+            f"SELECT row, {k} AS k, '{r.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: "
+            f"{{'a': coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'ok': {size} >= {least}}}), lambda z: z.ok)) AS z "
+            f"FROM (SELECT row, t, regexp_extract_all(t, '{rx}') AS m, string_split_regex(t, '{rx}') AS s FROM d) WHERE len(m) > 0"
+        )
+    union = "\n UNION ALL ".join(parts)
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({union}),
+g AS (SELECT row, k, CAST(z.a AS BIGINT) AS a, kind || ':' || CAST(CAST(z.a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(z.a + z.n AS BIGINT) AS VARCHAR) AS said FROM f),
+h AS (SELECT row, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(said, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(said, ',' ORDER BY a, k) AS spans FROM g GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN h USING (row)"""
