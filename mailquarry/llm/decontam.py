@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, mark, only, table
 
-NGRAM, WINDOW = 3, 3
+NGRAM, WINDOW = 3, 2
 #: Alignment scores, and the share of an item's own score from which a passage is a copy of it.
 MATCH, MISMATCH, GAP = 2, -1, -2
-LEAST = 0.5
+LEAST = 0.4
 #: Bits of the bitmap, as a power of two.
 BITMAP = 26
 BROADCAST_ROWS = 1_000_000
