@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,26 +25,30 @@ def organisations(domains: DataFrame) -> DataFrame:
 def lookalikes(domains: DataFrame, least: int = LEAST, ratio: int = RATIO) -> DataFrame:
     """domain, resembles, kind and messages: rare domains that resemble a much more frequent one.
 
-    Candidates meet by equality, never all with all: same label, same skeleton, or a common part. Of two labels
-    within one edit one has the other's first or last half unchanged, so those halves are the keys. Where several
-    frequent domains fit, the most frequent counts, then the first by name.
+    Candidates meet by equality, never all with all: same label, same skeleton, or a part of a label. If one edit
+    leads from a frequent label to another, it leaves the first or the last half as it is, or swaps the two characters
+    where the halves meet; so a frequent label is known by its halves and by itself without those two, and any label by
+    what these would be if it had the frequent one's length. Where several frequent domains fit, the most
+    frequent counts, then the first by name.
     """
     org = organisations(domains).select("domain", "n", label(F.col("domain")).alias("label"), suffix(F.col("domain")).alias("suffix"))
     org = org.withColumn("skel", skeleton(F.col("label")))
     rare = org.filter(F.length("label") >= 4)
     often = org.filter(F.col("n") >= least).select(*(F.col(c).alias(f"f_{c}") for c in org.columns))
 
-    def halves(name: str):
-        c = F.col(name)
-        n = F.length(c)
-        # an edit moves what follows it by one place at most, so each side offers its halves of three lengths
-        cuts = [F.greatest(F.floor(n / 2) + d, F.lit(0)).cast("int") for d in (-1, 0, 1)]
-        parts = [F.concat(F.lit("<"), F.substring(c, F.lit(1), k)) for k in cuts] + [F.concat(F.lit(">"), c.substr(n - k + 1, k)) for k in cuts]
-        return F.explode(F.array_distinct(F.array(*parts)))
+    def parts(c: Column, length: Column, swap: bool = True) -> list[Column]:
+        h = F.floor(length / 2).cast("int")
+        rest = (length - h).cast("int")
+        key = lambda mark, *text: F.concat(F.lit(mark), length.cast("string"), F.lit(":"), *text)
+        out = [key("<", c.substr(F.lit(1), h)), key(">", c.substr(F.greatest(F.length(c) - rest + 1, F.lit(1)), rest))]
+        return [*out, key("=", c.substr(F.lit(1), h - 1), F.lit("|"), c.substr(h + 2, rest))] if swap else out
 
+    n = F.length("label")
+    own = F.explode(F.array_distinct(F.array(*(p for d in (-1, 0, 1) for p in parts(F.col("label"), n + d, d == 0)))))
+    known = F.explode(F.array(*parts(F.col("f_label"), F.length("f_label"))))
     same_label = rare.join(often, F.col("label") == F.col("f_label"))
     same_skeleton = rare.join(often, F.col("skel") == F.col("f_skel"))
-    near = rare.withColumn("part", halves("label")).join(often.filter(F.length("f_label") >= 5).withColumn("part", halves("f_label")), "part").drop("part")
+    near = rare.withColumn("part", own).join(often.filter(F.length("f_label") >= 5).withColumn("part", known), "part").drop("part")
     near = near.filter(within_one_edit(F.col("label"), F.col("f_label")))
     pairs = same_label.select(*near.columns).union(same_skeleton.select(*near.columns)).union(near).distinct()
     pairs = pairs.filter((F.col("domain") != F.col("f_domain")) & (F.col("f_n") >= F.col("n") * ratio))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def bm25(pads: DataFrame, fields: dict[str, float], phrases: list[tuple[list[str
     """id and rank (lower is better) of the rows of pads (id and a padded text a field) that match some phrase.
 
     phrases: tokens, whether the last is a prefix, and the fields in which it may occur. One pass counts
-    occurrences and lengths; the corpus figures are one aggregate of a few numbers, joined to every row.
+    occurrences and lengths for the corpus figures, which are one row of numbers, and one more for the scores.
     """
     counts = []
     for k, (term, prefix, where) in enumerate(phrases):
@@ -31,12 +33,13 @@ def bm25(pads: DataFrame, fields: dict[str, float], phrases: list[tuple[list[str
     length = sum((token_count(F.col(f)) for f in fields), F.lit(0)).alias("dl")
     rows = pads.select("id", length, *counts)
     n = range(len(phrases))
-    corpus = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"), *(F.sum(f"h{k}").alias(f"n{k}") for k in n))
+    corpus = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"), *(F.sum(f"h{k}").alias(f"n{k}") for k in n)).first()
     score: Column = F.lit(0.0)
     for k in n:
-        odds = F.log((F.col("N") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
-        idf = F.when(odds > 0, odds).otherwise(1e-6)
+        found = corpus[f"n{k}"] or 0
+        odds = math.log((corpus["N"] - found + 0.5) / (found + 0.5))
+        idf = odds if odds > 0 else 1e-6
         f = F.col(f"f{k}")
-        score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score = score - F.lit(idf * (K1 + 1)) * f / (f + K1 * (1 - B + B * F.col("dl") / F.lit(corpus["avgdl"] or 1.0)))
     some = sum((F.col(f"h{k}") for k in n), F.lit(0)) > 0
-    return rows.crossJoin(F.broadcast(corpus)).filter(some).select("id", score.alias("rank"))  # corpus is one row
+    return rows.filter(some).select("id", score.alias("rank"))

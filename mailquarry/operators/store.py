@@ -74,9 +74,11 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
 
 def duplicates(messages: DataFrame) -> DataFrame:
     """messages with dup_of: the first id of its mailbox with the same message id, null for that one itself."""
-    first = F.min("id").over(W.partitionBy("mailbox", "message_id"))
-    known = F.col("message_id").isNotNull() & (F.col("message_id") != "")
-    return messages.withColumn("dup_of", F.when(known & (first < F.col("id")), first))
+    # aggregated before the shuffle and reduced to ids that repeat; messages without an id never meet
+    known = messages.filter(F.col("message_id") != "").groupBy("mailbox", "message_id").agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    heads = cut(known.filter("__n > 1").select(F.col("mailbox").alias("__box"), F.col("message_id").alias("__key"), "__first"))
+    both = messages.join(heads, (F.col("mailbox") == F.col("__box")) & (F.col("message_id") == F.col("__key")), "left")
+    return both.select(*(messages[c] for c in messages.columns), F.when(F.col("__first") < F.col("id"), F.col("__first")).alias("dup_of"))
 
 
 def remove_source(tables: dict[str, DataFrame], source_id: int) -> dict[str, DataFrame]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,40 +36,43 @@ def weak_edges(items: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges between messages of one subject: each looks back over up to eight earlier ones within 120 days and links
     to the first with a participant in common, unless it meets one of its own thread before.
 
-    A subject's messages are followed in order of date and id. Only that order needs them in one place, and only
-    four short columns of them go there.
+    A subject's messages are followed in order of date and id, as a stream: a task holds the last eight and the threads
+    that weak links have joined, however many messages a subject has.
     """
     own = items.filter(F.col("date_ms").isNotNull()).select("id", normalise_subject(F.col("topic")).alias("subject"), "date_ms", "parties")
     own = own.filter(F.length("subject") >= LEAST_SUBJECT)
-    many = own.groupBy("subject").count().filter("count > 1").select("subject")
+    many = cut(own.groupBy("subject").count().filter("count > 1").select("subject"))
     own = own.join(many, "subject").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     own = own.select("subject", "id", F.coalesce("root", "id").alias("root"), "date_ms", "parties")
+    own = own.repartition("subject").sortWithinPartitions("subject", "date_ms", "id")
+    return own.mapInArrow(_follow, "a long, b long")
+
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["date_ms", "id"], ignore_index=True)
-        up: dict[int, int] = {}
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    subject, recent, up = None, deque(maxlen=LOOK_BACK), {}
 
-        def find(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+    def find(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
 
-        ids, roots_, dates = group["id"].tolist(), group["root"].tolist(), group["date_ms"].tolist()
-        parties = [frozenset(p) if p is not None else frozenset() for p in group["parties"]]
+    for batch in batches:
         out = []
-        for i in range(1, len(ids)):
-            for j in range(i - 1, max(-1, i - 1 - LOOK_BACK), -1):
-                if dates[i] - dates[j] > GAP_MS or find(roots_[i]) == find(roots_[j]):
+        for name, i, root, at, people in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != subject:
+                subject, recent, up = name, deque(maxlen=LOOK_BACK), {}
+            people = frozenset(people or ())
+            for j, other, before, known in reversed(recent):
+                a, b = find(root), find(other)
+                if at - before > GAP_MS or a == b:
                     break
-                if parties[i] & parties[j]:
-                    a, b = find(roots_[i]), find(roots_[j])
+                if people & known:
                     up[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
+                    out.append((i, j))
                     break
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return own.groupBy("subject").applyInPandas(link, "a long, b long")
+            recent.append((i, root, at, people))
+        first, second = map(list, zip(*out, strict=True)) if out else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
 
 
 def build(items: DataFrame, weak: bool = True) -> DataFrame:

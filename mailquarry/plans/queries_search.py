@@ -376,6 +376,16 @@ def txt11_fold(spark, sf_dir):
     return fixture_messages(spark, sf_dir).select("id", X.fold(F.col("subject")).alias("folded"))
 
 
+@query(family(["elle |of the "], ["der "]))
+def txt4_boolean_expression(spark, sf_dir):
+    return found(spark, sf_dir, 'elle OR "of the" -der')
+
+
+@query(family(["casino ", "the "]))
+def txt5_family_over_attachments(spark, sf_dir):
+    return found(spark, sf_dir, "casino the")
+
+
 # --- order ----------------------------------------------------------------------------------------------------
 
 _FOLD = "translate(subject, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

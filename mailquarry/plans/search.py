@@ -167,7 +167,7 @@ def count(case: Case, r: Request) -> int:
 
 def with_snippets(case: Case, page: DataFrame, query: str) -> DataFrame:
     """page with an excerpt of each row: of the body, else of its first attachment that matches, else of any
-    field. page is bounded by the request's limit, so its ids select the attachments in a broadcast."""
+    field. Attachments of other rows are left out before their texts are padded."""
     q = parse(query)
     terms = [(split_tokens(t.text), t) for c in q.positive for t in c.alternatives if split_tokens(t.text)]
     none = F.lit(None).cast(T.StringType())
@@ -175,7 +175,7 @@ def with_snippets(case: Case, page: DataFrame, query: str) -> DataFrame:
     body = first([snippet(padded(F.col("body")), t) for t, k in terms if "body" in message_fields(k)])
     fields = [f for f in MESSAGE_FIELDS if f in page.columns]
     other = first([snippet(padded(F.col(f)), t) for f in fields for t, k in terms if f in message_fields(k)])
-    ids = F.broadcast(page.select(F.col("id").alias("message_id")).distinct())
+    ids = page.select(F.col("id").alias("message_id")).distinct()
     near = case.attachments.join(ids, "message_id", "left_semi")
     text = first([snippet(padded(F.col(f)), t) for f in ("content", "name") for t, k in terms if f in attachment_fields(k)])
     said = near.select("message_id", "idx_path", F.concat(F.lit("📎 "), F.coalesce("name", F.lit("")), F.lit(" : "), text).alias("said"))
