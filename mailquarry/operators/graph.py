@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from mailquarry.operators.store import cut
 
 
+#: Up to so many edges the minima of a round aren't written before they are joined: there is no group to split.
+FEW = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) for every node of edges (a, b) that isn't a root itself.
 
@@ -21,9 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
+        keep = cut if state[0] > FEW else (lambda df: df)
         both = now.selectExpr("u AS n", "v AS m").union(now.selectExpr("v AS n", "u AS m"))
-        low = cut(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
-        large = cut(both.filter("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("low")))
+        low = keep(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
+        large = keep(both.filter("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct())
+        low = keep(large.groupBy("u").agg(F.min("v").alias("low")))
         rest = large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         now = cut(rest.union(low.select("u", F.col("low").alias("v"))).distinct())
