@@ -41,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, which is counted; larger ones are left to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, by exact name; tables may have others whose names differ only in case."""
     return df.select(*(df[f"`{n}`"] for n in names)) if not _clash(df, names) else df.toDF(*_unique(df, names)).select(*names)

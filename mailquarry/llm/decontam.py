@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, mark, only, table
+from .common import bounded, cut, mark, only, table
 
 NGRAM, WINDOW = 3, 2
 #: Alignment scores, and the share of an item's own score from which a passage is a copy of it.
@@ -250,18 +250,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     run = W.partitionBy("item").orderBy("pos").rowsBetween(0, WINDOW - 1)
     rated = pieces.join(counts, "gram", "left").select("item", "pos", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram").alias("rate"))
     seeds = cut(rated.select("item", F.min("rate").over(run)["gram"].alias("gram")).distinct())
-    size = seeds.agg(F.count(F.lit(1))).first()[0]
     # an item's gram count, and two more words, bounds its length
     longest = (pieces.agg(F.max("pos")).first()[0] or 0) + NGRAM
-    few = F.broadcast if size <= BROADCAST_ROWS else (lambda df: df)
+    own_seeds, own_items = bounded(seeds, BROADCAST_ROWS), bounded(items, BROADCAST_ROWS // 10)
     marked = rows.select("doc_id", "text", mark(F.col("text")).alias("mark"))
     found = marked.mapInArrow(_passages(sc.broadcast(bitmap_of(seeds)), longest), "doc_id long, mark long, first long, seeds array<long>, passage binary")
     found = cut(found.withColumn("at", F.monotonically_increasing_id()))
-    met = found.select("at", F.explode("seeds").alias("gram")).join(few(seeds), "gram").select("at", "item").distinct()
-    pairs = met.join(found, "at").join(few(items), "item").select("doc_id", "mark", "item", "first", "passage", "text")
+    met = found.select("at", F.explode("seeds").alias("gram")).join(own_seeds, "gram").select("at", "item").distinct()
+    pairs = met.join(found, "at").join(own_items, "item").select("doc_id", "mark", "item", "first", "passage", "text")
     scored = pairs.mapInArrow(_scoring, "doc_id long, mark long, item long, score double, start_word long, end_word long").filter(F.col("score") >= least)
     best = scored.groupBy("doc_id", "mark", "item").agg(F.max(F.struct("score", -F.col("start_word"), "end_word")).alias("b"))
-    best = best.join(few(items.select("item", "item_id")), "item")
+    best = best.join(own_items.select("item", "item_id"), "item")
     return best.select("doc_id", "mark", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), F.col("b.end_word").alias("end_word"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, only, table
+from .common import bounded, cut, fold_of, only, table
 from .sampling import drawn_ids
 
 DIMENSIONS = 1 << 13
@@ -143,8 +143,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = only(docs, "doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
-    # the draw is bounded by `sample` rows a language, so it can be broadcast
-    drawn = rows.join(F.broadcast(drawn_ids(rows, "lang", sample).distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
+    drawn = rows.join(bounded(cut(drawn_ids(rows, "lang", sample).distinct())), ["doc_id", "lang"], "left_semi").select("text", "lang")
     vectors: dict[str, list[np.ndarray]] = {}
     for r in sorted(drawn.mapInArrow(_vectors, "lang string, places binary, counts binary").collect(), key=lambda r: (r.lang, bytes(r.places), bytes(r.counts))):
         v = np.zeros(DIMENSIONS, np.float32)

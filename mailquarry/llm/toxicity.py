@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, only, table
+from .common import bounded, cut, fold_of, only, table
 from .sampling import drawn_ids
 
 #: Documents are learnt from unless crc32(doc_id) modulo FOLDS is HELD_OUT.
@@ -150,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = only(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    # at most about `sample` rows a class, so they can be broadcast
-    drawn = F.broadcast(drawn_ids(known, "toxic", sample))
+    drawn = bounded(drawn_ids(known, "toxic", sample))
     rows = cut(only(docs, "doc_id", "text").join(drawn, "doc_id").select("text", "toxic"))
     taken = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(taken) < 2:
