@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +89,26 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     verdicts = verdicts.select("doc_id", "mark", "kept")
     tally = verdicts.groupBy("doc_id", "mark").agg(F.max(F.col("kept").cast("int")).alias("any"), F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
     odd = cut(tally.filter(F.col("k") < F.col("n")))
-    lost = odd.filter(F.col("any") == 0).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    marked = docs.withColumn("__own", mark(docs["text"]))
-    left = marked.join(lost, marked["doc_id"].eqNullSafe(lost["__id"]) & (marked["__own"] == lost["__mark"]), "left_anti")
-    if not odd.filter(F.col("any") > 0).isEmpty():
-        left = left.dropDuplicates(["doc_id", "__own"])
-    return left.select(*(left[c] for c in docs.columns))
+    left = without(docs, odd.filter(F.col("any") == 0).select("doc_id", "mark"))
+    if odd.filter(F.col("any") > 0).isEmpty():
+        return left
+    rows, doc_id, text, named = positional(left)
+    return named(rows.withColumn("mark", mark(F.col(text))).dropDuplicates([doc_id, "mark"]))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs that gone (doc_id and mark, each pair once) doesn't name, with all their columns."""
+    rows, doc_id, text, named = positional(docs)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    marked = rows.withColumn("mark", mark(F.col(text)))
+    return named(marked.join(gone, F.col(doc_id).eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti"))
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, str, str, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns numbered, so that no name of an extra column gets in the way: the frame, its names for doc_id and
+    text, and what gives a frame that has all these columns their own names back."""
+    names = docs.columns
+    low = [c.lower() for c in names]
+    at = lambda n: names.index(n) if n in names else low.index(n)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return rows, f"c{at('doc_id')}", f"c{at('text')}", lambda df: df.select(*rows.columns).toDF(*names)

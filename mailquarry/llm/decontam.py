@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, mark, only, table
+from .common import bounded, cut, mark, only, table, without
 
 NGRAM, WINDOW = 3, 2
 #: Alignment scores, and the share of an item's own score from which a passage is a copy of it.
@@ -271,7 +271,4 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a copy of a test item, with all their columns."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    own = docs.withColumn("__own", mark(docs["text"]))
-    left = own.join(gone, own["doc_id"].eqNullSafe(gone["__id"]) & (own["__own"] == gone["__mark"]), "left_anti")
-    return left.select(*(left[c] for c in docs.columns))
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "mark").distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, fold_of, only, table
+from .common import bounded, cut, fold_of, only, positional, table
 from .sampling import drawn_ids
 
 DIMENSIONS = 1 << 13
@@ -181,11 +181,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs whose language is known well enough, with all their columns as they were."""
     model = train(docs)
-    names = docs.columns
+    rows, _, text, named = positional(docs)
+    at = rows.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(names.index("text")).to_pylist()
-            yield b.filter(pa.array([not model.predict(t)[2] for t in texts], pa.bool_()))
+            yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return named(rows.mapInArrow(kept, rows.schema))
