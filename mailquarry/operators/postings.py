@@ -15,12 +15,14 @@ from mailquarry.functions.text import tokens
 
 
 def build_postings(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """token, id, field, places of the texts in fields; initial is what the table is partitioned by."""
+    """token, id, unit, field, places of the texts in fields; initial is what the table is partitioned by. unit tells the
+    rows of one id apart, if rows has such a column."""
+    unit = F.coalesce("unit", F.lit("")) if "unit" in rows.columns else F.lit("")
     each = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields))
-    parts = rows.select("id", F.explode(each).alias("e")).select("id", "e.field", F.posexplode("e.tokens").alias("place", "token"))
+    parts = rows.select("id", unit.alias("unit"), F.explode(each).alias("e")).select("id", "unit", "e.field", F.posexplode("e.tokens").alias("place", "token"))
     # all places of a token in one field of one row: a group is bounded by that text
-    out = parts.groupBy("token", "id", "field").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return out.select(F.substring("token", 1, 1).alias("initial"), "token", "id", "field", "places")
+    out = parts.groupBy("token", "id", "unit", "field").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return out.select(F.substring("token", 1, 1).alias("initial"), "token", "id", "unit", "field", "places")
 
 
 def write_postings(postings: DataFrame, path: str, files: int = 16) -> None:
@@ -35,10 +37,12 @@ def lookup(postings: DataFrame, term: list[str], prefix: bool = False, fields: l
         t = term[k]
         last = prefix and k == len(term) - 1
         some = own.filter((F.col("initial") == t[0]) & (F.startswith("token", F.lit(t)) if last else F.col("token") == t))
-        return some.select("id", "field", F.transform("places", lambda p: p - k).alias(f"p{k}"))
+        return some.select("id", "unit", "field", F.transform("places", lambda p: p - k).alias(f"p{k}"))
 
     if not term:
         return postings.select("id").limit(0)
-    found = reduce(lambda a, b: a.join(b, ["id", "field"]), (one(k) for k in range(len(term))))
+    found = reduce(lambda a, b: a.join(b, ["id", "unit", "field"]), (one(k) for k in range(len(term))))
+    if len(term) == 1:
+        return found.select("id").distinct()
     both = reduce(F.array_intersect, (F.col(f"p{k}") for k in range(len(term))))
     return found.filter(F.size(both) > 0).select("id").distinct()

@@ -386,6 +386,38 @@ def txt5_family_over_attachments(spark, sf_dir):
     return found(spark, sf_dir, "casino the")
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir):
+    """The fixture case's index, written when a session first asks for it."""
+    import uuid
+
+    from mailquarry.operators.store import shared_dir
+    from mailquarry.plans.indexed import read_index, write_index
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = f"{shared_dir(spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
+        write_index(fixture_case(spark, sf_dir), path)
+        _written[key] = path
+    return read_index(spark, _written[key])
+
+
+@query(family(["the "], ["elle "]))
+def flt10_indexed_search(spark, sf_dir):
+    from mailquarry.plans.indexed import found_ids
+
+    return found_ids(_index(spark, sf_dir), parse("the -elle"))
+
+
+@query(family(["of the |en", "the "], ["der "]))
+def txt2_indexed_phrase_and_prefix(spark, sf_dir):
+    from mailquarry.plans.indexed import found_ids
+
+    return found_ids(_index(spark, sf_dir), parse('"of the" OR en* the -der'))
+
+
 # --- order ----------------------------------------------------------------------------------------------------
 
 _FOLD = "translate(subject, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -86,3 +86,14 @@ def test_postings(spark, case, tmp_path):
     assert find(["budget"]) == [1, 3] and find(["de", "budget"]) == [3] and find(["confid"], prefix=True) == [2] and find(["budget"], fields=["body"]) == [3] and find([]) == [] and find(["comite", "de", "bud"], prefix=True) == [3]
     plan = lookup(index, ["budget"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(initial" in plan and "PushedFilters: [IsNotNull(token), EqualTo(token,budget)]" in plan
+
+
+def test_index_finds_what_search_finds(spark, case, tmp_path):
+    from mailquarry.plans.indexed import found_ids, read_index, write_index
+
+    write_index(case, str(tmp_path / "whole"), 2)
+    index = read_index(spark, str(tmp_path / "whole"))
+    for text in ["budget", '"accord de confidentialité"', "confid*", "pj:plan", "budget -comité", "budget -contrat", "tahoe OR accord", "comité ici", "pjtexte:budget", "objet:budget", '"de budget"', "pjtexte:plan", "corps:ici"]:
+        assert sorted(r.id for r in found_ids(index, parse(text)).collect()) == ids(case, text)
+    with pytest.raises(ValueError):
+        found_ids(index, parse("-budget"))
