@@ -125,14 +125,14 @@ def _address(*candidates: str | None) -> str | None:
     return next((c for c in candidates if c and "@" in c and not c.lower().startswith("/o=")), None)
 
 
-def parse_message(cf: CompoundFile, storage: Entry, depth: int, header: int = 32) -> Message:
-    """A message and, as far as depth allows, the messages embedded in it."""
-    p = Bag(cf, storage, header)
+def from_properties(p) -> Message:
+    """A message without recipients and attachments, of any bag of properties."""
     index = p.binary(0x0071)
     flags = p.number(0x0E07)
     page = p.binary(0x1013)
+    subject = p.clean(0x0037)
     m = Message(
-        subject=p.clean(0x0037),
+        subject=subject,
         sender_name=p.clean(0x0042) or p.clean(0x0C1A),
         sender_email=_address(p.clean(0x5D02), p.clean(0x5D01), p.clean(0x0065), p.clean(0x0C1F)),
         message_class=p.clean(0x001A),
@@ -156,18 +156,30 @@ def parse_message(cf: CompoundFile, storage: Entry, depth: int, header: int = 32
     if packed:
         m.rtf = decompress(packed)
         m.html = m.html or rtf_html(m.rtf)
-    for e in p.below("__RECIP_VERSION1.0_"):
-        r = Bag(cf, e, 8)
-        kind = r.number(0x0C15)
-        if kind in (1, 2, 3):
-            m.recipients.append(Recipient(kind, r.clean(0x3001), _address(r.clean(0x39FE), r.clean(0x3003))))
+    return m
+
+
+def recipient_of(r) -> Recipient | None:
+    kind = r.number(0x0C15)
+    return Recipient(kind, r.clean(0x3001), _address(r.clean(0x39FE), r.clean(0x3003))) if kind in (1, 2, 3) else None
+
+
+def attachment_of(a, place: int, embedded: bool) -> Attachment:
+    name = a.clean(0x3707) or a.clean(0x3704) or a.clean(0x3001) or ("message.msg" if embedded else f"piece-jointe-{place + 1}")
+    data = None if embedded else a.binary(0x3701)
+    return Attachment(name, len(data or b"") or a.number(0x0E20) or 0, a.clean(0x3712), bool(a.number(0x7FFE)), data)
+
+
+def parse_message(cf: CompoundFile, storage: Entry, depth: int, header: int = 32) -> Message:
+    """A message and, as far as depth allows, the messages embedded in it."""
+    p = Bag(cf, storage, header)
+    m = from_properties(p)
+    m.recipients = [r for e in p.below("__RECIP_VERSION1.0_") if (r := recipient_of(Bag(cf, e, 8)))]
     for k, e in enumerate(p.below("__ATTACH_VERSION1.0_")):
         a = Bag(cf, e, 8)
         inner = next((c for n, c in a.streams.items() if n.startswith("__SUBSTG1.0_3701000D")), None)
         embedded = a.number(0x3705) == 5 and inner is not None
-        name = a.clean(0x3707) or a.clean(0x3704) or a.clean(0x3001) or ("message.msg" if embedded else f"piece-jointe-{k + 1}")
-        data = None if embedded else a.binary(0x3701)
-        own = Attachment(name, len(data or b"") or a.number(0x0E20) or 0, a.clean(0x3712), bool(a.number(0x7FFE)), data)
+        own = attachment_of(a, k, embedded)
         if embedded and depth > 0:
             own.message = parse_message(cf, inner, depth - 1, 24)
         m.attachments.append(own)

@@ -202,3 +202,47 @@ def snk10_saved_attachments(spark, sf_dir):
 
     saved = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("data"))
     return cut(saved).select("page_id", F.sha2("data", 256).alias("hash"), F.length("data").cast("long").alias("bytes"))
+
+
+def stores(spark, sf_dir: str) -> DataFrame:
+    """path, content: the documents in mail stores of up to 200 messages, in a folder a language below one a source."""
+    from mailquarry.sinks.pstfile import Box, Mail, store
+
+    def mail(r: dict) -> Mail:
+        values = {0x0037: f"subject {r['doc_id']}", 0x0042: r["source"], 0x1000: r["text"] or "", 0x0E06: datetime.fromtimestamp(1_700_000_000 + r["doc_id"], UTC), 0x0E07: r["doc_id"] % 2, 0x0E08: r["n_chars"]}
+        return Mail(values, [{0x0C15: 1, 0x3001: "Bob", 0x39FE: "bob@y.fr"}], [({0x3707: "a.txt", 0x3701: b"x" * (r["doc_id"] % 5000)}, None)] if r["doc_id"] % 3 == 0 else [])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                rows = b.slice(at, 200).to_pylist()
+                tree: dict = {}
+                for r in rows:
+                    tree.setdefault(r["source"], {}).setdefault(r["lang"], []).append(mail(r))
+                data = store([Box(s, [], [Box(g, ms) for g, ms in sorted(langs.items())]) for s, langs in sorted(tree.items())])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{rows[0]['doc_id']}.pst"]), pa.array([data], pa.binary())], names=["path", "content"])
+
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.mapInArrow(run, "path string, content binary")
+
+
+@query("SELECT source AS path, source AS name, CAST(0 AS INTEGER) AS depth FROM documents GROUP BY source UNION ALL SELECT source || '/' || lang, lang, 1 FROM documents GROUP BY source, lang")
+def src3_store_folders(spark, sf_dir):
+    from mailquarry.sources.pst import read_folders
+
+    return read_folders(stores(spark, sf_dir)).select("path", "name", "depth").distinct()
+
+
+@query("SELECT source || '/' || lang AS folder, 'subject ' || doc_id AS subject, source AS sender_name, (1700000000 + doc_id) * 1000 AS date_ms, CAST(n_chars AS INTEGER) AS size, doc_id % 2 = 1 AS is_read FROM documents")
+def src4_store_listing(spark, sf_dir):
+    from mailquarry.sources.pst import list_messages
+
+    return list_messages(stores(spark, sf_dir)).select("folder", "subject", "sender_name", "date_ms", "size", "is_read")
+
+
+@query("SELECT source || '/' || lang AS folder, 'subject ' || doc_id AS subject, text AS body, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5000 END AS attached FROM documents WHERE text <> ''")
+def src5_store_messages(spark, sf_dir):
+    from mailquarry.sources.pst import read_messages
+
+    m = read_messages(stores(spark, sf_dir)).filter("body <> ''")
+    return m.select("folder", "subject", "body", F.get("attachments", F.lit(0))["size"].alias("attached"))

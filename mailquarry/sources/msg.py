@@ -6,7 +6,7 @@ with its error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +40,14 @@ def flat_attachments(m: Message, prefix: str = "", depth: int = 5) -> list[dict]
 
 
 def message_row(path: str, data: bytes | None) -> dict:
+    return row_of(path, lambda: read_message(data or b""))
+
+
+def row_of(path: str, read: Callable[[], Message]) -> dict:
+    """A message as a row, or its error."""
     names = ["subject", "sender_name", "sender_email", "importance", "is_read", "flag_status", "message_id", "in_reply_to", "conv_key", "topic", "headers"]
     try:
-        m = read_message(data or b"")
+        m = read()
     except Exception as e:  # noqa: BLE001  the file's fault, and only its row's
         return {"file_path": path, "error": f"{type(e).__name__}: {e}"[:300]}
     embedded = [a.message for a in m.attachments if a.message is not None][:EMBEDDED]
