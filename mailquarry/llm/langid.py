@@ -2,8 +2,9 @@
 
 A text is a vector of letter trigrams, hashed to DIMENSIONS places, weighted by TF-IDF and normalised. For each
 language spherical k-means makes up to CENTROIDS centroids of a sample of at most about SAMPLE labelled
-texts. A text gets the language of the centroid with the largest cosine; it is rejected if the cosine is
-below the language's bound, a fraction of the lowest cosines among its sample.
+texts. A text gets the language of the centroid with the largest cosine. It is rejected if the cosine is low for
+its size: below a fraction of what nearly all sample texts with about as many different trigrams reach. Sizes
+of which the sample has few texts take the bound of the next smaller one; the smallest have none, as a few words can't be told.
 
 The sample is drawn by a hash of the id over all rows that may be learnt from; vectors, not texts, go to the
 driver (a few kilobytes each). Scoring reads whole texts and needs no shuffle.
@@ -32,8 +33,10 @@ CENTROIDS = 4
 ROUNDS = 12
 #: Texts are learnt from unless crc32(doc_id) modulo FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
-#: A text is rejected below this fraction of the cosine that all but one in a hundred of the sample reach.
-REJECT = 0.15
+#: A text is rejected below this fraction of the cosine that all but one in a hundred of the sample of its size reach.
+REJECT = 0.5
+#: Sample texts that a size (a power of two of different trigrams) needs for a bound of its own.
+SIZED = 20
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -70,7 +73,7 @@ def frequencies(text: str | None) -> np.ndarray | None:
 
 
 class Model:
-    """Centroids (rows, times the IDF weights), the language and the bound of each, and the IDF weights."""
+    """Centroids (rows, times the IDF weights), the language of each, the IDF weights and the bounds by size."""
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], bounds: np.ndarray):
         self.idf, self.langs, self.bounds = idf, langs, bounds
@@ -85,26 +88,41 @@ class Model:
         cosines = self.weights @ tf / max(norm, 1e-12)
         best = int(np.argmax(cosines))
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.langs[best], score, score < float(self.bounds[best])
+        return self.langs[best], score, score <= float(self.bounds[size_of(tf)])
+
+
+def size_of(tf: np.ndarray) -> int:
+    """The power of two of the number of different trigrams."""
+    return max(int(np.count_nonzero(tf)).bit_length() - 1, 0)
+
+
+def size_bounds(sizes: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """REJECT times the hundredth part of the cosines of each size, or the bound of the next smaller size."""
+    out = np.zeros(DIMENSIONS.bit_length() + 1)
+    for k in range(len(out)):
+        own = reach[sizes == k]
+        out[k] = REJECT * float(np.quantile(own, 0.01)) if len(own) >= SIZED else out[k - 1] if k else 0.0
+    return out
 
 
 def fit(vectors: dict[str, np.ndarray]) -> Model:
     """From the frequency vectors (rows) of each language."""
     langs = sorted(vectors)
     if not langs:
-        return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+        return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(DIMENSIONS.bit_length() + 1))
     n = sum(len(v) for v in vectors.values())
     df = sum((v > 0).sum(0) for v in vectors.values())
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    centroids, names, bounds = [], [], []
+    centroids, names, sizes, reached = [], [], [], []
     for lang in langs:
         x = vectors[lang] * idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c, reach = spherical_kmeans(x, CENTROIDS, ROUNDS)
         centroids.append(c)
         names += [lang] * len(c)
-        bounds += [REJECT * float(np.quantile(reach, 0.01))] * len(c)
-    return Model(idf, np.concatenate(centroids), names, np.array(bounds))
+        sizes += [size_of(v) for v in vectors[lang]]
+        reached.append(reach)
+    return Model(idf, np.concatenate(centroids), names, size_bounds(np.array(sizes), np.concatenate(reached)))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,9 @@ def test_undetermined_and_odd_rows(spark, languages):
     model = langid.train(languages)
     for text in (None, "", "123 !? \n", "  "):
         assert model.predict(text) == ("und", 0.0, True)
-    assert model.predict("日本語 テスト")[2]
+    rng = random.Random(6)
+    for alphabet in ("абвгдежзиклмно", "αβγδεζηθικλμν", "日本語漢字文学校生先時"):
+        assert model.predict(" ".join("".join(rng.choices(alphabet, k=4)) for _ in range(60)))[2]
     odd = spark.createDataFrame([(None, "abc"), (1, None), (1, None), (2, "ab " * 50000)], "doc_id long, text string")
     assert langid.identify(odd, model).count() == 4
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
@@ -59,7 +61,7 @@ def test_trigrams_are_whole_texts():
 
 
 def test_stage_drops_what_is_rejected(spark, languages):
-    extra = spark.createDataFrame([(900, "1234", "aa"), (901, None, "bb"), (902, "мир и дружба", "cc")], "doc_id long, text string, lang string")
+    extra = spark.createDataFrame([(900, "1234", "aa"), (901, None, "bb"), (902, " ".join("".join(random.Random(k).choices("абвгдежзиклмно", k=4)) for k in range(60)), "cc")], "doc_id long, text string, lang string")
     docs = languages.union(extra)
     out = langid.stage(spark, docs, "")
     assert out.columns == docs.columns
