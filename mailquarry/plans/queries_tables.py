@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from mailquarry.functions import mail as M
 from mailquarry.functions import sensitive as S
-from mailquarry.functions.text import nocase
 from mailquarry.operators import impersonation, store
 from mailquarry.operators.labels import csv_cell, csv_quoted
 from mailquarry.operators.tree import folder_tree
@@ -386,7 +384,7 @@ def snk14_inferred_prefixes(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders")
 def snk15_compaction(spark, sf_dir):
-    path = store.shared_dir(spark).rstrip("/") + "/compacted-orders"
+    path = f"{store.shared_dir(spark).rstrip('/')}/compacted-orders-{uuid.uuid4().hex}"
     store.compact(spark, f"{sf_dir}/orders.parquet", path, 2, "o_orderdate", "o_orderkey")
     return spark.read.parquet(path).agg(n_rows().alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
