@@ -86,44 +86,63 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linker(radius: int):
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (fp,) in whole_buckets(batches):
-            pairs = bitslice.link_buckets(bucket, fp.view(np.uint64).reshape(-1, 1), radius)
-            if pairs:
-                i, r = np.array(pairs).T
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[r])], names=["a", "b"])
-
-    return link
+#: Rows after which a bucket is linked in parts, to bound memory.
+MOST = 1 << 16
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 8192) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Runs of at least `least` rows that hold whole buckets. The first two columns, by which the
-    input is sorted, name the bucket; bucket numbers and the other columns come as arrays."""
-    held: list[list[np.ndarray]] = []
+def _linker(radius: int, least: int = 8192, most: int = MOST):
+    """Links rows (two columns that name the bucket and sort the input, node, fingerprint) within their buckets.
 
-    def joined():
-        return [np.concatenate(c) for c in zip(*held, strict=True)]
+    Whole buckets are linked at once. Of a bucket beyond `most` rows a part is linked at a time, and of each component
+    found the first row goes on to the next part to stand for it. Only fingerprints of the pipeline's bands can
+    come to that; those of link_fingerprints() are cut before.
+    """
 
-    def numbered(cols):
-        new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-        return np.concatenate(([0], np.cumsum(new)))
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        left = 0  # rows that the last part of the bucket handed on
+
+        def pairs(bucket: np.ndarray, cols: list[np.ndarray]) -> tuple[pa.RecordBatch | None, np.ndarray]:
+            """Edges, and which rows stand for their components."""
+            node, prints = cols[2], cols[3]
+            found = bitslice.link_buckets(bucket, prints.view(np.uint64).reshape(len(node), -1), radius)
+            first = np.ones(len(node), bool)
+            if not found:
+                return None, first
+            i, r = np.array(found).T
+            first[i] = False
+            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[r])], names=["a", "b"]), first
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([_plain(c) for c in b.columns])
+            n = sum(len(h[0]) for h in held)
+            if n < least:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            bucket = np.concatenate(([0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))))
+            at = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            if at:
+                edges, _ = pairs(bucket[:at], [c[:at] for c in cols])
+                if edges:
+                    yield edges
+                cols, left = [c[at:] for c in cols], 0
+            if len(cols[0]) >= max(most, 2 * left):
+                edges, first = pairs(np.zeros(len(cols[0]), int), cols)
+                if edges:
+                    yield edges
+                    cols = [c[first] for c in cols]
+                left = len(cols[0])
+            held = [cols]
+        if held:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            bucket = np.concatenate(([0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))))
+            edges, _ = pairs(bucket, cols)
+            if edges:
+                yield edges
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append([_plain(c) for c in b.columns])
-        if sum(len(h[0]) for h in held) < least:
-            continue
-        cols = joined()
-        ids = numbered(cols)
-        at = int(np.searchsorted(ids, ids[-1]))  # the last bucket may go on
-        if at:
-            yield ids[:at], [c[:at] for c in cols[2:]]
-        held[:] = [[c[at:] for c in cols]]
-    if held:
-        cols = joined()
-        yield numbered(cols), cols[2:]
+    return link
 
 
 def _plain(c: pa.Array) -> np.ndarray:
@@ -152,7 +171,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, blocks: int = 4, limit
         keys = rows.select("fp", child).select("m", F.element_at(own, F.col("m") + 1).bitwiseAND(F.col("fp")).alias("key"), "fp")
         sizes = cut(keys.groupBy("m", "key").count().filter("count > 1"))
         last = depth == len(tree) - 1
-        near = keys.join(sizes if last else sizes.filter(F.col("count") <= limit), ["m", "key"]).select("m", "key", "fp")
+        near = keys.join(sizes if last else sizes.filter(F.col("count") <= limit), ["m", "key"]).select("m", "key", F.col("fp").alias("node"), "fp")
         near = near.repartition("m", "key").sortWithinPartitions("m", "key", "fp")
         edges = edges.union(near.mapInArrow(_linker(radius), "a long, b long"))
         hot = sizes.filter(F.col("count") > limit)
@@ -221,17 +240,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _band_linker(radius: int):
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (node, short) in whole_buckets(batches):
-            pairs = bitslice.link_buckets(bucket, short, radius)
-            if pairs:
-                i, r = np.array(pairs).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[r])], names=["a", "b"])
-
-    return link
-
-
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, mark and kept of every row of docs: of each group of near-duplicates the row with the smallest
     doc_id stays. Two documents link if they agree in some band of their sketches and their compared bits
@@ -242,7 +250,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kinds = cut(rows.groupBy("wide").agg(first.alias("first")).select("wide", "first", F.col("first.row_id").alias("node")))
     banded = kinds.select("node", "wide").mapInArrow(_banded, "m int, key int, node long, short binary")
     near = banded.repartition("m", "key").sortWithinPartitions("m", "key")
-    tied = cut(components(near.mapInArrow(_band_linker(radius), "a long, b long")))
+    tied = cut(components(near.mapInArrow(_linker(radius), "a long, b long")))
     rooted = kinds.join(tied, kinds["node"] == tied["node"], "left").select("wide", "first", F.coalesce("root", kinds["node"]).alias("root"))
     chosen = cut(rooted.groupBy("root").agg(F.min("first").alias("best")))
     named = cut(rooted.join(chosen, "root").select("wide", F.col("best.row_id").alias("keep_row")))

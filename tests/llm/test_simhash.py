@@ -120,3 +120,32 @@ def test_near_stage_keeps_one_of_each_group(spark):
     kept = {r.doc_id for r in out.collect()}
     assert out.columns == ["doc_id", "text", "lang"]
     assert kept == {g[0] for g in groups} | set(range(36, 76))
+
+
+@pytest.mark.parametrize(("least", "most"), [(8192, 1 << 16), (10, 40), (1, 1)])
+def test_large_buckets_in_parts(least, most):
+    """Two dense groups in one bucket, and small buckets around it, whatever the parts."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    prints, bucket = [], []
+    for k, size in ((1, 3), (2, 150), (3, 5)):
+        centres = [rng.getrandbits(256) for _ in range(2)]
+        for i in range(size):
+            x = centres[i % 2]
+            for bit in rng.sample(range(256), 6):
+                x ^= 1 << bit
+            prints.append(x)
+            bucket.append((k, i % 2))
+    order = list(range(len(prints)))
+    rows = [(1, bucket[i][0], i, prints[i].to_bytes(32, "little")) for i in order]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.binary())],
+                                          names=["m", "key", "node", "short"]) for part in (rows[i : i + 7] for i in range(0, len(rows), 7))]
+    forest = bitslice.Forest(len(prints))
+    for b in simhash._linker(48, least, most)(iter(batches)):
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            forest.join(x, y)
+    groups = {}
+    for i in order:
+        groups.setdefault(forest.root(i), set()).add(bucket[i])
+    assert len(groups) == 6 and all(len(g) == 1 for g in groups.values())
