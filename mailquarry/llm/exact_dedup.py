@@ -47,12 +47,14 @@ class DigestIndex:
     """Digests seen so far with the document that stands for each, in a bucketed table at a shared path.
 
     Opening a path that already has an index continues it, so the index outlives a session. The number
-    of buckets belongs to the path and must be the same each time.
+    of buckets belongs to the path and must be the same each time; by default a new index has as many as the
+    session has shuffle partitions, so neither side of the anti-join is shuffled twice.
     """
 
     COLUMNS = ("digest", "keep_id", "n_points", "batch", "row_id")
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         place = path.replace("'", "\\'")
