@@ -58,8 +58,12 @@ class CachedTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
+        # the same model for words that are normalised and cut already
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -71,7 +75,7 @@ class CachedTokenizer:
 
     def single(self, words: list[str]) -> list[bytes]:
         """Ids of words that are one pre-token each: encoded together, and cut behind the ids that end a word."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.bare.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
         if len(ends) != len(words):
             return self.whole(words)
@@ -104,7 +108,7 @@ class CachedTokenizer:
         if len(self.chunks) > CACHE:
             self.chunks.clear()
         out: list = [b""] * len(texts)
-        odd, split, unknown = [], {}, set()
+        odd, held, unknown = [], [], set()
         known = self.chunks.get
         for i, text in enumerate(texts):
             if not text:
@@ -114,16 +118,22 @@ class CachedTokenizer:
                 continue
             parts = text.lower().split()
             ids = list(map(known, parts))
-            if None in ids:
-                unknown.update(c for c, v in zip(parts, ids, strict=True) if v is None)
-                split[i] = parts
+            gaps, k = [], -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                gaps.append(k)
+            if gaps:
+                unknown.update([parts[k] for k in gaps])
+                held.append((i, ids, parts, gaps))
             else:
                 out[i] = b"".join(ids)
         for i, b in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = b
         self.learn(unknown)
-        for i, parts in split.items():
-            out[i] = b"".join(map(self.chunks.__getitem__, parts))
+        for i, ids, parts, gaps in held:
+            for k in gaps:
+                ids[k] = known(parts[k])
+            out[i] = b"".join(ids)
         return out
 
 
