@@ -31,8 +31,8 @@ from .common import only, table
 WINDOW = 4096
 END_ID = 2
 OPEN_LIMIT = 1024
-#: Entries of the caches of words and of blank-separated chunks, after which a cache starts anew.
-CACHE = 700_000
+#: Words and blank-separated chunks whose ids are kept, after which the cache starts anew.
+CACHE = 900_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,7 +68,7 @@ class CachedTokenizer:
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = self.words  # a chunk without punctuation is its word
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,13 +100,11 @@ class CachedTokenizer:
         for at in range(0, len(new), 4096):
             self.words.update(zip(new[at : at + 4096], self.single(new[at : at + 4096]), strict=True))
         word = self.words.__getitem__
-        self.chunks.update((c, word(p[0]) if len(p) == 1 else b"".join(map(word, p))) for c, p in fresh.items())
+        self.chunks.update([(c, b"".join(map(word, p))) for c, p in fresh.items() if len(p) != 1])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > CACHE:
             self.words.clear()
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
         out: list = [b""] * len(texts)
         odd, held, unknown = [], [], set()
         known = self.chunks.get
