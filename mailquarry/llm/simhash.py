@@ -5,8 +5,8 @@ two fingerprints within the radius agree in all but radius of them, so those tha
 blocks meet in a bucket. A bucket with more than LIMIT fingerprints is cut again by the bits that are left,
 up to twice, after which it can hold 256 at most: no cap, no lost link, no quadratic bucket.
 
-near_groups() serves the corpus pipeline, where documents are near-duplicates if about 0.8 of their five-word
-shingles agree: wider sketches meet in bands and are compared by the same kernel.
+near_groups() serves the corpus pipeline, where documents are near-duplicates if the Jaccard similarity of their
+five-word shingles is 0.8 or more: bands of minima find the candidates, and the shingles themselves are compared.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint zero, which links
 like any other; a shorter text than a shingle is one shingle. Repeated rows have equal fingerprints and stay
@@ -22,11 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import cut, keep_rows, mark, only, table
+from .common import bounded, cut, keep_rows, mark, only, table
 from .graph import components
 
 SEED = 42
@@ -200,8 +200,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the corpus pipeline's near-duplicates --------------------------------------------------------------
 
-#: Words of a shingle; bands and the bits of each; 64-bit words of the sketch that is compared, and its radius.
-WORDS, BANDS, BAND_BITS, SKETCH, RADIUS = 5, 40, 16, 4, 48
+#: Words of a shingle; bands of a document and the minima of each. A pair at 0.8 shares no band once in 1,500 times.
+WORDS, BANDS, ROWS = 5, 40, 8
+
+#: Documents and shingles of a group's block; larger groups are compared block by block.
+BLOCK, BLOCK_SHINGLES = 1 << 12, 1 << 20
+
+#: Multipliers (odd) and offsets of the families of hashes whose minima are taken.
+_TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.array([1, 0], np.uint64).reshape(2, 1, 1)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -213,48 +219,158 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def sketch(text: str | None) -> np.ndarray:
-    """The wide SimHash of the distinct five-word shingles, as 64-bit words."""
-    h = shingle_hashes(text, WORDS, distinct=True)
-    return np.array([majority(_mixed(h, k)) if len(h) else 0 for k in range(BANDS * BAND_BITS // 64)], np.uint64)
+def shingles(text: str | None) -> np.ndarray:
+    """The hashes of the distinct five-word shingles, in order."""
+    return np.unique(shingle_hashes(text, WORDS, distinct=True))
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The smallest value of every family over the hashes."""
+    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(out, (h[at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=out)
+    return out
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """(n, BANDS) keys of (n, BANDS * ROWS) minima; documents share a band's key if they share all its minima."""
+    parts = signatures.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
+    for j in range(ROWS):
+        key = _mixed(key ^ parts[:, :, j], j + 1)
+    return key
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sets = list(map(shingles, b.column(1).to_pylist()))
+        keys = band_keys(np.array([minima(h) for h in sets])).view(np.int64)
+        digests = [xxhash.xxh3_128_digest(h.astype("<u8").tobytes(), SEED) for h in sets]
+        # a document without words has no band: it equals others of its kind and resembles none
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), listed], names=["doc_id", "mark", "digest", "n", "keys"])
+
 
+def link_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs that span the same components as all pairs of sets with a Jaccard similarity of 0.8 or more.
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sets that similar share one of their rarest shingles: in one order of all shingles by frequency, a fifth of each set and one
+    more hold a common one. Those that do are counted in full. The search is breadth first; a set that has been reached isn't met again.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate(([0], np.cumsum(size)))
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    ids = ids[np.lexsort((ids, often[ids], row))]
+    rare = size - (4 * size + 4) // 5 + 1
+    of = np.arange(len(ids)) - start[row] < rare[row]
+    by = np.argsort(ids[of], kind="stable")
+    key, holder = ids[of][by], row[of][by]
+
+    def runs(at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The positions of all runs, one after the other."""
+        return np.repeat(at - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+    alive, flag, found = np.ones(n, bool), np.zeros(len(often), bool), []
+    left = built = n
+    first = np.searchsorted(key, np.arange(len(often) + 1))
+    for seed in range(n):
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        left -= 1
+        queue = [seed]
+        while queue and left:
+            if 2 * left < built:
+                held = alive[holder]
+                key, holder, built = key[held], holder[held], left
+                first = np.searchsorted(key, np.arange(len(often) + 1))
+            q = queue.pop()
+            probe = ids[start[q] : start[q] + rare[q]]
+            hit = np.zeros(n, bool)
+            hit[holder[runs(first[probe], first[probe + 1] - first[probe])]] = True
+            near = np.flatnonzero(hit & alive & (5 * size >= 4 * size[q]) & (5 * size[q] >= 4 * size))
+            if not len(near):
+                continue
+            own = ids[start[q] : start[q + 1]]
+            flag[own] = True
+            common = np.add.reduceat(flag[ids[runs(start[near], size[near])]], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
+            flag[own] = False
+            near = near[9 * common >= 4 * (size[near] + size[q])]
+            alive[near] = False
+            left -= len(near)
+            queue += near.tolist()
+            found += [(int(i), q) for i in near]
+    return found
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        wide = [sketch(t).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(wide, pa.binary())], names=["doc_id", "mark", "wide"])
+        sets = [shingles(t).astype("<u8").tobytes() for t in b.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], names=["root", "node", "blocks", "block", "shingles"])
+
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links documents (root, i, j that name the block pair and sort the input, node, shingles) of each pair of blocks."""
+    at, nodes, sets = None, [], []
+
+    def edges() -> pa.RecordBatch:
+        pairs = link_sets(sets) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], names=["a", "b"])
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        wide = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(b.num_rows, BANDS)
-        node = b.column(0).to_numpy()
-        short = [x[: 8 * SKETCH] for x in b.column(1).to_pylist()]
-        for at in range(0, b.num_rows, 1000):
-            part = wide[at : at + 1000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(part.astype(np.int32).ravel()), pa.array(np.repeat(node[at : at + n], BANDS)),
-                 pa.array([x for x in short[at : at + n] for _ in range(BANDS)], pa.binary())],
-                names=["m", "key", "node", "short"],
-            )
-
-
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+        for root, i, j, node, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != (root, i, j):
+                if len(sets) > 1:
+                    yield edges()
+                at, nodes, sets = (root, i, j), [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(data, "<u8"))
+    if len(sets) > 1:
+        yield edges()
+
+
+def _candidates(kinds: DataFrame) -> DataFrame:
+    """node and root of the groups that shared bands chain together. A band's bucket comes out as a star, so all its rows are linked."""
+    banded = kinds.filter("n > 0").select("node", F.explode("keys").alias("key"))
+    first = F.min("node").over(Window.partitionBy("key"))
+    tied = cut(components(banded.select(F.col("node").alias("a"), first.alias("b")).filter("a <> b")))
+    return tied.union(tied.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _verified(docs: DataFrame, kinds: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """Edges (a, b) that span the components of all pairs with a similarity of 0.8 or more within the groups of candidates.
+
+    A large group is dealt over blocks by a hash; every two blocks meet in a task of their own, so no pair is left out.
+    """
+    grouped = cut(_candidates(kinds).join(kinds.select("node", "n", "first"), "node"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    sizes = grouped.groupBy("root").agg(blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    members = cut(grouped.join(sizes, "root").select("root", "node", "blocks", own, F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark")))
+    read = docs.join(bounded(members, 200_000), docs["doc_id"].eqNullSafe(F.col("own_id")) & (docs["mark"].eqNullSafe(F.col("own_mark"))))
+    sets = read.select("root", "node", "blocks", "block", "text").mapInArrow(_sets, "root long, node long, blocks int, block int, shingles binary")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))).alias("other")
+    dealt = sets.select("root", "block", other, "node", "shingles").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
+    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_similar, "a long, b long")
+
+
+def near_groups(docs: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, mark and kept of every row of docs: of each group of near-duplicates the row with the smallest
-    doc_id stays. Two documents link if they agree in some band of their sketches and their compared bits
-    differ in at most radius places."""
+    doc_id stays. Two documents link if they share a band, or are chained by shared bands, and the Jaccard similarity of
+    their five-word shingles is 0.8 or more."""
     marked = only(docs, "doc_id", "text").select("doc_id", "text", mark(F.col("text")).alias("mark"))
-    rows = cut(marked.mapInArrow(_sketches, "doc_id long, mark long, wide binary").withColumn("row_id", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("row_id")))
-    kinds = cut(rows.groupBy("wide").agg(first.alias("first")).select("wide", "first", F.col("first.row_id").alias("node")))
-    banded = kinds.select("node", "wide").mapInArrow(_banded, "m int, key int, node long, short binary")
-    near = banded.repartition("m", "key").sortWithinPartitions("m", "key")
-    tied = cut(components(near.mapInArrow(_linker(radius), "a long, b long")))
-    rooted = kinds.join(tied, kinds["node"] == tied["node"], "left").select("wide", "first", F.coalesce("root", kinds["node"]).alias("root"))
+    rows = cut(marked.mapInArrow(_signatures, "doc_id long, mark long, digest binary, n long, keys array<long>").withColumn("row_id", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("row_id"), F.col("mark")))
+    kinds = cut(rows.groupBy("digest").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumn("node", F.col("first.row_id")))
+    tied = cut(components(_verified(marked, kinds, block, block_shingles)))
+    rooted = kinds.join(tied, kinds["node"] == tied["node"], "left").select("digest", "first", F.coalesce("root", kinds["node"]).alias("root"))
     chosen = cut(rooted.groupBy("root").agg(F.min("first").alias("best")))
-    named = cut(rooted.join(chosen, "root").select("wide", F.col("best.row_id").alias("keep_row")))
-    return rows.join(named, "wide").select("doc_id", "mark", (F.col("row_id") == F.col("keep_row")).alias("kept"))
+    named = cut(rooted.join(chosen, "root").select("digest", F.col("best.row_id").alias("keep_row")))
+    return rows.join(named, "digest").select("doc_id", "mark", (F.col("row_id") == F.col("keep_row")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

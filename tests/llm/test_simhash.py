@@ -149,3 +149,57 @@ def test_large_buckets_in_parts(least, most):
     for i in order:
         groups.setdefault(forest.root(i), set()).add(bucket[i])
     assert len(groups) == 6 and all(len(g) == 1 for g in groups.values())
+
+
+def _alike(rng, n, share, size=300):
+    """Documents whose shingles, `size` each, agree in the first `share` words and nowhere else."""
+    base = [f"b{k}" for k in range(share)]
+    return [" ".join(base + [f"r{rng.getrandbits(60)}" for _ in range(size - share)]) for _ in range(n)]
+
+
+def _jaccard(a, b):
+    one, two = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_near_stage_leaves_documents_of_one_template(spark):
+    """Every pair of a group has a Jaccard similarity of 0.6, so all stay."""
+    texts = _alike(random.Random(4), 300, 226)
+    assert 0.58 < _jaccard(texts[0], texts[1]) < 0.62
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.stage(spark, docs, "").count() == 300
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(1 << 12, 1 << 20), (7, 1 << 20), (1 << 12, 3000)])
+def test_near_groups_match_brute_force(spark, block, shingles):
+    """Chains of varied copies around the limit, in one block and in many."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(120)]
+        for _ in range(15):
+            texts.append(" ".join(words))
+            for k in rng.sample(range(120), rng.choice([1, 2, 2, 3])):
+                words[k] = f"w{rng.getrandbits(40)}"
+    texts += _alike(rng, 8, 270)
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    forest = bitslice.Forest(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(texts[i], texts[j]) >= 0.8:
+                forest.join(i, j)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_groups(docs, block, shingles).filter("kept").collect()}
+    assert kept == {forest.root(i) for i in range(len(texts))}
+
+
+def test_pairs_at_the_limit_are_hardly_missed():
+    """Of 400 pairs at 0.80 to 0.81 nearly all share a band."""
+    rng = np.random.default_rng(8)
+    shared = 0
+    for _ in range(400):
+        h = rng.integers(0, 1 << 64, 220, np.uint64)
+        a, b = simhash.band_keys(np.array([simhash.minima(h[:200]), simhash.minima(np.concatenate((h[:178], h[200:])))]))
+        shared += bool((a == b).any())
+    assert shared >= 397
