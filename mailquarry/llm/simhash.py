@@ -86,32 +86,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: Rows after which a bucket is linked in parts, to bound memory.
+#: Rows after which a bucket is linked in parts, to bound the bit planes held at a time.
 MOST = 1 << 16
 
 
 def _linker(radius: int, least: int = 8192, most: int = MOST):
     """Links rows (two columns that name the bucket and sort the input, node, fingerprint) within their buckets.
 
-    Whole buckets are linked at once. Of a bucket beyond `most` rows a part is linked at a time, and of each component
-    found the first row goes on to the next part to stand for it. Only fingerprints of the pipeline's bands can
-    come to that; those of link_fingerprints() are cut before.
+    Whole buckets are linked at once. Of a bucket beyond `most` rows a part is linked at a time, within itself and with
+    every earlier part, so every row meets all rows of its bucket.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        left = 0  # rows that the last part of the bucket handed on
+        earlier: list[list[np.ndarray]] = []  # the parts of the bucket that have been linked
 
-        def pairs(bucket: np.ndarray, cols: list[np.ndarray]) -> tuple[pa.RecordBatch | None, np.ndarray]:
-            """Edges, and which rows stand for their components."""
+        def edges(bucket: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             node, prints = cols[2], cols[3]
             found = bitslice.link_buckets(bucket, prints.view(np.uint64).reshape(len(node), -1), radius)
-            first = np.ones(len(node), bool)
-            if not found:
-                return None, first
-            i, r = np.array(found).T
-            first[i] = False
-            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[r])], names=["a", "b"]), first
+            if found:
+                i, r = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[r])], names=["a", "b"])
+
+        def across(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for part in earlier:
+                yield from edges(np.zeros(len(part[0]) + len(cols[0]), int), [np.concatenate(c) for c in zip(part, cols, strict=True)])
+
+        def joined() -> tuple[list[np.ndarray], np.ndarray]:
+            """The held rows and the bucket of each; earlier parts of another bucket go."""
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            if earlier and (cols[0][0], cols[1][0]) != (earlier[0][0][0], earlier[0][1][0]):
+                earlier.clear()
+            return cols, np.concatenate(([0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))))
 
         for b in batches:
             if not b.num_rows:
@@ -120,27 +126,23 @@ def _linker(radius: int, least: int = 8192, most: int = MOST):
             n = sum(len(h[0]) for h in held)
             if n < least:
                 continue
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            bucket = np.concatenate(([0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))))
+            cols, bucket = joined()
             at = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
             if at:
-                edges, _ = pairs(bucket[:at], [c[:at] for c in cols])
-                if edges:
-                    yield edges
-                cols, left = [c[at:] for c in cols], 0
-            if len(cols[0]) >= max(most, 2 * left):
-                edges, first = pairs(np.zeros(len(cols[0]), int), cols)
-                if edges:
-                    yield edges
-                    cols = [c[first] for c in cols]
-                left = len(cols[0])
+                yield from edges(bucket[:at], [c[:at] for c in cols])
+                yield from across([c[: np.searchsorted(bucket, 1)] for c in cols])
+                earlier.clear()
+                cols = [c[at:] for c in cols]
             held = [cols]
+            if len(cols[0]) >= most:
+                yield from edges(np.zeros(len(cols[0]), int), cols)
+                yield from across(cols)
+                earlier.append(cols)
+                held = []
         if held:
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            bucket = np.concatenate(([0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))))
-            edges, _ = pairs(bucket, cols)
-            if edges:
-                yield edges
+            cols, bucket = joined()
+            yield from edges(bucket, cols)
+            yield from across([c[: np.searchsorted(bucket, 1)] for c in cols])
 
     return link
 

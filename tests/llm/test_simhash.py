@@ -203,3 +203,23 @@ def test_pairs_at_the_limit_are_hardly_missed():
         a, b = simhash.band_keys(np.array([simhash.minima(h[:200]), simhash.minima(np.concatenate((h[:178], h[200:])))]))
         shared += bool((a == b).any())
     assert shared >= 397
+
+
+def test_chain_in_parts_stays_whole():
+    """Each row is within the radius of its neighbours only; shuffled, in parts, they still make one component."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    x, prints = rng.getrandbits(256), []
+    for _ in range(400):
+        prints.append(x)
+        for bit in rng.sample(range(256), 40):
+            x ^= 1 << bit
+    order = rng.sample(range(400), 400)
+    batches = [pa.RecordBatch.from_arrays([pa.array([1] * 20, pa.int32()), pa.array([1] * 20, pa.int32()), pa.array(part, pa.int64()), pa.array([prints[i].to_bytes(32, "little") for i in part], pa.binary())],
+                                          names=["m", "key", "node", "short"]) for part in (order[i : i + 20] for i in range(0, 400, 20))]
+    forest = bitslice.Forest(400)
+    for b in simhash._linker(48, 20, 40)(iter(batches)):
+        for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            forest.join(i, j)
+    assert {forest.root(i) for i in range(400)} == {0}
