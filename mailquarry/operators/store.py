@@ -6,7 +6,9 @@ written to a new folder that then takes the old one's place, so a failed run lea
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,22 +16,66 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines share; a temporary folder only for a local session without it."""
+    """spark.checkpoint.dir, which all machines share; where it is unset, a folder in the warehouse, which they share as well."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="mailquarry")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
+_recorded: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder."""
+    """df computed once and kept in the shared folder, so that lost executors cost nothing already done."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _recorded:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _recorded[-1].append(file.get())
+    return out
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to a new folder of the shared one and read again, and that folder.
+
+    For loops: unlike a checkpoint, what is read again has the size of its files, not the product of the estimates of all joins before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if _recorded:
+        _recorded[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Within it, what cut() keeps is needed only until its end and then deleted: the result must be written by then."""
+    _recorded.append([])
+    try:
+        yield
+    finally:
+        for path in _recorded.pop():
+            delete(spark, path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The path as the JVM knows it, and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, system = file_system(spark, path)
+    system.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = file_system(spark, path)
+    return system.exists(place)
 
 
 #: Columns of a message that a new reading replaces only if it has a value.
