@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailquarry.operators.store import cut, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table over all cores. Only a scan with fewer splits than cores, such as one small file, is dealt out anew."""
@@ -17,31 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, as spark.checkpoint.dir names it. Only a local session
-    without that setting gets a temporary folder of its own."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="corpus")
-    if named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named or sc.getCheckpointDir()
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that lost executors cost nothing already done."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df marked for broadcast if it has at most `most` rows, which is counted; larger ones are left to be shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -96,12 +77,30 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return named(rows.withColumn("mark", mark(F.col(text))).dropDuplicates([doc_id, "mark"]))
 
 
+#: Rows of a list of dropped rows that are broadcast; longer lists go through a bitmap of 2 ** BITS bits first.
+DROPPED, BITS = 500_000, 26
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs that gone (doc_id and mark, each pair once) doesn't name, with all their columns."""
+    """The rows of docs that gone (doc_id and mark, each pair once) doesn't name, with all their columns.
+
+    A short list is broadcast. Of a longer one a bitmap of fixed size is broadcast, and only rows whose hash is in it are
+    shuffled with their texts to meet the list; all others stay where they are.
+    """
     rows, doc_id, text, named = positional(docs)
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
     marked = rows.withColumn("mark", mark(F.col(text)))
-    return named(marked.join(gone, F.col(doc_id).eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti"))
+    same = F.col(doc_id).eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
+    if gone.limit(DROPPED + 1).count() <= DROPPED:
+        return named(marked.join(F.broadcast(gone), same, "left_anti"))
+    place = lambda a, b: F.xxhash64(a, b).bitwiseAND((1 << BITS) - 1) + 1
+    bits = gone.select(place("gone_id", "gone_mark").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+    bits = F.broadcast(bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
+    marked = marked.withColumn("p", place(doc_id, "mark")).join(bits, F.bitmap_bucket_number("p") == F.col("bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(bitmap_bit_position(p) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    held = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.bitmap_bit_position("p") % 8)) % 2 == 1, F.lit(False))
+    marked = marked.withColumn("held", held).drop("bits")
+    return named(marked.filter(~F.col("held"))).union(named(marked.filter("held").join(gone, same, "left_anti")))
 
 
 def positional(docs: DataFrame) -> tuple[DataFrame, str, str, Callable[[DataFrame], DataFrame]]:

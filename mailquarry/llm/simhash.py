@@ -6,11 +6,14 @@ blocks meet in a bucket. A bucket with more than LIMIT fingerprints is cut again
 up to twice, after which it can hold 256 at most: no cap, no lost link, no quadratic bucket.
 
 near_groups() serves the corpus pipeline, where documents are near-duplicates if the Jaccard similarity of their
-five-word shingles is 0.8 or more: bands of minima find the candidates, and the shingles themselves are compared.
+five-word shingles is 0.8 or more. Bits of a SimHash at that similarity agree in too few blocks to make keys that hold up
+on large tables, so the keys of its buckets are bands of minima; in a bucket, sketches of BITS bits are compared by the
+same bit-sliced kernel, and what lies within NEAR bits is held against 0.8 on the shingles themselves.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint zero, which links
 like any other; a shorter text than a shingle is one shingle. Repeated rows have equal fingerprints and stay
 in the result. Null doc_ids are ignored when the smallest is sought; a component of only null ids has the id null.
+A very long text is counted in chunks, so beyond the text only its hashes are held. An empty table gives no rows.
 Columns other than doc_id and text are not looked at.
 """
 
@@ -22,12 +25,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailquarry.operators.graph import components
+
 from . import bitslice
 from .common import bounded, cut, keep_rows, mark, only, table
-from .graph import components
 
 SEED = 42
 
@@ -86,20 +90,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: Rows after which a bucket is linked in parts, to bound the bit planes held at a time.
-MOST = 1 << 16
-
-
-def _linker(radius: int, least: int = 8192, most: int = MOST):
-    """Links rows (two columns that name the bucket and sort the input, node, fingerprint) within their buckets.
-
-    Whole buckets are linked at once. Of a bucket beyond `most` rows a part is linked at a time, within itself and with
-    every earlier part, so every row meets all rows of its bucket.
-    """
+def _linker(radius: int, least: int = 8192):
+    """Links rows (two columns that name the bucket and sort the input, node, fingerprint) within their buckets, which are
+    small: as many whole buckets at a time as make `least` rows."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        earlier: list[list[np.ndarray]] = []  # the parts of the bucket that have been linked
 
         def edges(bucket: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             node, prints = cols[2], cols[3]
@@ -108,41 +104,24 @@ def _linker(radius: int, least: int = 8192, most: int = MOST):
                 i, r = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[r])], names=["a", "b"])
 
-        def across(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for part in earlier:
-                yield from edges(np.zeros(len(part[0]) + len(cols[0]), int), [np.concatenate(c) for c in zip(part, cols, strict=True)])
-
         def joined() -> tuple[list[np.ndarray], np.ndarray]:
-            """The held rows and the bucket of each; earlier parts of another bucket go."""
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            if earlier and (cols[0][0], cols[1][0]) != (earlier[0][0][0], earlier[0][1][0]):
-                earlier.clear()
             return cols, np.concatenate(([0], np.cumsum((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))))
 
         for b in batches:
             if not b.num_rows:
                 continue
             held.append([_plain(c) for c in b.columns])
-            n = sum(len(h[0]) for h in held)
-            if n < least:
+            if sum(len(h[0]) for h in held) < least:
                 continue
             cols, bucket = joined()
             at = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
             if at:
                 yield from edges(bucket[:at], [c[:at] for c in cols])
-                yield from across([c[: np.searchsorted(bucket, 1)] for c in cols])
-                earlier.clear()
-                cols = [c[at:] for c in cols]
-            held = [cols]
-            if len(cols[0]) >= most:
-                yield from edges(np.zeros(len(cols[0]), int), cols)
-                yield from across(cols)
-                earlier.append(cols)
-                held = []
+            held = [[c[at:] for c in cols]]
         if held:
             cols, bucket = joined()
             yield from edges(bucket, cols)
-            yield from across([c[: np.searchsorted(bucket, 1)] for c in cols])
 
     return link
 
@@ -205,6 +184,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a shingle; bands of a document and the minima of each. A pair at 0.8 shares no band once in 1,500 times.
 WORDS, BANDS, ROWS = 5, 40, 8
 
+#: Bits of a sketch and the radius of its comparison. Pairs at 0.8 differ in 77 +- 8 bits (simulated), at 0.6 in 117 +- 10.
+BITS, NEAR = 512, 104
+
+#: Shingles below which a set is too small for a sketch: such a set goes from its buckets to the exact comparison at once.
+FEW = 32
+
 #: Documents and shingles of a group's block; larger groups are compared block by block.
 BLOCK, BLOCK_SHINGLES = 1 << 12, 1 << 20
 
@@ -234,6 +219,11 @@ def minima(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """SimHash of BITS bits of a set of shingle hashes: a bit is 1 if set in over half of them."""
+    return b"".join(majority(_mixed(h, k)).to_bytes(8, "little") for k in range(1, BITS // 64 + 1))
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """(n, BANDS) keys of (n, BANDS * ROWS) minima; documents share a band's key if they share all its minima."""
     parts = signatures.reshape(-1, BANDS, ROWS)
@@ -252,14 +242,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = [xxhash.xxh3_128_digest(h.astype("<u8").tobytes(), SEED) for h in sets]
         # a document without words has no band: it equals others of its kind and resembles none
         listed = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), listed], names=["doc_id", "mark", "digest", "n", "keys"])
+        arrays = [b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), listed, pa.array(map(sketch, sets), pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "digest", "n", "keys", "sketch"])
 
 
-def link_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs that span the same components as all pairs of sets with a Jaccard similarity of 0.8 or more.
+def link_sets(sets: list[np.ndarray], labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs that span, together with equal labels, the same components as all pairs of sets with a Jaccard similarity of 0.8 or more.
 
     Sets that similar share one of their rarest shingles: in one order of all shingles by frequency, a fifth of each set and one
-    more hold a common one. Those that do are counted in full. The search is breadth first; a set that has been reached isn't met again.
+    more hold a common one. Those that do are counted in full. The search is breadth first; a set that has been reached isn't met
+    again, and sets of one label are reached together.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -271,6 +263,10 @@ def link_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     of = np.arange(len(ids)) - start[row] < rare[row]
     by = np.argsort(ids[of], kind="stable")
     key, holder = ids[of][by], row[of][by]
+    kin: dict[int, list[int]] = {}
+    for i, name in enumerate(range(n) if labels is None else labels):
+        kin.setdefault(name, []).append(i)
+    own_kin = [kin[name] for name in (range(n) if labels is None else labels)]
 
     def runs(at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The positions of all runs, one after the other."""
@@ -282,9 +278,9 @@ def link_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     for seed in range(n):
         if not alive[seed]:
             continue
-        alive[seed] = False
-        left -= 1
-        queue = [seed]
+        queue = list(own_kin[seed])
+        alive[queue] = False
+        left -= len(queue)
         while queue and left:
             if 2 * left < built:
                 held = alive[holder]
@@ -301,11 +297,12 @@ def link_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             flag[own] = True
             common = np.add.reduceat(flag[ids[runs(start[near], size[near])]], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
             flag[own] = False
-            near = near[9 * common >= 4 * (size[near] + size[q])]
-            alive[near] = False
-            left -= len(near)
-            queue += near.tolist()
-            found += [(int(i), q) for i in near]
+            for i in near[9 * common >= 4 * (size[near] + size[q])].tolist():
+                found.append((i, q))
+                if alive[i]:
+                    alive[own_kin[i]] = False
+                    left -= len(own_kin[i])
+                    queue += own_kin[i]
     return found
 
 
@@ -316,63 +313,121 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links documents (root, i, j that name the block pair and sort the input, node, shingles) of each pair of blocks."""
-    at, nodes, sets = None, [], []
+    """Links documents (root, i, j that name what is compared and sort the input, node, label, shingles)."""
+    at, nodes, labels, sets = None, [], [], []
 
     def edges() -> pa.RecordBatch:
-        pairs = link_sets(sets) if len(sets) > 1 else []
+        pairs = link_sets(sets, labels) if len(set(labels)) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], names=["a", "b"])
 
     for b in batches:
-        for root, i, j, node, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for root, i, j, node, label, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if at != (root, i, j):
                 if len(sets) > 1:
                     yield edges()
-                at, nodes, sets = (root, i, j), [], []
+                at, nodes, labels, sets = (root, i, j), [], [], []
             nodes.append(node)
+            labels.append(label)
             sets.append(np.frombuffer(data, "<u8"))
     if len(sets) > 1:
         yield edges()
 
 
-def _candidates(kinds: DataFrame) -> DataFrame:
-    """node and root of the groups that shared bands chain together. A band's bucket comes out as a star, so all its rows are linked."""
-    banded = kinds.filter("n > 0").select("node", F.explode("keys").alias("key"))
-    first = F.min("node").over(Window.partitionBy("key"))
-    tied = cut(components(banded.select(F.col("node").alias("a"), first.alias("b")).filter("a <> b")))
+def _compared(dealt: DataFrame) -> DataFrame:
+    """Edges among rows (root, i, j, node, label, shingles), within each root, i and j."""
+    return cut(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_similar, "a long, b long"))
+
+
+def _candidates(kinds: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """node and root of the groups of sets that may be similar: chains of sets in a bucket whose sketches are within the radius.
+
+    Of buckets with the same members one is looked at. A bucket with more than `limit` sets, and sets too small for a
+    sketch, go into one group each bucket without a comparison of sketches; what is compared exactly later only grows.
+    """
+    banded = kinds.filter("n > 0").select("node", "n", F.explode("keys").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("size > 1")
+    sizes = cut(sizes.groupBy("size", "low", "members").agg(F.min("key").alias("key")))
+    rows = cut(banded.join(sizes.select("key", "size", "low"), "key"))
+    chained = rows.filter((F.col("size") > limit) | (F.col("n") < FEW * 5 // 4)).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    small = rows.filter((F.col("size") <= limit) & (F.col("n") >= FEW)).select("node", F.lit(0).alias("m"), "key")
+    near = small.join(kinds.select("node", "sketch"), "node").select("m", "key", "node", "sketch").repartition("m", "key").sortWithinPartitions("m", "key")
+    edges = chained.union(near.mapInArrow(_linker(NEAR), "a long, b long")).filter("a <> b")
+    tied = cut(components(edges))
     return tied.union(tied.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with the component that edges put each node in, as `label`."""
+    own = edges.join(members.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
+    tied = components(own).select(F.col("node").alias("tied"), F.col("root").alias("own"))
+    return members.join(tied, members["node"] == F.col("tied"), "left").withColumn("label", F.coalesce("own", "node")).drop("tied", "own")
+
+
+def _blocks(block: int, block_shingles: int) -> Column:
+    """The number of blocks of an aggregated group with the columns n (shingles of a set)."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+
+
 def _verified(docs: DataFrame, kinds: DataFrame, block: int, block_shingles: int) -> DataFrame:
     """Edges (a, b) that span the components of all pairs with a similarity of 0.8 or more within the groups of candidates.
 
-    A large group is dealt over blocks by a hash; every two blocks meet in a task of their own, so no pair is left out.
+    A group is dealt over blocks of bounded size by a hash. Blocks are linked by themselves, then one set of each component found
+    so far meets those of the other blocks. Only groups that still have several components go on: the sets of a group's largest
+    component meet all others of the group, and these each other, block by block, so no pair is left out. That remainder grows with
+    the square of the blocks of sets outside the largest component.
     """
     grouped = cut(_candidates(kinds).join(kinds.select("node", "n", "first"), "node"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
-    sizes = grouped.groupBy("root").agg(blocks.alias("blocks"))
+    sizes = grouped.groupBy("root").agg(_blocks(block, block_shingles).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     members = cut(grouped.join(sizes, "root").select("root", "node", "blocks", own, F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark")))
     read = docs.join(bounded(members, 200_000), docs["doc_id"].eqNullSafe(F.col("own_id")) & (docs["mark"].eqNullSafe(F.col("own_mark"))))
     sets = read.select("root", "node", "blocks", "block", "text").mapInArrow(_sets, "root long, node long, blocks int, block int, shingles binary")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))).alias("other")
-    dealt = sets.select("root", "block", other, "node", "shingles").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_similar, "a long, b long")
+    sets = sets.withColumn("i", F.col("block")).withColumn("j", F.col("block")).withColumn("label", F.col("node"))
+    order = ("root", "i", "j", "node", "label", "shingles")
+    if members.filter("blocks > 1").isEmpty():
+        return _compared(sets.select(*order))
+    sets = cut(sets)
+    edges = _compared(sets.select(*order))
+    large = cut(sets.filter("blocks > 1").withColumn("n", F.length("shingles") / 8))
+    # one set of each component of each block
+    heads = cut(_labelled(large, edges)).filter("label = node")
+    sizes = heads.groupBy("root").agg(_blocks(block, block_shingles).alias("parts"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    edges = edges.union(_compared(heads.join(sizes, "root").withColumn("i", own).withColumn("j", own).select(*order)))
+    # groups in several components: blocks of the largest come first, then those of all others
+    named = cut(_labelled(large.drop("label"), edges))
+    counts = cut(named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")))
+    best = counts.groupBy("root").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    inside = F.col("label") == F.col("top.label")
+    open_ = cut(counts.join(best, "root").groupBy("root").agg(
+        F.first("top.label").alias("main"),
+        *(F.greatest(F.ceil(F.sum(F.when(side, F.col("c"))) / block), F.ceil(F.sum(F.when(side, F.col("s"))) / block_shingles)).cast("int").alias(name) for side, name in ((inside, "p"), (~inside, "q")))))
+    if open_.isEmpty():
+        return edges
+    rest = named.drop("block", "i", "j").join(open_, "root")
+    place = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node", F.lit(2)), F.col("q"))).cast("int")
+    rest = rest.withColumn("block", place)
+    span = F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)
+    other = F.explode(F.filter(span, lambda o: (o != F.col("block")) & ((o >= F.col("p")) | (F.col("block") >= F.col("p"))))).alias("other")
+    rest = rest.select("root", "block", other, "node", "label", "shingles")
+    return edges.union(_compared(rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*order)))
 
 
 def near_groups(docs: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, mark and kept of every row of docs: of each group of near-duplicates the row with the smallest
-    doc_id stays. Two documents link if they share a band, or are chained by shared bands, and the Jaccard similarity of
+    doc_id stays. Two documents link if they share a band, or are chained by such links, and the Jaccard similarity of
     their five-word shingles is 0.8 or more."""
     marked = only(docs, "doc_id", "text").select("doc_id", "text", mark(F.col("text")).alias("mark"))
-    rows = cut(marked.mapInArrow(_signatures, "doc_id long, mark long, digest binary, n long, keys array<long>").withColumn("row_id", F.monotonically_increasing_id()))
+    schema = "doc_id long, mark long, digest binary, n long, keys array<long>, sketch binary"
+    rows = cut(marked.mapInArrow(_signatures, schema).withColumn("row_id", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("row_id"), F.col("mark")))
-    kinds = cut(rows.groupBy("digest").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumn("node", F.col("first.row_id")))
+    kinds = rows.groupBy("digest").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    kinds = cut(kinds.withColumn("node", F.col("first.row_id")))
     tied = cut(components(_verified(marked, kinds, block, block_shingles)))
     rooted = kinds.join(tied, kinds["node"] == tied["node"], "left").select("digest", "first", F.coalesce("root", kinds["node"]).alias("root"))
     chosen = cut(rooted.groupBy("root").agg(F.min("first").alias("best")))
     named = cut(rooted.join(chosen, "root").select("digest", F.col("best.row_id").alias("keep_row")))
-    return rows.join(named, "digest").select("doc_id", "mark", (F.col("row_id") == F.col("keep_row")).alias("kept"))
+    return rows.select("doc_id", "mark", "row_id", "digest").join(named, "digest").select("doc_id", "mark", (F.col("row_id") == F.col("keep_row")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,9 +122,9 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert kept == {g[0] for g in groups} | set(range(36, 76))
 
 
-@pytest.mark.parametrize(("least", "most"), [(8192, 1 << 16), (10, 40), (1, 1)])
-def test_large_buckets_in_parts(least, most):
-    """Two dense groups in one bucket, and small buckets around it, whatever the parts."""
+@pytest.mark.parametrize("least", [8192, 10, 1])
+def test_buckets_in_batches(least):
+    """Two dense groups in one bucket, and small buckets around it, however the rows come in."""
     import pyarrow as pa
 
     rng = random.Random(2)
@@ -142,7 +142,7 @@ def test_large_buckets_in_parts(least, most):
     batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.binary())],
                                           names=["m", "key", "node", "short"]) for part in (rows[i : i + 7] for i in range(0, len(rows), 7))]
     forest = bitslice.Forest(len(prints))
-    for b in simhash._linker(48, least, most)(iter(batches)):
+    for b in simhash._linker(48, least)(iter(batches)):
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             forest.join(x, y)
     groups = {}
@@ -205,21 +205,79 @@ def test_pairs_at_the_limit_are_hardly_missed():
     assert shared >= 397
 
 
-def test_chain_in_parts_stays_whole():
-    """Each row is within the radius of its neighbours only; shuffled, in parts, they still make one component."""
-    import pyarrow as pa
-
-    rng = random.Random(11)
-    x, prints = rng.getrandbits(256), []
-    for _ in range(400):
+def test_sparse_bucket_with_a_group_at_its_end():
+    """Rows that link with nothing come first, so the search gives way to shifts; both find what brute force finds."""
+    rng = random.Random(12)
+    prints = [rng.getrandbits(128) for _ in range(90)]
+    x = rng.getrandbits(128)
+    for _ in range(30):
         prints.append(x)
-        for bit in rng.sample(range(256), 40):
+        for bit in rng.sample(range(128), 7):
             x ^= 1 << bit
-    order = rng.sample(range(400), 400)
-    batches = [pa.RecordBatch.from_arrays([pa.array([1] * 20, pa.int32()), pa.array([1] * 20, pa.int32()), pa.array(part, pa.int64()), pa.array([prints[i].to_bytes(32, "little") for i in part], pa.binary())],
-                                          names=["m", "key", "node", "short"]) for part in (order[i : i + 20] for i in range(0, 400, 20))]
-    forest = bitslice.Forest(400)
-    for b in simhash._linker(48, 20, 40)(iter(batches)):
-        for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+    rows = np.array([[p & (2**64 - 1), p >> 64] for p in prints], np.uint64)
+    forest, want = bitslice.Forest(len(prints)), bitslice.Forest(len(prints))
+    for i, j in bitslice.link_buckets(np.zeros(len(prints), int), rows, 8):
+        forest.join(i, j)
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= 8:
+                want.join(i, j)
+    assert [forest.root(i) for i in range(len(prints))] == [want.root(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("n", [32, 60, 300])
+def test_sketches_of_similar_sets_are_within_the_radius(n):
+    """Of 200 pairs at 0.80, equal in size and one inside the other, nearly all; of pairs at 0.5 nearly none."""
+    rng = np.random.default_rng(n)
+
+    def near(a, b):
+        return (int.from_bytes(simhash.sketch(a), "little") ^ int.from_bytes(simhash.sketch(b), "little")).bit_count() <= simhash.NEAR
+
+    hit = far = 0
+    for k in range(200):
+        h = rng.integers(0, 1 << 64, 2 * n, np.uint64)
+        both = -(-8 * n // 9) if k % 2 else -(-8 * n // 10)
+        other = np.concatenate((h[:both], h[n : 2 * n - both])) if k % 2 else h[:both]
+        hit += near(h[:n], other)
+        far += near(h[:n], np.concatenate((h[: 2 * n // 3], h[n : n + n // 3])))
+    assert hit >= 198 and far <= 6
+
+
+def test_labels_count_as_links():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 64, 400, np.uint64)
+    sets = [np.unique(x) for x in (h[:100], h[200:300], h[:99], h[300:], h[201:300])]
+    for labels in (None, [0, 0, 1, 2, 3], [0, 1, 0, 3, 1], [0, 1, 2, 3, 0]):
+        forest = bitslice.Forest(5)
+        for i, j in simhash.link_sets(sets, labels):
             forest.join(i, j)
-    assert {forest.root(i) for i in range(400)} == {0}
+        for i in range(5):
+            for j in range(i):
+                if labels and labels[i] == labels[j]:
+                    forest.join(i, j)
+        joined = labels in ([0, 0, 1, 2, 3], [0, 1, 2, 3, 0])
+        assert [forest.root(i) for i in range(5)] == ([0, 0, 0, 3, 0] if joined else [0, 1, 0, 3, 1])
+
+
+def test_recall_of_copies_at_the_limit(spark):
+    """Pairs whose five-word shingles are just above 0.8, through the whole stage: at least 0.98 are found, and none below is."""
+    rng = random.Random(13)
+    rows, sure, apart = [], [], []
+    for k in range(300):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(rng.choice([60, 150, 400]))]
+        copy = list(words)
+        at = rng.sample(range(5, len(words) - 5), len(words) // 2)
+        while True:  # edit until one more edit would fall below the limit
+            next_ = list(copy)
+            next_[at.pop()] = f"x{rng.getrandbits(40)}"
+            if _jaccard(" ".join(words), " ".join(next_)) < 0.8:
+                break
+            copy = next_
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(copy))]
+        sure.append(3 * k + 1)
+        far = [w if i % 9 else f"y{rng.getrandbits(40)}" for i, w in enumerate(words)]
+        rows.append((3 * k + 2, " ".join(far)))
+        apart.append(3 * k + 2)
+    kept = {r.doc_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).filter("kept").collect()}
+    assert sum(i not in kept for i in sure) >= 0.98 * len(sure)
+    assert kept >= set(apart) and kept >= {3 * k for k in range(300)}
