@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailquarry.llm import decontam, exact_dedup, langid, packing, simhash
-from mailquarry.llm.common import new_path, table
+from mailquarry.llm.common import new_path, shared_dir, table
+from mailquarry.operators.store import delete, exists, passing
 
 STAGES = [
     ("language_id", langid.stage),
@@ -20,18 +21,26 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: SQL has no centroids, SimHash, alignment or tokenizer; tests hold the stages against brute force.
+#: SQL has no centroids, sketches, alignment or tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that the stages keep, as packing.pack() gives them."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str, job: str | None = None) -> DataFrame:
+    """The pieces of all documents that the stages keep, as packing.pack() gives them.
+
+    A stage's rows and what it kept on the way are deleted once its successor is written. With a name for the job, a run that
+    was broken off goes on after the last stage that was written whole.
+    """
+    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{job}" if job else new_path(spark, "pipeline")
+    places = [f"{base}/{name}" for name, _ in STAGES[:-1]]
+    done = max((k for k, place in enumerate(places) if exists(spark, f"{place}/_SUCCESS")), default=-1)
+    for k in range(done + 1, len(places)):
+        docs = spark.read.parquet(places[k - 1]) if k else table(spark, sf_dir, "documents")
+        with passing(spark):
+            STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(places[k])
+        if k:
+            delete(spark, places[k - 1])
+    return STAGES[-1][1](spark, spark.read.parquet(places[-1]), sf_dir)
 
 
 QUERIES = {"pipeline": run}
