@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,26 @@ def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded_bytes(df: DataFrame, column: str, most: int = 64 << 20) -> DataFrame:
+    """df marked for broadcast if all texts of a column, and 64 bytes a row, come to at most `most` bytes, which is summed."""
+    size = df.agg(F.sum(F.octet_length(column).cast("long") + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `size` bytes of a text column, so that what a worker
+    holds as objects at a time doesn't grow with the length of texts. A longer text is a slice by itself."""
+    for b in batches:
+        if b.num_rows < 2:
+            yield b
+            continue
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.maximum.accumulate(np.cumsum(lengths) // size * (b.num_rows // rows + 1) + np.arange(b.num_rows) // rows)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            yield b.slice(a, z - a)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, by exact name; tables may have others whose names differ only in case."""
     return df.select(*(df[f"`{n}`"] for n in names)) if not _clash(df, names) else df.toDF(*_unique(df, names)).select(*names)

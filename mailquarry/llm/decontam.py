@@ -6,13 +6,15 @@ however common the item is in the corpus. Passages around seeds meet their items
 and Smith-Waterman alignment of the words scores each pair.
 
 The executors test n-grams against a bitmap of fixed size, whatever the size of the benchmark; only n-grams
-that pass reach the shuffle. Counts are summed in each batch first. Seeds and items are broadcast within
-BROADCAST_ROWS rows, beyond that they are shuffled.
+that pass reach the shuffle. Counts are summed in each batch first. Seeds are broadcast within BROADCAST_ROWS rows, items
+within 64 MB; beyond that they are shuffled.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, lower-cased. Defined results:
-null and empty texts and items match nothing; items with fewer words than an n-gram are never matched; repeated
-items are items of their own; repeated rows and null doc_ids are searched like any other row; an empty
-benchmark or corpus gives no pairs. Columns other than doc_id, text and item_id are not looked at.
+null and empty texts and items match nothing; items with fewer words than an n-gram are never matched, as a word or two
+prove nothing (too_short() lists them); items with the same words are one, which has the smallest item_id of them and
+their number (same_items() lists them all); repeated rows and null doc_ids are searched like any other row; an empty
+benchmark or corpus gives no pairs. A very long text is hashed in parts that are cut between words, a word longer than
+such a part by itself. Columns other than doc_id, text and item_id are not looked at.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, mark, only, table, without
+from .common import bounded, bounded_bytes, cut, mark, only, table, without
+from .common import parts as batched
 
 NGRAM, WINDOW = 3, 2
 #: Alignment scores, and the share of an item's own score from which a passage is a copy of it.
@@ -76,7 +80,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(coded: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Runs of texts of at most BLOCK bytes; a longer text comes alone in parts cut between words."""
+    """Runs of texts of at most BLOCK bytes; a longer text comes alone in parts cut between words, of which a longer one is a single word."""
     own, size = [], 0
     for i, c in enumerate(coded):
         if own and size + len(c) + 1 > BLOCK:
@@ -87,8 +91,8 @@ def _blocks(coded: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
             while at < len(c):
                 end = min(len(c), at + BLOCK)
                 if end < len(c):
-                    gap = max(c.rfind(b" ", at, end), c.rfind(b"\n", at, end))
-                    end = gap if gap > at else end
+                    gaps = np.flatnonzero(~_IS_WORD[np.frombuffer(c, np.uint8, end - at, at)])
+                    end = at + int(gaps[-1]) + 1 if len(gaps) else _WORD.match(c, at).end()
                 parts.append(c[at:end])
                 at = end
             yield [i], parts
@@ -104,7 +108,7 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
     coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     for own, parts in _blocks(coded):
         if len(own) == 1:
-            hashes = np.concatenate([word_hashes(p)[0] for p in parts])
+            hashes = np.concatenate([word_hashes(p)[0] if len(p) <= BLOCK else np.array([xxhash.xxh64_intdigest(p)], np.uint64) for p in parts])
             first = np.array([0, len(hashes)])
         else:
             hashes, starts = word_hashes(parts[0])
@@ -163,9 +167,27 @@ def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item", "pos", "gram"])
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = list(map(words, b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" ".join(w) for w in own], pa.binary()), pa.array(map(len, own), pa.int64())], names=["item_id", "text", "n"])
+
+
+def same_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text (the words, with a blank between), n (their number) and same_id, the smallest item_id with these words, of every item."""
+    own = only(benchmark, "item_id", "text").mapInArrow(_item_words, "item_id long, text binary, n long")
+    least = own.groupBy("text").agg(F.min("item_id").alias("same_id"))
+    return own.join(least, "text").select("item_id", "text", "n", "same_id")
+
+
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """The item_id of the items that are never matched, as they have fewer words than an n-gram."""
+    return same_items(benchmark).filter(F.col("n") < NGRAM).select("item_id")
+
+
 def _counting(bitmap):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batched(batches, 0):
             df: Counter = Counter()
             for _, _, g in grams(b.column(0).to_pylist()):
                 hit = g[bitmap.value.has(g)]
@@ -178,7 +200,7 @@ def _counting(bitmap):
 
 def _passages(bitmap, longest: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batched(batches):
             rows = []
             ids, texts, marks = (b.column(k).to_pylist() for k in range(3))
             for j, _, g in grams(texts):
@@ -224,11 +246,11 @@ def align(item: list[bytes], passage: list[bytes]) -> tuple[int, int, int]:
 
 
 def _scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in batched(batches, 4):
         doc, own, item, first, passage, text = (b.column(k).to_pylist() for k in range(6))
         score, start, end = [], [], []
         for f, p, t in zip(first, passage, text, strict=True):
-            mine = words(t)
+            mine = t.split(b" ")
             s, a, z = align(mine, p.split(b" "))
             score.append(s / (MATCH * len(mine)))
             start.append(f + a)
@@ -238,13 +260,14 @@ def _scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, mark, item_id, score (1: the whole item, word for word), start_word and end_word of the best
-    passage, for every pair of a document and a test item that scores at least `least`."""
+    """doc_id, mark, item_id, n_items (items with the same words), score (1: the whole item, word for word), start_word and
+    end_word of the best passage, for every pair of a document and a test item that scores at least `least`. Of items with the same
+    words the smallest item_id stands for all."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    given = only(benchmark, "item_id", "text").withColumn("item", F.monotonically_increasing_id())
-    items = cut(given.filter(F.col("text").isNotNull()))
-    pieces = cut(items.select("item", "text").mapInArrow(_item_grams, "item long, pos long, gram long"))
+    given = same_items(benchmark).filter(F.col("n") >= NGRAM).groupBy("text").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
+    items = cut(given.withColumn("item", F.monotonically_increasing_id()))
+    pieces = cut(items.select("item", F.col("text").cast("string").alias("text")).mapInArrow(_item_grams, "item long, pos long, gram long"))
     rows = only(docs, "doc_id", "text")
     counts = rows.select("text").mapInArrow(_counting(sc.broadcast(bitmap_of(pieces))), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
     run = W.partitionBy("item").orderBy("pos").rowsBetween(0, WINDOW - 1)
@@ -252,7 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     seeds = cut(rated.select("item", F.min("rate").over(run)["gram"].alias("gram")).distinct())
     # an item's gram count, and two more words, bounds its length
     longest = (pieces.agg(F.max("pos")).first()[0] or 0) + NGRAM
-    own_seeds, own_items = bounded(seeds, BROADCAST_ROWS), bounded(items, BROADCAST_ROWS // 10)
+    own_seeds, own_items = bounded(seeds, BROADCAST_ROWS), bounded_bytes(items, "text")
     marked = rows.select("doc_id", "text", mark(F.col("text")).alias("mark"))
     found = marked.mapInArrow(_passages(sc.broadcast(bitmap_of(seeds)), longest), "doc_id long, mark long, first long, seeds array<long>, passage binary")
     found = cut(found.withColumn("at", F.monotonically_increasing_id()))
@@ -260,13 +283,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     pairs = met.join(found, "at").join(own_items, "item").select("doc_id", "mark", "item", "first", "passage", "text")
     scored = pairs.mapInArrow(_scoring, "doc_id long, mark long, item long, score double, start_word long, end_word long").filter(F.col("score") >= least)
     best = scored.groupBy("doc_id", "mark", "item").agg(F.max(F.struct("score", -F.col("start_word"), "end_word")).alias("b"))
-    best = best.join(own_items.select("item", "item_id"), "item")
-    return best.select("doc_id", "mark", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), F.col("b.end_word").alias("end_word"))
+    best = best.join(own_items.select("item", "item_id", "n_items"), "item")
+    return best.select("doc_id", "mark", "item_id", "n_items", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), F.col("b.end_word").alias("end_word"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start_word", "end_word")
+    return out.select("doc_id", "item_id", "n_items", F.round("score", 6).alias("score"), "start_word", "end_word")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

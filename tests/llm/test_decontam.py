@@ -85,3 +85,45 @@ def test_stage_and_odd_rows(spark, corpus, tmp_path):
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([d for d, _ in docs if d not in {x for x, _ in want}] + [500, 501, 502, 502], key=str)
     assert D.contaminated(frame.limit(0), bench).count() == 0
     assert D.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_texts_without_blanks_are_cut_between_words(monkeypatch):
+    comma = ",".join(f"w{i}" for i in range(2000))
+    want = next(iter(D.grams([comma])))[2]
+    giant = "a b " + "z" * 1200 + ",c d e"
+    whole = next(iter(D.grams(["a b y,c d e"])))[2]
+    monkeypatch.setattr(D, "BLOCK", 300)
+    assert np.array_equal(next(iter(D.grams([comma])))[2], want)
+    got = next(iter(D.grams([giant])))[2]
+    assert len(got) == len(whole) and got[-1] == whole[-1]
+
+
+def test_equal_and_short_items(spark):
+    items = [(5, "One two three four five six"), (3, "one, two three FOUR five six"), (9, "seven eight"), (8, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "seven eight")], "doc_id long, text string")
+    got = D.contaminated(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.n_items, r.score) for r in got] == [(1, 3, 2, 1.0)]
+    assert {(r.item_id, r.same_id) for r in D.same_items(bench).collect()} == {(5, 3), (3, 3), (9, 9), (8, 8)}
+    assert {r.item_id for r in D.too_short(bench).collect()} == {9, 8}
+
+
+def test_recall_of_edited_copies(spark):
+    """Shares of copies found with 10, 20 and 30 % of the words replaced; the README has the figures."""
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(20, 60)))) for i in range(150)]
+    docs, made = [], {}
+    for share in (0.1, 0.2, 0.3):
+        for i, text in items:
+            copy = text.split()
+            for k in rng.sample(range(len(copy)), round(share * len(copy))):
+                copy[k] = rng.choice(vocab)
+            made[len(docs)] = (share, i)
+            docs.append((len(docs), " ".join(rng.choices(vocab, k=80) + copy + rng.choices(vocab, k=80))))
+    docs += [(1000 + k, " ".join(rng.choices(vocab, k=200))) for k in range(150)]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = {share: sum((d, i) in got for d, (s, i) in made.items() if s == share) / len(items) for share in (0.1, 0.2, 0.3)}
+    print("recall of edited copies", found)
+    assert found[0.1] >= 0.99 and found[0.2] >= 0.95 and found[0.3] >= 0.7
+    assert got == {(d, made[d][1]) for d, _ in got}  # no other pair
