@@ -5,22 +5,30 @@ their checksum, addresses and dates by their ranges. A validated value is permut
 within its own format, so it stays valid, differs from other values' pseudonyms, and the same value has the same
 pseudonym in every document, however it is punctuated. The permutation can be undone with the key.
 
+What stays of a value: the issuer's class of a card, the country of an IBAN or a telephone number, the last label of a
+mail domain, case and punctuation, and of a date whether day and month have one digit and whether the day is above 12, so
+that every way to write it has the width it had and is read in the same order. Mail addresses count as equal whatever
+their case, dates whatever their order and padding, telephone numbers of the form 415-555-0100 as those of country 1.
+
 Nothing is shared between rows, so there is no shuffle. Defined results: a null text stays null, an empty one
 empty; text outside the spans is untouched; candidates that fail validation stay as they are. Repeated rows and
-null ids are treated like any other row. Overlaps go to the kind that is listed first, then to the leftmost.
+null ids are treated like any other row. Overlaps go to the kind that is listed first, then to the leftmost. A very long
+text takes time in proportion to its length and its values. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, table
+from .common import only, parts, table
 
 #: The key of the registered query. Real runs pass their own.
 DEMO_KEY = b"demonstration key, not a secret"
@@ -132,9 +140,17 @@ def ssn(f: Feistel, s: str, back: bool = False) -> str | None:
             return refill(s, n)
 
 
+def _cased(shape: str, new: str) -> str:
+    return "".join(c.upper() if o.isupper() else c for o, c in zip(shape, new, strict=True))
+
+
 def email(f: Feistel, s: str, back: bool = False) -> str | None:
-    local, _, domain = s.rpartition("@")
-    return f"{by_class(f, local, 'mail', back)}@{domain}" if local else None
+    local, _, domain = s.lower().rpartition("@")
+    if not local:
+        return None
+    labels = domain.split(".")
+    hosts = [by_class(f, x, "host", back) for x in labels[:-1]]
+    return _cased(s, f"{by_class(f, local, 'mail', back)}@{'.'.join([*hosts, labels[-1]])}")
 
 
 def ipv4(f: Feistel, s: str, back: bool = False) -> str | None:
@@ -148,36 +164,53 @@ def ipv4(f: Feistel, s: str, back: bool = False) -> str | None:
     return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
 
 
+#: The country calling codes of one and of two digits; all others have three.
+CALLING_1 = ("1", "7")
+CALLING_2 = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+             "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+
+
 def phone(f: Feistel, s: str, back: bool = False) -> str | None:
     n = re.sub(r"\D", "", s)
     if not 8 <= len(n) <= 15:
         return None
-    keep = 0
-    if s[0] == "+":  # the country code, as far as its punctuation shows it, else two digits
-        keep = min(len(re.match(r"\+(\d+)", s).group(1)), 3) if re.match(r"\+\d{1,3}\D", s) else 2
-    return refill(s, n[:keep] + f.string(n[keep:], DIGITS, "phone" + n[:keep], back))
+    if s[0] == "+":
+        keep = 1 if n[:1] in CALLING_1 else 2 if n[:2] in CALLING_2 else 3
+        country = n[:keep]
+    else:
+        keep, country = 0, "1" if len(n) == 10 else ""
+    return refill(s, n[:keep] + f.string(n[keep:], DIGITS, "phone" + country, back))
 
 
 FIRST, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
+def _class_of(d: date) -> tuple[int, bool]:
+    """What of a date stays: whether the day has one digit, can be a month or neither, and whether the month has one digit."""
+    return (d.day > 9) + (d.day > 12), d.month > 9
+
+
+@cache
+def _days(kind: tuple[int, bool]) -> list[int]:
+    """The days since FIRST of a class, in order."""
+    return [k for k in range(DAYS) if _class_of(FIRST + timedelta(days=k)) == kind]
+
+
 def day(f: Feistel, s: str, back: bool = False) -> str | None:
     a, mark, b, _, c = re.match(r"(\d+)([-/.])(\d+)([-/.])(\d+)", s).groups()
-    orders = [("y", "m", "d")] if len(a) == 4 else [("d", "m", "y"), ("m", "d", "y")]
-    for order in orders:
-        v = dict(zip(order, map(int, (a, b, c)), strict=True))
+    for order in ["ymd"] if len(a) == 4 else ["dmy", "mdy"]:
+        own = dict(zip(order, (a, b, c), strict=True))
         try:
-            at = (date(v["y"], v["m"], v["d"]) - FIRST).days
+            at = date(int(own["y"]), int(own["m"]), int(own["d"]))
         except ValueError:
             continue
-        if not 0 <= at < DAYS:
+        k = (at - FIRST).days
+        if not 0 <= k < DAYS:
             continue
-        # numbers of one digit stay possible only for days that can be written so; wider ones get two
-        new = FIRST + timedelta(days=f.below(at, DAYS, "day", back))
-        out = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        if order == ("m", "d", "y") and new.day <= 12 or order == ("d", "m", "y") and v["d"] <= 12 < v["m"]:
-            order = ("d", "m", "y")  # as a reader would take it
-        return mark.join(out[k] for k in order)
+        domain = _days(_class_of(at))
+        new = FIRST + timedelta(days=domain[f.below(bisect_left(domain, k), len(domain), f"day{_class_of(at)}", back)])
+        out = {"y": f"{new.year:04d}", "m": str(new.month).zfill(len(own["m"])), "d": str(new.day).zfill(len(own["d"]))}
+        return mark.join(out[x] for x in order)
     return None
 
 
@@ -199,22 +232,26 @@ def pseudonymise(f: Feistel, text: str | None, back: bool = False) -> tuple[str
     """The text with pseudonyms, and start, end and kind of each value in the original."""
     if not text or not _MAY.search(text):
         return text, []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # by start, none over another
     for kind, regex, change in KINDS:
         if kind == "email" and "@" not in text:
             continue
+        fresh, k = [], 0
         for m in regex.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, _, _ in found):
+            while k < len(found) and found[k][1] <= m.start():
+                k += 1
+            if k < len(found) and found[k][0] < m.end():
                 continue
             new = change(f, m.group(), back)
             if new is not None:
-                found.append((m.start(), m.end(), kind, new))
-    found.sort()
-    parts, at = [], 0
+                fresh.append((m.start(), m.end(), kind, new))
+        if fresh:
+            found = sorted(found + fresh)
+    pieces, at = [], 0
     for s, e, _, new in found:
-        parts += [text[at:s], new]
+        pieces += [text[at:s], new]
         at = e
-    return "".join([*parts, text[at:]]), [(s, e, k) for s, e, k, _ in found]
+    return "".join([*pieces, text[at:]]), [(s, e, k) for s, e, k, _ in found]
 
 
 SCHEMA = "doc_id long, text string, n_values long, " + ", ".join(f"n_{k} long" for k, _, _ in KINDS) + ", spans string"
@@ -223,7 +260,7 @@ SCHEMA = "doc_id long, text string, n_values long, " + ", ".join(f"n_{k} long" f
 def _masking(key: bytes):
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
-        for b in batches:
+        for b in parts(batches):
             out = [pseudonymise(f, t) for t in b.column(1).to_pylist()]
             kinds = [[k for _, _, k in spans] for _, spans in out]
             yield pa.RecordBatch.from_arrays(
