@@ -49,6 +49,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 1024,
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
             yield b.slice(a, z - a)
+        pa.default_memory_pool().release_unused()
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

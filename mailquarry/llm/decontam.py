@@ -25,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded, bounded_bytes, cut, mark, only, table, without
 from .common import parts as batched
+from .wordhash import Words, runs
 
 NGRAM, WINDOW = 3, 2
 #: Alignment scores, and the share of an item's own score from which a passage is a copy of it.
@@ -40,90 +40,16 @@ LEAST = 0.4
 #: Bits of the bitmap, as a power of two.
 BITMAP = 26
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that are hashed at a time.
-BLOCK = 1 << 20
-
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _IS_WORD = np.array([chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" or c >= 128 for c in range(256)])
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64).cumprod(dtype=np.uint64))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-
-
-_power_cache: list = []
-
-
-def _mix(z: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of data (at most BLOCK bytes) and where it starts. All words at once:
-    differences of one running polynomial, shifted back to the word's start."""
-    if not _power_cache:
-        _power_cache.extend(_powers(BLOCK + 1))
-    up, down = _power_cache
-    b = np.frombuffer(data, np.uint8)
-    inside = _IS_WORD[b]
-    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    with np.errstate(over="ignore"):
-        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)))
-        return _mix((run[ends] - run[starts]) * down[starts]), starts
-
-
-def _blocks(coded: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Runs of texts of at most BLOCK bytes; a longer text comes alone in parts cut between words, of which a longer one is a single word."""
-    own, size = [], 0
-    for i, c in enumerate(coded):
-        if own and size + len(c) + 1 > BLOCK:
-            yield own, [b"\n".join(coded[j] for j in own)]
-            own, size = [], 0
-        if len(c) > BLOCK:
-            parts, at = [], 0
-            while at < len(c):
-                end = min(len(c), at + BLOCK)
-                if end < len(c):
-                    gaps = np.flatnonzero(~_IS_WORD[np.frombuffer(c, np.uint8, end - at, at)])
-                    end = at + int(gaps[-1]) + 1 if len(gaps) else _WORD.match(c, at).end()
-                parts.append(c[at:end])
-                at = end
-            yield [i], parts
-        else:
-            own.append(i)
-            size += len(c) + 1
-    if own:
-        yield own, [b"\n".join(coded[j] for j in own)]
+_HASHED = Words(_IS_WORD)
 
 
 def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
     """Number of the text, place of its first word (0) and hashes of all its n-grams, for texts that have some."""
-    coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    for own, parts in _blocks(coded):
-        if len(own) == 1:
-            hashes = np.concatenate([word_hashes(p)[0] if len(p) <= BLOCK else np.array([xxhash.xxh64_intdigest(p)], np.uint64) for p in parts])
-            first = np.array([0, len(hashes)])
-        else:
-            hashes, starts = word_hashes(parts[0])
-            begin = np.concatenate(([0], np.cumsum([len(coded[j]) + 1 for j in own])))
-            first = np.searchsorted(starts, begin)
-        if len(hashes) < NGRAM:
-            continue
-        with np.errstate(over="ignore"):
-            g = hashes[: len(hashes) - NGRAM + 1].copy()
-            for k in range(1, NGRAM):
-                g = g * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[k : len(hashes) - NGRAM + 1 + k]
-            g = _mix(g)
-        for j, a, b in zip(own, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= NGRAM:
-                yield j, 0, g[a : b - NGRAM + 1]
+    for j, hashes in _HASHED.of([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]):
+        if len(hashes) >= NGRAM:
+            yield j, 0, runs(hashes, NGRAM)
 
 
 def words(text: str | None) -> list[bytes]:

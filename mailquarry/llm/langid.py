@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, fold_of, only, positional, table
+from .common import bounded, cut, fold_of, only, parts, positional, table
 from .sampling import drawn_ids
 
 DIMENSIONS = 1 << 13
@@ -172,7 +172,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scoring(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out = list(map(model.predict, b.column(1).to_pylist()))
             langs, scores, rejected = map(list, zip(*out, strict=True)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays(
@@ -203,7 +203,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = rows.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, at):
             yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
     return named(rows.mapInArrow(kept, rows.schema))

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from mailquarry.operators.graph import components
 
 from . import bitslice
-from .common import bounded, cut, keep_rows, mark, only, table
+from .common import bounded, cut, keep_rows, mark, only, parts, table
+from .wordhash import Words, mix, runs
 
 SEED = 42
 
@@ -42,15 +43,13 @@ LIMIT = 4096
 CHUNK = 1 << 15
 
 
-def shingle_hashes(text: str | None, width: int, distinct: bool = False) -> np.ndarray:
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 of each run of width words, A-Z lower-cased; blanks are \\x20 and \\x09-\\x0D."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    runs = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    if distinct:
-        runs = set(runs)
-    return np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64)
+    own = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in own), np.uint64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -68,7 +67,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         prints = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
@@ -191,37 +190,52 @@ BITS, NEAR = 512, 104
 FEW = 32
 
 #: Documents and shingles of a group's block; larger groups are compared block by block.
-BLOCK, BLOCK_SHINGLES = 1 << 12, 1 << 20
+BLOCK, BLOCK_SHINGLES = 1 << 12, 1 << 19
 
 #: Multipliers (odd) and offsets of the families of hashes whose minima are taken.
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.array([1, 0], np.uint64).reshape(2, 1, 1)
 
+#: What is added to a hash before it is mixed, for each 64 bits of a sketch.
+_STEPS = np.array([k * 0x9E3779B97F4A7C15 & (2**64 - 1) for k in range(1, BITS // 64 + 1)], np.uint64)
+
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th of a family of 64-bit hashes of a hash."""
     with np.errstate(over="ignore"):
-        z = h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+        return mix(h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+
+
+_HASHED = Words(np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)]))
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the hashes of the distinct five-word shingles, in order; of fewer words the whole sequence is one."""
+    out = []
+    for _, h in _HASHED.of([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]):
+        out.append(np.unique(runs(h, min(WORDS, max(1, len(h))))))
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The hashes of the distinct five-word shingles, in order."""
-    return np.unique(shingle_hashes(text, WORDS, distinct=True))
+    return shingle_sets([text])[0]
 
 
 def minima(h: np.ndarray) -> np.ndarray:
     """The smallest value of every family over the hashes."""
     out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(h), 1024):
-        np.minimum(out, (h[at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=out)
+    for at in range(0, len(h), 128):  # what a core's cache holds
+        np.minimum(out, (h[at : at + 128] * _TIMES + _PLUS).min(axis=1), out=out)
     return out
 
 
 def sketch(h: np.ndarray) -> bytes:
     """SimHash of BITS bits of a set of shingle hashes: a bit is 1 if set in over half of them."""
-    return b"".join(majority(_mixed(h, k)).to_bytes(8, "little") for k in range(1, BITS // 64 + 1))
+    count = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 2048):
+        with np.errstate(over="ignore"):
+            many = mix(h[at : at + 2048, None] + _STEPS)
+        count += np.unpackbits(many.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * count > len(h), bitorder="little").tobytes()
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -234,10 +248,10 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches, rows=256):
         if not b.num_rows:
             continue
-        sets = list(map(shingles, b.column(1).to_pylist()))
+        sets = shingle_sets(b.column(1).to_pylist())
         keys = band_keys(np.array([minima(h) for h in sets])).view(np.int64)
         digests = [xxhash.xxh3_128_digest(h.astype("<u8").tobytes(), SEED) for h in sets]
         # a document without words has no band: it equals others of its kind and resembles none
@@ -268,7 +282,7 @@ def link_sets(sets: list[np.ndarray], labels: list[int] | None = None) -> list[t
         kin.setdefault(name, []).append(i)
     own_kin = [kin[name] for name in (range(n) if labels is None else labels)]
 
-    def runs(at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def places(at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The positions of all runs, one after the other."""
         return np.repeat(at - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
@@ -289,13 +303,13 @@ def link_sets(sets: list[np.ndarray], labels: list[int] | None = None) -> list[t
             q = queue.pop()
             probe = ids[start[q] : start[q] + rare[q]]
             hit = np.zeros(n, bool)
-            hit[holder[runs(first[probe], first[probe + 1] - first[probe])]] = True
+            hit[holder[places(first[probe], first[probe + 1] - first[probe])]] = True
             near = np.flatnonzero(hit & alive & (5 * size >= 4 * size[q]) & (5 * size[q] >= 4 * size))
             if not len(near):
                 continue
             own = ids[start[q] : start[q + 1]]
             flag[own] = True
-            common = np.add.reduceat(flag[ids[runs(start[near], size[near])]], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
+            common = np.add.reduceat(flag[ids[places(start[near], size[near])]], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
             flag[own] = False
             for i in near[9 * common >= 4 * (size[near] + size[q])].tolist():
                 found.append((i, q))
@@ -307,8 +321,8 @@ def link_sets(sets: list[np.ndarray], labels: list[int] | None = None) -> list[t
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingles(t).astype("<u8").tobytes() for t in b.column(4).to_pylist()]
+    for b in parts(batches, 4):
+        sets = [h.astype("<u8").tobytes() for h in shingle_sets(b.column(4).to_pylist())]
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], names=["root", "node", "blocks", "block", "shingles"])
 
 
@@ -320,7 +334,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = link_sets(sets, labels) if len(set(labels)) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], names=["a", "b"])
 
-    for b in batches:
+    for b in parts(batches, 5):
         for root, i, j, node, label, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if at != (root, i, j):
                 if len(sets) > 1:

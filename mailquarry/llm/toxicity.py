@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, fold_of, only, table
+from .common import bounded, cut, fold_of, only, parts, table
 from .sampling import drawn_ids
 
 #: Documents are learnt from unless crc32(doc_id) modulo FOLDS is HELD_OUT.
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scoring(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out = [model.score(t) for t in b.column(1).to_pylist()]
             scores, spans = map(list, zip(*out, strict=True)) if out else ([], [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "score", "sentences"])

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from mailquarry.llm import decontam as D
+from mailquarry.llm import wordhash
 
 
 def brute_score(item, passage):
@@ -37,7 +38,7 @@ def test_grams_are_position_independent():
 def test_long_texts_are_hashed_whole(monkeypatch):
     text = " ".join(f"w{i}" for i in range(3000))
     want = next(iter(D.grams([text])))[2]
-    monkeypatch.setattr(D, "BLOCK", 500)
+    monkeypatch.setattr(wordhash, "BLOCK", 500)
     assert np.array_equal(next(iter(D.grams([text])))[2], want)
     assert [(j, len(g)) for j, _, g in D.grams(["a b c", text, "d e f g"])] == [(0, 1), (1, 2998), (2, 2)]
 
@@ -92,7 +93,7 @@ def test_texts_without_blanks_are_cut_between_words(monkeypatch):
     want = next(iter(D.grams([comma])))[2]
     giant = "a b " + "z" * 1200 + ",c d e"
     whole = next(iter(D.grams(["a b y,c d e"])))[2]
-    monkeypatch.setattr(D, "BLOCK", 300)
+    monkeypatch.setattr(wordhash, "BLOCK", 300)
     assert np.array_equal(next(iter(D.grams([comma])))[2], want)
     got = next(iter(D.grams([giant])))[2]
     assert len(got) == len(whole) and got[-1] == whole[-1]
