@@ -32,7 +32,7 @@ WINDOW = 4096
 END_ID = 2
 OPEN_LIMIT = 1024
 #: Words and blank-separated chunks whose ids are kept, after which the cache starts anew.
-CACHE = 900_000
+CACHE = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
