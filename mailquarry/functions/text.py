@@ -151,45 +151,71 @@ def html_to_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?:\s*\n){3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-#: What may run or load something in a page. Quotes are written as codes, as generated code repeats patterns in strings.
-REMOTE = r"(?i)(?:src|href|background|poster|data|srcset)\s*=\s*[\x22\x27]?\s*(?:https?:)?//|url\s*\(\s*[\x22\x27]?\s*(?:https?:)?//|@import"
+#: Elements that go with their content, tags that go alone, attributes that load something, what stands for a blocked one.
+ACTIVE = ["script", "iframe", "object", "embed", "applet", "frameset", "noscript"]
+ACTIVE_TAGS = ["script", "iframe", "object", "embed", "applet", "frame", "base", "link", "meta"]
+LOADING = ["src", "background", "poster", "lowsrc", "dynsrc", "data"]
+RUNNING = ["javascript", "vbscript", "data:text/html"]
+BLOCKED = 'data-pl-blocked="1"'
 
 
-def sanitise(c: Column) -> Column:
-    """HTML without elements, attributes and addresses that run or load anything."""
-    for element in ("script", "style", "iframe", "object", "embed", "form", "svg", "math"):
-        c = F.regexp_replace(c, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", "")
-    c = F.regexp_replace(c, r"(?i)</?(?:script|iframe|object|embed|form|svg|math|link|meta|base)\b[^>]*>", "")
-    c = F.regexp_replace(c, r"(?i)\son[a-z]+\s*=\s*(?:\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s>]+)", "")
-    c = F.regexp_replace(c, r"(?i)\s(?:src|background|poster|srcset)\s*=\s*(?:\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s>]+)", "")
-    return F.regexp_replace(c, r"(?i)javascript\s*:", "")
+def _valued(start: str) -> str:
+    """An attribute value, in either quotes or bare, that starts as given."""
+    return rf"""(?:"\s*{start}[^"]*"|'\s*{start}[^']*'|{start}[^\s>]*)"""
 
 
-def has_remote(c: Column) -> Column:
-    return F.coalesce(F.rlike(c, F.lit(REMOTE)), F.lit(False))
+_ANY_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+_OUTSIDE = r"(?:https?:|//|\\\\|file:|ftp:)"
+_SOMEWHERE = r"""(?:"[^"]*(?:https?:|//|\\\\|file:)[^"]*"|'[^']*(?:https?:|//|\\\\|file:)[^']*'|[^\s>"']*(?:https?:|//|\\\\|file:)[^\s>]*)"""
 
 
-def snippet(pad: Column, term: list[str], width: int = 16) -> Column:
-    """About `width` tokens around the first match of the term, marked with guillemets; null without a match.
+def _inert(c: Column) -> Column:
+    """HTML in which nothing runs."""
+    for element in ACTIVE:
+        c = F.regexp_replace(c, rf"(?is)<{element}\b.*?</{element}\s*>", "")
+    c = F.regexp_replace(c, rf"(?i)<(?:{'|'.join(ACTIVE_TAGS)})\b[^>]*>", "")
+    c = F.regexp_replace(c, rf"(?i)\son[a-z]+\s*=\s*{_ANY_VALUE}", " ")
+    for quote in ('"', "'", ""):
+        inside = rf"[^\s>{quote or chr(34) + chr(39)}]*"
+        c = F.regexp_replace(c, rf"(?i)(href|src|action)\s*=\s*{quote}\s*(?:{'|'.join(RUNNING)}){inside}{quote}", '$1="#"')
+    return F.regexp_replace(c, rf"(?i)\sping\s*=\s*{_ANY_VALUE}", " ")
 
-    Works on the padded form, so what it shows is folded.
-    """
-    phrase = " ".join(term)
-    words = F.split(F.trim(pad), " ")
-    at = F.instr(pad, f" {phrase} ")
-    before = F.size(F.split(F.substring(pad, F.lit(1), at), " ")) - 2
-    first = F.greatest(before - F.lit((width - len(term)) // 2), F.lit(0))
-    part = F.slice(words, first + 1, F.lit(width))
-    text = F.replace(F.concat(F.lit(" "), F.array_join(part, " "), F.lit(" ")), F.lit(f" {phrase} "), F.lit(f" «{phrase}» "))
-    text = F.concat(F.when(first > 0, F.lit("…")).otherwise(F.lit("")), F.trim(text), F.when(first + width < F.size(words), F.lit("…")).otherwise(F.lit("")))
-    return F.when(at > 0, text)
-
-
-def highlight(c: Column, terms: list[str]) -> Column:
-    """The text with every occurrence of a term marked; a term that ends in * marks the whole word."""
-    import re
-
-    if not terms:
-        return c
-    parts = [re.escape(t.rstrip("*")).replace("\\ ", " ") + (r"[\p{L}\p{N}]*" if t.endswith("*") else "") for t in sorted(terms, key=len, reverse=True)]
-    return F.regexp_replace(c, r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(parts) + r")(?![\p{L}\p{N}])", "<mark>$0</mark>")
+
+def _local(c: Column) -> Column:
+    """HTML that loads nothing from outside the message. Only links keep an address outside."""
+    c = F.regexp_replace(c, rf"(?i)\b({'|'.join(LOADING)})\s*=\s*{_valued(_OUTSIDE)}", f'$1="" {BLOCKED}')
+    c = F.regexp_replace(c, rf"(?i)\b(?:img)?srcset\s*=\s*{_SOMEWHERE}", f" {BLOCKED}")
+    for _ in range(2):  # a tag may have href and xlink:href
+        c = F.regexp_replace(c, rf"(?i)(<(?!a\b|area\b)[a-z][\w:-]*\b[^>]*?\b(?:xlink:)?href)\s*=\s*{_valued(_OUTSIDE)}", '$1=""')
+    c = F.regexp_replace(c, r"""(?i)url\(\s*["']?\s*(?:https?:|//|\\\\|file:)[^)]*\)""", "url()")
+    c = F.regexp_replace(c, r"""(?i)@import\s+(?:"[^"']*(?:https?:|//|\\\\|file:)[^"']*"|'[^"']*(?:https?:|//|\\\\|file:)[^"']*')""", "")
+    return F.regexp_replace(c, r"(?i)(?:-webkit-)?image-set\([^)]*(?:https?:|//)[^)]*\)", "none")
+
+
+def sanitise(c: Column) -> Column:
+    """HTML without what runs or loads anything; pictures of the message itself (cid:) stay."""
+    return _local(_inert(c))
+
+
+def has_remote(c: Column) -> Column:
+    """Whether sanitise() takes away something that would be loaded from outside."""
+    inert = _inert(c)
+    return F.coalesce(_local(inert) != inert, F.lit(False))
+
+
+def inline_images(c: Column, shown: Column) -> Column:
+    """HTML with addresses `cid:name` replaced by those of a map from lower-case names, with or without what follows an @;
+    unknown ones become empty. A bare file name as `src` is looked up as well."""
+    parts = F.split(c, "(?i)(?=cid:)")
+    name = lambda p: F.lower(_decoded(F.regexp_extract(p, r"""(?i)^cid:([^"'\s)>]+)""", 1)))
+    known = lambda n: F.coalesce(F.try_element_at(shown, n), F.try_element_at(shown, F.regexp_replace(n, "(?s)@.*$", "")), F.lit(""))
+    new = lambda p: F.when(name(p) != "", F.concat(known(name(p)), F.regexp_replace(p, r"""(?i)^cid:[^"'\s)>]+""", ""))).otherwise(p)
+    named = F.array_join(F.transform(parts, new), "")
+    bare = r"""(?i)^src\s*=\s*["']([^"':/\\]+)["']"""
+    file = lambda p: F.try_element_at(shown, F.lower(_decoded(F.regexp_extract(p, bare, 1))))
+    local = lambda p: F.when(file(p).isNotNull(), F.concat(F.lit('src="'), file(p), F.lit('"'), F.regexp_replace(p, bare, ""))).otherwise(p)
+    return F.array_join(F.transform(F.split(named, r"(?i)(?=\bsrc\s*=\s*[\"'])"), local), "")
+
+
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(c), c)

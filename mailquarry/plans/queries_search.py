@@ -11,6 +11,7 @@ from mailquarry.operators.labels import flag_labels, item_kind, shown_sender
 from mailquarry.operators.store import duplicates
 from mailquarry.plans.query import INDICES, parse
 from mailquarry.plans.registry import ATT, MSG, pad, query, toks
+from mailquarry.functions.excerpts import highlight
 from mailquarry.plans.search import Request, candidates, ranks, search, with_snippets
 from mailquarry.plans.sorting import KEYS, order
 from mailquarry.sources.case import Case, fixture_attachments, fixture_case, fixture_messages, table
@@ -362,12 +363,13 @@ def txt9_attachment_hits(spark, sf_dir):
     return a.select("message_id", (X.matches(X.padded(F.col("name")), ["en"]) | X.matches(X.padded(F.col("content")), ["en"])).alias("hit"))
 
 
-_MARKED = "regexp_replace({0}, '(?i)(^|[^\\p{{L}}\\p{{N}}>])(the|of)($|[^\\p{{L}}\\p{{N}}<])', '\\1<mark>\\2</mark>\\3', 'g')"
+_MARKED = "regexp_replace({0}, '(?i)(^|[^\\p{{L}}\\p{{N}}>])(the|of)($|[^\\p{{L}}\\p{{N}}<])', '\\1<mark class=\"pl-hit\">\\2</mark>\\3', 'g')"
 
 
-@query(f"WITH {MSG} SELECT id, {_MARKED.format(_MARKED.format('subject'))} AS shown FROM msg")
+@query(f"""WITH {MSG} SELECT id, '<style>the</style><i title="the">' || {_MARKED.format(_MARKED.format('subject'))} || '</i>' AS shown FROM msg""")
 def txt10_highlight(spark, sf_dir):
-    return fixture_messages(spark, sf_dir).select("id", X.highlight(F.col("subject"), ["the", "of"]).alias("shown"))
+    page = F.concat(F.lit('<style>the</style><i title="the">'), F.col("subject"), F.lit("</i>"))
+    return fixture_messages(spark, sf_dir).select("id", highlight(page, ["the", "OF"]).alias("shown"))
 
 
 @query(f"WITH {MSG} SELECT id, strip_accents(lower(subject)) AS folded FROM msg")

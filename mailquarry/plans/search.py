@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailquarry.functions.dates import day_start_ms
-from mailquarry.functions.text import matches, padded, snippet, split_tokens
+from mailquarry.functions.excerpts import snippet
+from mailquarry.functions.text import matches, padded, split_tokens
 from mailquarry.operators.rank import WEIGHTS, bm25
 from mailquarry.plans.query import ANY, CONTENT, INDICES, NAME, Clause, Filter, Query, Term, parse
 from mailquarry.plans.sorting import RELEVANCE, order, parse_sort
@@ -166,18 +168,18 @@ def count(case: Case, r: Request) -> int:
 
 
 def with_snippets(case: Case, page: DataFrame, query: str) -> DataFrame:
-    """page with an excerpt of each row: of the body, else of its first attachment that matches, else of any
-    field. Attachments of other rows are left out before their texts are padded."""
+    """page with an excerpt of each row: of the body where it matches, else of its first attachment that matches, else the
+    start of the body. Attachments of other rows are left out before their texts are padded."""
     q = parse(query)
     terms = [(split_tokens(t.text), t) for c in q.positive for t in c.alternatives if split_tokens(t.text)]
+    of = lambda fields, name: [(t, k.prefix) for t, k in terms if name in fields(k)]
     none = F.lit(None).cast(T.StringType())
-    first = lambda cs: F.coalesce(none, *cs)
-    body = first([snippet(padded(F.col("body")), t) for t, k in terms if "body" in message_fields(k)])
-    fields = [f for f in MESSAGE_FIELDS if f in page.columns]
-    other = first([snippet(padded(F.col(f)), t) for f in fields for t, k in terms if f in message_fields(k)])
+    body = snippet(F.col("body"), own) if (own := of(message_fields, "body")) else none
+    hits = [matches(padded(F.col(f)), t, p) for f in MESSAGE_FIELDS if f in page.columns for t, p in of(message_fields, f)]
+    other = F.when(reduce(lambda a, b: a | b, hits), snippet(F.col("body"), [], always=True)) if hits else none
     ids = page.select(F.col("id").alias("message_id")).distinct()
     near = case.attachments.join(ids, "message_id", "left_semi")
-    text = first([snippet(padded(F.col(f)), t) for f in ("content", "name") for t, k in terms if f in attachment_fields(k)])
+    text = snippet(F.col("content"), own) if (own := of(attachment_fields, "content")) else none
     said = near.select("message_id", "idx_path", F.concat(F.lit("📎 "), F.coalesce("name", F.lit("")), F.lit(" : "), text).alias("said"))
     best = said.filter(F.col("said").isNotNull()).groupBy("message_id").agg(F.min_by("said", "idx_path").alias("said"))
     out = page.join(best.withColumnRenamed("message_id", "__m"), page["id"] == F.col("__m"), "left")

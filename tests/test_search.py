@@ -2,6 +2,7 @@ import random
 import sqlite3
 
 import pytest
+from mailquarry.functions.excerpts import excerpt
 from mailquarry.operators.postings import build_postings, lookup, write_postings
 from mailquarry.plans.query import parse
 from mailquarry.plans.search import Request, candidates, ranks, search, with_snippets
@@ -75,7 +76,25 @@ def test_all_sort_keys(case):
 def test_snippets(case):
     page = search(case, Request(query="comité OR ici OR autre", sort="date"))
     got = {r.id: r.snippet for r in with_snippets(case, page, "comité OR ici OR autre").collect()}
-    assert got == {1: "le reunion du «comite»", 3: "le «comite» de budget budget", 4: "📎 tahoe.txt : seulement «ici»", 2: "«autre»"}
+    assert got == {1: "Le réunion du «comité»", 3: "le «comité» de budget budget", 4: "📎 tahoe.txt : seulement «ici»", 2: "accord de confidentialité signé"}
+
+
+def test_excerpts_match_the_engine_they_come_from():
+    """Words, phrases and prefixes in random texts, against the full-text engine of the standard library."""
+    rng = random.Random(8)
+    words = ["budget", "accord", "accords", "plan", "de", "la", "note", "Réunion"] + [f"mot{k}" for k in range(30)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(body, tokenize='unicode61 remove_diacritics 2')")
+    texts = []
+    for i in range(400):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", ": ", "\n"]) for _ in range(rng.choice([5, 15, 40, 120])))
+        texts.append(text)
+        db.execute("INSERT INTO f(rowid, body) VALUES (?, ?)", (i, text))
+    for match, terms in [('"budget"', [(["budget"], False)]), ('"plan" OR "accord"*', [(["plan"], False), (["accord"], True)]), ('"de la" OR "reunion"', [(["de", "la"], False), (["reunion"], False)]), ('"note" OR "mot1"*', [(["note"], False), (["mot1"], True)])]:
+        want = dict(db.execute("SELECT rowid, snippet(f, 0, '«', '»', '…', 16) FROM f WHERE f MATCH ?", (match,)).fetchall())
+        got = {i: e for i, t in enumerate(texts) if (e := excerpt(t, terms)) is not None}
+        assert got.keys() == want.keys()
+        assert {i: " ".join(w.split()) for i, w in want.items()} == got
 
 
 def test_postings(spark, case, tmp_path):
