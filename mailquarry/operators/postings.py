@@ -25,8 +25,10 @@ def build_postings(rows: DataFrame, fields: list[str]) -> DataFrame:
     return out.select(F.substring("token", 1, 1).alias("initial"), "token", "id", "unit", "field", "places")
 
 
-def write_postings(postings: DataFrame, path: str, files: int = 16) -> None:
-    (postings.repartitionByRange(files, "initial", "token").sortWithinPartitions("initial", "token", "id").write.mode("overwrite").partitionBy("initial").parquet(path))
+def write_postings(postings: DataFrame, path: str, files: int | None = None) -> None:
+    """As many files as `files`, else as the size of the postings asks for."""
+    dealt = postings.repartitionByRange(files, "initial", "token") if files else postings.repartitionByRange("initial", "token")
+    (dealt.sortWithinPartitions("initial", "token", "id").write.mode("overwrite").partitionBy("initial").parquet(path))
 
 
 def lookup(postings: DataFrame, term: list[str], prefix: bool = False, fields: list[str] | None = None) -> DataFrame:

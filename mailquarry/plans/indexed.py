@@ -19,7 +19,7 @@ from mailquarry.sources.case import Case
 MARK = "att:"
 
 
-def write_index(case: Case, path: str, files: int = 16) -> None:
+def write_index(case: Case, path: str, files: int | None = None) -> None:
     have = [f for f in MESSAGE_FIELDS if f in case.messages.columns]
     own = build_postings(case.messages.select("id", *have), have)
     other = case.attachments.selectExpr("message_id AS id", "idx_path AS unit", f"name AS `{MARK}name`", f"content AS `{MARK}content`")

@@ -89,8 +89,8 @@ def jon12_flag_back_join(spark, sf_dir):
     return own.join(fakes, ["name", "email"], "left").select("id", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
-_THREADS = """WITH i AS (SELECT conv_id * 1000 + turn AS id, conv_id FROM conversations), r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
-  t AS (SELECT conv_id * 1000 + turn AS id, min(conv_id * 1000 + turn) OVER (PARTITION BY conv_id, run) AS thread_id, CAST(count(*) OVER (PARTITION BY conv_id, run) AS INTEGER) AS thread_count FROM r) SELECT id, thread_id, thread_count FROM t"""
+_THREADS = """WITH i AS (SELECT conv_id * 1000000 + turn AS id, conv_id FROM conversations), r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+  t AS (SELECT conv_id * 1000000 + turn AS id, min(conv_id * 1000000 + turn) OVER (PARTITION BY conv_id, run) AS thread_id, CAST(count(*) OVER (PARTITION BY conv_id, run) AS INTEGER) AS thread_count FROM r) SELECT id, thread_id, thread_count FROM t"""
 
 
 @query(_THREADS)

@@ -87,7 +87,7 @@ def fixture_threads(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations")
     key = lambda t: F.concat(F.lit("c"), "conv_id", F.lit("t"), t)
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
         key(F.col("turn")).alias("message_id"),
         F.when(F.col("turn") > 0, key(F.col("turn") - 1)).alias("in_reply_to"),
         F.lit(None).cast("string").alias("refs"),
