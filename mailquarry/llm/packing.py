@@ -32,7 +32,9 @@ WINDOW = 4096
 END_ID = 2
 OPEN_LIMIT = 1024
 #: Words and blank-separated chunks whose ids are kept, after which the cache starts anew.
-CACHE = 600_000
+CACHE = 900_000
+#: The same in the pipeline, where workers share their executor with what earlier stages hold.
+STAGE_CACHE = 400_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -67,6 +69,7 @@ class CachedTokenizer:
         vocabulary = self.library.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.limit = CACHE
         self.words: dict[str, bytes] = {}
         self.chunks = self.words  # a chunk without punctuation is its word
 
@@ -103,7 +106,7 @@ class CachedTokenizer:
         self.chunks.update([(c, b"".join(map(word, p))) for c, p in fresh.items() if len(p) != 1])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > CACHE:
+        if len(self.words) > self.limit:
             self.words.clear()
         out: list = [b""] * len(texts)
         odd, held, unknown = [], [], set()
@@ -248,9 +251,10 @@ def tokenizer(path: str) -> CachedTokenizer:
     return _tokenizers[path]
 
 
-def _packing(path: str, window: int, open_limit: int):
+def _packing(path: str, window: int, open_limit: int, cache: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
+        encode.limit = cache
         packer = Packer(window, open_limit, TaskContext.get().partitionId() << 36)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
@@ -265,10 +269,10 @@ def _packing(path: str, window: int, open_limit: int):
     return pack
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_limit: int = OPEN_LIMIT) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_limit: int = OPEN_LIMIT, cache: int = CACHE) -> DataFrame:
     """A row for each piece of a document: where it starts in the document, its length and the CRC-32 of its
-    ids, the document's tokens, and the window and offset that it lies at."""
-    return only(docs, "doc_id", "text").mapInArrow(_packing(path or default_vocabulary(), window, open_limit), SCHEMA)
+    ids, the document's tokens, and the window and offset that it lies at. `cache` bounds the words whose ids a worker keeps."""
+    return only(docs, "doc_id", "text").mapInArrow(_packing(path or default_vocabulary(), window, open_limit, cache), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,4 +280,4 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, cache=STAGE_CACHE)
