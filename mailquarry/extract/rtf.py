@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 
 _TOKEN = re.compile(rb"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
@@ -11,6 +12,13 @@ SKIPPED = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "heade
 SPECIAL = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
 
 
+def _decoder(name: str) -> codecs.IncrementalDecoder:
+    try:
+        return codecs.getincrementaldecoder(name)("replace")
+    except LookupError:
+        return codecs.getincrementaldecoder("cp1252")("replace")
+
+
 def _walk(data: bytes, html: bool) -> str:
     """Text outside of skipped groups. For wrapped HTML the tags come from its destinations and what is only for RTF
     readers is left out."""
@@ -24,8 +32,18 @@ def _walk(data: bytes, html: bool) -> str:
         if not skip and not (html and hidden and not tag):
             out.append(s)
 
+    # a character of a code page may be two bytes, of which the second can stand as a plain one
+    coded = _decoder(charset)
+
     for m in _TOKEN.finditer(data):
         word, number, hexa, symbol, brace, text = m.groups()
+        if not hexa and coded.getstate()[0]:
+            lead = text[:1] if text else b""
+            put(coded.decode(lead, not lead))
+            if lead:
+                text = text[1:]
+                if not text:
+                    continue
         if brace == b"{":
             stack.append((skip, tag, hidden, fallback))
             first, left = True, 0
@@ -43,7 +61,7 @@ def _walk(data: bytes, html: bool) -> str:
             elif name == "uc":
                 fallback = n or 0
             elif name == "ansicpg" and n:
-                charset = f"cp{n}" if n != 65001 else "utf-8"
+                coded = _decoder(f"cp{n}" if n != 65001 else "utf-8")
             elif name == "htmltag":
                 tag, skip = html, not html
             elif name == "htmlrtf":
@@ -61,10 +79,7 @@ def _walk(data: bytes, html: bool) -> str:
             if left:
                 left -= 1
             else:
-                try:
-                    put(bytes([int(hexa, 16)]).decode(charset, "replace"))
-                except LookupError:
-                    put(bytes([int(hexa, 16)]).decode("cp1252", "replace"))
+                put(coded.decode(bytes([int(hexa, 16)])))
         elif symbol:
             if symbol == b"*" and first:
                 skip = True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailquarry.functions import dates as D
@@ -186,20 +187,29 @@ def str16_inline_images(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.inline_images(own, names).alias("shown"))
 
 
-_BYTES = [(1, b"caf\xc3\xa9", "café"), (2, b"caf\xe9", "café"), (3, b"\xff\xfeh\x00i\x00", "hi"), (4, b"\xef\xbb\xbfbom", "bom")]
+#: How a text is written, by doc_id modulo their number: with a byte order mark, in UTF-8, in UTF-16 without a mark, in Windows-1252.
+_WRITTEN = [("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-8", b""), ("utf-16-le", b""), ("cp1252", b"")]
 
 
-@query(values([(k, t) for k, _, t in _BYTES], "k, content"))
+@query("SELECT doc_id, text AS content FROM documents")
 def str17_charset(spark, sf_dir):
-    b = F.col("b")
-    head = F.hex(F.substring(b, 1, 3))
-    text = (
-        F.when(F.startswith(head, F.lit("EFBBBF")), F.decode(F.substring(b, 4, 100000), "UTF-8"))
-        .when(F.startswith(head, F.lit("FFFE")), F.decode(F.substring(b, 3, 100000), "UTF-16LE"))
-        .when(F.is_valid_utf8(b.cast("string")), b.cast("string"))
-        .otherwise(F.decode(b, "ISO-8859-1"))
-    )
-    return spark.createDataFrame([(k, bytearray(x)) for k, x, _ in _BYTES], "k int, b binary").select("k", text.alias("content"))
+    from mailquarry.extract.plain import decode
+
+    def coded(i: int, text: str) -> bytes:
+        name, mark = _WRITTEN[i % len(_WRITTEN)]
+        if name == "cp1252" or name == "utf-16-le" and not mark:
+            try:
+                text.encode("cp1252" if name == "cp1252" else "latin-1")
+            except UnicodeEncodeError:
+                name = "utf-8"  # what Windows-1252 can't write, and what has no zeros to be known by
+        return mark + text.encode(name)
+
+    def run(batches):
+        for b in batches:
+            texts = [None if t is None else decode(coded(i, t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "content"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, content string")
 
 
 _NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t\\x{00a0}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"

@@ -165,3 +165,17 @@ def test_extract_frame(spark):
     rows = dispatch.extract_frame(spark.createDataFrame([(a, b, c, bytearray(d) if d is not None else None) for a, b, c, d in files], "message_id long, idx_path string, name string, data binary")).collect()
     assert [(r.message_id, r.status, r.content) for r in rows] == [(1, "ok", "x"), (1, "unsupported", None), (2, "error", None), (3, "empty", None)]
     assert rows[3].sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_rtf_code_pages_of_two_bytes():
+    """Bytes of one character come as codes, as a code and a plain letter, or broken off."""
+    from mailquarry.extract.rtf import rtf_text
+
+    def coded(text, page):
+        return "".join(f"\\'{b:02x}" for b in text.encode(page))
+
+    assert rtf_text(rf"{{\rtf1\ansi\ansicpg932 {coded('日本', 'cp932')} x}}".encode()) == "日本 x"
+    assert rtf_text(rf"{{\rtf1\ansi\ansicpg949 {coded('한국', 'cp949')}}}".encode()) == "한국"
+    assert rtf_text(rb"{\rtf1\ansi\ansicpg932 \'83A\'83B}") == b"\x83A\x83B".decode("cp932")
+    assert rtf_text(rb"{\rtf1\ansi\ansicpg932 a\'83\par b}") == "a\ufffd\nb"
+    assert rtf_text(rb"{\rtf1\ansi\ansicpg1252 caf\'e9}") == "café"
