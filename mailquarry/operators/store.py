@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all machines share; where it is unset, a folder in the warehouse, which they share as well."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
