@@ -3,8 +3,9 @@
 A text is a vector of letter trigrams, hashed to DIMENSIONS places, weighted by TF-IDF and normalised. For each
 language spherical k-means makes up to CENTROIDS centroids of a sample of at most about SAMPLE labelled
 texts. A text gets the language of the centroid with the largest cosine. It is rejected if the cosine is low for
-its size: below a fraction of what nearly all sample texts with about as many different trigrams reach. Sizes
-of which the sample has few texts take the bound of the next smaller one; the smallest have none, as a few words can't be told.
+its size: below a fraction of what nearly all sample texts with about as many different trigrams reach. Each sample
+text also gives one piece of a smaller size, so that short texts have bounds of their own. Sizes of which the sample has
+few even so take the bound of the next smaller one.
 
 The sample is drawn by a hash of the id over all rows that may be learnt from; vectors, not texts, go to the
 driver (a few kilobytes each). Scoring reads whole texts and needs no shuffle.
@@ -17,6 +18,7 @@ scored like any other; a null id counts as held out from nothing and is never le
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,8 @@ ROUNDS = 12
 #: Texts are learnt from unless crc32(doc_id) modulo FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 #: A text is rejected below this fraction of the cosine that all but one in a hundred of the sample of its size reach.
-REJECT = 0.5
-#: Sample texts that a size (a power of two of different trigrams) needs for a bound of its own.
+REJECT = 0.4
+#: Sample texts or pieces that a size (a power of two of different trigrams) needs for a bound of its own.
 SIZED = 20
 UNKNOWN = "und"
 
@@ -105,8 +107,8 @@ def size_bounds(sizes: np.ndarray, reach: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(vectors: dict[str, np.ndarray]) -> Model:
-    """From the frequency vectors (rows) of each language."""
+def fit(vectors: dict[str, np.ndarray], pieces: dict[str, np.ndarray] | None = None) -> Model:
+    """From the frequency vectors (rows) of each language, and those of pieces of its texts for the bounds."""
     langs = sorted(vectors)
     if not langs:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(DIMENSIONS.bit_length() + 1))
@@ -122,6 +124,9 @@ def fit(vectors: dict[str, np.ndarray]) -> Model:
         names += [lang] * len(c)
         sizes += [size_of(v) for v in vectors[lang]]
         reached.append(reach)
+        for v in (pieces or {}).get(lang, ()):
+            sizes.append(size_of(v))
+            reached.append((c * idf @ v).max(keepdims=True) / max(float(np.linalg.norm(v * idf)), 1e-12))
     return Model(idf, np.concatenate(centroids), names, size_bounds(np.array(sizes), np.concatenate(reached)))
 
 
@@ -143,17 +148,27 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np
     return c, (x @ c.T).max(axis=1)
 
 
+def piece_of(where: np.ndarray) -> np.ndarray:
+    """A run of a text's trigrams, of a size below its own; size and place are drawn by a hash of them all."""
+    draw = zlib.crc32(where.tobytes())
+    length = min(len(where), 3 << (draw % max(1, len(where).bit_length() - 1)) >> 1)
+    start = draw // 32 % (len(where) - length + 1)
+    return where[start : start + length]
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        langs, places, counts = [], [], []
+    for b in parts(batches, 0):
+        langs, pieces, places, counts = [], [], [], []
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             where = trigrams(text)
-            if where is not None:
-                at, n = np.unique(where, return_counts=True)
+            for piece, run in () if where is None else ((False, where), (True, piece_of(where))):
+                at, n = np.unique(run, return_counts=True)
                 langs.append(lang)
+                pieces.append(piece)
                 places.append(at.astype("<u2").tobytes())
                 counts.append(n.astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "places", "counts"])
+        arrays = [pa.array(langs, pa.string()), pa.array(pieces, pa.bool_()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "piece", "places", "counts"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -162,12 +177,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
     drawn = rows.join(bounded(cut(drawn_ids(rows, "lang", sample).distinct())), ["doc_id", "lang"], "left_semi").select("text", "lang")
-    vectors: dict[str, list[np.ndarray]] = {}
-    for r in sorted(drawn.mapInArrow(_vectors, "lang string, places binary, counts binary").collect(), key=lambda r: (r.lang, bytes(r.places), bytes(r.counts))):
+    vectors: tuple[dict[str, list[np.ndarray]], dict[str, list[np.ndarray]]] = {}, {}
+    for r in sorted(drawn.mapInArrow(_vectors, "lang string, piece boolean, places binary, counts binary").collect(), key=lambda r: (r.lang, bytes(r.places), bytes(r.counts))):
         v = np.zeros(DIMENSIONS, np.float32)
         v[np.frombuffer(r.places, "<u2")] = np.log1p(np.frombuffer(r.counts, "<u4"))
-        vectors.setdefault(r.lang, []).append(v)
-    return fit({k: np.array(v) for k, v in vectors.items()})
+        vectors[r.piece].setdefault(r.lang, []).append(v)
+    return fit(*({k: np.array(v) for k, v in own.items()} for own in vectors))
 
 
 def _scoring(model: Model):

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -112,3 +114,105 @@ def test_noisy_or():
     p = lambda s: 1 / (1 + np.exp(-s))
     assert model.score("a b. x c! d")[0] == pytest.approx(1 - (1 - p(-1)) ** 2 * (1 - p(1)))
     assert model.score("a b. x c! d")[1] == "4:8"
+
+
+def plain_grams(text):
+    """Letter trigrams by their characters: runs of anything else are one blank, one stands at either end."""
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    low = " " + "".join(c for c, before in zip(low, "x" + low, strict=False) if c != " " or before != " ") + " "
+    return ["".join(g) for g in zip(low, low[1:], low[2:], strict=False)]
+
+
+def test_prediction_matches_brute_force():
+    """Cosines of plain dictionaries against those of the vectors, on texts with letters of several alphabets."""
+    rng = random.Random(11)
+    texts = {k: [" ".join("".join(rng.choices(a, k=rng.randint(1, 7))) for _ in range(rng.randint(1, 40))) + rng.choice(["", "!", " 12"]) for _ in range(30)] for k, a in ALPHABETS.items()}
+    model = langid.fit({k: np.array([langid.frequencies(t) for t in v]) for k, v in texts.items()})
+    place = {}
+    for t in [t for v in texts.values() for t in v]:
+        own, hashed = plain_grams(t), langid.trigrams(t).tolist()
+        assert len(own) == len(hashed)
+        place.update(zip(own, hashed, strict=True))
+    for text in [t for v in texts.values() for t in v[:10]]:
+        tf = {}
+        for g in plain_grams(text):
+            tf[place[g]] = tf.get(place[g], 0) + 1
+        own = {p: math.log1p(n) * float(model.idf[p]) for p, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        cosines = [sum(x * float(w[p]) / float(model.idf[p]) for p, x in own.items()) / norm for w in model.weights]
+        lang, score, _ = model.predict(text)
+        assert score == pytest.approx(max(cosines), abs=1e-4)
+        assert lang == model.langs[cosines.index(max(cosines))]
+
+
+def test_equal_cosines_go_to_the_first_language():
+    same = np.array([langid.frequencies("some words here"), langid.frequencies("other words there")])
+    model = langid.fit({"zz": same, "bb": same, "mm": same})
+    assert model.predict("some words")[0] == "bb"
+
+
+def test_short_texts_have_bounds(spark, languages):
+    """All texts of the sample are longer; pieces of them give bounds to fewer than 16 different trigrams."""
+    model = langid.train(languages)
+    assert (model.bounds[2:] > 0).all()
+    rng = random.Random(12)
+    own = ["".join(rng.choices(rng.choice(list(ALPHABETS.values())), k=rng.randint(4, 12))) for _ in range(300)]
+    assert np.mean([model.predict(t)[2] for t in own]) < 0.02
+    strange = ["".join(rng.choices("абвгдежзиклмно", k=rng.randint(6, 12))) for _ in range(300)]
+    assert np.mean([model.predict(t)[2] for t in strange]) > 0.9
+
+
+def test_toxic_gradient_leads_where_brute_force_does():
+    """The likelihood that fit() climbs, by plain loops: no small step from its result gains."""
+    rng = random.Random(13)
+    docs = []
+    for _ in range(150):
+        bad = rng.random() < 0.4
+        own = [tuple(sorted(rng.sample(range(1, 4), rng.randint(0, 2)))) for _ in range(rng.randint(1, 5))]
+        if bad or rng.random() < 0.05:
+            own[rng.randrange(len(own))] += (0,)
+        docs.append((int(bad), [tuple(sorted(s)) for s in own]))
+    words = ["vile", "a", "b", "c"]
+    model = toxicity.fit(docs, words)
+
+    def gain(bias, theta):
+        total = -toxicity.RIDGE / 2 * sum(x * x for x in theta)
+        for y, own in docs:
+            clean = math.prod(1 - 1 / (1 + math.exp(-bias - sum(theta[w] for w in s))) for s in own)
+            total += math.log(1 - clean if y else clean)
+        return total
+
+    theta = [model.weights.get(w, 0.0) for w in words]
+    best = gain(model.bias, theta)
+    for k in range(5):
+        for step in (-0.2, 0.2):
+            moved = [model.bias, *theta]
+            moved[k] += step
+            assert gain(moved[0], moved[1:]) < best
+    assert theta[0] > 2 * max(theta[1:]) > 0
+
+
+def plain_score(model, text):
+    clean, found = 1.0, []
+    for m in re.finditer(r"[^.!?\n]+", text.lower()):
+        own = set(re.findall(r"[^\W\d_]+", m.group()))
+        if own:
+            s = model.bias + sum(model.weights.get(w, 0.0) for w in own)
+            clean *= 1 - 1 / (1 + math.exp(-s))
+            if s > 0:
+                found.append(f"{m.start()}:{m.end()}")
+    return (1 - clean if re.search(r"[^\W\d_]", text) else 1 / (1 + math.exp(-model.bias))), ",".join(found)
+
+
+def test_toxic_scores_match_brute_force():
+    model = toxicity.Model(-6.0, {"vile": 8.0, "rotten": 5.0, "kind": -3.0})
+    rng = random.Random(14)
+    pool = ["vile", "Rotten", "kind", "x1y", "élan", "word", "_", "7"]
+    texts = ["", "12. 34!", *("".join(rng.choice(pool) + rng.choice([" ", ". ", "! ", "\n", "? ", ", "]) for _ in range(rng.randint(1, 30))) for _ in range(200))]
+    for text in texts:
+        score, found = model.score(text)
+        want, spans = plain_score(model, text)
+        assert score == pytest.approx(want, abs=1e-9) and found == spans, text
+    # a very long text, with one offending sentence at its end
+    long = "word " * 300_000 + ". " + "vile vile"
+    assert model.score(long)[1] == f"{len(long) - 10}:{len(long)}" and model.score(long)[0] > 0.8

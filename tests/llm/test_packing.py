@@ -70,3 +70,27 @@ def test_empty_null_and_repeated(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = packing.pack(spark.createDataFrame([(None, "a b"), (1, None), (1, None)], "doc_id long, text string")).collect()
     assert sum(r.length for r in rows) == 5
+
+
+def test_placement_matches_brute_force():
+    """Each tail goes to the fill level with the smallest sum of squares, found by trying them all; the fullest of equals."""
+    rng = random.Random(5)
+    window, p, levels = 32, packing.Packer(32, 10**9), {}
+
+    def squares(counts):
+        return sum(n * n for n in counts.values())
+
+    for d in range(800):
+        size = rng.choice([1, 2, 3, 5, 8, 13, 21, 31])
+        best = None
+        for level in sorted([0, *(k for k, n in levels.items() if n and k + size <= window)], reverse=True):
+            after = dict(levels)
+            if level:
+                after[level] -= 1
+            if level + size < window:
+                after[level + size] = after.get(level + size, 0) + 1
+            if best is None or squares(after) < squares(best):
+                best = after
+        levels = best
+        p.add(d, np.zeros(size, "<u4").tobytes())
+        assert {k: n for k, n in levels.items() if n} == {int(k): int(p.count[k]) for k in np.flatnonzero(p.count)}
