@@ -185,11 +185,12 @@ def format_conversations(rows: DataFrame, path: str | None = None) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         conv, n, formatted, loss = (b.column(i).to_pylist() for i in range(4))
-        turns = ["".join(f"{r}\n{t}\n" for r, t in parse(f)) for f in formatted]
+        parsed = [parse(f) for f in formatted]
+        turns = ["".join(f"{r}\n{t}\n" for r, t in p) for p in parsed]
         texts = ["".join(map(unescape, x)) for x in loss]
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(conv, pa.int64()), pa.array([len(parse(f)) for f in formatted], pa.int64()), pa.array(map(sha, turns), pa.string()),
+            [pa.array(conv, pa.int64()), pa.array(map(len, parsed), pa.int64()), pa.array(map(sha, turns), pa.string()),
              pa.array(map(len, texts), pa.int64()), pa.array(map(sha, texts), pa.string()), pa.array(map(len, formatted), pa.int64())],
             names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
         )
