@@ -90,12 +90,12 @@ class Model:
         cosines = self.weights @ tf / max(norm, 1e-12)
         best = int(np.argmax(cosines))
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.langs[best], score, score <= float(self.bounds[size_of(tf)])
+        return self.langs[best], score, score <= float(self.bounds[size_of(np.flatnonzero(tf))])
 
 
-def size_of(tf: np.ndarray) -> int:
+def size_of(places: np.ndarray) -> int:
     """The power of two of the number of different trigrams."""
-    return max(int(np.count_nonzero(tf)).bit_length() - 1, 0)
+    return max(len(places).bit_length() - 1, 0)
 
 
 def size_bounds(sizes: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -107,27 +107,39 @@ def size_bounds(sizes: np.ndarray, reach: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(vectors: dict[str, np.ndarray], pieces: dict[str, np.ndarray] | None = None) -> Model:
-    """From the frequency vectors (rows) of each language, and those of pieces of its texts for the bounds."""
-    langs = sorted(vectors)
+#: Places and the log of 1 plus their counts.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(where: np.ndarray) -> Sparse:
+    at, n = np.unique(where, return_counts=True)
+    return at, np.log1p(n).astype(np.float32)
+
+
+def fit(texts: dict[str, list[Sparse]], pieces: dict[str, list[Sparse]] | None = None) -> Model:
+    """From the vectors of the texts of each language, and those of pieces of them for the bounds. One language at a time is dense."""
+    langs = sorted(texts)
     if not langs:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(DIMENSIONS.bit_length() + 1))
-    n = sum(len(v) for v in vectors.values())
-    df = sum((v > 0).sum(0) for v in vectors.values())
+    n = sum(map(len, texts.values()))
+    df = np.bincount(np.concatenate([at for own in texts.values() for at, _ in own]), minlength=DIMENSIONS)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     centroids, names, sizes, reached = [], [], [], []
     for lang in langs:
-        x = vectors[lang] * idf
+        x = np.zeros((len(texts[lang]), DIMENSIONS), np.float32)
+        for row, (at, tf) in zip(x, texts[lang], strict=True):
+            row[at] = tf * idf[at]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c, reach = spherical_kmeans(x, CENTROIDS, ROUNDS)
         centroids.append(c)
         names += [lang] * len(c)
-        sizes += [size_of(v) for v in vectors[lang]]
-        reached.append(reach)
-        for v in (pieces or {}).get(lang, ()):
-            sizes.append(size_of(v))
-            reached.append((c * idf @ v).max(keepdims=True) / max(float(np.linalg.norm(v * idf)), 1e-12))
-    return Model(idf, np.concatenate(centroids), names, size_bounds(np.array(sizes), np.concatenate(reached)))
+        sizes += [size_of(at) for at, _ in texts[lang]]
+        reached += reach.tolist()
+        for at, tf in (pieces or {}).get(lang, ()):
+            own = tf * idf[at]
+            sizes.append(size_of(at))
+            reached.append(float((c[:, at] @ own).max() / max(float(np.linalg.norm(own)), 1e-12)))
+    return Model(idf, np.concatenate(centroids), names, size_bounds(np.array(sizes), np.array(reached)))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +189,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
     drawn = rows.join(bounded(cut(drawn_ids(rows, "lang", sample).distinct())), ["doc_id", "lang"], "left_semi").select("text", "lang")
-    vectors: tuple[dict[str, list[np.ndarray]], dict[str, list[np.ndarray]]] = {}, {}
+    found: tuple[dict[str, list[Sparse]], dict[str, list[Sparse]]] = {}, {}
     for r in sorted(drawn.mapInArrow(_vectors, "lang string, piece boolean, places binary, counts binary").collect(), key=lambda r: (r.lang, bytes(r.places), bytes(r.counts))):
-        v = np.zeros(DIMENSIONS, np.float32)
-        v[np.frombuffer(r.places, "<u2")] = np.log1p(np.frombuffer(r.counts, "<u4"))
-        vectors[r.piece].setdefault(r.lang, []).append(v)
-    return fit(*({k: np.array(v) for k, v in own.items()} for own in vectors))
+        at, n = np.frombuffer(r.places, "<u2"), np.frombuffer(r.counts, "<u4")
+        found[r.piece].setdefault(r.lang, []).append((at, np.log1p(n).astype(np.float32)))
+    return fit(*found)
 
 
 def _scoring(model: Model):

@@ -127,7 +127,7 @@ def test_prediction_matches_brute_force():
     """Cosines of plain dictionaries against those of the vectors, on texts with letters of several alphabets."""
     rng = random.Random(11)
     texts = {k: [" ".join("".join(rng.choices(a, k=rng.randint(1, 7))) for _ in range(rng.randint(1, 40))) + rng.choice(["", "!", " 12"]) for _ in range(30)] for k, a in ALPHABETS.items()}
-    model = langid.fit({k: np.array([langid.frequencies(t) for t in v]) for k, v in texts.items()})
+    model = langid.fit({k: [langid.sparse(langid.trigrams(t)) for t in v] for k, v in texts.items()})
     place = {}
     for t in [t for v in texts.values() for t in v]:
         own, hashed = plain_grams(t), langid.trigrams(t).tolist()
@@ -146,7 +146,7 @@ def test_prediction_matches_brute_force():
 
 
 def test_equal_cosines_go_to_the_first_language():
-    same = np.array([langid.frequencies("some words here"), langid.frequencies("other words there")])
+    same = [langid.sparse(langid.trigrams(t)) for t in ("some words here", "other words there")]
     model = langid.fit({"zz": same, "bb": same, "mm": same})
     assert model.predict("some words")[0] == "bb"
 
