@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, table
+from .common import only, parts, table
 
 WINDOW = 4096
 END_ID = 2
@@ -257,11 +257,9 @@ def _packing(path: str, window: int, open_limit: int, cache: int):
         encode.limit = cache
         packer = Packer(window, open_limit, TaskContext.get().partitionId() << 36)
         end = np.array([END_ID], "<u4").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    packer.add(doc_id, ids + end)
+        for b in parts(batches, rows=512):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                packer.add(doc_id, ids + end)
             yield packer.drain()
         packer.finish()
         yield packer.drain()
