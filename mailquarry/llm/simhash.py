@@ -152,7 +152,9 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, blocks: int = 4, limit
         sizes = cut(keys.groupBy("m", "key").count().filter("count > 1"))
         last = depth == len(tree) - 1
         near = keys.join(sizes if last else sizes.filter(F.col("count") <= limit), ["m", "key"]).select("m", "key", F.col("fp").alias("node"), "fp")
-        near = near.repartition("m", "key").sortWithinPartitions("m", "key", "fp")
+        # Dealt by a hash of m and key: by m and key themselves Spark would keep the join's exchange instead, and scatter a bucket
+        # over tasks wherever it reads that exchange locally, as the join became a broadcast, or splits a skewed part of it.
+        near = near.repartition(F.xxhash64("m", "key")).sortWithinPartitions("m", "key", "fp")
         edges = edges.union(near.mapInArrow(_linker(radius), "a long, b long"))
         hot = sizes.filter(F.col("count") > limit)
         if last or hot.isEmpty():

@@ -75,6 +75,49 @@ def test_links_are_complete(spark, limit):
     assert len(groups) == len(set(want.values()))
 
 
+#: What makes Spark plan a sort-merge join, and then read its shuffle locally as a broadcast, or split its partitions.
+RUNTIME_PLANS = {
+    "broadcast": {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    },
+    "skew": {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100b",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    },
+}
+
+
+@pytest.mark.parametrize("plan", RUNTIME_PLANS)
+def test_buckets_stay_whole_in_plans_changed_at_run_time(spark, plan):
+    """Pairs 1 or 2 bits apart, dealt over partitions, in a join that Spark plans anew at run time."""
+    rng = random.Random(21)
+    first = [rng.getrandbits(64) for _ in range(150)]
+    second = [x ^ sum(1 << k for k in rng.sample(range(64), 1 + n % 2)) for n, x in enumerate(first)]
+    centre = rng.getrandbits(64)
+    prints = [*first, *(centre ^ k for k in range(8)), *second]
+    rows = simhash.cut(spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long").repartition(16, "fp"))
+    before = {k: spark.conf.get(k, None) for k in RUNTIME_PLANS[plan]}
+    try:
+        for k, v in RUNTIME_PLANS[plan].items():
+            spark.conf.set(k, v)
+        edges = simhash.link_fingerprints(rows).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    at = {simhash._signed(p): i for i, p in enumerate(prints)}
+    forest = bitslice.Forest(len(prints))
+    for a, b in edges:
+        forest.join(at[a], at[b])
+    own = [*range(150), *[150] * 8, *range(150)]
+    assert [forest.root(i) for i in range(len(prints))] == own
+
+
 def test_group_on_documents(spark):
     texts = [*TEXTS, "a b c", "a b c"]
     rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(5, "a b c")]
