@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, packing, pii, secretscan, simhash, toxicity, urlfilter
+from . import chat, decontam, exact_dedup, langid, mixing, packing, pii, secretscan, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_secret_scan": secretscan.op10_secret_scan,
+    "op12_source_mixing": mixing.op12_source_mixing,
 }
 
 ORACLES = {
