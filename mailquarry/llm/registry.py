@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, mixing, packing, pii, secretscan, simhash, toxicity, urlfilter
+from . import chat, decontam, exact_dedup, langid, lexical, mixing, packing, pii, secretscan, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_secret_scan": secretscan.op10_secret_scan,
     "op12_source_mixing": mixing.op12_source_mixing,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
     "op10_secret_scan": secretscan.oracle(),
+    "op13_lexical_search": lexical.ORACLE,
 }
