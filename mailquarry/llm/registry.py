@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, lexical, mixing, packing, pii, secretscan, simhash, toxicity, urlfilter
+from . import chat, convtrie, decontam, exact_dedup, langid, lexical, mixing, packing, pii, secretscan, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_secret_scan": secretscan.op10_secret_scan,
+    "op11_prefix_trie": convtrie.op11_prefix_trie,
     "op12_source_mixing": mixing.op12_source_mixing,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op8_chat_format": chat.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
     "op10_secret_scan": secretscan.oracle(),
+    "op11_prefix_trie": convtrie.ORACLE,
     "op13_lexical_search": lexical.ORACLE,
 }
