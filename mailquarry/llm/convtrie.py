@@ -105,7 +105,8 @@ def sorted_classes(turns: DataFrame, classes: DataFrame) -> DataFrame:
         depth *= 2
         settled = settled.union(again.filter(F.col("length") <= depth).select("cls", F.lit(depth).cast("long").alias("depth")))
         left = written(again.filter(F.col("length") > depth))[0]
-    own = turns.join(settled, "cls").filter(F.col("pos") <= F.col("depth"))
+    # one turn more, so that a class comes behind one that ends where it goes on
+    own = turns.join(settled, "cls").filter(F.col("pos") <= F.col("depth") + 1)
     listed = own.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("pos", "k1", "k2", "size"))).alias("list"))
     keys = F.flatten(F.transform("list", lambda x: F.array(x["k1"], x["k2"])))
     none = F.array().cast("array<bigint>")

@@ -16,6 +16,8 @@ def rows(df):
     def cell(v):
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
             return "null"
+        if isinstance(v, float) and v.is_integer():
+            v = int(v)  # a column of numbers with nulls
         return str(int(v)) if isinstance(v, (bool, int)) or hasattr(v, "dtype") and v.dtype.kind in "iub" else str(v)
 
     names = sorted(df.columns)
