@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailquarry.functions.mail import normalise_id, normalise_subject, referenced_ids
 from mailquarry.operators.graph import components
-from mailquarry.operators.store import cut
+from mailquarry.operators.order import file_of, ordered
+from mailquarry.operators.store import cut, written
 
 GAP_MS = 120 * 86_400_000
 LOOK_BACK = 8
@@ -36,20 +38,44 @@ def weak_edges(items: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges between messages of one subject: each looks back over up to eight earlier ones within 120 days and links
     to the first with a participant in common, unless it meets one of its own thread before.
 
-    A subject's messages are followed in order of date and id, as a stream: a task holds the last eight and the threads
-    that weak links have joined, however many messages a subject has.
+    A subject is followed in order of date and id, in stretches between pauses of more than 120 days, which no link crosses. Each stretch is
+    a stream: a task holds the last eight messages and the threads that weak links have joined, however long it is.
     """
     own = items.filter(F.col("date_ms").isNotNull()).select("id", normalise_subject(F.col("topic")).alias("subject"), "date_ms", "parties")
     own = own.filter(F.length("subject") >= LEAST_SUBJECT)
     many = cut(own.groupBy("subject").count().filter("count > 1").select("subject"))
     own = own.join(many, "subject").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     own = own.select("subject", "id", F.coalesce("root", "id").alias("root"), "date_ms", "parties")
-    own = own.repartition("subject").sortWithinPartitions("subject", "date_ms", "id")
-    return own.mapInArrow(_follow, "a long, b long")
+    return dealt(_stretches(own)).mapInArrow(_follow, "a long, b long")
+
+
+def _stretches(own: DataFrame) -> DataFrame:
+    """own with stretch: a number that the messages of a subject share between two pauses of more than GAP_MS."""
+    rows = ordered(own, F.col("subject"), F.col("date_ms"), F.col("id"))
+    file = file_of(F.col("at"))
+    in_file = W.partitionBy(file).orderBy("at")
+    here = F.struct("subject", "date_ms")
+    # what the files before end with: one row a file
+    lasts = rows.groupBy(file.alias("file")).agg(F.max_by(here, "at").alias("end"))
+    lasts = lasts.select("file", F.lag("end").over(W.orderBy("file")).alias("other"))
+    rows = rows.withColumn("inner", F.lag(here).over(in_file)).join(F.broadcast(lasts), file == F.col("file"))
+    before = F.coalesce("inner", "other")
+    starts = before.isNull() | (before["subject"] != F.col("subject")) | (F.col("date_ms") - before["date_ms"] > GAP_MS)
+    rows = written(rows.withColumn("start", F.when(starts, F.col("at"))).drop("inner", "other", "file"))[0]
+    opened = rows.groupBy(file.alias("file")).agg(F.max("start").alias("open"))
+    opened = opened.select("file", F.last("open", True).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)).alias("open"))
+    rows = rows.withColumn("own", F.last("start", True).over(in_file)).join(F.broadcast(opened), file == F.col("file"))
+    return rows.select(F.coalesce("own", "open").alias("stretch"), "id", "root", "date_ms", "parties")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Each stretch in order in one task. Dealt by a hash of its number: by the number itself Spark might keep the partitions of a join
+    before, and scatter a stretch where it splits a large one of them or reads it in parts."""
+    return rows.repartition(F.xxhash64("stretch")).sortWithinPartitions("stretch", "date_ms", "id")
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    subject, recent, up = None, deque(maxlen=LOOK_BACK), {}
+    stretch, recent, up = None, deque(maxlen=LOOK_BACK), {}
 
     def find(x: int) -> int:
         while x in up:
@@ -58,9 +84,9 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for name, i, root, at, people in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if name != subject:
-                subject, recent, up = name, deque(maxlen=LOOK_BACK), {}
+        for number, i, root, at, people in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if number != stretch:
+                stretch, recent, up = number, deque(maxlen=LOOK_BACK), {}
             people = frozenset(people or ())
             for j, other, before, known in reversed(recent):
                 a, b = find(root), find(other)

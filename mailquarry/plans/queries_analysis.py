@@ -9,7 +9,7 @@ from mailquarry.operators import impersonation, store, threads
 from mailquarry.plans.queries_functions import block, values
 from mailquarry.plans.queries_tables import _NAMED, _named
 from mailquarry.plans.registry import query
-from mailquarry.sources.case import fixture_domains, fixture_threads, table
+from mailquarry.sources.case import fixture_domains, fixture_subjects, fixture_threads, table
 
 _SPOOF = [
     (1, "Nora Vidal", "nora@atelier.test", None, "desk@lagune.test", None, None, "pass", None, 1),
@@ -98,28 +98,25 @@ def thr1_strong_threads(spark, sf_dir):
     return threads.build(fixture_threads(spark, sf_dir), weak=False)
 
 
-_ITEMS = [
-    (10, "a@x", None, None, None, "Projet", 1, None), (11, "b@x", "a@x", None, None, "RE: Projet", 2, None), (12, "c@x", None, "<a@x> <b@x>", None, "RE: RE: Projet", 3, None), (13, "a@x", None, None, None, "Projet", 1, None),
-    (20, "z@y", None, None, None, "Autre", 1, None), (30, None, None, None, "0123456789", "Réunion", 5, None), (31, None, None, None, "0123456789", "Réunion", 6, None),
-    (40, None, None, None, None, "Facture d'octobre", 2, ["a@x.fr", "b@y.fr"]), (41, None, None, None, None, "TR: Facture d'octobre", 4, ["b@y.fr", "c@z.fr"]), (42, None, None, None, None, "Facture d'octobre", 4, ["d@q.fr"]),
-    (50, None, None, None, None, "Facture d'octobre", 200, ["a@x.fr"]),
-]
-_EXPECTED = [(10, 10, 4), (11, 10, 4), (12, 10, 4), (13, 10, 4), (20, 20, 1), (30, 30, 2), (31, 30, 2), (40, 40, 2), (41, 40, 2), (42, 42, 1), (50, 50, 1)]
+#: Without a link inside a subject before, a message's own thread is met only after a link in common, so what it links to is the nearest of eight that fits.
+_WEAK = """s AS (SELECT conv_id * 1000000 + turn AS id, conv_id, turn, (conv_id * 3 + turn) % 40 AS subject, (conv_id * 37 + turn * 11) % 2000 AS day, 'a' || conv_id % 7 AS p1, role || turn % 3 AS p2 FROM conversations),
+  o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY day, id) AS k FROM s),
+  w AS (SELECT x.id AS a, arg_max(y.id, y.k) AS b FROM o x JOIN o y ON x.subject = y.subject AND y.k < x.k AND y.k >= x.k - 8 AND x.day - y.day <= 120 AND (x.p1 = y.p1 OR x.p2 = y.p2) GROUP BY x.id)"""
 
 
-def _items(spark):
-    df = spark.createDataFrame(_ITEMS, "id long, message_id string, in_reply_to string, refs string, conv_key string, topic string, day long, parties array<string>")
-    return df.withColumn("date_ms", F.col("day") * 86_400_000).drop("day")
-
-
-@query(values(_EXPECTED, "id, thread_id, thread_count").replace("SELECT *", "SELECT CAST(id AS BIGINT) AS id, CAST(thread_id AS BIGINT) AS thread_id, thread_count"))
+@query(
+    f"""WITH RECURSIVE {_WEAK}, e AS (SELECT a, b FROM w UNION ALL SELECT b, a FROM w UNION ALL SELECT conv_id * 1000000, conv_id * 1000000 + 1 FROM s WHERE turn = 1 AND conv_id % 2 = 0
+  UNION ALL SELECT conv_id * 1000000 + 1, conv_id * 1000000 FROM s WHERE turn = 1 AND conv_id % 2 = 0),
+  r AS (SELECT id AS n, id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.n WHERE r.root < e.b), m AS (SELECT n AS id, min(root) AS thread_id FROM r GROUP BY n)
+  SELECT id, thread_id, CAST(count(*) OVER (PARTITION BY thread_id) AS INTEGER) AS thread_count FROM m"""
+)
 def thr2_weak_links(spark, sf_dir):
-    return threads.build(_items(spark))
+    return threads.build(fixture_subjects(spark, sf_dir))
 
 
-@query(values([(40, 41)], "b, a").replace("SELECT *", "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b"))
+@query(f"WITH {_WEAK} SELECT a, b FROM w")
 def jon10_weak_candidates(spark, sf_dir):
-    items = _items(spark)
+    items = fixture_subjects(spark, sf_dir)
     return threads.weak_edges(items, threads.components(threads.strong_edges(items)))
 
 

@@ -98,6 +98,20 @@ def fixture_threads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def fixture_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """conversations as messages of 40 subjects over some years; the first two turns of every other conversation, which differ in subject, share a key."""
+    c = table(spark, folder, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    return c.select(
+        (conv * 1_000_000 + turn).alias("id"),
+        *(F.lit(None).cast("string").alias(n) for n in ("message_id", "in_reply_to", "refs")),
+        F.when((conv % 2 == 0) & (turn < 2), F.concat(F.lit("key "), conv)).alias("conv_key"),
+        F.concat(F.when(turn > 0, F.lit("RE: ")).otherwise(""), F.lit("Matter  "), (conv * 3 + turn) % 40).alias("topic"),
+        ((conv * 37 + turn * 11) % 2000 * 86_400_000).alias("date_ms"),
+        F.array(F.concat(F.lit("a"), conv % 7), F.concat(F.col("role"), turn % 3)).alias("parties"),
+    )
+
+
 def fixture_domains(spark: SparkSession, folder: str) -> DataFrame:
     """Sender domains and their messages, from the hosts of pages: 'X.Y.example.TLD' stands for 'Y.TLD'."""
     host = F.regexp_extract("url", "://([^/?#]*)", 1)

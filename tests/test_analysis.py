@@ -1,11 +1,12 @@
 from datetime import datetime, timedelta
 
+import pytest
 from mailquarry.functions import dates, domains, excerpts, mail, sensitive
 from mailquarry.functions import text as X
 from mailquarry.operators import impersonation, threads
 from mailquarry.operators.labels import SENSITIVE_LABELS, flag_labels
 from mailquarry.operators.tree import folder_tree
-from mailquarry.plans.queries_analysis import _ALIKE, _CODED, _EXPECTED, _GIVEN, _items
+from mailquarry.plans.queries_analysis import _ALIKE, _CODED, _GIVEN
 from mailquarry.plans.queries_functions import BLOCK
 from pyspark.sql import functions as F
 
@@ -77,10 +78,77 @@ def test_sensitive_scan(spark):
     assert sensitive.scan(big).count() == 0
 
 
+MAILS = "id long, message_id string, in_reply_to string, refs string, conv_key string, topic string, date_ms long, parties array<string>"
+DAY = 86_400_000
+
+
+def followed(rows):
+    """Edges of weak links, subject by subject as described."""
+    out, by_subject = set(), {}
+    for i, root, subject, at, people in sorted(rows, key=lambda r: (r[2], r[3], r[0])):
+        by_subject.setdefault(subject, []).append((i, root, at, set(people or ())))
+    for own in by_subject.values():
+        up = {}
+
+        def find(x, up=up):
+            while x in up:
+                x = up[x]
+            return x
+
+        for k, (i, root, at, people) in enumerate(own):
+            for j, other, before, known in reversed(own[max(0, k - 8) : k]):
+                a, b = find(root), find(other)
+                if at - before > 120 * DAY or a == b:
+                    break
+                if people & known:
+                    up[max(a, b)] = min(a, b)
+                    out.add((i, j))
+                    break
+    return out
+
+
 def test_threads(spark):
-    got = sorted(tuple(r) for r in threads.build(_items(spark)).collect())
-    assert got == _EXPECTED
-    assert threads.build(_items(spark).limit(0)).count() == 0
+    rows = [
+        (1, "<P1@lac.test>", None, None, None, "Chantier du pont", 10 * DAY, None), (2, "p2@lac.test", "p1@lac.test", None, None, None, None, None), (3, "p3@lac.test", None, "<p0@lac.test> <p2@lac.test>", None, "x", 0, None),
+        (4, None, None, None, "KEY-A", "Devis", 0, None), (5, None, None, None, "KEY-A", None, 0, None),
+        (6, None, None, None, None, "Inventaire du dépôt", 20 * DAY, ["lise", "omar"]), (7, None, None, None, None, "Re: Tr: Inventaire  du DÉPÔT", 139 * DAY, ["omar"]), (8, None, None, None, None, "inventaire du dépôt", 139 * DAY, ["zoe"]),
+        (9, None, None, None, None, "Inventaire du dépôt", 260 * DAY, ["omar"]), (10, None, None, None, None, "Devis", 1 * DAY, ["lise"]), (11, None, None, None, None, "Devis", 2 * DAY, ["lise"]),
+    ]
+    got = {r.id: (r.thread_id, r.thread_count) for r in threads.build(spark.createDataFrame(rows, MAILS)).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 2), 5: (4, 2), 6: (6, 2), 7: (6, 2), 8: (8, 1), 9: (9, 1), 10: (10, 1), 11: (11, 1)}
+    assert threads.build(spark.createDataFrame([], MAILS)).count() == 0
+
+
+def weak_case(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(n) if rng.random() < 0.3 else i, f"matter {rng.choice([0, 0, 0, 1, 2])}", rng.randrange(900 if i % 2 else 90) * DAY, rng.sample("abcdefgh", 2)) for i in range(n)]
+    return [(i, min(root, i), *rest) for i, root, *rest in rows]
+
+
+def test_weak_links_brute_force(spark):
+    """The stretches of a subject give what the whole subject gives, where a thread doesn't come back after a pause."""
+    for seed in range(3):
+        rows = [(i, i, *rest) for i, _, *rest in weak_case(400, seed)]
+        items = spark.createDataFrame([(i, None, None, None, None, s, at, p) for i, _, s, at, p in rows], MAILS).repartition(3)
+        got = [tuple(r) for r in threads.weak_edges(items, spark.createDataFrame([], "node long, root long")).collect()]
+        assert len(got) == len(set(got)) and set(got) == followed(rows)
+
+
+@pytest.mark.parametrize("plan", [{"spark.sql.autoBroadcastJoinThreshold": "-1"}, {"spark.sql.adaptive.autoBroadcastJoinThreshold": "100m"}])
+def test_weak_links_keep_a_subject_together(spark, plan):
+    """However Spark joins and splits what comes before, no link is lost."""
+    own = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.coalescePartitions.enabled": "false", **plan}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        items = spark.range(6000).selectExpr("id", "CAST(NULL AS STRING) message_id", "CAST(NULL AS STRING) in_reply_to", "CAST(NULL AS STRING) refs", "CAST(NULL AS STRING) conv_key", "concat('matter ', id % 3) topic", "id * 1000 date_ms", "array('a') parties")
+        roots = spark.createDataFrame([], "node long, root long")
+        assert threads.weak_edges(items, roots).count() == 6000 - 3
+    finally:
+        for k in own:
+            spark.conf.unset(k)
 
 
 def test_thread_components_brute_force(spark):
