@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailquarry.operators.store import cut, shared_dir, written
+from mailquarry.operators.order import file_of, numbered, ordered  # noqa: F401  operators take them from here
+from mailquarry.operators.store import cut, shared_dir, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,24 +136,3 @@ def positional(docs: DataFrame) -> tuple[DataFrame, str, str, Callable[[DataFram
     at = lambda n: names.index(n) if n in names else low.index(n)
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
     return rows, f"c{at('doc_id')}", f"c{at('text')}", lambda df: df.select(*rows.columns).toDF(*names)
-
-
-def ordered(df: DataFrame, *order: Column) -> DataFrame:
-    """df written in a global order, with `at`: its upper bits number the file, the lower 33 the row in it.
-
-    Rows are dealt by ranges of the whole order, so a key with many rows is spread as long as the order tells its rows apart.
-    """
-    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))[0]
-
-
-def file_of(at: Column) -> Column:
-    return F.shiftright(at, 33)
-
-
-def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
-    """What ordered() gives with each row's number in the whole order, from 0. One count a file is all that one task sees."""
-    sizes = rows.groupBy(file_of(F.col("at")).alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("file", before.alias("before"))
-    met = rows.join(F.broadcast(starts), file_of(F.col("at")) == F.col("file"))
-    return met.withColumn(name, F.col("at").bitwiseAND((1 << 33) - 1) + F.col("before")).drop("file", "before")
