@@ -125,11 +125,11 @@ def _address(*candidates: str | None) -> str | None:
     return next((c for c in candidates if c and "@" in c and not c.lower().startswith("/o=")), None)
 
 
-def from_properties(p) -> Message:
-    """A message without recipients and attachments, of any bag of properties."""
+def from_properties(p, bodies: bool = True) -> Message:
+    """A message without recipients and attachments, of any bag of properties; its bodies are read only if asked for."""
     index = p.binary(0x0071)
     flags = p.number(0x0E07)
-    page = p.binary(0x1013)
+    page = p.binary(0x1013) if bodies else None
     subject = p.clean(0x0037)
     m = Message(
         subject=subject,
@@ -149,9 +149,11 @@ def from_properties(p) -> Message:
         submit=p.time(0x0039),
         created=p.time(0x3007),
         modified=p.time(0x3008),
-        body=p.text(0x1000),
-        html=decode(page, f"cp{p.number(0x3FDE)}" if p.number(0x3FDE) else None) if page else p.text(0x1013),
     )
+    if not bodies:
+        return m
+    m.body = p.text(0x1000)
+    m.html = decode(page, f"cp{p.number(0x3FDE)}" if p.number(0x3FDE) else None) if page else p.text(0x1013)
     packed = p.binary(0x1009)
     if packed:
         m.rtf = decompress(packed)

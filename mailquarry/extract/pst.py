@@ -1,14 +1,17 @@
 """Mail stores (Unicode format of the public description): B-trees, heaps, property and table contexts, folders.
 
-Blocks that are encoded by substitution need its table of 256 bytes, which is a parameter. Pages and blocks are found by
-search in their trees, so a store of any number of nodes is read with little memory beside its bytes.
+Blocks that are encoded by substitution need its table of 256 bytes, which is a parameter. Pages and blocks are read by their place
+when they are asked for and found by search in their trees, so a store of any size is read with little memory, and a part of it without the rest.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import Protocol
 
 from .limits import Encrypted
 from .message import EPOCH, Message, attachment_of, from_properties, recipient_of
@@ -28,20 +31,74 @@ class Folder:
     depth: int
 
 
+#: What of a message may be asked for beside its short properties.
+ALL = frozenset({"body", "recipients", "attachments"})
+#: Type of a node, in the low five bits of its number.
+MESSAGE = 0x04
+#: Entries of a page of the tree of nodes, in leaves and above them.
+LEAF, ABOVE = 15, 20
+#: Pages of 512 bytes and blocks of at most 8 KB that a store keeps.
+PAGES, BLOCKS = 4096, 256
+
+
+class Source(Protocol):
+    """What a store is read from."""
+
+    def read(self, at: int, size: int) -> bytes: ...
+
+
+class Held:
+    """A store in memory."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def read(self, at: int, size: int) -> bytes:
+        return self.data[at : at + size]
+
+
+class Parts(Sequence):
+    """The blocks of a node's data, read one by one."""
+
+    def __init__(self, store: Store, bids: list[int]):
+        self.store, self.bids = store, bids
+
+    def __len__(self) -> int:
+        return len(self.bids)
+
+    def __getitem__(self, k: int) -> bytes:
+        return self.store.block(self.bids[k])
+
+    def size(self, k: int) -> int:
+        """Without reading the block."""
+        return self.store.place(self.bids[k])[1]
+
+
 class Store:
-    def __init__(self, data: bytes, table: bytes | None = None):
-        if data[:4] != b"!BDN":
+    def __init__(self, source: bytes | Source, table: bytes | None = None):
+        self.source = Held(source) if isinstance(source, (bytes, bytearray, memoryview)) else source
+        head = self.source.read(0, 564)
+        if head[:4] != b"!BDN":
             raise ValueError("not a mail store")
-        if struct.unpack_from("<H", data, 10)[0] < 23:
+        if struct.unpack_from("<H", head, 10)[0] < 23:
             raise ValueError("the older format with 32-bit places isn't read")
-        self.data, self.table = data, table
-        self.encoded = data[513]
-        self.nodes, self.blocks = struct.unpack_from("<Q", data, 224)[0], struct.unpack_from("<Q", data, 240)[0]
+        if table is not None and sorted(table) != list(range(256)):
+            raise ValueError("the substitution must have each of 256 bytes once")
+        self.table, self.encoded = table, head[513]
+        self.nodes, self.blocks = struct.unpack_from("<Q", head, 224)[0], struct.unpack_from("<Q", head, 240)[0]
+        self.page = lru_cache(PAGES)(lambda at: self.source.read(at, 512))
+        self.block = lru_cache(BLOCKS)(self._block)
+
+    def entries(self, page_at: int) -> tuple[int, list[bytes]]:
+        """Level and entries of a page."""
+        page = self.page(page_at)
+        n, size, level = page[488], page[490], page[491]
+        return level, [page[k * size : (k + 1) * size] for k in range(n)]
 
     def _find(self, page_at: int, key: int) -> bytes | None:
         """The leaf entry of a key. Entries are sorted, so each page is searched by halves."""
         for _ in range(16):
-            page = self.data[page_at : page_at + 512]
+            page = self.page(page_at)
             n, size, level = page[488], page[490], page[491]
             low, high = 0, n
             while low < high:
@@ -63,27 +120,62 @@ class Store:
         e = self._find(self.nodes, nid)
         return struct.unpack_from("<QQ", e, 8) if e else None
 
-    def block(self, bid: int) -> bytes:
+    def parent(self, nid: int) -> int | None:
+        e = self._find(self.nodes, nid)
+        return struct.unpack_from("<I", e, 24)[0] if e else None
+
+    def scan(self, low: int = 0, high: int = 1 << 64, page_at: int | None = None, depth: int = 0) -> Iterator[tuple[int, int]]:
+        """Number and parent of the nodes from low to below high; pages outside aren't read."""
+        level, entries = self.entries(self.nodes if page_at is None else page_at)
+        keys = [struct.unpack_from("<Q", e)[0] for e in entries]
+        for k, (key, e) in enumerate(zip(keys, entries, strict=True)):
+            if key >= high:
+                return
+            if level == 0 and key >= low:
+                yield key, struct.unpack_from("<I", e, 24)[0]
+            elif level and depth < 16 and (k + 1 == len(keys) or keys[k + 1] > low):
+                yield from self.scan(low, high, struct.unpack_from("<Q", e, 16)[0], depth + 1)
+
+    def spans(self, nodes: int) -> list[tuple[int, int, int]]:
+        """Ranges (low, high) of node numbers that cover all, and about how many nodes each has: `nodes`, as far as the upper pages of the tree tell."""
+        level, entries = self.entries(self.nodes)
+        while level and LEAF * ABOVE ** (level - 1) > nodes:
+            pages = [self.entries(struct.unpack_from("<Q", e, 16)[0]) for e in entries]
+            level, entries = level - 1, [e for _, own in pages for e in own]
+        each = LEAF * ABOVE ** (level - 1) if level else 1
+        per = max(1, nodes // each)
+        cuts = [struct.unpack_from("<Q", entries[k])[0] for k in range(0, len(entries), per)]
+        counts = [each * min(per, len(entries) - k) for k in range(0, len(entries), per)]
+        return list(zip([0, *cuts[1:]], [*cuts[1:], 1 << 64], counts, strict=True)) if cuts else []
+
+    def place(self, bid: int) -> tuple[int, int]:
+        """Where a block is and how long."""
         e = self._find(self.blocks, bid & ~1)
         if e is None:
             raise ValueError(f"block {bid:x} is missing")
-        at, size = struct.unpack_from("<Q", e, 8)[0], struct.unpack_from("<H", e, 16)[0]
-        raw = self.data[at : at + size]
+        return struct.unpack_from("<Q", e, 8)[0], struct.unpack_from("<H", e, 16)[0]
+
+    def _block(self, bid: int) -> bytes:
+        raw = self.source.read(*self.place(bid))
         if bid & 2 or self.encoded == 0:
             return raw
         if self.encoded != 1 or self.table is None:
             raise Encrypted("the store is encoded")
         return raw.translate(self.table)
 
-    def parts(self, bid: int, level: int = 0) -> list[bytes]:
-        """The data of a node, block by block."""
+    def leaves(self, bid: int, level: int = 0) -> list[int]:
+        """The blocks of a node's data; only arrays of blocks are read."""
         if not bid:
             return []
-        raw = self.block(bid)
         if not bid & 2 or level > 3:
-            return [raw]
+            return [bid]
+        raw = self.block(bid)
         n = struct.unpack_from("<H", raw, 2)[0]
-        return [p for (b,) in struct.iter_unpack("<Q", raw[8 : 8 + 8 * n]) for p in self.parts(b, level + 1)]
+        return [p for (b,) in struct.iter_unpack("<Q", raw[8 : 8 + 8 * n]) for p in self.leaves(b, level + 1)]
+
+    def parts(self, bid: int) -> Parts:
+        """The data of a node, block by block."""
+        return Parts(self, self.leaves(bid))
 
     def subnodes(self, bid: int, level: int = 0) -> dict[int, tuple[int, int]]:
         out: dict[int, tuple[int, int]] = {}
@@ -109,11 +201,25 @@ class Store:
             if nid in seen or self.node(nid) is None:
                 continue
             seen.add(nid)
-            name = (PropertyBag(self, *self.node(nid)).clean(0x3001) or "(sans nom)").replace("/", "∕")
+            name = self._name(nid)
             path = f"{above}/{name}" if above else name
             yield Folder(nid, path, name, depth)
             todo += [(c, path, depth + 1) for c in reversed(self._children(nid))]
 
+    def _name(self, folder: int) -> str:
+        return (PropertyBag(self, *self.node(folder)).clean(0x3001) or "(sans nom)").replace("/", "∕")
+
+    def path_of(self, folder: int, known: dict[int, str | None]) -> str | None:
+        """Path of a folder by its parents, null if they don't lead to the root; `known` keeps what was found."""
+        if folder not in known:
+            known[folder] = None  # a ring of parents leads nowhere
+            above = self.parent(folder)
+            if above == ROOT_FOLDER and folder != ROOT_FOLDER:
+                known[folder] = self._name(folder)
+            elif above and (up := self.path_of(above, known)):
+                known[folder] = f"{up}/{self._name(folder)}"
+        return known[folder]
+
     def _table(self, folder: int, kind: int) -> list[tuple[int, PropertyBag]]:
         own = self.node(folder & ~0x1F | kind)
         return table_rows(self, *own) if own else []
@@ -128,18 +234,28 @@ class Store:
         except (ValueError, IndexError, struct.error):
             return []
 
-    def message(self, nid: int, depth: int = 5) -> Message:
+    def contents(self, folder: int) -> list[int]:
+        """Rows of each block of a folder's contents table; none of them is read."""
+        own = self.node(folder & ~0x1F | CONTENTS)
+        return Table(self, *own).per if own else []
+
+    def rows(self, folder: int, first: int, last: int) -> Iterator[tuple[int, Row]]:
+        """Messages of a folder in some blocks of its contents table."""
+        own = self.node(folder & ~0x1F | CONTENTS)
+        return Table(self, *own).slice(first, last) if own else iter(())
+
+    def message(self, nid: int, depth: int = 5, want: frozenset[str] = ALL) -> Message:
         own = self.node(nid)
         if own is None:
             raise ValueError(f"message {nid:x} is missing")
-        return self._message(*own, depth)
+        return self._message(*own, depth, want)
 
-    def _message(self, data: int, sub: int, depth: int) -> Message:
-        m = from_properties(PropertyBag(self, data, sub))
-        below = self.subnodes(sub)
-        if RECIPIENTS in below:
+    def _message(self, data: int, sub: int, depth: int, want: frozenset[str] = ALL) -> Message:
+        m = from_properties(PropertyBag(self, data, sub), "body" in want)
+        below = self.subnodes(sub) if want & {"recipients", "attachments", "body"} else {}
+        if RECIPIENTS in below and "recipients" in want:
             m.recipients = [r for _, row in table_rows(self, *below[RECIPIENTS]) if (r := recipient_of(row))]
-        if ATTACHMENTS in below:
+        if ATTACHMENTS in below and want & {"attachments", "body"}:
             for k, (nid, _) in enumerate(table_rows(self, *below[ATTACHMENTS])):
                 if nid not in below:
                     continue
@@ -147,9 +263,9 @@ class Store:
                 inner = bag.value(0x3701, 0x000D)
                 target = self.subnodes(below[nid][1]).get(struct.unpack_from("<I", inner)[0]) if inner and len(inner) >= 4 else None
                 embedded = bag.number(0x3705) == 5 and target is not None
-                own = attachment_of(bag, k, embedded)
+                own = attachment_of(bag, k, embedded or "attachments" not in want)
                 if embedded and depth > 0:
-                    own.message = self._message(*target, depth - 1)
+                    own.message = self._message(*target, depth - 1, want)
                 m.attachments.append(own)
         return m
 
@@ -175,7 +291,7 @@ class Heap:
         start, end = struct.unpack_from("<HH", b, at + 4 + 2 * (k - 1))
         return b[start:end]
 
-    def spread(self, hnid: int) -> list[bytes]:
+    def spread(self, hnid: int) -> Sequence[bytes]:
         """An item, or a subnode's blocks."""
         if hnid & 0x1F == 0:
             return [self.item(hnid)]
@@ -183,6 +299,28 @@ class Heap:
             self._below = self.store.subnodes(self.sub)
         return self.store.parts(self._below[hnid][0]) if hnid in self._below else []
 
+    def find(self, hid: int, wanted: int) -> bytes | None:
+        """Content of a record of a tree on the heap; of each level one item is read."""
+        head = self.item(hid)
+        if len(head) < 8:
+            return None
+        key, size, level, at = head[1], head[2], min(head[3], 8), struct.unpack_from("<I", head, 4)[0]
+        while True:
+            raw, step = self.item(at), key + (4 if level else size)
+            low, high = 0, len(raw) // step
+            while low < high:
+                mid = (low + high) // 2
+                if int.from_bytes(raw[mid * step : mid * step + key], "little") <= wanted:
+                    low = mid + 1
+                else:
+                    high = mid
+            if not low:
+                return None
+            record = raw[(low - 1) * step : low * step]
+            if not level:
+                return record[key:] if int.from_bytes(record[:key], "little") == wanted else None
+            at, level = struct.unpack_from("<I", record, key)[0], level - 1
+
     def tree(self, hid: int) -> Iterator[tuple[int, bytes]]:
         """Key and content of each record of a tree on the heap."""
         head = self.item(hid)
@@ -275,27 +413,51 @@ class Row(Values):
         return b"".join(self.heap.spread(struct.unpack("<I", raw)[0])) if kind in VARIABLE else raw
 
 
+class Table:
+    """A table context. Its rows stand in blocks, which a row never crosses; an index tells which of them count."""
+
+    def __init__(self, store: Store, data: int, sub: int):
+        self.heap = heap = Heap(store, data, sub)
+        info = heap.item(heap.root)
+        if not info or info[0] != 0x7C:
+            raise ValueError("no table in the node")
+        _, _, self.bits_at, self.width = struct.unpack_from("<4H", info, 2)
+        self.index, rows = struct.unpack_from("<II", info, 10)
+        self.columns = {}
+        for i in range(info[1]):
+            kind, tag, at, size, bit = struct.unpack_from("<HHHBB", info, 22 + 8 * i)
+            self.columns[tag] = kind, at, size, bit
+        self.blocks = heap.spread(rows) if rows else []
+        sizes = [self.blocks.size(k) for k in range(len(self.blocks))] if isinstance(self.blocks, Parts) else map(len, self.blocks)
+        self.per = [n // self.width for n in sizes]
+
+    def row(self, block: bytes, k: int) -> Row:
+        raw = block[k * self.width : (k + 1) * self.width]
+        return Row(self.heap, self.columns, raw, raw[self.bits_at :])
+
+    def slice(self, first: int, last: int) -> Iterator[tuple[int, Row]]:
+        """Rows of the blocks from first to below last, as far as the index names them."""
+        before = sum(self.per[:first])
+        for b in range(first, min(last, len(self.per))):
+            block = self.blocks[b]
+            for k in range(self.per[b]):
+                rid = struct.unpack_from("<I", block, k * self.width)[0]
+                entry = self.heap.find(self.index, rid)
+                if entry is not None and int.from_bytes(entry[:4], "little") == before + k:
+                    yield rid, self.row(block, k)
+            before += self.per[b]
+
+
 def table_rows(store: Store, data: int, sub: int) -> list[tuple[int, Row]]:
     """Id and cells of each row, in the order of the rows."""
-    heap = Heap(store, data, sub)
-    info = heap.item(heap.root)
-    if not info or info[0] != 0x7C:
-        raise ValueError("no table in the node")
-    _, _, bits_at, width = struct.unpack_from("<4H", info, 2)
-    index, rows = struct.unpack_from("<II", info, 10)
-    columns = {}
-    for i in range(info[1]):
-        kind, tag, at, size, bit = struct.unpack_from("<HHHBB", info, 22 + 8 * i)
-        columns[tag] = kind, at, size, bit
-    blocks = heap.spread(rows) if rows else []
-    per = [len(b) // width for b in blocks]  # a row never crosses blocks
+    t = Table(store, data, sub)
+    starts = [0]
+    for n in t.per:
+        starts.append(starts[-1] + n)
     out = []
-    for rid, raw in sorted(heap.tree(index), key=lambda x: x[1][::-1]):
+    for rid, raw in sorted(t.heap.tree(t.index), key=lambda x: x[1][::-1]):
         k = int.from_bytes(raw[:4], "little")
-        for b, n in zip(blocks, per, strict=True):
-            if k < n:
-                row = b[k * width : (k + 1) * width]
-                out.append((rid, Row(heap, columns, row, row[bits_at:])))
-                break
-            k -= n
+        b = bisect.bisect_right(starts, k) - 1
+        if b < len(t.per):
+            out.append((rid, t.row(t.blocks[b], k - starts[b])))
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import uuid
 import zipfile
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -26,6 +27,7 @@ from mailquarry.sinks.eml import eml_bytes
 from mailquarry.sinks.msgfile import compound, message_tree
 from mailquarry.sources.case import spread, table
 from mailquarry.sources.msg import attachment_rows, parse_files
+from mailquarry.sources.storefile import read_stores
 
 #: A text as the extractors tidy it.
 TIDY = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'),
@@ -204,45 +206,76 @@ def snk10_saved_attachments(spark, sf_dir):
     return cut(saved).select("page_id", F.sha2("data", 256).alias("hash"), F.length("data").cast("long").alias("bytes"))
 
 
-def stores(spark, sf_dir: str) -> DataFrame:
-    """path, content: the documents in mail stores of up to 200 messages, in a folder a language below one a source."""
+#: A substitution of our own for encoded stores; 5 is odd, so each byte comes up once.
+SUBSTITUTION = bytes((5 * i + 77) % 256 for i in range(256))
+
+
+def store_files(spark, sf_dir: str, encoded: bytes | None = None) -> str:
+    """A folder with the documents in mail stores of up to 2000 messages, in a folder a language below one a source."""
+    from mailquarry.operators.store import shared_dir
     from mailquarry.sinks.pstfile import Box, Mail, store
+    from mailquarry.sources.storefile import opened
+
+    where = f"{shared_dir(spark).rstrip('/')}/stores-{uuid.uuid4().hex}"
 
     def mail(r: dict) -> Mail:
         values = {0x0037: f"subject {r['doc_id']}", 0x0042: r["source"], 0x1000: r["text"] or "", 0x0E06: datetime.fromtimestamp(1_700_000_000 + r["doc_id"], UTC), 0x0E07: r["doc_id"] % 2, 0x0E08: r["n_chars"]}
         return Mail(values, [{0x0C15: 1, 0x3001: "Bob", 0x39FE: "bob@y.fr"}], [({0x3707: "a.txt", 0x3701: b"x" * (r["doc_id"] % 5000)}, None)] if r["doc_id"] % 3 == 0 else [])
 
     def run(batches):
+        system, place = opened(where)
+        system.create_dir(place, recursive=True)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                rows = b.slice(at, 200).to_pylist()
+            for at in range(0, b.num_rows, 2000):
+                rows = b.slice(at, 2000).to_pylist()
                 tree: dict = {}
                 for r in rows:
                     tree.setdefault(r["source"], {}).setdefault(r["lang"], []).append(mail(r))
-                data = store([Box(s, [], [Box(g, ms) for g, ms in sorted(langs.items())]) for s, langs in sorted(tree.items())])
-                yield pa.RecordBatch.from_arrays([pa.array([f"{rows[0]['doc_id']}.pst"]), pa.array([data], pa.binary())], names=["path", "content"])
+                name = f"{place}/{rows[0]['doc_id']}"
+                own = f"{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as f:
+                    f.write(store([Box(s, [], [Box(g, ms) for g, ms in sorted(langs.items())]) for s, langs in sorted(tree.items())], encoded))
+                system.move(own, f"{name}.pst")  # a task that is repeated puts the same in its place
+                yield pa.RecordBatch.from_arrays([pa.array([len(rows)])], names=["n"])
 
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars")
-    return docs.mapInArrow(run, "path string, content binary")
+    spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "n long").agg(F.sum("n")).first()
+    return where
 
 
 @query("SELECT source AS path, source AS name, CAST(0 AS INTEGER) AS depth FROM documents GROUP BY source UNION ALL SELECT source || '/' || lang, lang, 1 FROM documents GROUP BY source, lang")
 def src3_store_folders(spark, sf_dir):
-    from mailquarry.sources.pst import read_folders
+    return read_stores(spark, store_files(spark, sf_dir), "folders").select("path", "name", "depth").distinct()
 
-    return read_folders(stores(spark, sf_dir)).select("path", "name", "depth").distinct()
 
+_LISTED = "SELECT source || '/' || lang AS folder, 'subject ' || doc_id AS subject, source AS sender_name, (1700000000 + doc_id) * 1000 AS date_ms, CAST(n_chars AS INTEGER) AS size, doc_id % 2 = 1 AS is_read FROM documents"
+_STORED = """SELECT source || '/' || lang AS folder, 'subject ' || doc_id AS subject, CASE WHEN regexp_matches(text, '[^\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]') THEN text ELSE '' END AS body,
+  CASE WHEN doc_id % 3 = 0 THEN doc_id % 5000 END AS attached FROM documents"""
 
-@query("SELECT source || '/' || lang AS folder, 'subject ' || doc_id AS subject, source AS sender_name, (1700000000 + doc_id) * 1000 AS date_ms, CAST(n_chars AS INTEGER) AS size, doc_id % 2 = 1 AS is_read FROM documents")
+
+@query(_LISTED)
 def src4_store_listing(spark, sf_dir):
-    from mailquarry.sources.pst import list_messages
+    columns = "folder string, subject string, sender_name string, date_ms long, size int, is_read boolean"
+    return read_stores(spark, store_files(spark, sf_dir), "listing", columns, nodes=500)
+
 
-    return list_messages(stores(spark, sf_dir)).select("folder", "subject", "sender_name", "date_ms", "size", "is_read")
+def _stored(df: DataFrame) -> DataFrame:
+    return df.select("folder", "subject", F.coalesce("body", F.lit("")).alias("body"), F.get("attachments", F.lit(0))["size"].alias("attached"))
 
 
-@query("SELECT source || '/' || lang AS folder, 'subject ' || doc_id AS subject, text AS body, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5000 END AS attached FROM documents WHERE text <> ''")
+@query(_STORED)
 def src5_store_messages(spark, sf_dir):
-    from mailquarry.sources.pst import read_messages
+    return _stored(read_stores(spark, store_files(spark, sf_dir), nodes=500))
+
+
+@query(_STORED)
+def src5_encoded_store(spark, sf_dir):
+    return _stored(read_stores(spark, store_files(spark, sf_dir, SUBSTITUTION), table=SUBSTITUTION, nodes=500))
+
+
+@query("SELECT source || '/' || lang AS folder, count(*) AS n, CAST(sum(1700000000 + doc_id) * 1000 AS BIGINT) AS dates FROM documents GROUP BY ALL")
+def src5_pruned_messages(spark, sf_dir):
+    """Only short properties are asked for, so bodies and attachments aren't read."""
+    rows = read_stores(spark, store_files(spark, sf_dir), columns="folder string, date_ms long", nodes=500)
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("date_ms").alias("dates"))
+
 
-    m = read_messages(stores(spark, sf_dir)).filter("body <> ''")
-    return m.select("folder", "subject", "body", F.get("attachments", F.lit(0))["size"].alias("attached"))

@@ -40,18 +40,19 @@ def coded(v) -> tuple[int, bytes]:
 
 
 class Writer:
-    def __init__(self, table: bytes | None = None):
-        """table: the reader's substitution, if blocks are to be encoded."""
+    def __init__(self, table: bytes | None = None, gap: int = 0):
+        """table: the reader's substitution, if blocks are to be encoded. gap: bytes that are left free behind the header, a multiple of 64."""
+        self.gap = gap
         self.table = bytes(table.index(i) for i in range(256)) if table else None
         self.out = bytearray(1024)
         self.blocks: list[tuple[int, int, int]] = []
-        self.nodes: list[tuple[int, int, int]] = []
+        self.nodes: list[tuple[int, int, int, int]] = []
         self.last, self.serial = 0, 0
 
     def block(self, data: bytes, internal: bool = False) -> int:
         self.last += 4
         bid = self.last | (2 if internal else 0)
-        at = len(self.out)
+        at = len(self.out) + self.gap
         self.out += data.translate(self.table) if self.table and not internal else data
         self.out += bytes(-(len(data) + 16) % 64 + 16)
         self.blocks.append((bid, at, len(data)))
@@ -135,22 +136,22 @@ class Writer:
                     below[n] = self.properties({**values, 0x3705: 5}, {0x24: self.mail(inner)}, {0x3701: (0x000D, struct.pack("<II", 0x24, 0))})
         return self.properties(m.values, below)
 
-    def box(self, nid: int, box: Box) -> None:
-        self.nodes.append((nid, *self.properties({0x3001: box.name})))
+    def box(self, nid: int, box: Box, parent: int) -> None:
+        self.nodes.append((nid, *self.properties({0x3001: box.name}), parent))
         inner = []
         for b in box.boxes:
             self.serial += 1
             inner.append((0x8000 + self.serial * 32 | 0x02, b))
-        self.nodes.append((nid & ~0x1F | 0x0D, *self.rows([(n, {0x3001: b.name}) for n, b in inner])))
+        self.nodes.append((nid & ~0x1F | 0x0D, *self.rows([(n, {0x3001: b.name}) for n, b in inner]), 0))
         listed = []
         for m in box.mails:
             self.serial += 1
             n = 0x200000 + self.serial * 32 | 0x04
-            self.nodes.append((n, *self.mail(m)))
+            self.nodes.append((n, *self.mail(m), nid))
             listed.append((n, {t: v for t, v in m.values.items() if t in (0x0037, 0x0042, 0x0E04, 0x0E06, 0x0E07, 0x0E08, 0x001A, 0x0017)}))
-        self.nodes.append((nid & ~0x1F | 0x0E, *self.rows(listed)))
+        self.nodes.append((nid & ~0x1F | 0x0E, *self.rows(listed), 0))
         for n, b in inner:
-            self.box(n, b)
+            self.box(n, b, nid)
 
     def pages(self, entries: list[bytes]) -> int:
         """Place of the top page of a tree of entries."""
@@ -160,14 +161,15 @@ class Writer:
             per, above = 488 // size, []
             for i in range(0, len(entries), per):
                 part = entries[i : i + per]
-                above.append(struct.pack("<QQQ", struct.unpack_from("<Q", part[0])[0], 0, len(self.out)))
+                above.append(struct.pack("<QQQ", struct.unpack_from("<Q", part[0])[0], 0, len(self.out) + self.gap))
                 self.out += b"".join(part).ljust(488, b"\0") + struct.pack("<4B", len(part), per, size, level) + bytes(20)
             if len(above) == 1:
                 return struct.unpack_from("<Q", above[0], 16)[0]
             entries, level = above, level + 1
 
     def finish(self) -> bytes:
-        nodes = self.pages([struct.pack("<QQQII", n, d, s, 0, 0) for n, d, s in sorted(self.nodes)])
+        """The store without the gap, which goes behind the first 1024 bytes."""
+        nodes = self.pages([struct.pack("<QQQII", n, d, s, up, 0) for n, d, s, up in sorted(self.nodes)])
         blocks = self.pages([struct.pack("<QQHHI", b, at, size, 1, 0) for b, at, size in sorted(self.blocks, key=lambda x: x[0] & ~1)])
         self.out[:4] = b"!BDN"
         struct.pack_into("<H", self.out, 10, 23)
@@ -229,5 +231,16 @@ class HeapWriter:
 
 def store(boxes: list[Box], table: bytes | None = None) -> bytes:
     w = Writer(table)
-    w.box(0x122, Box("root", [], boxes))
+    w.box(0x122, Box("root", [], boxes), 0x122)
     return w.finish()
+
+
+def write_store(path: str, boxes: list[Box], table: bytes | None = None, gap: int = 0) -> None:
+    """A store as a local file, with a hole of `gap` bytes in it."""
+    w = Writer(table, gap)
+    w.box(0x122, Box("root", [], boxes), 0x122)
+    data = w.finish()
+    with open(path, "wb") as f:
+        f.write(data[:1024])
+        f.seek(1024 + gap)
+        f.write(data[1024:])

@@ -1,7 +1,7 @@
-"""Mail stores as rows: folders, the cheap listing of their messages, and whole messages.
+"""Mail stores in a column as rows: folders, the cheap listing of their messages, and whole messages.
 
-Stores come through Spark's binary source, which holds files of up to 2 GB; each is parsed by one task. A store that
-can't be read gives one row with its error.
+For stores that are values of a table, as attachments or archive members are; each is parsed by one task. Files are read in place, by
+many tasks, by sources.storefile. A store that can't be read gives one row with its error.
 """
 
 from __future__ import annotations
@@ -12,27 +12,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from mailquarry.extract.pst import Store
+from mailquarry.extract.pst import Row, Store
 from mailquarry.sources import msg
 
 FOLDERS = "file_path string, nid long, path string, name string, depth int, error string"
 LISTING = "file_path string, nid long, folder string, subject string, sender_name string, to_text string, date_ms long, size int, msg_class string, importance int, has_att boolean, is_read boolean, error string"
 
 
-def _folders(path: str, s: Store) -> Iterator[dict]:
+def folder_rows(path: str, s: Store) -> Iterator[dict]:
     for f in s.folders():
         yield {"file_path": path, "nid": f.nid, "path": f.path, "name": f.name, "depth": f.depth}
 
 
+def listing_row(path: str, folder: str, nid: int, row: Row) -> dict:
+    flags = row.number(0x0E07)
+    return {
+        "file_path": path, "nid": nid, "folder": folder, "subject": row.clean(0x0037), "sender_name": row.clean(0x0042), "to_text": row.clean(0x0E04),
+        "date_ms": msg._ms(row.time(0x0E06) or row.time(0x0039)), "size": row.number(0x0E08), "msg_class": row.clean(0x001A), "importance": row.number(0x0017),
+        "has_att": None if flags is None else bool(flags & 0x10), "is_read": None if flags is None else bool(flags & 1),
+    }
+
+
 def _listing(path: str, s: Store) -> Iterator[dict]:
     for f in s.folders():
         for nid, row in s.listing(f.nid):
-            flags = row.number(0x0E07)
-            yield {
-                "file_path": path, "nid": nid, "folder": f.path, "subject": row.clean(0x0037), "sender_name": row.clean(0x0042), "to_text": row.clean(0x0E04),
-                "date_ms": msg._ms(row.time(0x0E06) or row.time(0x0039)), "size": row.number(0x0E08), "msg_class": row.clean(0x001A), "importance": row.number(0x0017),
-                "has_att": None if flags is None else bool(flags & 0x10), "is_read": None if flags is None else bool(flags & 1),
-            }
+            yield listing_row(path, f.path, nid, row)
 
 
 def _messages(path: str, s: Store) -> Iterator[dict]:
@@ -70,7 +74,7 @@ def _rows(stores: DataFrame, ddl: str, make: Callable[[str, Store], Iterator[dic
 
 def read_folders(stores: DataFrame, table: bytes | None = None) -> DataFrame:
     """Folders of stores (path, content), depth first; table: the substitution of encoded stores."""
-    return _rows(stores, FOLDERS, _folders, table)
+    return _rows(stores, FOLDERS, folder_rows, table)
 
 
 def list_messages(stores: DataFrame, table: bytes | None = None) -> DataFrame:
