@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailquarry.functions.text import split_tokens
 from mailquarry.operators.postings import build_postings, lookup, write_postings
-from mailquarry.plans.query import Clause, Query
-from mailquarry.plans.search import MESSAGE_FIELDS, Request, attachment_fields, errors, message_fields
+from mailquarry.operators.segments import MARK, Snapshot
+from mailquarry.plans.query import Clause, Query, parse
+from mailquarry.plans.search import MESSAGE_FIELDS, Request, attachment_fields, errors, message_fields, scope
+from mailquarry.plans.sorting import RELEVANCE, order, parse_sort
 from mailquarry.sources.case import Case
 
-MARK = "att:"
-
 
 def write_index(case: Case, path: str, files: int | None = None) -> None:
     have = [f for f in MESSAGE_FIELDS if f in case.messages.columns]
@@ -46,3 +46,19 @@ def found_ids(index: DataFrame, q: Query) -> DataFrame:
     for c in q.negative:
         out = out.join(clause_ids(index, c), "id", "left_anti")
     return out
+
+
+def indexed_search(case: Case, snapshot: Snapshot, r: Request) -> DataFrame:
+    """The page that plans.search.search() gives, from an index: texts aren't read, and by relevance only the rows of the page's end are ranked."""
+    q = parse(r.query)
+    out = scope(case.messages, q, r).join(found_ids(snapshot.postings(), q), "id", "left_semi")
+    key, descending = parse_sort(r.sort)
+    terms = [(split_tokens(t.text), t.prefix, message_fields(t)) for c in q.positive for t in c.alternatives if message_fields(t)]
+    if key == RELEVANCE and not terms:
+        key, descending = "date", True
+    if key == RELEVANCE:
+        # rows without a rank come last, so they are on the page only if all that have one are here
+        ranked = snapshot.ranked(terms, None if r.limit is None else r.offset + r.limit, out.select("id"))
+        out = out.join(ranked, "id", "left")
+    out = out.orderBy(*order(key, descending, out.columns))
+    return out if r.limit is None else out.offset(r.offset).limit(r.limit)

@@ -12,7 +12,7 @@ from mailquarry.operators.store import duplicates
 from mailquarry.plans.query import INDICES, parse
 from mailquarry.plans.registry import ATT, MSG, pad, query, toks
 from mailquarry.functions.excerpts import highlight
-from mailquarry.plans.search import Request, candidates, ranks, search, with_snippets
+from mailquarry.plans.search import MESSAGE_FIELDS, Request, candidates, ranks, search, with_snippets
 from mailquarry.plans.sorting import KEYS, order
 from mailquarry.sources.case import Case, fixture_attachments, fixture_case, fixture_messages, table
 
@@ -410,6 +410,65 @@ def txt2_indexed_phrase_and_prefix(spark, sf_dir):
     return found_ids(_index(spark, sf_dir), parse('"of the" OR en* the -der'))
 
 
+def _living(spark):
+    """An empty index at a new path."""
+    import uuid
+
+    from mailquarry.operators.segments import SearchIndex
+    from mailquarry.operators.store import shared_dir
+
+    return SearchIndex(spark, f"{shared_dir(spark).rstrip('/')}/living-index-{uuid.uuid4().hex}")
+
+
+def _ranked(spark, sf_dir):
+    index = _living(spark)
+    index.add(fixture_case(spark, sf_dir).messages)
+    return index.snapshot()
+
+
+@query(_BM25)
+def txt6_ranked_index(spark, sf_dir):
+    return _ranked(spark, sf_dir).ranked([(["the"], False, MESSAGE_FIELDS)]).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_BM25.replace("'the'", "'elle'") + " ORDER BY rank, id DESC LIMIT 20")
+def srt4_ranked_page(spark, sf_dir):
+    from mailquarry.plans.indexed import indexed_search
+
+    c = fixture_case(spark, sf_dir)
+    m = c.messages.withColumn("date_ms", F.lit(0).cast("long"))
+    page = indexed_search(Case(m, c.attachments.limit(0)), _ranked(spark, sf_dir), Request(query="elle", sort="relevance", limit=20))
+    return page.select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"SELECT id FROM ({family(['the '], ['elle '])}) WHERE id % 7 <> 0")
+def snk2_living_index(spark, sf_dir):
+    """Two thirds of the messages, half of them in an old state, then the rest and the changed ones, then deletions and a merge."""
+    from mailquarry.plans.indexed import found_ids
+
+    case, index = fixture_case(spark, sf_dir), _living(spark)
+    of = lambda c: (case.messages.filter(c), case.attachments.filter(F.expr(c.replace("id", "message_id"))))
+    index.add(*of("id % 3 = 0"))
+    old, _ = of("id % 3 = 1")
+    index.add(old.withColumn("body", F.lit("the old state, elle")))
+    index.add(*of("id % 3 > 0"))
+    index.delete(case.messages.filter("id % 7 = 0"))
+    index.merge()
+    return found_ids(index.snapshot().postings(), parse("the -elle"))
+
+
+@query(f"SELECT id FROM ({family(['of the |en', 'the '], ['der '])})")
+def snk15_one_segment(spark, sf_dir):
+    """An index of several segments made one."""
+    from mailquarry.plans.indexed import found_ids
+
+    case, index = fixture_case(spark, sf_dir), _living(spark)
+    for k in range(3):
+        index.add(case.messages.filter(F.col("id") % 3 == k), case.attachments.filter(F.col("message_id") % 3 == k))
+    index.optimise()
+    return found_ids(index.snapshot().postings(), parse('"of the" OR en* the -der'))
+
+
 # --- order ----------------------------------------------------------------------------------------------------
 
 _FOLD = "translate(subject, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
