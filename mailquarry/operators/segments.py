@@ -17,7 +17,6 @@ the sum of their blocks' bounds, and none is opened once that sum is below the s
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from dataclasses import asdict, dataclass, field
@@ -29,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mailquarry.operators.manifest import Manifests, delete_others
 from mailquarry.operators.postings import build_postings, write_postings
 from mailquarry.operators.rank import K1, WEIGHTS, B
-from mailquarry.operators.store import cut, delete, exists, file_system
+from mailquarry.operators.store import cut
 
 FIELDS = list(WEIGHTS)
 #: Marks the fields of attachments, which have postings but no part in the ranking.
@@ -58,52 +58,21 @@ class Manifest:
     segments: list[Segment] = field(default_factory=list)
 
 
-class Conflict(Exception):
-    """Another writer was first."""
-
-
 class SearchIndex:
     """Writes an index at a shared path. Several writers may try; of those that start from the same manifest one succeeds."""
 
     def __init__(self, spark: SparkSession, path: str, shards: int = SHARDS):
         self.spark, self.path = spark, path.rstrip("/")
-        if self._newest() is None:
+        self.manifests = Manifests(spark, path)
+        if self.manifests.newest() is None:
             self._commit(Manifest(0, shards))
 
-    # --- manifests ----------------------------------------------------------------------------------------
-
-    def _file(self, version: int) -> str:
-        return f"{self.path}/manifests/{version:09d}.json"
-
-    def _versions(self) -> list[int]:
-        place, system = file_system(self.spark, f"{self.path}/manifests")
-        names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
-        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0].isdigit())
-
-    def _newest(self) -> int | None:
-        return max(self._versions(), default=None)
-
     def manifest(self, version: int | None = None) -> Manifest:
-        version = self._newest() if version is None else version
-        raw = json.loads(self.spark.read.text(self._file(version), wholetext=True).first()[0])
+        raw = self.manifests.read(version)
         return Manifest(raw["version"], raw["shards"], [Segment(**s) for s in raw["segments"]])
 
     def _commit(self, m: Manifest) -> None:
-        """Puts the manifest in its place, unless there is one."""
-        jvm = self.spark._jvm.org.apache.hadoop
-        own, system = file_system(self.spark, f"{self.path}/manifests/.{uuid.uuid4().hex}")
-        out = system.create(own)
-        out.write(bytearray(json.dumps(asdict(m)).encode()))
-        out.close()
-        place, _ = file_system(self.spark, self._file(m.version))
-        never = self.spark.sparkContext._gateway.new_array(getattr(jvm.fs, "Options$Rename"), 0)
-        try:
-            jvm.fs.FileContext.getFileContext(system.getUri(), self.spark._jsc.hadoopConfiguration()).rename(own, place, never)
-        except Exception as e:
-            system.delete(own, False)
-            if exists(self.spark, self._file(m.version)):
-                raise Conflict(f"version {m.version} is there already") from e
-            raise
+        self.manifests.commit(m.version, asdict(m))
 
     # --- writing ------------------------------------------------------------------------------------------
 
@@ -191,15 +160,9 @@ class SearchIndex:
 
     def vacuum(self, keep: int = KEEP) -> None:
         """Deletes manifests but the newest, and the segments and lists of dead messages that none of those names. Only for times without writers."""
-        versions = self._versions()
-        kept = [self.manifest(v) for v in versions[-keep:]]
-        for v in versions[:-keep]:
-            delete(self.spark, self._file(v))
-        for kind, used in (("segments", {s.name for m in kept for s in m.segments}), ("dead", {d for m in kept for s in m.segments for d in s.dead})):
-            place, system = file_system(self.spark, f"{self.path}/{kind}")
-            for f in system.listStatus(place) if system.exists(place) else []:
-                if f.getPath().getName() not in used:
-                    system.delete(f.getPath(), True)
+        kept = [s for m in self.manifests.forget(keep) for s in m["segments"]]
+        delete_others(self.spark, f"{self.path}/segments", {s["name"] for s in kept})
+        delete_others(self.spark, f"{self.path}/dead", {d for s in kept for d in s["dead"]})
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         return Snapshot(self, self.manifest(version))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,3 +112,45 @@ def build(items: DataFrame, weak: bool = True) -> DataFrame:
     out = items.select("id").join(tied, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("thread_id"))
     sizes = cut(out.groupBy("thread_id").agg(F.count(F.lit(1)).alias("thread_count")))
     return out.join(sizes, "thread_id").select("id", "thread_id", F.col("thread_count").cast("int").alias("thread_count"))
+
+
+@dataclass
+class State:
+    """Strong threads so far: labels (id, root) of all messages; heads (kind, k, head), for each id and conversation key one message that has it;
+    waiting (k, id), references to ids that no message has yet."""
+
+    labels: DataFrame
+    heads: DataFrame
+    waiting: DataFrame
+
+
+def start(spark: SparkSession) -> State:
+    return State(*(spark.createDataFrame([], schema) for schema in ("id long, root long", "kind string, k string, head long", "k string, id long")))
+
+
+def extend(state: State, items: DataFrame) -> tuple[State, DataFrame]:
+    """The state with new messages, and the labels (id, root) that are new or other than before. The labels are those of
+    build(weak=False) over all messages.
+
+    New edges are contracted against the labels: between classes, not messages, so the components that are looked for are as
+    small as what the batch ties together. Only classes that lose their root are labelled anew.
+    """
+    ids = items.select(F.lit("id").alias("kind"), normalise_id(F.col("message_id")).alias("k"), "id").filter(F.col("k").isNotNull())
+    keys = items.select(F.lit("conv").alias("kind"), F.col("conv_key").alias("k"), "id").filter(F.col("k") != "")
+    own = cut(ids.union(keys))
+    first = cut(own.groupBy("kind", "k").agg(F.min("id").alias("head")).join(state.heads, ["kind", "k"], "left_anti"))
+    heads = state.heads.unionByName(first)
+    met = own.join(heads, ["kind", "k"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    refers = items.select(F.explode(F.array_distinct(referenced_ids(F.col("in_reply_to"), F.col("refs")))).alias("k"), "id")
+    asked = cut(refers.union(state.waiting.join(first.filter("kind = 'id'"), "k", "left_semi").select("k", "id")))
+    known = heads.filter("kind = 'id'").select("k", "head")
+    edges = met.union(asked.join(known, "k").select("id", "head"))
+    waiting = state.waiting.join(first.filter("kind = 'id'"), "k", "left_anti").unionByName(refers.join(known, "k", "left_anti"))
+    of = lambda side: state.labels.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+    classes = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tied = cut(components(classes.filter("a <> b").distinct()).select("node", F.col("root").alias("into")))
+    moved = state.labels.join(tied, F.col("root") == F.col("node")).select("id", F.col("into").alias("root"))
+    new = items.select("id").distinct().join(tied, F.col("id") == F.col("node"), "left").select("id", F.coalesce("into", "id").alias("root"))
+    changed = cut(moved.union(new))
+    labels = state.labels.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    return State(cut(labels), cut(heads), cut(waiting)), changed

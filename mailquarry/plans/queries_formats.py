@@ -178,6 +178,22 @@ def src10_attachments(spark, sf_dir):
     return attachment_rows(_messages(spark, sf_dir)).filter("idx_path = '0'").select("file_path", "size")
 
 
+@query("""SELECT doc_id || '.msg' AS file_path, k AS idx_path, k = '1/0/0' AND (text ILIKE '%the%') AS hit, k IN ('1', '1/0') AND (text ILIKE '%the%') AS below
+  FROM documents, (VALUES ('0'), ('1'), ('1/0'), ('1/0/0'), ('1/1')) v(k)""")
+def txt9_embedded_hits(spark, sf_dir):
+    """Message files with a message in a message, whose innermost file is the text that is looked through."""
+    from mailquarry.plans.search import family_marks
+
+    def nested(i: int, text: str) -> bytes:
+        inner = message_tree({0x0037: "deepest"}, [], [("text.txt", text.encode())], 24)
+        return compound(message_tree({0x0037: f"m{i}"}, [], [("first.txt", b"x"), ("in.msg", message_tree({0x0037: "inner"}, [], [("deep.msg", inner), ("other.txt", b"y")], 24))]))
+
+    f = files(spark, sf_dir, ".msg", nested)
+    rows = attachment_rows(parse_files(f.select(F.col("name").alias("path"), F.col("data").alias("content")))).withColumnRenamed("file_path", "message_id")
+    marks = family_marks(rows, F.col("data").cast("string").ilike("%the%"))
+    return marks.select(F.col("message_id").alias("file_path"), "idx_path", "hit", "below")
+
+
 @query(f"SELECT message_id, instr(content, 'subject ' || message_id) > 0 AND instr(content, 'deep') > 0 AS whole FROM (SELECT doc_id AS message_id, 'subject ' || doc_id || ' deep' AS content FROM documents)")
 def ext8_message_recursion(spark, sf_dir):
     c = extract_frame(files(spark, sf_dir, ".msg", lambda i, t: compound(message_tree({0x0037: f"subject {i}", 0x1000: t}, [], [("deep.txt", b"deep")]))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,8 @@ from mailquarry.operators.store import duplicates
 from mailquarry.plans.query import INDICES, parse
 from mailquarry.plans.registry import ATT, MSG, pad, query, toks
 from mailquarry.functions.excerpts import highlight
-from mailquarry.plans.search import MESSAGE_FIELDS, Request, candidates, ranks, search, with_snippets
-from mailquarry.plans.sorting import KEYS, order
+from mailquarry.plans.search import MESSAGE_FIELDS, Request, candidates, pages, ranks, search, with_snippets
+from mailquarry.plans.sorting import KEYS, cursor, order
 from mailquarry.sources.case import Case, fixture_attachments, fixture_case, fixture_messages, table
 
 
@@ -515,9 +517,23 @@ def srt6_full_enumeration(spark, sf_dir):
     return search(fixture_case(spark, sf_dir), Request(query="the", limit=None)).select("id")
 
 
-@query("SELECT CAST(3000 AS BIGINT) AS shown WHERE (SELECT count(*) FROM lineitem) >= 3000")
+@query(f"WITH {MSG} SELECT id, CAST(row_number() OVER (ORDER BY {_FOLD} ASC NULLS FIRST, date_ms DESC NULLS LAST, id DESC) AS INTEGER) AS place FROM msg")
+def srt6_keyset_pages(spark, sf_dir):
+    """All rows by pages of a quarter of them; each page begins behind the last row of the one before, and none is sorted twice."""
+    case = fixture_case(spark, sf_dir)
+    size, out, before = -(-case.messages.count() // 4) or 1, None, 0
+    for page in pages(case, Request(sort="subject", limit=size)):
+        own = _place(page).withColumn("place", (F.col("place") + before).cast("int"))
+        out, before = own if out is None else out.union(own), before + size
+    return out
+
+
+@query(f"WITH {MSG} SELECT id FROM msg ORDER BY date_ms DESC NULLS LAST, id DESC LIMIT 3000")
 def srt7_more_rows(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey").limit(1000 + 2000).agg(F.count(F.lit(1)).alias("shown"))
+    """The first page of 1000 rows and the next 2000, which begin behind its last row."""
+    case, first = fixture_case(spark, sf_dir), Request(limit=1000)
+    page = search(case, first)
+    return page.select("id").union(search(case, replace(first, limit=2000, after=cursor(page, "date", True))).select("id"))
 
 
 @query("SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS distinct_ids")

@@ -296,6 +296,23 @@ def snk1_merge_messages(spark, sf_dir):
     return store.merge_messages(old, new)
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 = 1 AND o_orderkey % 3 = 0 THEN 'new' ELSE o_orderpriority END AS subject, CASE WHEN o_orderkey % 8 = 1 AND o_orderkey % 5 > 0 THEN o_orderkey % 5 ELSE o_custkey END AS size
+  FROM orders WHERE o_orderkey % 11 <> 0 UNION ALL SELECT o_orderkey + 1000000000, 'first', 1 FROM orders WHERE o_orderkey % 8 = 2""")
+def snk1_bucketed_flush(spark, sf_dir):
+    """A table in buckets: changes by the rules for messages, then new rows, then deletions."""
+    from mailquarry.operators.buckets import BucketedTable, upsert_messages
+
+    o = table(spark, sf_dir, "orders")
+    old = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("subject"), F.col("o_custkey").alias("size"))
+    kept = BucketedTable(spark, f"{store.shared_dir(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}", old.schema, buckets=16)
+    kept.merge(old)
+    key = F.col("o_orderkey")
+    kept.merge(o.filter(key % 8 == 1).select(key.alias("id"), F.when(key % 3 == 0, F.lit("new")).alias("subject"), (key % 5).alias("size")), upsert_messages)
+    kept.merge(o.filter(key % 8 == 2).select((key + 1_000_000_000).alias("id"), F.lit("first").alias("subject"), F.lit(1).cast("long").alias("size")))
+    kept.remove(old.filter("id % 11 = 0"))
+    return kept.read()
+
+
 @query("SELECT o_orderkey AS id, CAST(((o_custkey % 64) & 40) | (o_orderkey % 8) AS INTEGER) AS spoof_flags FROM orders")
 def snk3_header_flush(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -7,7 +7,8 @@ reach the scan. Ranks and snippets are computed only when asked for, snippets on
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 from functools import reduce
 
@@ -19,8 +20,9 @@ from mailquarry.functions.dates import day_start_ms
 from mailquarry.functions.excerpts import snippet
 from mailquarry.functions.text import matches, padded, split_tokens
 from mailquarry.operators.rank import WEIGHTS, bm25
+from mailquarry.operators.store import cut
 from mailquarry.plans.query import ANY, CONTENT, INDICES, NAME, Clause, Filter, Query, Term, parse
-from mailquarry.plans.sorting import RELEVANCE, order, parse_sort
+from mailquarry.plans.sorting import RELEVANCE, after, cursor, order, parse_sort
 from mailquarry.sources.case import Case
 
 MESSAGE_FIELDS = list(WEIGHTS)
@@ -40,6 +42,8 @@ class Request:
     limit: int | None = 1000
     offset: int = 0
     zone: str = "UTC"
+    #: The place of the last row before the page, as sorting.cursor() gives it; in place of an offset, whose rows would be sorted again for each page.
+    after: tuple | None = None
 
 
 def message_fields(term: Term) -> list[str]:
@@ -158,10 +162,26 @@ def search(case: Case, r: Request) -> DataFrame:
         key, descending = "date", True
     if scores is not None:
         out = out.join(scores, "id", "left")
+    if r.after is not None:
+        out = out.filter(after(r.after, key, descending, out.columns))
     out = out.orderBy(*order(key, descending, out.columns))
     return out if r.limit is None else out.offset(r.offset).limit(r.limit)
 
 
+def pages(case: Case, r: Request) -> Iterator[DataFrame]:
+    """All pages of a request's results, each behind the last row of the one before."""
+    while True:
+        page = cut(search(case, r))
+        key, descending = parse_sort(r.sort)
+        if key == RELEVANCE and "rank" not in page.columns:
+            key, descending = "date", True
+        place = cursor(page, key, descending)
+        if place is None:
+            return
+        yield page
+        r = replace(r, offset=0, after=place)
+
+
 def count(case: Case, r: Request) -> int:
     """How many messages the request finds in all, without sorting or joining dimensions."""
     return candidates(case, parse(r.query), r).count()
@@ -184,3 +204,17 @@ def with_snippets(case: Case, page: DataFrame, query: str) -> DataFrame:
     best = said.filter(F.col("said").isNotNull()).groupBy("message_id").agg(F.min_by("said", "idx_path").alias("said"))
     out = page.join(best.withColumnRenamed("message_id", "__m"), page["id"] == F.col("__m"), "left")
     return out.select(*page.columns, F.coalesce(body, F.col("said"), other).alias("snippet"))
+
+
+def family_marks(attachments: DataFrame, hit: Column) -> DataFrame:
+    """attachments (message_id, idx_path) with hit, and below: whether something embedded in it, however deep, is a hit.
+
+    Each hit is sent to the paths above it ('1/0/2' to '1/0' and '1'), of which one row goes into the shuffle from each task.
+    """
+    marked = attachments.withColumn("hit", F.coalesce(hit, F.lit(False)))
+    steps = F.split("idx_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    found = marked.filter(F.col("hit") & F.contains("idx_path", F.lit("/"))).select("message_id", F.explode(above).alias("idx_path")).distinct()
+    found = found.select(F.col("message_id").alias("__m"), F.col("idx_path").alias("__p"))
+    both = marked.join(found, (F.col("message_id") == F.col("__m")) & (F.col("idx_path") == F.col("__p")), "left")
+    return both.withColumn("below", F.col("__m").isNotNull()).drop("__m", "__p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.functions.text import nocase
@@ -55,15 +55,42 @@ def parse_sort(text: str | None) -> tuple[str, bool]:
     return key, {"": natural, "asc": False, "desc": True}[way]
 
 
-def order(key: str, descending: bool, have: list[str]) -> list[Column]:
-    """A total order: the key, then the newest, then the largest id. Nulls come first when ascending."""
-    way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+def keys_of(key: str, descending: bool, have: list[str]) -> list[tuple[Column, bool]]:
+    """What a total order compares, and whether descending: the key, then the newest, then the largest id."""
+    newest = [(F.col("date_ms"), True), (F.col("id"), True)]
     if key == RELEVANCE:
-        return [F.col("rank").isNull().asc(), F.col("rank").asc(), F.col("date_ms").desc(), F.col("id").desc()]
+        return [(F.col("rank").isNull(), False), (F.col("rank"), False), *newest]
     column, folded, _ = KEYS[key]
     if column not in have:
         column, folded = "date_ms", False
     if column == "date_ms":
-        return [way(F.col("date_ms")), way(F.col("id"))]
-    c = nocase(F.col(column)) if folded else F.col(column)
-    return [way(c), F.col("date_ms").desc(), F.col("id").desc()]
+        return [(F.col("date_ms"), descending), (F.col("id"), descending)]
+    return [(nocase(F.col(column)) if folded else F.col(column), descending), *newest]
+
+
+def order(key: str, descending: bool, have: list[str]) -> list[Column]:
+    """The columns to sort by. Nulls come first when ascending."""
+    return [c.desc() if down else c.asc() for c, down in keys_of(key, descending, have)]
+
+
+def cursor(page: DataFrame, key: str, descending: bool) -> tuple | None:
+    """The place of a sorted page's last row in the order; None of an empty page."""
+    last = page.select(*(c.alias(f"k{i}") for i, (c, _) in enumerate(keys_of(key, descending, page.columns)))).tail(1)
+    return tuple(last[0]) if last else None
+
+
+def after(place: tuple, key: str, descending: bool, have: list[str]) -> Column:
+    """Whether a row comes behind a place. The condition on the first key stands by itself too, so that it reaches the scan."""
+
+    def behind(c: Column, down: bool, value) -> Column:
+        if value is None:
+            return F.lit(False) if down else c.isNotNull()
+        return (c < F.lit(value)) | c.isNull() if down else c > F.lit(value)
+
+    keys = keys_of(key, descending, have)
+    out, same = F.lit(False), F.lit(True)
+    for (c, down), value in zip(keys, place, strict=True):
+        out = out | (same & behind(c, down, value))
+        same = same & c.eqNullSafe(F.lit(value))
+    (first, down), value = keys[0], place[0]
+    return (behind(first, down, value) | first.eqNullSafe(F.lit(value))) & out

@@ -119,6 +119,26 @@ def test_threads(spark):
     assert threads.build(spark.createDataFrame([], MAILS)).count() == 0
 
 
+def test_incremental_threads(spark):
+    """After each batch the labels are those of building anew; classes that nothing ties keep their rows."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([f"<M{rng.randrange(260)}@x>", None]), rng.choice([None, f"m{rng.randrange(260)}@x"]), rng.choice([None, f"<m{rng.randrange(300)}@x> <m{rng.randrange(300)}@x>"]) if i % 4 == 0 else None,
+             rng.choice([None, None, None, f"k{rng.randrange(90)}"]), None, None, None) for i in rng.sample(range(1000), 240)]
+    state, seen = threads.start(spark), []
+    for k in range(4):
+        batch = rows[k * 60 : (k + 1) * 60]
+        old = {r.id: r.root for r in state.labels.collect()}
+        seen += batch
+        state, changed = threads.extend(state, spark.createDataFrame(batch, MAILS))
+        whole = {r.id: r.thread_id for r in threads.build(spark.createDataFrame(seen, MAILS), weak=False).collect()}
+        assert {r.id: r.root for r in state.labels.collect()} == whole
+        assert {r.id: r.root for r in changed.collect()} == {i: r for i, r in whole.items() if old.get(i) != r}
+    state, changed = threads.extend(state, spark.createDataFrame([], MAILS))
+    assert changed.count() == 0 and state.labels.count() == 240
+
+
 def weak_case(n, seed):
     import random
 

@@ -116,3 +116,47 @@ def test_index_finds_what_search_finds(spark, case, tmp_path):
         assert sorted(r.id for r in found_ids(index, parse(text)).collect()) == ids(case, text)
     with pytest.raises(ValueError):
         found_ids(index, parse("-budget"))
+
+
+def test_pages_by_cursor(spark):
+    """Chained pages are the whole order, for every key and both directions, with nulls and ties."""
+    import random
+
+    from mailquarry.plans.search import Request, pages, search
+    from mailquarry.plans.sorting import KEYS
+    from mailquarry.sources.case import Case
+    from pyspark.sql import types as T
+
+    rng = random.Random(3)
+    columns = sorted({c for c, _, _ in KEYS.values()} - {"date_ms"})
+    texts = {c for c, folded, _ in KEYS.values() if folded} | {"auth_spf"}
+    fields = [T.StructField("id", T.LongType()), T.StructField("date_ms", T.LongType())] + [T.StructField(c, T.StringType() if c in texts else T.LongType()) for c in columns]
+    value = lambda c: rng.choice([None, *("aBc" if c in texts else (0, 1, 2))])
+    rows = [(i, rng.choice([None, 5, 6]), *(value(c) for c in columns)) for i in range(23)]
+    case = Case(spark.createDataFrame(rows, T.StructType(fields)).coalesce(1), spark.createDataFrame([], "message_id long, idx_path string, name string, content string"))
+    for k, key in enumerate(KEYS):
+        r = Request(sort=f"{key}:{'asc' if k % 2 else 'desc'}", limit=9)
+        whole = [x.id for x in search(case, Request(sort=r.sort, limit=None)).collect()]
+        got = [[x.id for x in p.collect()] for p in pages(case, r)]
+        assert [len(p) for p in got] == [9, 9, 5] and sum(got, []) == whole, r.sort
+    for sort in ("date:asc", "date:desc"):
+        assert sum(([x.id for x in p.collect()] for p in pages(case, Request(sort=sort, limit=7))), []) == [x.id for x in search(case, Request(sort=sort, limit=None)).collect()]
+
+
+def test_pages_by_relevance(spark):
+    from mailquarry.plans.search import Request, pages, search
+    from mailquarry.sources.case import Case
+
+    m = spark.createDataFrame([(i, "the " * (i % 3), "other the", i % 2) for i in range(12)], "id long, subject string, body string, date_ms long")
+    case = Case(m, spark.createDataFrame([(3, "0", "the.txt", "")], "message_id long, idx_path string, name string, content string"))
+    for q in ("the", "pj:the"):
+        assert sum(([x.id for x in p.collect()] for p in pages(case, Request(query=q, sort="relevance", limit=5))), []) == [x.id for x in search(case, Request(query=q, sort="relevance", limit=None)).collect()]
+
+
+def test_marks_of_embedded_messages(spark):
+    from mailquarry.plans.search import family_marks
+    from pyspark.sql import functions as F
+
+    a = spark.createDataFrame([(1, "0", "x"), (1, "1", "y"), (1, "1/0", "z"), (1, "1/0/2", "hit"), (1, "10", "x"), (2, "1", "hit"), (2, "1/0", None), (3, "1", "x")], "message_id long, idx_path string, t string")
+    got = {(r.message_id, r.idx_path): (r.hit, r.below) for r in family_marks(a, F.col("t") == "hit").collect()}
+    assert {k for k, (h, _) in got.items() if h} == {(1, "1/0/2"), (2, "1")} and {k for k, (_, b) in got.items() if b} == {(1, "1"), (1, "1/0")} and len(got) == 8

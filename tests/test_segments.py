@@ -6,8 +6,9 @@ import uuid
 import pytest
 from mailquarry.functions.text import padded
 from mailquarry.operators import segments
+from mailquarry.operators.manifest import Conflict
 from mailquarry.operators.rank import WEIGHTS, bm25
-from mailquarry.operators.segments import Conflict, SearchIndex
+from mailquarry.operators.segments import SearchIndex
 from mailquarry.plans.indexed import found_ids, indexed_search
 from mailquarry.plans.query import parse
 from mailquarry.plans.search import Request, search
@@ -129,4 +130,4 @@ def test_commits(spark, index):
     with pytest.raises(Conflict):
         index._replace(stale, rows.select("id"), None)
     assert index.manifest().version == 2 and sum(s.rows for s in index.manifest().segments) == 1
-    assert not [n for n in index._versions() if n > 2]
+    assert not [n for n in index.manifests.versions() if n > 2]
