@@ -6,34 +6,44 @@ from pyspark.sql import functions as F
 
 from mailquarry.functions import mail as M
 from mailquarry.operators import impersonation, store, threads
-from mailquarry.plans.queries_functions import block, values
+from mailquarry.plans.queries_functions import KEY, by_key, customers, values
 from mailquarry.plans.queries_tables import _NAMED, _named
 from mailquarry.plans.registry import query
 from mailquarry.sources.case import fixture_domains, fixture_subjects, fixture_threads, table
 
-_SPOOF = [
-    (1, "Nora Vidal", "nora@atelier.test", None, "desk@lagune.test", None, None, "pass", None, 1),
-    (2, "Nora Vidal", "nora@atelier.test", "nora@atelier.test", None, "r@lagune.test", "pass", None, None, 2),
-    (3, "desk@lagune.test", "nora@atelier.test", None, None, None, None, None, None, 4),
-    (4, "Nora", "nora@atelier.test", None, "a@shop.atelier.test", "b@post.atelier.test", "pass", "pass", "pass", 0),
-    (5, "Nora", "nora@atelier.test", None, "q@lagune.test", "r@lagune.test", "neutral", "fail", None, 19),
-    (6, None, "n@one.co.uk", None, "m@two.co.uk, p@three.co.uk", None, None, None, "fail", 17),
-    (7, "nora@atelier.test", None, None, "desk@lagune.test", None, None, None, None, 0),
-]
+#: Names, addresses and headers of a message, and the flags they get; all from the key of a customer.
+_SPOOF = {
+    "name": by_key(KEY, "c_name", "c_name", "'desk@lagune' || {k} || '.test'", "'Nora'", "'Nora'", "NULL", "'nora@atelier' || {k} || '.test'"),
+    "email": by_key(KEY, *["'nora@atelier' || {k} || '.test'"] * 5, "'n@one' || {k} || '.co.uk'", "NULL"),
+    "hdr": by_key(KEY, "NULL", "'Nora <nora@atelier' || {k} || '.test>'", "NULL", "NULL", "NULL", "NULL", "NULL"),
+    "reply": by_key(KEY, "'desk@lagune' || {k} || '.test'", "NULL", "NULL", "'a@shop.atelier' || {k} || '.test'", "'q@lagune' || {k} || '.test'", "'m@two.co.uk, p@three' || {k} || '.co.uk'", "'desk@lagune.test'"),
+    "path": by_key(KEY, "NULL", "'r@lagune' || {k} || '.test'", "NULL", "'<b@post.atelier' || {k} || '.test>'", "'r@lagune.test'", "NULL", "NULL"),
+    "spf": by_key(KEY, "'pass'", "'pass'", "NULL", "'pass'", "'neutral'", "NULL", "NULL"),
+    "dkim": by_key(KEY, "NULL", "NULL", "NULL", "'pass'", "'fail'", "NULL", "NULL"),
+    "dmarc": by_key(KEY, "NULL", "NULL", "NULL", "'pass'", "NULL", "'fail'", "NULL"),
+}
 
 
-@query(values([(r[0], r[-1]) for r in _SPOOF], "k, flags"))
+@query(f"SELECT c_custkey AS k, {by_key(KEY, '1', '2', '4', '0', '19', '17', '0')} AS flags FROM customer")
 def spf1_spoof_flags(spark, sf_dir):
-    df = spark.createDataFrame([r[:-1] for r in _SPOOF], "k int, name string, email string, hdr string, reply string, path string, spf string, dkim string, dmarc string")
-    return df.select("k", M.spoof_flags(*(F.col(c) for c in ("name", "email", "hdr", "reply", "path", "spf", "dkim", "dmarc"))).alias("flags"))
+    return customers(spark, sf_dir, **_SPOOF).select("k", M.spoof_flags(*(F.col(c) for c in _SPOOF)).alias("flags"))
 
 
-@query(values([(17,)], "flags"))
+#: A header block of each customer's message: by turns another Return-Path, another Reply-To and a failure, nothing of these.
+_BLOCKS = "'From: Lea <lea@maurin' || c_custkey || '.test>' || chr(10) || " + by_key(
+    KEY,
+    "'Return-Path: <bounce@lagune' || {k} || '.test>' || chr(10) || 'Authentication-Results: x; spf=pass; dkim=pass'",
+    "'Reply-To: desk@lagune' || {k} || '.test' || chr(10) || 'Authentication-Results: x; spf=pass; dkim=fail'",
+    "'Reply-To: desk@shop.maurin' || {k} || '.test' || chr(10) || 'Return-Path: <b@maurin' || {k} || '.test>'",
+)
+
+
+@query(f"SELECT c_custkey AS k, {by_key(KEY, '2', '17', '0')} AS flags FROM customer")
 def spf1_header_block(spark, sf_dir):
-    h = block(spark).select("h", M.authentication(F.col("h")).alias("a"))
+    h = customers(spark, sf_dir, raw=_BLOCKS, email="'lea@maurin' || c_custkey || '.test'").select("k", "email", M.headers(F.col("raw")).alias("h")).withColumn("a", M.authentication(F.col("h")))
     first = lambda n: M.first_of(F.col("h"), n)
-    flags = M.spoof_flags(F.lit("Lea"), F.lit("lea@maurin.test"), first("From"), first("Reply-To"), first("Return-Path"), F.col("a.spf"), F.col("a.dkim"), F.col("a.dmarc"))
-    return h.select(flags.alias("flags"))
+    flags = M.spoof_flags(F.lit("Lea"), F.col("email"), first("From"), first("Reply-To"), first("Return-Path"), F.col("a.spf"), F.col("a.dkim"), F.col("a.dmarc"))
+    return h.select("k", flags.alias("flags"))
 
 
 _ORGQ = "CASE WHEN len(string_split(domain, '.')) <= 2 THEN domain ELSE array_to_string(string_split(domain, '.')[-2:], '.') END"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import struct
 from datetime import datetime
 
 import pyarrow as pa
@@ -22,6 +24,19 @@ def values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
 
 
+def by_key(key: str, *forms: str) -> str:
+    """SQL that both engines take: a form for each row, by its key modulo their number; {k} is the key."""
+    return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {i} THEN {f.replace('{k}', key)}" for i, f in enumerate(forms)) + " END"
+
+
+def customers(spark, sf_dir, **columns: str):
+    """k (the customer's key) and columns of SQL."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *(F.expr(c).alias(n) for n, c in columns.items()))
+
+
+KEY = "c_custkey"
+
+
 # --- addresses, domains, subjects -------------------------------------------------------------------------------
 
 _ADDR = r"[A-Za-z0-9._%+\-''!#$&*/=?^`{|}~]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
@@ -32,12 +47,12 @@ def str1_addresses(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(M.addresses(F.col("text")), ",").alias("addresses"))
 
 
-_DOMAINS = [("a@b.fr", "b.fr"), ("a@b@C.Com", "c.com"), ("x@y.org>", "y.org"), ("nobody", None), ("x@", None), ("x@z.net.", "z.net")]
+_DOMAINS = by_key(KEY, "'u' || {k} || '@Host' || {k} || '.TEST'", "'a@b@X' || {k} || '.Com'", "'x@y' || {k} || '.org>'", "'nobody' || {k}", "'x' || {k} || '@'", "'q@z' || {k} || '.net..'")
 
 
-@query(values(_DOMAINS, "address, domain"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'host' || {k} || '.test'", "'x' || {k} || '.com'", "'y' || {k} || '.org'", "NULL", "NULL", "'z' || {k} || '.net'")} AS domain FROM customer""")
 def str2_domain_of(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _DOMAINS], "address string").select("address", M.domain_of(F.col("address")).alias("domain"))
+    return customers(spark, sf_dir, address=_DOMAINS).select("k", M.domain_of(F.col("address")).alias("domain"))
 
 
 _ORG = "CASE WHEN len(p) <= 2 THEN array_to_string(p, '.') WHEN length(p[-1]) = 2 AND p[-2] IN ('co','com','org','net','gov','ac','edu','gouv','asso','or','ne','go') THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END"
@@ -49,20 +64,21 @@ def str3_organisational(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", M.organisational(host).alias("org"))
 
 
-_LABELS = [("paypal.co.uk", "paypal", "co.uk"), ("a.fr", "a", "fr"), ("enron", "enron", "")]
+_NAMES = by_key(KEY, "'acme' || {k} || '.co.uk'", "'lac' || {k} || '.fr'", "'alone' || {k}")
 
 
-@query(values(_LABELS, "org, label, suffix"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'acme' || {k}", "'lac' || {k}", "'alone' || {k}")} AS label, {by_key(KEY, "'co.uk'", "'fr'", "''")} AS suffix FROM customer""")
 def str4_label_and_suffix(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _, _ in _LABELS], "org string").select("org", M.label(F.col("org")).alias("label"), M.suffix(F.col("org")).alias("suffix"))
+    return customers(spark, sf_dir, org=_NAMES).select("k", M.label(F.col("org")).alias("label"), M.suffix(F.col("org")).alias("suffix"))
 
 
-_SKELETONS = [("paypa1", "paypal"), ("rnicrosoft", "mlcrosoft"), ("microsoft", "mlcrosoft"), ("pay-pal", "paypal"), ("vvest", "west"), ("clock", "dock"), ("рaypal", "paypal"), ("cafe5", "cafes")]
+_SEEN = by_key(KEY, "'corner-shop' || {k}", "'Bou1ang3rie_' || {k}", "'vvater' || {k}", "'c|ock' || {k}", "'роса' || {k}", "'hôtel' || {k}")
+_SHAPES = by_key(KEY, "'comershop' || n", "'boulang3rle' || n", "'water' || n", "'dock' || n", "'poca' || n", "'hotel' || n")
 
 
-@query(values(_SKELETONS, "label, skeleton"))
+@query(f"SELECT c_custkey AS k, {_SHAPES} AS skeleton FROM (SELECT c_custkey, translate(CAST(c_custkey AS VARCHAR), '015', 'ols') AS n FROM customer)")
 def str5_skeleton(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _SKELETONS], "label string").select("label", N.skeleton(F.col("label")).alias("skeleton"))
+    return customers(spark, sf_dir, label=_SEEN).select("k", N.skeleton(F.col("label")).alias("skeleton"))
 
 
 @query("SELECT a.c_custkey, damerau_levenshtein(a.c_name, b.c_name) <= 1 AS near FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 9")
@@ -72,75 +88,72 @@ def str6_one_edit(spark, sf_dir):
     return a.join(b, "c_custkey").select("c_custkey", N.within_one_edit(F.col("c_name"), F.col("other")).alias("near"))
 
 
-_SUBJECTS = [("RE: TR : Fwd: Réunion  budget", "réunion budget"), ("Re[2]: x", "x"), ("Regarding: y", "regarding: y"), ("  AW:WG: z ", "z"), (None, ""), ("ENC :  A\tB", "a b")]
+_TOPICS = by_key(KEY, "'Re[' || {k} || ']:  FW : Dossier   ' || c_name", "'Retard: ' || c_name", "'  AW:WG: ' || c_name || ' '", "NULL", "'ENC :  A' || chr(9) || c_name", "'Sv : re: ANTW:' || c_name")
 
 
-@query(values(_SUBJECTS, "subject, clean"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'dossier ' || lower(c_name)", "'retard: ' || lower(c_name)", "lower(c_name)", "''", "'a ' || lower(c_name)", "lower(c_name)")} AS clean FROM customer""")
 def str7_normalise_subject(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _SUBJECTS], "subject string").select("subject", M.normalise_subject(F.col("subject")).alias("clean"))
+    return customers(spark, sf_dir, subject=_TOPICS).select("k", M.normalise_subject(F.col("subject")).alias("clean"))
 
 
-_IDS = [("<A@x>", "a@x"), ("  b@Y ", "b@y"), ("", None), (None, None), ("<<c>>", "c")]
+_IDS = by_key(KEY, "'<A' || {k} || '@X>'", "'  b' || {k} || '@Y '", "''", "NULL", "'<<c' || {k} || '>>'")
 
 
-@query(values(_IDS, "id, clean"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'a' || {k} || '@x'", "'b' || {k} || '@y'", "NULL", "NULL", "'c' || {k}")} AS clean FROM customer""")
 def str8_normalise_id(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _IDS], "id string").select("id", M.normalise_id(F.col("id")).alias("clean"))
+    return customers(spark, sf_dir, id=_IDS).select("k", M.normalise_id(F.col("id")).alias("clean"))
 
 
-_REFS = [(1, "<A@x>", "<b@x> <c@x>", "a@x,b@x,c@x"), (2, None, "d@x e@x,f@x", "d@x,e@x,f@x"), (3, None, None, ""), (4, "g@x", "", "g@x")]
+_ANSWERED = by_key(KEY, "'<A' || {k} || '@x>'", "NULL", "NULL", "'g' || {k} || '@x'")
+_REFERRED = by_key(KEY, "'<b' || {k} || '@x> junk <C@x>'", "'d' || {k} || '@x e@x,' || chr(9) || 'f@x'", "NULL", "''")
 
 
-@query(values(_REFS, "k, irt, refs, ids"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'a' || {k} || '@x,b' || {k} || '@x,c@x'", "'d' || {k} || '@x,e@x,f@x'", "''", "'g' || {k} || '@x'")} AS ids FROM customer""")
 def str9_referenced_ids(spark, sf_dir):
-    df = spark.createDataFrame([r[:3] for r in _REFS], "k int, irt string, refs string")
-    return df.select("k", "irt", "refs", F.array_join(M.referenced_ids(F.col("irt"), F.col("refs")), ",").alias("ids"))
+    df = customers(spark, sf_dir, irt=_ANSWERED, refs=_REFERRED)
+    return df.select("k", F.array_join(M.referenced_ids(F.col("irt"), F.col("refs")), ",").alias("ids"))
 
 
-#: A header block with a folded hop, one hop that gives only an address, and verdicts that don't agree.
-BLOCK = """Received: from relay.verdon.test (relay.verdon.test [192.0.2.44])\r
-\tby inbox.maurin.test with ESMTPS id a9; Mon, 3 Mar 2025 18:20:41 +0100\r
-Received: from [198.51.100.23]\r
- by relay.verdon.test with SMTP id b7; Mon, 3 Mar 2025 17:20:30 +0000\r
-Authentication-Results: inbox.maurin.test; spf=pass smtp.mailfrom=verdon.test; dkim=fail; dmarc=none\r
-From: Lea <lea@maurin.test>\r
-Reply-To: desk@lagune.test\r
-Return-Path: <bounce@news.maurin.test>\r
-Subject: Inventaire de mars\r
-\r
-X-After: the block has ended\r
-"""
+#: A header block of each conversation row, folded once, behind which its text isn't looked at.
+_BLOCK = "'From: ' || role || chr(13) || chr(10) || 'Subject: turn ' || turn || chr(13) || chr(10) || chr(9) || ' of ' || conv_id || chr(13) || chr(10) || 'no header' || chr(10) || 'X-Turn:' || turn || chr(10) || chr(10) || text"
 
 
-def block(spark):
-    return spark.createDataFrame([(BLOCK,)], "raw string").select(M.headers(F.col("raw")).alias("h"))
+@query("""SELECT conv_id, turn, k, n AS name, CASE k WHEN 1 THEN role WHEN 2 THEN 'turn ' || turn || ' of ' || conv_id ELSE CAST(turn AS VARCHAR) END AS value
+  FROM conversations, (VALUES (1, 'From'), (2, 'Subject'), (3, 'X-Turn')) v(k, n)""")
+def str10_header_block(spark, sf_dir):
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", M.headers(F.expr(_BLOCK)).alias("h"))
+    return own.select("conv_id", "turn", F.posexplode("h").alias("k", "x")).select("conv_id", "turn", (F.col("k") + 1).alias("k"), "x.name", "x.value")
 
 
-@query(values([(1, "Received"), (2, "Received"), (3, "Authentication-Results"), (4, "From"), (5, "Reply-To"), (6, "Return-Path"), (7, "Subject")], "k, name"))
-def str10_header_block(spark, sf_dir):
-    return block(spark).select(F.posexplode("h").alias("k", "x")).select((F.col("k") + 1).alias("k"), "x.name")
+#: Two hops of each customer's message, the second folded and in another zone.
+_HOPS = """'Received: from relay' || c_custkey || '.test (relay' || c_custkey || '.test [192.0.2.' || c_custkey % 250 || '])' || chr(10) || chr(9) || 'by inbox.test with ESMTPS id a9; Mon, 3 Mar 2025 18:21:00 +0100' || chr(10)
+  || 'Received: from [198.51.100.' || c_custkey % 200 || '] by relay' || c_custkey || '.test with SMTP id b7; Mon, 3 Mar 2025 17:20:' || lpad(CAST(c_custkey % 60 AS {0}), 2, '0') || ' +0000' || chr(10) || 'Subject: x'"""
 
 
-@query(values([(1, "198.51.100.23", "relay.verdon.test", "2025-03-03 17:20:30", None), (2, "192.0.2.44", "inbox.maurin.test", "2025-03-03 17:20:41", 11)], "k, ip, server, stamp, delay"))
+@query("""SELECT c_custkey, k, CASE k WHEN 1 THEN '198.51.100.' || c_custkey % 200 ELSE '192.0.2.' || c_custkey % 250 END AS ip, CASE k WHEN 1 THEN 'relay' || c_custkey || '.test' ELSE 'inbox.test' END AS server,
+  CASE k WHEN 1 THEN '2025-03-03 17:20:' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') ELSE '2025-03-03 17:21:00' END AS stamp, CASE k WHEN 2 THEN CAST(60 - c_custkey % 60 AS INTEGER) END AS delay FROM customer, (VALUES (1), (2)) v(k)""")
 def str11_received_hops(spark, sf_dir):
-    path = block(spark).select(M.hops(F.col("h")).alias("p")).select(F.arrays_zip(F.col("p"), M.with_delays(F.col("p")).alias("d")).alias("z"))
-    out = path.select(F.posexplode("z").alias("k", "z"))
-    hop = out.select((F.col("k") + 1).alias("k"), F.col("z").getField("p").alias("p"), F.col("z").getField("d").cast("int").alias("delay"))
-    return hop.select("k", F.col("p.from_ip").alias("ip"), F.col("p.by").alias("server"), F.date_format("p.time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "delay")
-
-
-_AUTH = [
-    ("Authentication-Results: a; spf=pass; dkim=fail\nAuthentication-Results: b; dmarc=fail", "pass", "fail", None),
-    ("Authentication-Results: a; none\nAuthentication-Results: b; dkim=fail; dkim=pass", None, "pass", None),
-    ("Received-SPF: Pass (sender ok)", "pass", None, None),
-    ("Subject: x", None, None, None),
-    ("Authentication-Results: a; DMARC = Fail\nReceived-SPF: softfail", "softfail", None, "fail"),
-]
+    own = table(spark, sf_dir, "customer").select("c_custkey", M.hops(M.headers(F.expr(_HOPS.format("STRING")))).alias("p"))
+    path = own.select("c_custkey", F.posexplode(F.arrays_zip(F.col("p"), M.with_delays(F.col("p")).alias("d"))).alias("k", "z"))
+    hop = path.select("c_custkey", (F.col("k") + 1).alias("k"), F.col("z").getField("p").alias("p"), F.col("z").getField("d").cast("int").alias("delay"))
+    return hop.select("c_custkey", "k", F.col("p.from_ip").alias("ip"), F.col("p.by").alias("server"), F.date_format("p.time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "delay")
+
+
+_SAID = by_key("c_custkey % 3", "'pass'", "'fail'", "'neutral'")
+_VERDICTS = by_key(
+    KEY,
+    f"'Authentication-Results: a; spf=' || {_SAID} || '; dkim=fail' || chr(10) || 'Authentication-Results: b; dmarc=fail'",
+    f"'Authentication-Results: a; none' || chr(10) || 'Authentication-Results: b; dkim=fail; dkim=' || {_SAID}",
+    f"'Received-SPF: ' || upper({_SAID}) || ' (said so)'",
+    "'Subject: spf=' || c_name",
+    f"'Authentication-Results: a; DMARC = ' || {_SAID} || chr(10) || 'Received-SPF: softfail'",
+)
 
 
-@query(values(_AUTH, "raw, spf, dkim, dmarc"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, _SAID, "NULL", _SAID, "NULL", "'softfail'")} AS spf, {by_key(KEY, "'fail'", f"CASE WHEN {_SAID} = 'pass' THEN 'pass' ELSE 'fail' END", "NULL", "NULL", "NULL")} AS dkim,
+  {by_key(KEY, "NULL", "NULL", "NULL", "NULL", _SAID)} AS dmarc FROM customer""")
 def str12_auth_verdicts(spark, sf_dir):
-    return spark.createDataFrame([(a[0],) for a in _AUTH], "raw string").select("raw", M.authentication(M.headers(F.col("raw"))).alias("a")).select("raw", "a.*")
+    return customers(spark, sf_dir, raw=_VERDICTS).select("k", M.authentication(M.headers(F.col("raw"))).alias("a")).select("k", "a.*")
 
 
 @query(f"SELECT page_id, {HTML_TEXT} AS content FROM pages")
@@ -148,12 +161,31 @@ def str13_html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("content"))
 
 
-@query()
+@query("SELECT doc_id, text AS content FROM documents")
 def str14_rtf_to_text(spark, sf_dir):
+    """Each text as RTF, with characters beyond ASCII by number and in the code page, groups that aren't shown and line ends."""
     from mailquarry.extract.rtf import rtf_text
 
-    rtf = [r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\f0 Bonjour \b monde\b0\par caf\'e9 \u8364?}", r"{\rtf1{\*\generator x}a{\pict 00ff}b}"]
-    return spark.createDataFrame([(t, rtf_text(t.encode())) for t in rtf], "rtf string, content string")
+    def char(c: str, k: int) -> str:
+        if c in "\\{}":
+            return "\\" + c
+        if c == "\n":
+            return "\\par\n"
+        if c == "\t":
+            return "\\tab "
+        if c < " " or ord(c) > 126:
+            return f"\\'{ord(c):02x}" if 160 <= ord(c) < 256 and k % 2 else "".join(f"\\u{u - 65536 if u > 32767 else u}?" for u in struct.unpack(f"<{len(c.encode('utf-16-le')) // 2}H", c.encode("utf-16-le")))
+        return c
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                body = "".join(char(c, i) for c in t or "")
+                out.append(None if t is None else rtf_text(("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}{\\*\\generator x}{\\pict 00ff}\\f0 " + body + "}").encode("ascii")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "content"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, content string")
 
 
 #: What is put behind a page, by page_id modulo their number: a fragment, what is left of it, and whether something was blocked.
@@ -220,38 +252,44 @@ def str18_normalise_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalise(F.col("text")).alias("clean"))
 
 
-_CODED = [("=?utf-8?Q?caf=C3=A9?=", "café"), ("=?iso-8859-1?B?6XTp?=", "été"), ("plain", "plain")]
-
-
-@query(values(_CODED, "coded, decoded"))
+@query("SELECT doc_id, text AS decoded FROM documents")
 def str19_encoded_words(spark, sf_dir):
+    """Each text in encoded words of 40 characters, by turns in both codings and two character sets."""
     from mailquarry.extract.mime import decode_words
 
-    return spark.createDataFrame([(a, decode_words(a)) for a, _ in _CODED], "coded string, decoded string")
+    def coded(part: str, k: int) -> str:
+        charset = "iso-8859-1" if all(ord(c) < 256 for c in part) and k % 3 == 0 else "utf-8"
+        data = part.encode(charset)
+        return f"=?{charset}?B?{base64.b64encode(data).decode()}?=" if k % 2 else f"=?{charset}?q?{''.join(f'={b:02X}' for b in data)}?="
 
+    def run(batches):
+        for b in batches:
+            texts = [None if t is None else decode_words(" ".join(coded(t[k : k + 40], k // 40) for k in range(0, len(t), 40))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, decoded string")
 
-_MASKS = [
-    (1, "FR14 2004 1010 0505 0001 3M02 606", "FR14 **** **** 2606"),
-    (2, "4111 1111 1111 1111", "**** **** **** 1111"),
-    (4, "1 85 05 78 006 084 91", "1 ** ** ** *** *** 91"),
-    (8, "06 12 34 56 78", "06 ** ** ** 78"),
-    (8, "+33 6 12 34 56 78", "+3361 ** ** ** 78"),
-]
 
+_FOUR = "lpad(CAST(c_custkey % 10000 AS {0}), 4, '0')"
+_TWO = "lpad(CAST(c_custkey % 100 AS {0}), 2, '0')"
+_VALUES = by_key(KEY, f"'be68-5390.0754 ' || {_FOUR}", f"'4000 0012 3456 ' || {_FOUR}", f"'2 91 11 33 063 217 ' || {_TWO}", f"'07 81 22 43 ' || {_TWO}", f"'+33 6 44 51 09 ' || {_TWO}")
+_HIDDEN = by_key(KEY, f"'BE68 **** **** ' || {_FOUR}", f"'**** **** **** ' || {_FOUR}", f"'2 ** ** ** *** *** ' || {_TWO}", f"'07 ** ** ** ' || {_TWO}", f"'+3364 ** ** ** ' || {_TWO}")
 
-@query(values(_MASKS, "kind, value, masked"))
+
+@query(f"SELECT c_custkey AS k, {_HIDDEN.format('VARCHAR')} AS masked FROM customer")
 def str20_masks(spark, sf_dir):
-    return spark.createDataFrame([r[:2] for r in _MASKS], "kind int, value string").select("kind", "value", S.masked(F.col("kind"), F.col("value")).alias("masked"))
+    own = customers(spark, sf_dir, kind=by_key(KEY, "1", "2", "4", "8", "8"), value=_VALUES.format("STRING"))
+    return own.select("k", S.masked(F.col("kind"), F.col("value")).alias("masked"))
 
 
-_FILES = [("a/b:c?.eml", "a_b_c_.eml"), ("   ", "message"), (None, "message"), ("name. .", "name")]
+_WANTED = by_key(KEY, "'a/b:c?' || {k} || '.eml'", "'   '", "NULL", "'name' || {k} || '. .'", "repeat('long ', 40) || {k}")
 
 
-@query(values(_FILES, "name, safe"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'a_b_c_' || {k} || '.eml'", "'message'", "'message'", "'name' || {k}", "trim(repeat('long ', 24))")} AS safe FROM customer""")
 def str21_file_name(spark, sf_dir):
     from mailquarry.operators.labels import file_name
 
-    return spark.createDataFrame([(a,) for a, _ in _FILES], "name string").select("name", file_name(F.col("name")).alias("safe"))
+    return customers(spark, sf_dir, name=_WANTED).select("k", file_name(F.col("name")).alias("safe"))
 
 
 @query("SELECT page_id, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.[^./\\\\]+$')) AS ext FROM pages")
@@ -261,33 +299,29 @@ def str22_extension(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", extension(F.substring_index(F.substring_index("url", "?", 1), "#", 1)).alias("ext"))
 
 
-_UNDER = [("C:\\Mail\\x", True), ("c:/mail", True), ("C:/Mailing/x", False), ("D:/Mail", False)]
+_PATHS = by_key(KEY, "'C:' || chr(92) || 'Mail' || chr(92) || 'x' || {k}", "'c:/MAIL'", "'C:/Mailing/' || {k}", "'D:/Mail/' || {k}", "'c:' || chr(92) || 'mail/' || c_name")
 
 
-@query(values(_UNDER, "path, below"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "true", "true", "false", "false", "true")} AS below FROM customer""")
 def str23_path_below(spark, sf_dir):
     from mailquarry.sources.discovery import is_under
 
-    return spark.createDataFrame([(a,) for a, _ in _UNDER], "path string").select("path", is_under(F.col("path"), "C:\\Mail\\").alias("below"))
+    return customers(spark, sf_dir, path=_PATHS).select("k", is_under(F.col("path"), "C:\\Mail\\").alias("below"))
 
 
 # --- dates ------------------------------------------------------------------------------------------------------
 
-_STAMPS = [
-    ("Tue, 7 Oct 2025 10:00:05 +0200 (CEST)", "2025-10-07 08:00:05"),
-    ("7 Oct 25 10:00 EST", "2025-10-07 15:00:00"),
-    ("7 October 1969 01:02:03 -0130", "1969-10-07 02:32:03"),
-    ("1 Feb 70 00:00 XYZ", "1970-02-01 00:00:00"),
-    ("31 Feb 2024 10:00 GMT", None),
-    ("junk", None),
-    (None, None),
-]
+_DAY = "day(o_orderdate) || ' ' || substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INTEGER), 3)"
+_CLOCK = "' 10:' || lpad(CAST(o_orderkey % 60 AS {0}), 2, '0')"
+_STAMPS = by_key("o_orderkey", f"'Tue, ' || {_DAY} || 'uary ' || year(o_orderdate) || {_CLOCK} || ':05 +0200 (CEST)'", f"{_DAY} || ' ' || year(o_orderdate) || {_CLOCK} || ' EST'", f"{_DAY} || ' ' || year(o_orderdate) || {_CLOCK} || ':59 -0130'",
+                 f"{_DAY} || ' ' || substr(CAST(year(o_orderdate) AS {{0}}), 3, 2) || {_CLOCK} || ' XYZ'", "'31 Feb 2024 10:00 GMT'", "'junk ' || o_orderkey", "NULL")
+_AT = "strftime(CAST(o_orderdate AS DATE) + to_minutes(600 + o_orderkey % 60 + ({0})) + to_seconds({1}), '%Y-%m-%d %H:%M:%S')"
 
 
-@query(values(_STAMPS, "said, stamp"))
+@query(f"SELECT o_orderkey, {by_key('o_orderkey', _AT.format('-120', 5), _AT.format('300', 0), _AT.format('90', 59), _AT.format('0', 0), 'NULL', 'NULL', 'NULL')} AS stamp FROM orders")
 def dat1_header_dates(spark, sf_dir):
-    df = spark.createDataFrame([(a,) for a, _ in _STAMPS], "said string")
-    return df.select("said", F.date_format(D.parse_date(F.col("said")), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+    said = F.expr(_STAMPS.format("STRING"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(D.parse_date(said), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN epoch(l_shipdate) < epoch(o_orderdate) - 300 THEN 1 ELSE 0 END
@@ -308,21 +342,26 @@ def dat3_milliseconds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ms.alias("ms"), F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss").alias("back"))
 
 
-@query("SELECT * FROM (VALUES ('UTC', epoch_ms(TIMESTAMP '2024-07-01 00:00:00')), ('Europe/Paris', epoch_ms(TIMESTAMP '2024-06-30 22:00:00'))) v(zone, ms)")
+@query("""SELECT event_id, ts >= TIMESTAMP '2024-01-15 00:00:00' AS in_utc, epoch_us(ts) // 1000 >= epoch_ms(TIMESTAMP '2024-01-14 23:00:00') AS in_paris, epoch_us(ts) // 1000 >= epoch_ms(TIMESTAMP '2024-01-15 05:00:00') AS in_new_york FROM events""")
 def dat4_day_bounds(spark, sf_dir):
-    day = datetime(2024, 7, 1).date()
-    rows = [spark.range(1).select(F.lit(z).alias("zone"), D.day_start_ms(day, z).alias("ms")) for z in ("UTC", "Europe/Paris")]
-    return rows[0].union(rows[1])
+    day = datetime(2024, 1, 15).date()
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    own = [(ms >= D.day_start_ms(day, z)).alias(n) for n, z in (("in_utc", "UTC"), ("in_paris", "Europe/Paris"), ("in_new_york", "America/New_York"))]
+    return table(spark, sf_dir, "events").select("event_id", *own)
 
 
 # --- validation -------------------------------------------------------------------------------------------------
 
-_IBANS = [("FR14 2004 1010 0505 0001 3M02 606", True), ("DE89370400440532013000", True), ("FR15 2004 1010 0505 0001 3M02 606", False), ("DE8937040044053201300", False), ("XX00", False), (None, False)]
+#: German account numbers; 131400 are the letters DE and two zeros, as numbers. By turns the right check digits, others, and a digit short.
+_ACCOUNT = "'37040044' || lpad(CAST(c_custkey % 1000000 AS STRING), 10, '0')"
+_REST = f"CAST({_ACCOUNT} || '131400' AS DECIMAL(38, 0)) % 97"
+_CHECK = f"lpad(CAST(98 - {_REST} AS STRING), 2, '0')"
+_IBANS = by_key(KEY, f"'de' || {_CHECK} || ' ' || {_ACCOUNT}", f"'DE' || lpad(CAST((99 - {_REST}) % 97 AS STRING), 2, '0') || {_ACCOUNT}", f"'DE' || {_CHECK} || substr({_ACCOUNT}, 2)", "NULL")
 
 
-@query(values(_IBANS, "value, ok"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "true", "false", "false", "false")} AS ok FROM customer""")
 def val1_iban(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _IBANS], "value string").select("value", S.is_iban(F.col("value")).alias("ok"))
+    return customers(spark, sf_dir, value=_IBANS).select("k", S.is_iban(F.col("value")).alias("ok"))
 
 
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) WHEN CAST(d[i] AS INTEGER) > 4 THEN 2 * CAST(d[i] AS INTEGER) - 9 ELSE 2 * CAST(d[i] AS INTEGER) END)) % 10 = 0"
@@ -336,12 +375,15 @@ def val2_card(spark, sf_dir):
     return runs.select("doc_id", "d", S.is_card(F.col("d")).alias("ok"))
 
 
-_NIRS = [("1 85 05 78 006 084 91", True), ("1 85 05 2A 006 084 35", True), ("1 85 05 78 006 084 92", False), ("185057800608491", True), ("12", False)]
+#: Numbers of persons born in 1985, by turns with the right key, written apart, with a wrong key, in Corsica (2A counts as 19), too short.
+_NIRS = by_key(KEY, "n || lpad(CAST(97 - CAST(n AS BIGINT) % 97 AS STRING), 2, '0')", "substr(n, 1, 1) || ' ' || substr(n, 2, 6) || '-' || substr(n, 8) || ' ' || lpad(CAST(97 - CAST(n AS BIGINT) % 97 AS STRING), 2, '0')",
+               "n || lpad(CAST((98 - CAST(n AS BIGINT) % 97) % 97 AS STRING), 2, '0')", "'185052A' || substr(n, 8) || lpad(CAST(97 - CAST('1850519' || substr(n, 8) AS BIGINT) % 97 AS STRING), 2, '0')", "substr(n, 1, 13)")
 
 
-@query(values(_NIRS, "value, ok"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "true", "true", "false", "true", "false")} AS ok FROM customer""")
 def val3_nir(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _NIRS], "value string").select("value", S.is_nir(F.col("value")).alias("ok"))
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.expr("'1850578' || lpad(CAST(c_custkey % 1000000 AS STRING), 6, '0') AS n"))
+    return own.select(F.col("c_custkey").alias("k"), S.is_nir(F.expr(_NIRS)).alias("ok"))
 
 
 @query()
