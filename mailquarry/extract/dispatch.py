@@ -25,16 +25,21 @@ from .limits import Budget, Encrypted, Limits, TooMuch
 OK, EMPTY, UNSUPPORTED, ENCRYPTED, TOO_LARGE, ERROR = "ok", "empty", "unsupported", "encrypted", "toolarge", "error"
 
 #: The first bytes of formats, and the extensions of each kind.
-MAGIC = [(b"%PDF", "pdf"), (b"PK\x03\x04", "zip"), (ole.MAGIC, "ole"), (b"{\\rtf", "rtf")]
+MAGIC = [(b"%PDF-", "pdf"), (b"PK\x03\x04", "zip"), (b"PK\x05\x06", "zip"), (ole.MAGIC, "ole")]
 EXTENSIONS = {
-    "zip": "zip docx docm dotx xlsx xlsm xltx pptx pptm ppsx odt ods odp odg ott",
-    "ole": "doc dot xls xlt ppt pps msg",
-    "html": "html htm xhtml mht",
-    "xml": "xml xsd xsl svg rss",
-    "mime": "eml mhtml",
-    "text": "txt csv tsv log md json ics vcf ini cfg conf yaml yml sql tex srt bat ps1 py js css java c cpp h cs",
-}
-_KIND = {e: k for k, es in EXTENSIONS.items() for e in es.split()}
+    "pdf": ["pdf"],
+    "rtf": ["rtf"],
+    "mime": ["eml"],
+    "html": ["html", "htm", "xhtml", "mht", "mhtml"],
+    "xml": ["xml", "xsd", "xsl", "xslt", "config", "svg", "rels", "kml"],
+    "text": [
+        "txt", "csv", "tsv", "ics", "vcf", "url", "log", "json", "md", "ini", "cfg", "conf", "yaml", "yml", "sql", "bat", "cmd", "ps1", "vbs", "js", "css",
+        "properties", "reg", "lst", "asc", "nfo",
+    ],
+}
+_KIND = {e: k for k, own in EXTENSIONS.items() for e in own}
+#: Before it up to eight blanks or bytes from EF on may stand.
+_RTF = re.compile(rb"[\x00-\x20\xef-\xff]{0,8}\{\\rtf")
 
 
 def sniff(name: str | None, data: bytes) -> str | None:
@@ -43,9 +48,10 @@ def sniff(name: str | None, data: bytes) -> str | None:
     for magic, kind in MAGIC:
         if data.startswith(magic):
             return kind
+    if _RTF.match(data):
+        return "rtf"
     m = re.search(r"\.([^./\\]+)$", name or "")
-    kind = _KIND.get(m.group(1).lower()) if m else None
-    return None if kind in ("zip", "ole") else kind
+    return _KIND.get(m.group(1).lower()) if m else None
 
 
 def text_of(name: str | None, data: bytes, budget: Budget, depth: int = 0) -> str | None:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ADDRESS = r"[A-Za-z0-9._%+\-'!#$&*/=?^`{|}~]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+#: What may stand before the at sign of an address, and behind it.
+BEFORE_AT = r"[A-Za-z0-9._%+\-'!#$&*/=?^`{|}~]"
+BEHIND_AT = r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+
+#: An address begins where such a run does, or where the address before it ended. So a long run without an at sign, such as encoded data, is gone through once.
+ADDRESS = rf"(?:\G|(?<!{BEFORE_AT})){BEFORE_AT}++@{BEHIND_AT}"
 
 #: Second-level names under which organisations register in two-letter domains.
 SECOND_LEVEL = ["co", "com", "org", "net", "gov", "ac", "edu", "gouv", "asso", "or", "ne", "go"]

@@ -49,14 +49,15 @@ def lookalikes(domains: DataFrame, least: int = LEAST, ratio: int = RATIO) -> Da
     same_label = rare.join(often, F.col("label") == F.col("f_label"))
     same_skeleton = rare.join(often, F.col("skel") == F.col("f_skel"))
     near = rare.withColumn("part", own).join(often.filter(F.length("f_label") >= 5).withColumn("part", known), "part").drop("part")
-    near = near.filter(within_one_edit(F.col("label"), F.col("f_label")))
-    pairs = same_label.select(*near.columns).union(same_skeleton.select(*near.columns)).union(near).distinct()
+    near = near.select(*near.columns, within_one_edit(F.col("label"), F.col("f_label")).alias("edit")).filter("edit")
+    met = same_label.union(same_skeleton.select(*same_label.columns)).withColumn("edit", F.lit(False))
+    pairs = met.select(*near.columns).union(near).distinct()
     pairs = pairs.filter((F.col("domain") != F.col("f_domain")) & (F.col("f_n") >= F.col("n") * ratio))
     differs = F.col("label") != F.col("f_label")
     kind = (
         F.when(~differs & (F.col("suffix") != F.col("f_suffix")), "suffix")
         .when(differs & (F.col("skel") == F.col("f_skel")), F.when(F.contains("domain", F.lit("xn--")), "punycode").otherwise("homoglyph"))
-        .when(differs & (F.length("f_label") >= 5) & within_one_edit(F.col("label"), F.col("f_label")), "typo")
+        .when(differs & F.col("edit"), "typo")
     )
     first = F.row_number().over(W.partitionBy("domain").orderBy(F.col("f_n").desc(), F.col("f_domain")))
     found = pairs.withColumn("kind", kind).filter(F.col("kind").isNotNull()).withColumn("k", first).filter("k = 1")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailquarry.functions import mail as M
 from mailquarry.operators import impersonation, store, threads
-from mailquarry.plans.queries_functions import KEY, by_key, customers, values
 from mailquarry.plans.queries_tables import _NAMED, _named
-from mailquarry.plans.registry import query
+from mailquarry.plans.registry import KEY, by_key, customers, query
 from mailquarry.sources.case import fixture_domains, fixture_subjects, fixture_threads, table
 
 #: Names, addresses and headers of a message, and the flags they get; all from the key of a customer.
@@ -63,17 +63,16 @@ def spf3_lookalikes(spark, sf_dir):
     return impersonation.lookalikes(fixture_domains(spark, sf_dir))
 
 
-#: A name with a letter of another script, as it is written in addresses.
-_CODED = "xn--" + "h\u0430rbourline".encode("punycode").decode()
-_GIVEN = [("verdantmail.net", 80), ("verdantrnail.net", 1), ("verdantmail.shop", 2), ("verdantmaill.net", 1), ("glaciers.test", 60), ("glacier5.test", 3), ("harbourline.fr", 90), ("harb0urline.fr", 1),
-          (f"{_CODED}.fr", 2), ("lone-pine.test", 4), ("vineyard.test", 7)]
-_ALIKE = [("verdantrnail.net", "verdantmail.net", "homoglyph", 1), ("verdantmail.shop", "verdantmail.net", "suffix", 2), ("verdantmaill.net", "verdantmail.net", "typo", 1), ("glacier5.test", "glaciers.test", "homoglyph", 3),
-          ("harb0urline.fr", "harbourline.fr", "homoglyph", 1), (f"{_CODED}.fr", "harbourline.fr", "punycode", 2)]
+#: Customers as sender domains in fives: a frequent one, and ones that look like it by a digit, by what is behind the label, by a letter more, not at all. The
+#: letters of two frequent ones differ in two places at least.
+_CODE = "translate(lpad(CAST(CAST(floor(c_custkey / 5) AS BIGINT) AS STRING), 6, '0') || reverse(lpad(CAST(CAST(floor(c_custkey / 5) AS BIGINT) AS STRING), 6, '0')), '0123456789', 'bdfghjkmpt')"
+_SENDERS = by_key(KEY, f"'vale' || {_CODE} || '.test'", f"'va1e' || {_CODE} || '.test'", f"'vale' || {_CODE} || '.shop'", f"'vale' || {_CODE} || 'x.test'", f"'q' || {_CODE} || 'zz.test'")
+_SENT = by_key(KEY, "80", "1", "2", "1", "3")
 
 
-@query(values(_ALIKE, "domain, resembles, kind, messages").replace("SELECT *", "SELECT domain, resembles, kind, CAST(messages AS BIGINT) AS messages"))
+@query(f"""SELECT {_SENDERS} AS domain, 'vale' || {_CODE} || '.test' AS resembles, {by_key(KEY, "''", "'homoglyph'", "'suffix'", "'typo'", "''")} AS kind, CAST({_SENT} AS BIGINT) AS messages FROM customer WHERE c_custkey % 5 IN (1, 2, 3)""")
 def jon9_domain_pairs(spark, sf_dir):
-    return impersonation.lookalikes(spark.createDataFrame(_GIVEN, "domain string, n long"))
+    return impersonation.lookalikes(customers(spark, sf_dir, domain=_SENDERS, n=f"CAST({_SENT} AS BIGINT)"))
 
 
 _FAKE = "fk AS (SELECT ct.name, ct.email FROM ct JOIN tp USING (name) WHERE email <> top_email AND top_n >= 2 AND top_n >= n AND split_part(email, '@', 2) <> split_part(top_email, '@', 2))"
@@ -170,14 +169,26 @@ def ext2_extracted_attachments(spark, sf_dir):
     return extract_frame(p).select("message_id", "idx_path", "name", "status", "sha256", "chars")
 
 
-_SNIFF = [("a.docx", "504B0304", "zip"), ("a.pdf", "255044462D", "pdf"), ("a.doc", "D0CF11E0A1B11AE1", "ole"), ("a.txt", "68656C6C6F", "text"), ("x.docx", "68656C6C6F", "unsupported"), ("a.bin", "0001", "unsupported"), ("a.rtf", "7B5C72746631", "rtf"), ("m.eml", "46726F6D3A", "mime")]
+#: Names and first bytes of files, and what they are.
+_FILES = [
+    ("'a' || {k} || '.docx'", "504B0304", "zip"), ("'a.doc'", "504B050600", "zip"), ("'a' || {k} || '.pdf'", "255044462D", "pdf"), ("'a' || {k} || '.pdf'", "68656C6C6F", "pdf"), ("'a' || {k} || '.doc'", "D0CF11E0A1B11AE1", "ole"),
+    ("'a' || {k} || '.txt'", "68656C6C6F", "text"), ("'x' || {k} || '.docx'", "68656C6C6F", "unsupported"), ("'a' || {k} || '.bin'", "0001", "unsupported"), ("'a' || {k} || '.txt'", "0A20FF7B5C72746631", "rtf"),
+    ("'m' || {k} || '.eml'", "46726F6D3A", "mime"), ("'P.MHTML'", "46726F6D3A", "html"), ("'a' || {k} || '.url'", "5B", "text"), ("'a' || {k} || '.kml'", "3C", "xml"), ("'a' || {k} || '.config'", "3C", "xml"), ("'a' || {k} || '.py'", "23", "unsupported"),
+    ("'a' || {k} || '.msg'", "68656C6C6F", "unsupported"), ("'a' || {k} || '.reg'", "57", "text"),
+]
 
 
-@query(values(_SNIFF, "name, head, kind"))
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, *(f"'{kind}'" for _, _, kind in _FILES))} AS kind FROM customer""")
 def ext1_format_sniffing(spark, sf_dir):
     from mailquarry.extract.dispatch import sniff
 
-    return spark.createDataFrame([(n, h, sniff(n, bytes.fromhex(h)) or "unsupported") for n, h, _ in _SNIFF], "name string, head string, kind string")
+    def run(batches):
+        for b in batches:
+            kinds = [sniff(n, bytes.fromhex(h)) or "unsupported" for n, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string())], names=["k", "kind"])
+
+    own = customers(spark, sf_dir, name=by_key(KEY, *(n for n, _, _ in _FILES)), head=by_key(KEY, *(f"'{h}'" for _, h, _ in _FILES)))
+    return own.mapInArrow(run, "k long, kind string")
 
 
 @query("SELECT page_id, CASE WHEN octet_length(encode(html)) > 2000 THEN 'toolarge' WHEN html = '' THEN 'empty' ELSE 'ok' END AS status FROM pages")

@@ -12,7 +12,7 @@ from mailquarry.functions import text as X
 from mailquarry.operators.labels import flag_labels, item_kind, shown_sender
 from mailquarry.operators.store import duplicates
 from mailquarry.plans.query import INDICES, parse
-from mailquarry.plans.registry import ATT, MSG, pad, query, toks
+from mailquarry.plans.registry import ATT, KEY, MSG, by_key, by_python, customers, pad, query, toks
 from mailquarry.functions.excerpts import highlight
 from mailquarry.plans.search import MESSAGE_FIELDS, Request, candidates, pages, ranks, search, with_snippets
 from mailquarry.plans.sorting import KEYS, cursor, order
@@ -136,12 +136,14 @@ def flt11_family_excluded(spark, sf_dir):
     return found(spark, sf_dir, "le OR la -et")
 
 
-@query("SELECT * FROM (VALUES ('indice:inconnu', 1), ('fil:abc', 1), ('spf:bizarre', 1), ('-mot', 1), ('-mot avant:2020', 0), ('mot -autre', 0)) v(query, errors)")
+_ASKED = by_key(KEY, "'indice:inconnu' || {k}", "'fil:a' || {k}", "'spf:b' || {k}", "'-mot' || {k}", "'-mot' || {k} || ' avant:2020'", "'mot' || {k} || ' -autre'")
+
+
+@query(f"SELECT c_custkey AS k, {by_key(KEY, *(f"'{n}'" for n in (1, 1, 1, 1, 0, 0)))} AS errors FROM customer")
 def flt12_validation(spark, sf_dir):
     from mailquarry.plans.search import errors
 
-    asked = ["indice:inconnu", "fil:abc", "spf:bizarre", "-mot", "-mot avant:2020", "mot -autre"]
-    return spark.createDataFrame([(q, len(errors(parse(q), Request(query=q)))) for q in asked], "query string, errors int")
+    return by_python(customers(spark, sf_dir, errors=_ASKED), "errors", lambda q: str(len(errors(parse(q), Request(query=q)))))
 
 
 @query(f"WITH {MSG} SELECT id, mailbox, folder_path, subject, size, message_id, date_ms, sender_id, msg_class, flags FROM msg")
@@ -149,13 +151,15 @@ def flt13_result_projection(spark, sf_dir):
     return fixture_messages(spark, sf_dir).select("id", "mailbox", "folder_path", "subject", "size", "message_id", "date_ms", "sender_id", "msg_class", "flags")
 
 
-_KINDS = "('IPM.Note','Message'),('IPM.Appointment','Rendez-vous'),('ipm.schedule.meeting.request','Réunion'),('IPM.Contact.x','Contact'),('IPM.DistList','Contact'),('IPM.Task','Tâche'),('IPM.StickyNote','Note'),('IPM.Activity','Journal'),('REPORT.IPM.Note.NDR','Accusé'),('IPM.Note.SMIME','Chiffré'),('','Message')"
+_CLASSES = [
+    ("IPM.Note", "Message"), ("IPM.Appointment", "Rendez-vous"), ("ipm.schedule.meeting.request", "Réunion"), ("IPM.Contact.x", "Contact"), ("IPM.DistList", "Contact"), ("IPM.Task", "Tâche"), ("IPM.StickyNote", "Note"),
+    ("IPM.Activity", "Journal"), ("REPORT.IPM.Note.NDR", "Accusé"), ("IPM.Note.SMIME", "Chiffré"), ("", "Message"),
+]
 
 
-@query(f"SELECT cls, kind FROM (VALUES {_KINDS}) v(cls, kind)")
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, *(f"'{kind}'" for _, kind in _CLASSES))} AS kind FROM customer""")
 def flt14_item_kind(spark, sf_dir):
-    classes = ["IPM.Note", "IPM.Appointment", "ipm.schedule.meeting.request", "IPM.Contact.x", "IPM.DistList", "IPM.Task", "IPM.StickyNote", "IPM.Activity", "REPORT.IPM.Note.NDR", "IPM.Note.SMIME", ""]
-    return spark.createDataFrame([(c,) for c in classes], "cls string").select("cls", item_kind(F.col("cls")).alias("kind"))
+    return customers(spark, sf_dir, cls=by_key(KEY, *(f"'{c}'" for c, _ in _CLASSES))).select("k", item_kind(F.col("cls")).alias("kind"))
 
 
 @query(f"WITH {MSG} SELECT id, concat_ws(', ', CASE WHEN flags & 1 <> 0 THEN 'Reply-To différent' END, CASE WHEN flags & 2 <> 0 THEN 'Return-Path différent' END) AS labels FROM msg WHERE flags IS NOT NULL")
@@ -172,16 +176,21 @@ def flt16_shown_sender(spark, sf_dir):
     return c.select("c_custkey", shown_sender(name, F.col("c_name")).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES ('size', 'size', true), ('subject', 'subject', false), ('date', 'date_ms', true)) v(key, col, natural_desc)")
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'size'", "'subject'", "'date_ms'")} AS col, {by_key(KEY, "true", "false", "true")} AS natural_desc FROM customer""")
 def flt17_column_catalogue(spark, sf_dir):
-    return spark.createDataFrame([(k, KEYS[k][0], KEYS[k][2]) for k in ("size", "subject", "date")], "key string, col string, natural_desc boolean")
+    listed = F.create_map(*(F.lit(x) if isinstance(x, str) else x for k, (c, _, down) in KEYS.items() for x in (k, F.struct(F.lit(c).alias("col"), F.lit(down).alias("natural_desc")))))
+    return customers(spark, sf_dir, key=by_key(KEY, "'size'", "'subject'", "'date'")).select("k", F.element_at(listed, F.col("key")).alias("x")).select("k", "x.*")
 
 
-@query("SELECT * FROM (VALUES (0, ''), (1023, '1023 o'), (1024, '1 Ko'), (1536, '1.5 Ko'), (5242880, '5 Mo'), (1610612736, '1.5 Go')) v(b, shown)")
+_N = "(c_custkey % 1000 + 1)"
+
+
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, f"{_N} || ' o'", f"{_N} || ' Ko'", f"{_N} || '.5 Ko'", f"{_N} || ' Mo'", f"{_N} || '.25 Go'", "''")} AS shown FROM customer""")
 def flt18_size_text(spark, sf_dir):
     from mailquarry.operators.labels import size_text
 
-    return spark.createDataFrame([(b,) for b in (0, 1023, 1024, 1536, 5242880, 1610612736)], "b int").select("b", size_text(F.col("b").cast("long")).alias("shown"))
+    size = by_key(KEY, _N, f"{_N} * 1024", f"{_N} * 1024 + 512", f"{_N} * 1048576", f"({_N} * 4 + 1) * 268435456", "0 - c_custkey")
+    return customers(spark, sf_dir, b=size).select("k", size_text(F.col("b").cast("long")).alias("shown"))
 
 
 @query("SELECT page_id, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.[^./]+$')) IN ('.com', '.html', '.sh') AND lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.[^./]+$')) <> '.html' AS risky FROM pages")
@@ -240,35 +249,44 @@ def lng11_attachment_contents(spark, sf_dir):
     return found(spark, sf_dir, "pjtexte:elle")
 
 
-_DATES = ["2024-01-02", "2024-1-2", "02/01/2024", "2/1/2024", "2024-01", "2024", "02.01.2024", "hier", "2024-13-01"]
+_YMD = ("year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)")
+_PAD = lambda x: f"lpad(CAST({x} AS {{0}}), 2, '0')"
+_DAYS = by_key("o_orderkey", f"{_YMD[0]} || '-' || {_YMD[1]} || '-' || {_YMD[2]}", f"{_PAD(_YMD[2])} || '/' || {_PAD(_YMD[1])} || '/' || {_YMD[0]}", f"{_YMD[2]} || '/' || {_YMD[1]} || '/' || {_YMD[0]}", f"{_YMD[0]} || '-' || {_PAD(_YMD[1])}",
+               f"CAST({_YMD[0]} AS {{0}})", f"{_PAD(_YMD[2])} || '.' || {_PAD(_YMD[1])} || '.' || {_YMD[0]}", "'hier'", f"{_YMD[0]} || '-13-01'")
 
 
-@query("SELECT q, d FROM (VALUES ('2024-01-02','2024-01-02'),('2024-1-2','2024-01-02'),('02/01/2024','2024-01-02'),('2/1/2024','2024-01-02'),('2024-01','2024-01-01'),('2024','2024-01-01'),('02.01.2024','2024-01-02'),('hier',NULL),('2024-13-01',NULL)) v(q, d)")
+@query(f"""SELECT o_orderkey, {by_key("o_orderkey", *["strftime(o_orderdate, '%Y-%m-%d')"] * 3, "strftime(o_orderdate, '%Y-%m-01')", "strftime(o_orderdate, '%Y-01-01')", "strftime(o_orderdate, '%Y-%m-%d')", "NULL", "NULL")} AS d FROM orders""")
 def lng12_date_forms(spark, sf_dir):
-    days = [(t, parse(f"avant:{t}").before) for t in _DATES]
-    return spark.createDataFrame([(t, d.isoformat() if d else None) for t, d in days], "q string, d string")
+    def day(text: str) -> str | None:
+        found = parse(f"avant:{text}").before
+        return found.isoformat() if found else None
+
+    return by_python(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DAYS.format("STRING")).alias("d")), "d", day)
 
 
-@query("SELECT * FROM (VALUES ('usurpation','spoof_flags',63),('dates','date_flags',127),('sensible','sens_flags',15),('tel','sens_flags',8)) v(name, col, mask)")
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'spoof_flags&63 '", "'date_flags&127 '", "'sens_flags&15 '", "'-sens_flags&8 '")} || 'fil=' || c_custkey || ' -spf=fail' AS asked FROM customer""")
 def lng13_filter_names(spark, sf_dir):
-    return spark.createDataFrame([(n, *INDICES[n]) for n in ("usurpation", "dates", "sensible", "tel")], "name string, col string, mask int")
+    def shown(text: str) -> str:
+        return " ".join(("-" if f.negated else "") + ("{}&{}".format(*INDICES[f.value]) if f.field == "indice" else f"{f.field}={f.value}") for f in parse(text).filters)
 
+    query = f"{by_key(KEY, "'indice:usurpation '", "'indice:dates '", "'indice:sensible '", "'-indice:tel '")} || 'mot' || c_custkey || ' fil:' || c_custkey || ' -spf:fail'"
+    return by_python(customers(spark, sf_dir, asked=query), "asked", shown)
 
-@query("SELECT * FROM (VALUES (0, 'budget'), (1, 'accord'), (2, 'de*'), (3, 'confid*')) v(k, term)")
+
+@query("SELECT c_custkey AS k, 'budget' || c_custkey || ',accord,de*,confid' || c_custkey || '*' AS terms FROM customer")
 def lng14_highlight_terms(spark, sf_dir):
-    terms = parse('budget -brouillon objet:accord "de confid"*').highlight
-    return spark.createDataFrame(list(enumerate(terms)), "k int, term string")
+    query = """'budget' || c_custkey || ' -brouillon objet:accord "de confid' || c_custkey || '"*'"""
+    return by_python(customers(spark, sf_dir, terms=query), "terms", lambda q: ",".join(parse(q).highlight))
 
 
-_PARSED = [
-    ("de: dupont", "dupont"), ("foo:bar", "foo:bar"), ("a OR b c", "a|b c"), ("OR x", "x"), ("a OR -b c", "a c"), ("avant:hier x", "avant:hier x"), ("!! ... x", "x"), ('"a b', "a b"), ("a OR spf:fail b", "a|b"),
-]
+_QUERIES = by_key(KEY, "'de: dup' || {k}", "'foo:bar' || {k}", "'a' || {k} || ' OR b c'", "'OR x' || {k}", "'a' || {k} || ' OR -b c'", "'avant:hier' || {k} || ' x'", "'!! ... x' || {k}", "chr(34) || 'a b' || {k}", "'a' || {k} || ' OR spf:fail b'")
+_PARSED = by_key(KEY, "'dup' || {k}", "'foo:bar' || {k}", "'a' || {k} || '|b c'", "'x' || {k}", "'a' || {k} || ' c'", "'avant:hier' || {k} || ' x'", "'x' || {k}", "'a b' || {k}", "'a' || {k} || '|b'")
 
 
-@query("SELECT q, parsed FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PARSED) + ") v(q, parsed)")
+@query(f"SELECT c_custkey AS k, {_PARSED} AS parsed FROM customer")
 def lng1_parser(spark, sf_dir):
-    shown = [(q, " ".join("|".join(t.text for t in c.alternatives) for c in parse(q).positive)) for q, _ in _PARSED]
-    return spark.createDataFrame(shown, "q string, parsed string")
+    shown = lambda q: " ".join("|".join(t.text for t in c.alternatives) for c in parse(q).positive)
+    return by_python(customers(spark, sf_dir, parsed=_QUERIES), "parsed", shown)
 
 
 def _people(spark, sf_dir):
@@ -494,12 +512,15 @@ def srt1_subject_order(spark, sf_dir):
     return _place(search(fixture_case(spark, sf_dir), Request(sort="subject", limit=None)))
 
 
-@query("SELECT * FROM (VALUES ('size', 'size', true), ('size:asc', 'size', false), ('DateAsc', 'date', false), ('SubjectAsc', 'subject', false), ('bogus', 'date', true), ('subject:desc', 'subject', true)) v(spec, key, descending)")
+_SPECS = [("size", "size true"), ("size:asc", "size false"), ("DateAsc", "date false"), ("SubjectAsc", "subject false"), ("bogus", "date true"), ("subject:desc", "subject true"), (" Sender ", "sender false"), ("relevance", "relevance false"), ("size:up", "date true")]
+
+
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, *(f"'{x}'" for _, x in _SPECS))} AS parsed FROM customer""")
 def srt2_sort_specs(spark, sf_dir):
     from mailquarry.plans.sorting import parse_sort
 
-    specs = ["size", "size:asc", "DateAsc", "SubjectAsc", "bogus", "subject:desc"]
-    return spark.createDataFrame([(s, *parse_sort(s)) for s in specs], "spec string, key string, descending boolean")
+    shown = lambda spec: "{} {}".format(*parse_sort(spec)).lower()
+    return by_python(customers(spark, sf_dir, parsed=by_key(KEY, *(f"'{x}'" for x, _ in _SPECS))), "parsed", shown)
 
 
 @query(f"WITH {MSG} SELECT id, CAST(row_number() OVER (ORDER BY date_ms ASC NULLS FIRST, id ASC) AS INTEGER) AS place FROM msg")
@@ -542,12 +563,16 @@ def srt8_random_sample(spark, sf_dir):
     return s.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("distinct_ids"))
 
 
-@query("SELECT * FROM (VALUES ('slide2', 1), ('slide10', 2), ('slide010b', 3)) v(name, place)")
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey < c_custkey * 7 % 1000 THEN 'before' WHEN c_custkey = c_custkey * 7 % 1000 THEN 'same' ELSE 'behind' END AS place FROM customer")
 def srt9_natural_order(spark, sf_dir):
+    """Whether a part named by the key comes before one with another number, some of them written with zeros."""
     from mailquarry.extract.archives import natural_key
 
-    names = sorted(["slide10", "slide2", "slide010b"], key=natural_key)
-    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "name string, place int")
+    def place(names: str) -> str:
+        a, b = map(natural_key, names.split("|"))
+        return "before" if a < b else "behind" if a > b else "same"
+
+    return by_python(customers(spark, sf_dir, place="'slide' || c_custkey || '.xml|slide' || c_custkey * 7 % 1000 || '.xml'"), "place", place)
 
 
 # --- sets -----------------------------------------------------------------------------------------------------

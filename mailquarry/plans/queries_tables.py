@@ -10,7 +10,7 @@ from mailquarry.functions import sensitive as S
 from mailquarry.operators import impersonation, store
 from mailquarry.operators.labels import csv_cell, csv_quoted
 from mailquarry.operators.tree import folder_tree
-from mailquarry.plans.registry import ATT, MSG, query
+from mailquarry.plans.registry import ATT, KEY, MSG, by_key, by_python, customers, query
 from mailquarry.sources.case import fixture_attachments, fixture_domains, fixture_messages, table
 from mailquarry.sources.discovery import mailbox_names
 
@@ -211,12 +211,19 @@ def agg18_throughput(spark, sf_dir):
 
 # --- sources ----------------------------------------------------------------------------------------------------
 
-_PATHS = ["/a/jean@x.com_2.pst", "/a/jean@x.com.pst", "/a/archive (1).pst", "/a/archive (2).pst", "/b/rapport_2019.pst", "/b/Big-01.pst", "/b/big-02.pst", "/c/seul-03.pst"]
+#: Part numbers count behind an address, and where two files have the same rest.
+_NAMES = [
+    ("'/a' || {k} || '/jo@x' || {k} || '.test_2.pst'", "'jo@x' || {k} || '.test'"), ("'/a' || {k} || '/jo@y' || {k} || '.test.pst'", "'jo@y' || {k} || '.test'"), ("'/b/report' || {k} || '_2019.pst'", "'report' || {k} || '_2019'"),
+    ("'/c/only' || {k} || '-03.pst'", "'only' || {k} || '-03'"), ("'/d/both' || ({k} - 4) || ' (1).pst'", "'both' || ({k} - 4)"), ("'/d/both' || ({k} - 5) || ' (2).pst'", "'both' || ({k} - 5)"),
+]
 
 
-@query("SELECT * FROM (VALUES ('/a/jean@x.com_2.pst','jean@x.com'),('/a/jean@x.com.pst','jean@x.com'),('/a/archive (1).pst','archive'),('/a/archive (2).pst','archive'),('/b/rapport_2019.pst','rapport_2019'),('/b/Big-01.pst','Big'),('/b/big-02.pst','big'),('/c/seul-03.pst','seul-03')) v(path, mailbox)")
+@query(f"SELECT {by_key(KEY, *(p for p, _ in _NAMES))} AS path, {by_key(KEY, *(n for _, n in _NAMES))} AS mailbox FROM customer WHERE c_custkey < (SELECT count(*) // 6 * 6 FROM customer)")
 def src2_mailbox_names(spark, sf_dir):
-    return mailbox_names(spark.createDataFrame([(p,) for p in _PATHS], "path string"))
+    """The last customers that don't make six are left out, since the names come in sixes."""
+    own = customers(spark, sf_dir, path=by_key(KEY, *(p for p, _ in _NAMES)))
+    whole = own.count() // 6 * 6
+    return mailbox_names(own.filter(F.col("k") < whole).select("path"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
@@ -256,21 +263,27 @@ def src16_point_lookup(spark, sf_dir):
     return out.select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query("SELECT * FROM (VALUES ('/x/a.pst', 'pst', '/x/a.pst'), ('/x/m/1.msg', 'msg_folder', '/x/m'), ('/x/m/2.MSG', 'msg_folder', '/x/m'), ('/y/b.OST', 'pst', '/y/b.OST')) v(path, kind, source)")
+_FOUND = by_key(KEY, "'/x/a' || {k} || '.pst'", "'/x/m' || {k} % 10 || '/' || {k} || '.msg'", "'/x/m' || {k} % 10 || '/' || {k} || '.MSG'", "'/x/readme' || {k} || '.txt'", "'/y/b' || {k} || '.OST'", "'/z/known' || {k} || '.pst'")
+
+
+@query(f"""SELECT {_FOUND} AS path, {by_key(KEY, "'pst'", "'msg_folder'", "'msg_folder'", "''", "'pst'", "''")} AS kind, CASE WHEN c_custkey % 6 IN (1, 2) THEN '/x/m' || c_custkey % 10 ELSE {_FOUND} END AS source
+  FROM customer WHERE c_custkey % 6 NOT IN (3, 5)""")
 def src1_discovery(spark, sf_dir):
     from mailquarry.sources.discovery import classify
 
-    paths = ["/x/a.pst", "/x/m/1.msg", "/x/m/2.MSG", "/x/readme.txt", "/y/b.OST", "/z/known.pst"]
-    known = spark.createDataFrame([("/z/known.pst",)], "path string")
-    return classify(spark.createDataFrame([(p,) for p in paths], "path string"), known)
+    found = customers(spark, sf_dir, path=_FOUND)
+    return classify(found.select("path"), found.filter("k % 6 = 5").select("path"))
+
+
+_SHOWN = by_key(KEY, "c_name || ' <a' || {k} || '@x.fr>'", "'a' || {k} || '@x.fr'", "c_name", "'A' || {k} || '@X.fr'", "''")
 
 
-@query("SELECT * FROM (VALUES (1, 'Ann <a@x.fr>'), (2, 'a@x.fr'), (3, 'Ann'), (4, 'A@X.fr'), (5, '')) v(k, shown)")
+@query(f"SELECT c_custkey AS k, {_SHOWN} AS shown FROM customer")
 def src9_recipient_display(spark, sf_dir):
     from mailquarry.operators.labels import recipient
 
-    rows = [(1, "Ann", "a@x.fr"), (2, None, "a@x.fr"), (3, "Ann", ""), (4, "A@X.fr", "a@x.fr"), (5, None, None)]
-    return spark.createDataFrame(rows, "k int, name string, email string").select("k", recipient(F.col("name"), F.col("email")).alias("shown"))
+    own = customers(spark, sf_dir, name=by_key(KEY, "c_name", "NULL", "c_name", "'A' || {k} || '@X.fr'", "NULL"), email=by_key(KEY, "'a' || {k} || '@x.fr'", "'a' || {k} || '@x.fr'", "''", "'a' || {k} || '@x.fr'", "NULL"))
+    return own.select("k", recipient(F.col("name"), F.col("email")).alias("shown"))
 
 
 @query("SELECT c_custkey, trim(u.part) AS recipient FROM customer, unnest(string_split(c_name || ';' || c_mktsegment || '; x', ';')) AS u(part)")
@@ -381,22 +394,22 @@ def snk13_merge_mailboxes(spark, sf_dir):
     return store.merge_mailboxes(n)
 
 
-_MOVES = [("E:\\Mail\\a.pst", "/data/a.pst"), ("e:/mail/sub/b.pst", "/data/sub/b.pst"), ("E:\\Mailing\\c.pst", None), ("/other/d.pst", None), ("E:/MAIL", "/data")]
+_MOVED = by_key(KEY, "'E:' || chr(92) || 'Mail' || chr(92) || {k} || '.pst'", "'e:/mail/sub/' || {k} || '.pst'", "'E:' || chr(92) || 'Mailing' || chr(92) || {k}", "'/other/' || {k} || '.pst'", "'E:/MAIL'")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _MOVES) + ") v(path, target)")
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'/data/' || {k} || '.pst'", "'/data/sub/' || {k} || '.pst'", "NULL", "NULL", "'/data'")} AS target FROM customer""")
 def snk14_relocation(spark, sf_dir):
     from mailquarry.sources.discovery import relocated
 
-    return spark.createDataFrame([(a,) for a, _ in _MOVES], "path string").select("path", relocated(F.col("path"), "E:\\Mail\\", "/data").alias("target"))
+    return customers(spark, sf_dir, path=_MOVED).select("k", relocated(F.col("path"), "E:\\Mail\\", "/data").alias("target"))
 
 
-@query("SELECT * FROM (VALUES ('/old/case/x/a.pst', '/new/place/x/a.pst', '/old/case', '/new/place'), ('C:\\\\m\\\\a.pst', '/m/a.pst', 'C:', '')) v(a, b, from_prefix, to_prefix) WHERE a LIKE '/old%'")
+@query(f"""SELECT c_custkey AS k, {by_key(KEY, "'/old' || {k} || ' > /new/place'", "'E: > /mnt/e' || {k}", "'/a > /b'")} AS prefixes FROM customer""")
 def snk14_inferred_prefixes(spark, sf_dir):
     from mailquarry.sources.discovery import infer_relocation
 
-    a, b = "/old/case/x/a.pst", "/new/place/x/a.pst"
-    return spark.createDataFrame([(a, b, *infer_relocation(a, b))], "a string, b string, from_prefix string, to_prefix string")
+    pairs = by_key(KEY, "'/old' || {k} || '/x/a.pst|/new/place/X/A.pst'", "'E:' || chr(92) || 'm' || chr(92) || '1.pst|/mnt/e' || {k} || '/m/1.pst'", "'/a/' || {k} || '.pst|/b/' || {k} || '.pst'")
+    return by_python(customers(spark, sf_dir, prefixes=pairs), "prefixes", lambda x: " > ".join(infer_relocation(*x.split("|"))))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders")

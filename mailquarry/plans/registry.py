@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,23 @@ def pad(c: str) -> str:
 
 def toks(c: str) -> str:
     return f"regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def by_key(key: str, *forms: str) -> str:
+    """SQL that both engines take: a form for each row, by its key modulo their number; {k} is the key."""
+    return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {i} THEN {f.replace('{k}', key)}" for i, f in enumerate(forms)) + " END"
+
+
+def customers(spark, sf_dir, **columns: str):
+    """k (the customer's key) and columns of SQL."""
+    from mailquarry.sources.case import table
+
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *(F.expr(c).alias(n) for n, c in columns.items()))
+
+
+KEY = "c_custkey"
+
+
+def by_python(df: DataFrame, column: str, make: Callable[[str | None], str | None]) -> DataFrame:
+    """df with a column of texts put through a function, in Arrow batches."""
+    return df.withColumn(column, F.pandas_udf(lambda s: s.map(make), "string")(F.col(column)))

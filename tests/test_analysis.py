@@ -6,11 +6,17 @@ from mailquarry.functions import text as X
 from mailquarry.operators import impersonation, threads
 from mailquarry.operators.labels import SENSITIVE_LABELS, flag_labels
 from mailquarry.operators.tree import folder_tree
-from mailquarry.plans.queries_analysis import _ALIKE, _CODED, _GIVEN
 from pyspark.sql import functions as F
 
 D0 = datetime(2025, 10, 7, 8)
 
+#: A name with a letter of another script, as it is written in addresses.
+_CODED = "xn--" + "h\u0430rbourline".encode("punycode").decode()
+_GIVEN = [("verdantmail.net", 80), ("verdantrnail.net", 1), ("verdantmail.shop", 2), ("verdantmaill.net", 1), ("glaciers.test", 60), ("glacier5.test", 3), ("harbourline.fr", 90), ("harb0urline.fr", 1),
+          (f"{_CODED}.fr", 2), ("lone-pine.test", 4), ("vineyard.test", 7)]
+_ALIKE = [("verdantrnail.net", "verdantmail.net", "homoglyph", 1), ("verdantmail.shop", "verdantmail.net", "suffix", 2), ("verdantmaill.net", "verdantmail.net", "typo", 1), ("glacier5.test", "glaciers.test", "homoglyph", 3),
+          ("harb0urline.fr", "harbourline.fr", "homoglyph", 1), (f"{_CODED}.fr", "harbourline.fr", "punycode", 2)]
+
 #: A header block with a folded hop, one hop that gives only an address, and verdicts that don't agree.
 BLOCK = """Received: from relay.verdon.test (relay.verdon.test [192.0.2.44])\r
 \tby inbox.maurin.test with ESMTPS id a9; Mon, 3 Mar 2025 18:20:41 +0100\r
@@ -35,6 +41,22 @@ def test_header_block(spark):
     assert [(p["index"], p.from_ip, p.by) for p in row.p] == [(1, "198.51.100.23", "relay.verdon.test"), (2, "192.0.2.44", "inbox.maurin.test")] and row.d == [None, 11]
 
 
+def test_addresses(spark):
+    """As the plain expression finds them, in time that grows with the text."""
+    import random
+    import re
+    import time
+
+    plain = re.compile(rf"{mail.BEFORE_AT}+@{mail.BEHIND_AT}")
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab.@_-é <>'1", k=rng.randint(0, 40))) for _ in range(1500)] + ["a@b.c_d@e.fr", "x@y.z@w.v", "@a.b", "a@b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert {r.k: r.a for r in df.select("k", mail.addresses(F.col("t")).alias("a")).collect()} == {k: [x.lower() for x in plain.findall(t or "")] for k, t in enumerate(texts)}
+    long = spark.createDataFrame([("A1b2" * 250_000 + " a@b.fr @" + "x" * 500_000,)], "t string").select(mail.addresses(F.col("t")).alias("a"))
+    began = time.time()
+    assert long.first().a == ["a@b.fr"] and time.time() - began < 20
+
+
 def test_header_dates(spark):
     given = {"Tue, 7 Oct 2025 10:00:05 +0200 (CEST)": datetime(2025, 10, 7, 8, 0, 5), "7 Oct 25 10:00 EST": datetime(2025, 10, 7, 15), "junk": None, "99 Oct 2025 10:00": None}
     rows = spark.createDataFrame([(k,) for k in given], "s string").select("s", dates.parse_date(F.col("s")).alias("d")).collect()
