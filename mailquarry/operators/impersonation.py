@@ -19,7 +19,9 @@ def domain_counts(messages: DataFrame) -> DataFrame:
 
 def organisations(domains: DataFrame) -> DataFrame:
     """domains (domain, n) rolled up to organisational domains that have a dot."""
-    return domains.select(organisational(F.col("domain")).alias("domain"), "n").filter(F.contains("domain", F.lit("."))).groupBy("domain").agg(F.sum("n").cast("long").alias("n"))
+    # of an array, so that what makes the column, and the rule itself, stand once in the generated code
+    own = domains.select(F.get(F.transform(F.array("domain"), organisational), F.lit(0)).alias("domain"), "n")
+    return own.filter(F.contains("domain", F.lit("."))).groupBy("domain").agg(F.sum("n").cast("long").alias("n"))
 
 
 def lookalikes(domains: DataFrame, least: int = LEAST, ratio: int = RATIO) -> DataFrame:
@@ -36,16 +38,23 @@ def lookalikes(domains: DataFrame, least: int = LEAST, ratio: int = RATIO) -> Da
     rare = org.filter(F.length("label") >= 4)
     often = org.filter(F.col("n") >= least).select(*(F.col(c).alias(f"f_{c}") for c in org.columns))
 
-    def parts(c: Column, length: Column, swap: bool = True) -> list[Column]:
-        h = F.floor(length / 2).cast("int")
-        rest = (length - h).cast("int")
-        key = lambda mark, *text: F.concat(F.lit(mark), length.cast("string"), F.lit(":"), *text)
-        out = [key("<", c.substr(F.lit(1), h)), key(">", c.substr(F.greatest(F.length(c) - rest + 1, F.lit(1)), rest))]
-        return [*out, key("=", c.substr(F.lit(1), h - 1), F.lit("|"), c.substr(h + 2, rest))] if swap else out
+    def parts(c: Column, lengths: Column) -> Column:
+        """For each length the halves of a label that has it, and of c's own length c without the two characters where they meet. A function
+        of each length, not an expression for each, keeps the generated code short."""
+
+        def of(n: Column) -> Column:
+            h = F.floor(n / 2).cast("int")
+            rest = (n - h).cast("int")
+            key = lambda mark, *text: F.concat(F.lit(mark), n.cast("string"), F.lit(":"), *text)
+            first = key("<", c.substr(F.lit(1), h))
+            met = F.when(n == F.length(c), key("=", c.substr(F.lit(1), h - 1), F.lit("|"), c.substr(h + 2, rest)))
+            return F.array(first, key(">", c.substr(F.greatest(F.length(c) - rest + 1, F.lit(1)), rest)), F.coalesce(met, first))
+
+        return F.explode(F.array_distinct(F.flatten(F.transform(lengths, of))))
 
     n = F.length("label")
-    own = F.explode(F.array_distinct(F.array(*(p for d in (-1, 0, 1) for p in parts(F.col("label"), n + d, d == 0)))))
-    known = F.explode(F.array(*parts(F.col("f_label"), F.length("f_label"))))
+    own = parts(F.col("label"), F.array(n - 1, n, n + 1))
+    known = parts(F.col("f_label"), F.array(F.length("f_label")))
     same_label = rare.join(often, F.col("label") == F.col("f_label"))
     same_skeleton = rare.join(often, F.col("skel") == F.col("f_skel"))
     near = rare.withColumn("part", own).join(often.filter(F.length("f_label") >= 5).withColumn("part", known), "part").drop("part")
