@@ -35,7 +35,7 @@ for _e in ("script", "style", "head", "title", "xml", "o:p"):
 _H = f"regexp_replace({_H}, '(?i)<\\s*(?:br|/p|/div|/tr|/li|/h[1-6]|/table|/blockquote)\\b[^>]*>', chr(10), 'g')"
 _H = f"regexp_replace({_H}, '(?i)<\\s*/t[dh]\\s*>', ' ' || chr(9), 'g')"
 _H = f"regexp_replace({_H}, '(?s)<[^>]*>', ' ', 'g')"
-for _e, _t in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
+for _e, _t in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
     _H = f"replace({_H}, '{_e}', {_t})"
 _H = f"replace(regexp_replace({_H}, '[ \\t\\x{{00a0}}]+', ' ', 'g'), chr(13), '')"
 HTML_TEXT = f"regexp_replace(regexp_replace({_H}, '(?:\\s*\\n){{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"

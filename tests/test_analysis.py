@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from mailquarry.functions import dates, domains, excerpts, mail, sensitive
+from mailquarry.functions import dates, domains, excerpts, htmlscan, mail, sensitive
 from mailquarry.functions import text as X
 from mailquarry.operators import impersonation, threads
 from mailquarry.operators.labels import SENSITIVE_LABELS, flag_labels
@@ -276,7 +276,7 @@ def test_sanitised_pages(spark):
         ("<p>a</p>", "<p>a</p>", False), (None, None, False), ("", "", False),
         ("<SCRIPT src=x>a</SCRIPT ><script>b", "b", False), ("<noscript><img src='http://x.test'></noscript>", "", False), ("<meta http-equiv=refresh><base href='//x.test'>c", "c", False),
         ("<p onmouseover='f(\"x\")'>d</p>", "<p >d</p>", False), ("<form action=javascript:f>e</form>", '<form action="#">e</form>', False),
-        ("<img src=//x.test/i>", f'<img src="" {X.BLOCKED}>', True), ("<img src=' HTTPS://x.test/i'>", f'<img src="" {X.BLOCKED}>', True), ("<img src='file:///c'>", f'<img src="" {X.BLOCKED}>', True),
+        ("<img src=//x.test/i>", f'<img src="" {htmlscan.BLOCKED}>', True), ("<img src=' HTTPS://x.test/i'>", f'<img src="" {htmlscan.BLOCKED}>', True), ("<img src='file:///c'>", f'<img src="" {htmlscan.BLOCKED}>', True),
         ("<img src='cid:a@b'>", "<img src='cid:a@b'>", False), ("<img src='data:image/png;base64,AA=='>", "<img src='data:image/png;base64,AA=='>", False),
         ("<img srcset='a.png 1x'>", "<img srcset='a.png 1x'>", False), ("<a href='https://x.test'>f</a>", "<a href='https://x.test'>f</a>", False),
         ("<use xlink:href='//x.test/a' href='//x.test/b'/>", '<use xlink:href="" href=""/>', True), ("<style>@import 'http://x.test/a.css';</style>", "<style>;</style>", True),
@@ -286,6 +286,36 @@ def test_sanitised_pages(spark):
     assert got == {i: (c[1], c[2]) for i, c in enumerate(cases)}
 
 
+def test_sanitiser_reads_attributes_as_viewers_do():
+    """However it is written, nothing runs and nothing is loaded; what is harmless stays as it is."""
+    runs = [
+        "<img/onerror=f()>", "<svg/onload='f()'>", "<a href='java&#115;cript:f()'>", "<a href='java\tscript:f()'>", "<a href=' \x01javascript:f()'>", "<a href=JAVASCRIPT&colon;f()>", "<form><button formaction='javascript:f()'>",
+        "<a href='data:text/html;base64,x'>", "<img src=x onerror\n=\n'f()'>", "<img title='>' onerror=f()>", "<p =x onclick=f()>", "<scr<script>x</script>ipt>", "<x:y onload=f()>", "<body onload=f() onload=g()>",
+    ]
+    for page in runs:
+        clean, _ = htmlscan.sanitised(page)
+        assert not any(x in htmlscan.decoded(clean).lower().replace("\t", "").replace(" ", "") for x in ("javascript:", "f()", "g()", "data:text/html")), (page, clean)
+    loads = [
+        "<img src=&#104;ttp://x.test/i>", "<img src='ht\ntp://x.test/i'>", "<img/src=//x.test/i>", "<p style='background:url(&quot;http://x.test/i&quot;)'>", r"<p style='background:u\72l(http://x.test/i)'>", "<p style='background:u/**/rl(//x.test)'>",
+        "<style>@import \"//x.test/a.css\";</style>", r"<style>a{b:\75rl(//x.test/i)}</style>", "<video poster=http://x.test/p>", "<image href=//x.test/i>", "<img srcset='a 1x, //x.test/b 2x'>",
+    ]
+    for page in loads:
+        clean, blocked = htmlscan.sanitised(page)
+        assert blocked and "x.test" not in clean, (page, clean)
+    for page in ["<a href='https://x.test'>x</a>", "<p title='on sale = now'>1 < 2 & 3 > 2</p>", "<p onto>", "<!-- <img src='//x.test'> -->", "<img src='cid:a' alt='//x'>", "<p style='color:red'>", "< b>", "<", "<p", "<style>a{}</style>", "<styled style=x>"]:
+        assert htmlscan.sanitised(page) == (page, False), page
+    big = "<a b" * 100_000 + "<p style='url(" * 2_000 + "<" * 100_000
+    assert htmlscan.text_of(big) is not None and htmlscan.sanitised(big)[0]
+
+
+def test_page_text():
+    cases = {
+        "<p>a</p>b<br>c<BR/>d": "a\nb\nc\nd", "<td>1</td><td>2</td>": "1 2", "x<script>if (a<b) f('</p>')</script >y": "x y", "<title>t</title>a<o:p>z</o:p>b": "a b", "<!-- <p> -->a": "a",
+        "&eacute;&euro;&#233;&#xE9;&amp;lt;&nope;&amp": "é€éé&lt;&nope;&amp", "a\n\n\n\n b": "a\n\n b", "a\r\nb\u00a0\t c": "a\nb c", "<script>open": "open", "a < b": "a < b", "<h1>t</h1>x": "t\nx", "": "",
+    }
+    assert {k: htmlscan.text_of(k) for k in cases} == cases and htmlscan.text_of(None) is None
+
+
 def test_values_without_overlaps_match_brute_force():
     import random
 
