@@ -1,7 +1,7 @@
 """Which extractor a file gets, and what comes of it.
 
-A bad file is a row with its status and error, never a failed task. A file that takes too long is stopped in the
-worker by an alarm where the system has one.
+A bad file is a row with its status and error, never a failed task. A file that takes too long is stopped by an alarm where the system has
+one; what no alarm reaches, extract.supervised stops.
 """
 
 from __future__ import annotations
@@ -125,30 +125,36 @@ def extract(name: str | None, data: bytes | None, limits: Limits | None = None,
 def first_status(name: Column, data: Column, most: int = 50 << 20) -> Column:
     """What can be said of a file without opening it: too large, empty, not supported; else null."""
     known = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^./\\]+)$", 1)).isin(*_KIND)
-    head = F.hex(F.substring(data, 1, 8))
-    magic = F.startswith(head, F.lit("25504446")) | F.startswith(head, F.lit("504B0304")) | F.startswith(head, F.lit("D0CF11E0")) | F.startswith(head, F.lit("7B5C727466"))
+    head = F.hex(F.substring(data, 1, 16))
+    magic = F.rlike(head, F.lit("^(?:255044462D|504B0304|504B0506|D0CF11E0A1B11AE1|(?:[01][0-9A-F]|20|EF|F[0-9A-F]){0,8}7B5C727466)"))
     return F.when(F.length(data) > most, TOO_LARGE).when(F.length(data) == 0, EMPTY).when(~known & ~magic, UNSUPPORTED)
 
 
 SCHEMA = "message_id long, idx_path string, name string, size long, sha256 string, status string, error string, chars int, content string"
 
 
-def _extracting(limits: Limits, seconds: float):
+def _extracting(limits: Limits, seconds: float, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .supervised import Supervisor
+
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
-        for b in batches:
-            rows = []
-            for at in range(b.num_rows):
-                mid, path, name, data = (b.column(k)[at].as_py() for k in range(4))
-                status, text, error = extract(name, data, limits, seconds)
-                digest = hashlib.sha256(data).hexdigest() if data is not None else None
-                rows.append((mid, path, name, len(data or b""), digest, status, error, len(text or ""), text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names=names)
+        with Supervisor(limits, seconds, memory) as child:
+            for b in batches:
+                rows = []
+                for at in range(b.num_rows):
+                    mid, path, name, data = (b.column(k)[at].as_py() for k in range(4))
+                    # what is known without opening the file needs no child
+                    plain = data is None or not data or len(data) > limits.file_bytes
+                    status, text, error = extract(name, data, limits, seconds) if plain else child.extract(name, data)
+                    digest = hashlib.sha256(data).hexdigest() if data is not None else None
+                    rows.append((mid, path, name, len(data or b""), digest, status, error, len(text or ""), text))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names=names)
 
     return run
 
 
-def extract_frame(files: DataFrame, limits: Limits | None = None, seconds: float = 60.0) -> DataFrame:
-    """Status, digest and text of every file in files (message_id, idx_path, name, data)."""
-    return files.select("message_id", "idx_path", "name", "data").mapInArrow(_extracting(limits or Limits(), seconds), SCHEMA)
+def extract_frame(files: DataFrame, limits: Limits | None = None, seconds: float = 60.0, memory: int = 4 << 30) -> DataFrame:
+    """Status, digest and text of every file in files (message_id, idx_path, name, data). Each task has a child process with `memory` bytes of address
+    space, which is killed and started anew where a file takes more than `seconds` or brings it down."""
+    return files.select("message_id", "idx_path", "name", "data").mapInArrow(_extracting(limits or Limits(), seconds, memory), SCHEMA)

@@ -179,3 +179,43 @@ def test_rtf_code_pages_of_two_bytes():
     assert rtf_text(rb"{\rtf1\ansi\ansicpg932 \'83A\'83B}") == b"\x83A\x83B".decode("cp932")
     assert rtf_text(rb"{\rtf1\ansi\ansicpg932 a\'83\par b}") == "a\ufffd\nb"
     assert rtf_text(rb"{\rtf1\ansi\ansicpg1252 caf\'e9}") == "café"
+
+
+PARSERS = """
+import os, re
+
+def parse(name, data, limits, seconds):
+    if name == "loop.c":
+        re.match(r"(a+)+$", "a" * 60 + "b")  # in C code, where no alarm and no other thread of Python comes in
+    if name == "loop.py":
+        while True:
+            pass
+    if name == "fat":
+        return "ok", str(len(bytearray(4 << 30))), None
+    if name == "crash":
+        os.abort()
+    print("noise")
+    return "ok", data.decode(), None
+"""
+
+
+def test_supervised_extraction(tmp_path, monkeypatch):
+    """A parser that loops, in C code or not, takes too much memory or dies costs its own file only."""
+    from mailquarry.extract.supervised import Supervisor
+
+    (tmp_path / "bad_parsers.py").write_text(PARSERS)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with Supervisor(seconds=1.0, memory=3 << 30, parser="bad_parsers:parse") as child:
+        got = {name: child.extract(name, b"text of " + name.encode()) for name in ("a", "loop.c", "b", "loop.py", "c", "fat", "d", "crash", "e")}
+        assert all(got[k] == ("ok", f"text of {k}", None) for k in "abcde")
+        assert [got[k][:2] for k in ("loop.c", "loop.py", "fat", "crash")] == [("error", None)] * 4
+        assert "no longer answered" in got["loop.c"][2] and got["loop.py"][2] == "TimeoutError: stopped after 1 s" and "MemoryError" in got["fat"][2] and "ended with" in got["crash"][2]
+        assert child.restarts == 3
+        assert child.extract("long", b"x" * 30_000_000)[1] == "x" * 30_000_000
+    assert child.child is None
+
+
+def test_frame_goes_on_after_a_lost_child(spark, monkeypatch):
+    files = spark.createDataFrame([(1, "0", "a.txt", b"one"), (2, "0", "b.txt", b"two"), (3, "0", "c.zip", b"PK\x03\x04"), (4, "0", "d.html", b"<p>x")], "message_id long, idx_path string, name string, data binary")
+    rows = {r.message_id: (r.status, r.content) for r in dispatch.extract_frame(files.coalesce(1), memory=3 << 30).collect()}
+    assert rows == {1: ("ok", "one"), 2: ("ok", "two"), 3: ("error", None), 4: ("ok", "x")}
