@@ -135,9 +135,10 @@ def thr3_thread_sizes(spark, sf_dir):
     return t.groupBy("thread_id").agg(F.max("thread_count").alias("thread_count"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("SELECT thread_count, count(*) AS messages, count(DISTINCT thread_id) AS threads FROM (" + _THREADS + ") GROUP BY thread_count")
 def agg13_thread_size(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    t = threads.build(fixture_threads(spark, sf_dir), weak=False)
+    return t.groupBy("thread_count").agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("thread_id").alias("threads"))
 
 
 @query("SELECT o_orderkey AS id, CAST(o_custkey % 10 AS INTEGER) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 7 = 0 OR (o_orderkey % 11 = 0 AND o_custkey % 10 = 0)")

@@ -200,7 +200,7 @@ def ext8_message_recursion(spark, sf_dir):
     return c.select("message_id", (F.contains("content", F.concat(F.lit("subject "), "message_id")) & F.contains("content", F.lit("deep"))).alias("whole"))
 
 
-@query(f"SELECT doc_id AS message_id, 's ' || lang || chr(10) || {TIDY.format('text')} AS content FROM documents WHERE regexp_matches(text, '[^\\s]')")
+@query(f"SELECT message_id, trim('s ' || lang || chr(10) || content, chr(10)) AS content FROM (SELECT doc_id AS message_id, lang, {TIDY.format('text')} AS content FROM documents)")
 def snk9_eml_export(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text")
 
@@ -210,16 +210,23 @@ def snk9_eml_export(spark, sf_dir):
             data = [eml_bytes({"subject": f"s {r['lang']}", "body": r["text"]}) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["0"] * len(rows)), pa.array(["m.eml"] * len(rows)), pa.array(data, pa.binary())], names=["message_id", "idx_path", "name", "data"])
 
-    mails = docs.filter(F.rlike("text", F.lit(r"[^\s]"))).mapInArrow(run, "message_id long, idx_path string, name string, data binary")
+    mails = docs.mapInArrow(run, "message_id long, idx_path string, name string, data binary")
     return extract_frame(mails).select("message_id", "content")
 
 
-@query("SELECT page_id, sha256(html) AS hash, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")
+@query("SELECT page_id, sha256(html) AS hash, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, page_id || '/0-1 a_b' || page_id || '.html' AS place FROM pages")
 def snk10_saved_attachments(spark, sf_dir):
-    from mailquarry.operators.store import cut
-
-    saved = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("data"))
-    return cut(saved).select("page_id", F.sha2("data", 256).alias("hash"), F.length("data").cast("long").alias("bytes"))
+    """Each page saved as a file under a name that isn't safe, and read again from there."""
+    from mailquarry.operators.store import cut, shared_dir
+    from mailquarry.sinks.savefile import save_files
+
+    folder = f"{shared_dir(spark).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("message_id"), F.lit("0/1").alias("idx_path"), F.concat(F.lit("a?b"), "page_id", F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("data"))
+    saved = cut(save_files(p, folder)).select("message_id", F.col("sha256").alias("said"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    place = F.url_decode(F.regexp_extract("path", "/saved-[0-9a-f]+/(.*)$", 1))
+    found = read.select(F.regexp_extract("path", "/saved-[0-9a-f]+/([0-9]+)/", 1).cast("long").alias("page_id"), F.sha2("content", 256).alias("hash"), F.col("length").alias("bytes"), place.alias("place"))
+    return found.join(saved, F.col("page_id") == F.col("message_id")).filter("hash = said").select("page_id", "hash", "bytes", "place")
 
 
 #: A substitution of our own for encoded stores; 5 is odd, so each byte comes up once.

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from mailquarry.functions import text as X
 from mailquarry.operators.labels import flag_labels, item_kind, shown_sender
 from mailquarry.operators.store import duplicates
+from mailquarry.plans.projection import OWN, projected
 from mailquarry.plans.query import INDICES, parse
 from mailquarry.plans.registry import ATT, KEY, MSG, by_key, by_python, customers, pad, query, toks
 from mailquarry.functions.excerpts import highlight
@@ -146,9 +147,25 @@ def flt12_validation(spark, sf_dir):
     return by_python(customers(spark, sf_dir, errors=_ASKED), "errors", lambda q: str(len(errors(parse(q), Request(query=q)))))
 
 
-@query(f"WITH {MSG} SELECT id, mailbox, folder_path, subject, size, message_id, date_ms, sender_id, msg_class, flags FROM msg")
+#: All columns of a message, from the key of an order: numbers, texts and truth values by turns, with nulls.
+_NUMBERS = ["date", "size", "att_count", "importance", "dup_of", "sent_date", "flag_status", "thread_id", "thread_count", "spoof_flags", "date_flags", "sens_flags", "sens_count"]
+_TRUTHS = ["has_att", "indexed", "is_read", "hdr_done"]
+_TEXTS = [c for c in OWN if c not in (*_NUMBERS, *_TRUTHS, "id", "mailbox_id")]
+_MADE = (
+    ["o_orderkey AS id", "o_custkey % 5 AS mailbox_id", "o_orderkey % 11 AS folder_id", "o_custkey % 3 AS source_id"]
+    + [f"CASE WHEN o_orderkey % {k + 3} > 0 THEN o_orderkey * {k + 2} END AS {c}" for k, c in enumerate(_NUMBERS)]
+    + [f"o_orderkey % {k + 2} = 0 AS {c}" for k, c in enumerate(_TRUTHS)]
+    + [f"CASE WHEN o_orderkey % {k + 4} > 0 THEN '{c}' || o_orderkey END AS {c}" for k, c in enumerate(_TEXTS)]
+)
+
+
+@query(f"""SELECT {', '.join(OWN)}, 'box ' || mailbox_id AS mailbox, 'path/' || folder_id AS folder_path, 'source ' || source_id AS source_name, '/s/' || source_id AS source_path FROM (SELECT {', '.join(_MADE)} FROM orders) WHERE folder_id < 10""")
 def flt13_result_projection(spark, sf_dir):
-    return fixture_messages(spark, sf_dir).select("id", "mailbox", "folder_path", "subject", "size", "message_id", "date_ms", "sender_id", "msg_class", "flags")
+    """39 columns of orders as messages, joined with folders (of which one is missing), sources and mailboxes made from other tables."""
+    key = F.col("id")
+    named = lambda n, k, most, **columns: table(spark, sf_dir, n).select(F.col(k).cast("long").alias("id")).filter(key < most).select("id", *(F.concat(F.lit(v), key).alias(c) for c, v in columns.items()))
+    folders, sources, boxes = named("nation", "n_nationkey", 10, path="path/"), named("nation", "n_nationkey", 3, display_name="source ", path="/s/"), named("region", "r_regionkey", 5, name="box ")
+    return projected(table(spark, sf_dir, "orders").selectExpr(*_MADE), folders, sources, boxes)
 
 
 _CLASSES = [

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from mailquarry.functions import sensitive as S
-from mailquarry.operators import impersonation, store
+from mailquarry.operators import impersonation, store, threads
 from mailquarry.operators.labels import csv_cell, csv_quoted
 from mailquarry.operators.tree import folder_tree
 from mailquarry.plans.registry import ATT, KEY, MSG, by_key, by_python, customers, query
-from mailquarry.sources.case import fixture_attachments, fixture_domains, fixture_messages, table
+from mailquarry.sources.case import fixture_attachments, fixture_domains, fixture_messages, fixture_threads, table
 from mailquarry.sources.discovery import mailbox_names
 
 
@@ -74,11 +74,11 @@ def jon8_scalar_subqueries(spark, sf_dir):
     return out.select("c_custkey", F.coalesce("n", F.lit(0).cast("long")).alias("n_orders"), "first_order")
 
 
-@query("""WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations) SELECT a.conv_id, a.turn, b.turn AS answered FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1""")
+@query("""WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations) SELECT a.conv_id * 1000000 + a.turn AS id, b.conv_id * 1000000 + b.turn AS answered FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1""")
 def jon11_reference_lookup(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
-    target = c.select(F.col("conv_id").alias("k"), F.col("turn").alias("answered"))
-    return c.join(target, (F.col("conv_id") == F.col("k")) & (F.col("answered") == F.col("turn") - 1)).select("conv_id", "turn", "answered")
+    """Messages with those that they refer to, as threads are tied from them."""
+    edges = threads.strong_edges(fixture_threads(spark, sf_dir)).filter("a <> b")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("answered")).distinct()
 
 
 # --- aggregates -------------------------------------------------------------------------------------------------
@@ -148,10 +148,11 @@ def agg8_folder_tree(spark, sf_dir):
     return folder_tree(_folders(spark, sf_dir))
 
 
-@query(f"SELECT * FROM ({_TREE}) WHERE total > 60")
+@query(f"SELECT * FROM ({_TREE}) WHERE path <> 'de' AND path NOT LIKE 'de/%'")
 def agg9_pruned_tree(spark, sf_dir):
-    few = _folders(spark, sf_dir).select("path", F.col("items"))
-    return folder_tree(few, hide_empty=True).filter("total > 60")
+    """The folders of one language have no messages, so its subtree goes."""
+    few = _folders(spark, sf_dir).select("path", F.when(F.startswith("path", F.lit("de/")), 0).otherwise(F.col("items")).alias("items"))
+    return folder_tree(few, hide_empty=True)
 
 
 @query("SELECT path, min(name) AS name, min(depth) AS depth, CAST(sum(items) AS BIGINT) AS items FROM (SELECT n_name AS path, upper(n_name) AS name, n_regionkey AS depth, n_nationkey AS items FROM nation UNION ALL SELECT n_name, n_name, n_regionkey + 1, 5 FROM nation) GROUP BY path")
@@ -362,10 +363,24 @@ def snk7_attachment_inventory(spark, sf_dir):
     return p.select("page_id", F.concat_ws(";", csv_quoted(F.col("page_id")), csv_quoted(F.col("url")), csv_quoted(F.lit(None))).alias("line"))
 
 
-@query("SELECT event_type AS kind, count(*) AS hits, count(DISTINCT user_id) AS messages, max('**** ' || right(CAST(event_id AS VARCHAR), 2)) AS sample FROM events GROUP BY 1")
+_TAIL = "lpad(CAST(c_custkey % 100 AS STRING), 2, '0')"
+#: A telephone number, a person's number and a card in each customer's text, and numbers that are none of these.
+_PLANTED = f"'Call 06 11 22 33 ' || {_TAIL} || ', ' || repeat('x', CAST(c_custkey % 7 AS INTEGER)) || ' no 1 91 11 33 063 217 ' || lpad(CAST(97 - 1911133063217 % 97 AS STRING), 2, '0') || '; card 4111-1111-1111-1111, order 12 34 ' || c_custkey"
+_REPORT = f"""SELECT c_custkey AS id, kind, CASE kind WHEN 8 THEN '06 ** ** ** ' || {_TAIL} WHEN 4 THEN '1 ** ** ** *** *** ' || lpad(CAST(97 - 1911133063217 % 97 AS STRING), 2, '0') ELSE '**** **** **** 1111' END AS masked,
+  CAST(CASE kind WHEN 8 THEN 5 WHEN 4 THEN 25 + c_custkey % 7 ELSE 53 + c_custkey % 7 END AS INTEGER) AS pos, CAST(CASE kind WHEN 8 THEN 14 WHEN 4 THEN 21 ELSE 19 END AS INTEGER) AS len FROM customer, (VALUES (2), (4), (8)) v(kind)"""
+
+
+@query(_REPORT)
+def val4_planted_findings(spark, sf_dir):
+    return S.scan(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_PLANTED).alias("text")))
+
+
+@query(f"""SELECT c_custkey AS id, c_name || ';' || CASE kind WHEN 2 THEN 'Carte bancaire' WHEN 4 THEN 'N° de sécurité sociale' ELSE 'Téléphone' END || ';' || masked AS line FROM ({_REPORT}) r JOIN customer ON c_custkey = id""")
 def snk8_sensitive_report(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("kind")).agg(n_rows().alias("hits"), F.countDistinct("user_id").alias("messages"), F.max(F.concat(F.lit("**** "), F.right(F.col("event_id").cast("string"), F.lit(2)))).alias("sample"))
+    """A line a finding: who, what, and the value masked; clear values never leave the scan."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", F.expr(_PLANTED).alias("text"))
+    label = F.element_at(F.create_map(*(F.lit(x) for kv in S.LABELS.items() for x in kv)), F.col("kind"))
+    return S.scan(own).join(own.select("id", "c_name"), "id").select("id", F.concat_ws(";", "c_name", label, "masked").alias("line"))
 
 
 @query("SELECT doc_id, upper(sha256(text)) AS hash FROM documents")
