@@ -95,6 +95,40 @@ def ext4_packages(spark, sf_dir):
     return _content(files(spark, sf_dir, ".docx", docx))
 
 
+def xlsx(i: int, text: str) -> bytes:
+    """A row a line; every other cell is a shared string."""
+    lines = text.split("\n")
+    cell = lambda k, line: f'<c t="s"><v>{k}</v></c>' if k % 2 else f'<c t="inlineStr"><is><t>{escape(line)}</t></is></c>'
+    rows = "".join(f"<row>{cell(k, line)}</row>" for k, line in enumerate(lines))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="http://s"><sheets><sheet name="Sheet {i}"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://s">' + "".join(f"<si><r><t>{escape(x[: len(x) // 2])}</t></r><r><t>{escape(x[len(x) // 2 :])}</t></r></si>" for x in lines) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://s"><sheetData>{rows}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def pptx(_, text: str) -> bytes:
+    """A slide a line, written in an order that isn't theirs."""
+    slides = dict(enumerate(text.split("\n"), 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/presentation.xml", "<p/>")
+        for k in sorted(slides, key=str, reverse=True):
+            z.writestr(f"ppt/slides/slide{k}.xml", '<p:sld xmlns:p="http://p" xmlns:a="http://a">' + f"<a:p><a:r><a:t>{escape(slides[k])}</a:t></a:r></a:p></p:sld>")
+    return out.getvalue()
+
+
+@query(f"SELECT doc_id AS message_id, 'ok' AS status, trim('Sheet ' || doc_id || chr(10) || {TIDY.format('text')}, chr(10)) AS content FROM documents")
+def ext4_workbooks(spark, sf_dir):
+    return _content(files(spark, sf_dir, ".xlsx", xlsx))
+
+
+@query(f"SELECT message_id, status, regexp_replace(content, '\\n+', chr(10) || chr(10), 'g') AS content FROM ({EXTRACTED})")
+def ext4_presentations(spark, sf_dir):
+    return _content(files(spark, sf_dir, ".pptx", pptx))
+
+
 @query(EXTRACTED)
 def ext4_opendocument(spark, sf_dir):
     return _content(files(spark, sf_dir, ".odt", odt))
