@@ -1,9 +1,9 @@
 """Extra columns whose names clash with the operators' own, or with theirs but for case."""
 
 import pytest
-from mailquarry.llm import chat, decontam, exact_dedup, langid, packing, pii, secretscan, simhash, toxicity, urlfilter
+from mailquarry.llm import chat, convtrie, decontam, exact_dedup, langid, lexical, mixing, packing, pii, secretscan, simhash, toxicity, urlfilter
 
-NAMES = ["TEXT", "kept", "text", "mark", "Doc_ID", "doc_id", "lang", "LANG", "c0", "gone_id", "fp", "root", "score", "item", "row_id", "wide", "c2"]
+NAMES = ["TEXT", "kept", "text", "mark", "Doc_ID", "doc_id", "lang", "LANG", "c0", "gone_id", "fp", "root", "score", "item", "row_id", "wide", "c2", "source", "SOURCE", "size", "copy", "node", "n", "terms"]
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,10 @@ def test_operators(spark, docs):
     assert secretscan.find_secrets(docs).count() == 9
     talk = spark.createDataFrame([(1, 0, "user", "a", "b", "c")], "x0 long, x1 long, x2 string, x3 string, x4 string, x5 string").toDF("conv_id", "turn", "role", "text", "ROLE", "formatted")
     assert chat.format_conversations(talk).count() == 1
+    assert [r.depth for r in convtrie.trie(talk).collect()] == [0]  # the first turns of 1 are those of 0, which isn't there
+    plan = mixing.mix(docs)
+    assert plan.count() == 9 and mixing.mixed(docs, plan).columns == NAMES
+    assert [(r.item_id, r["rank"], r.doc_id) for r in lexical.search(docs, bench).collect()] == [(1, 1, 7)]
     pages = spark.createDataFrame([(1, "http://a.com/", "b", "c")], "x0 long, x1 string, x2 string, x3 string").toDF("page_id", "url", "URL", "host")
     assert urlfilter.judge(pages, urlfilter.rules_frame(spark)).count() == 1
 
