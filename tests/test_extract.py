@@ -219,3 +219,17 @@ def test_frame_goes_on_after_a_lost_child(spark, monkeypatch):
     files = spark.createDataFrame([(1, "0", "a.txt", b"one"), (2, "0", "b.txt", b"two"), (3, "0", "c.zip", b"PK\x03\x04"), (4, "0", "d.html", b"<p>x")], "message_id long, idx_path string, name string, data binary")
     rows = {r.message_id: (r.status, r.content) for r in dispatch.extract_frame(files.coalesce(1), memory=3 << 30).collect()}
     assert rows == {1: ("ok", "one"), 2: ("ok", "two"), 3: ("error", None), 4: ("ok", "x")}
+
+
+def test_saved_files(spark, tmp_path):
+    """Names that aren't safe or missing, two of one name, no data; a second run puts the same in the same places."""
+    from mailquarry.sinks.savefile import save_files
+
+    files = spark.createDataFrame([(1, "0", "a/b.txt", b"one"), (1, "1", "a/b.txt", b"two"), (1, "1/0", None, None), (2, None, "x" * 300, b"")], "message_id long, idx_path string, name string, data binary")
+    for folder in (f"{tmp_path}/saved", f"file://{tmp_path}/saved"):
+        rows = save_files(files, folder).collect()
+        assert {(r.message_id, r.path.rsplit("/", 1)[1][:9], r.bytes) for r in rows} == {(1, "0 a_b.txt", 3), (1, "1 a_b.txt", 3), (1, "1-0 messa", 0), (2, "0 xxxxxxx", 0)} and not any(r.error for r in rows)
+    assert sorted(p.name for p in (tmp_path / "saved" / "1").iterdir() if not p.name.endswith(".crc")) == ["0 a_b.txt", "1 a_b.txt", "1-0 message"]
+    assert (tmp_path / "saved" / "1" / "1 a_b.txt").read_bytes() == b"two"
+    (tmp_path / "taken").write_bytes(b"")
+    assert all("Error" in r.error for r in save_files(files, f"{tmp_path}/taken").collect())
