@@ -12,7 +12,8 @@ driver (a few kilobytes each). Scoring reads whole texts and needs no shuffle.
 
 Defined results: null texts and texts without letters are `und` with score 0 and rejected, and so is every text
 if nothing could be learnt. Equal cosines go to the language that sorts first. Repeated rows and null ids are
-scored like any other; a null id counts as held out from nothing and is never learnt from.
+scored like any other; a null id counts as held out from nothing and is never learnt from. A very long text is read whole. An empty table
+gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

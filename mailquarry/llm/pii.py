@@ -13,7 +13,7 @@ their case, dates whatever their order and padding, telephone numbers of the for
 Nothing is shared between rows, so there is no shuffle. Defined results: a null text stays null, an empty one
 empty; text outside the spans is untouched; candidates that fail validation stay as they are. Repeated rows and
 null ids are treated like any other row. Overlaps go to the kind that is listed first, then to the leftmost. A very long
-text takes time in proportion to its length and its values. An empty table gives no rows.
+text takes time in proportion to its length and its values. An empty table gives no rows. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

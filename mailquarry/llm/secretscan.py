@@ -9,7 +9,8 @@ Blocks are cut from the batches of a partition, so the index of a block is bound
 lost task builds its own blocks again.
 
 Defined results: null and empty texts have no spans; spans are in code points; repeated rows and null ids are
-scanned like any other row. Columns other than doc_id and text are not looked at.
+scanned like any other row. A very long text is a block by itself, whose index takes some 16 times its size. An empty table gives no rows. Columns
+other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

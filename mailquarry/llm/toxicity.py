@@ -9,7 +9,8 @@ offend.
 Only the text is an input of a score. Defined results: null texts, empty ones and those without words have
 the score of a document with one sentence without known words; without any labels of both kinds to learn
 from, every score is 0. Repeated labels of a document count as toxic if one of them is. Repeated rows and
-null ids are scored like any other row.
+null ids are scored like any other row. A very long text is split into all its sentences, whose scores are combined. An empty table gives no rows. Other
+columns are not looked at.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ then confirms the match, and the longest rule decides. All of it is DataFrame wo
 
 Defined results: a null URL, or one without '://', has an empty host and path, which no rule fits. Pages
 that no rule fits get the default verdict. Repeated page ids stay repeated. Of rules that are equally long
-the blocking one wins. An empty rule list leaves every page with the default verdict.
+the blocking one wins. An empty rule list leaves every page with the default verdict. A very long URL has no more expressions than the rules
+have host lengths and path lengths. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
