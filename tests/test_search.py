@@ -160,3 +160,16 @@ def test_marks_of_embedded_messages(spark):
     a = spark.createDataFrame([(1, "0", "x"), (1, "1", "y"), (1, "1/0", "z"), (1, "1/0/2", "hit"), (1, "10", "x"), (2, "1", "hit"), (2, "1/0", None), (3, "1", "x")], "message_id long, idx_path string, t string")
     got = {(r.message_id, r.idx_path): (r.hit, r.below) for r in family_marks(a, F.col("t") == "hit").collect()}
     assert {k for k, (h, _) in got.items() if h} == {(1, "1/0/2"), (2, "1")} and {k for k, (_, b) in got.items() if b} == {(1, "1"), (1, "1/0")} and len(got) == 8
+
+
+def test_words_of_excerpts_share_one_fold_table(monkeypatch):
+    """Words are folded one by one, so a table made for each of them took 0.4 ms a word."""
+    from mailquarry.functions import text
+
+    made = []
+    plain = text.fold_table
+    text.fold_map.cache_clear()
+    monkeypatch.setattr(text, "fold_table", lambda: made.append(1) or plain())
+    long = " ".join(["mot élan Été ELLE"] * 500)
+    assert excerpt(long, [(["elle"], False), (["ete"], False)], 4) == "mot élan «Été» «ELLE»…"
+    assert len(made) <= 1
