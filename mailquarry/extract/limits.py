@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+#: What a batch of results of files or texts may hold: bytes (beyond them with one row only) and rows.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 500
+
+
+def pieces(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """rows in lists of about PIECE_BYTES, so that a task holds few results at once, however many rows a batch of its input has."""
+    out: list[tuple] = []
+    held = 0
+    for row in rows:
+        own = sum(len(x) for x in row if isinstance(x, (bytes, str)))
+        if out and (held + own > PIECE_BYTES or len(out) == PIECE_ROWS):
+            yield out
+            out, held = [], 0
+        out.append(row)
+        held += own
+    if out:
+        yield out
+
 
 @dataclass(frozen=True)
 class Limits:

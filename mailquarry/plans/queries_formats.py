@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.extract.dispatch import extract_frame
-from mailquarry.extract.limits import Limits
+from mailquarry.extract.limits import Limits, pieces
 from mailquarry.extract.ole import CompoundFile
 from mailquarry.plans.registry import query
 from mailquarry.sinks.eml import eml_bytes
@@ -40,9 +40,9 @@ def files(spark, sf_dir: str, suffix: str, make: Callable[[int, str], bytes]) ->
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            data = [make(i, t or "") for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["0"] * len(ids)), pa.array([f"{i}{suffix}" for i in ids]), pa.array(data, pa.binary())], names=["message_id", "idx_path", "name", "data"])
+            for some in pieces((i.as_py(), make(i.as_py(), t.as_py() or "")) for i, t in zip(b.column(0), b.column(1), strict=True)):
+                ids, data = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["0"] * len(ids)), pa.array([f"{i}{suffix}" for i in ids]), pa.array(data, pa.binary())], names=["message_id", "idx_path", "name", "data"])
 
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return docs.mapInArrow(run, "message_id long, idx_path string, name string, data binary")

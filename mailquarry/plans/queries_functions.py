@@ -236,6 +236,7 @@ def str18_normalise_text(spark, sf_dir):
 @query("SELECT doc_id, text AS decoded FROM documents")
 def str19_encoded_words(spark, sf_dir):
     """Each text in encoded words of 40 characters, by turns in both codings and two character sets."""
+    from mailquarry.extract.limits import pieces
     from mailquarry.extract.mime import decode_words
 
     def coded(part: str, k: int) -> str:
@@ -243,10 +244,14 @@ def str19_encoded_words(spark, sf_dir):
         data = part.encode(charset)
         return f"=?{charset}?B?{base64.b64encode(data).decode()}?=" if k % 2 else f"=?{charset}?q?{''.join(f'={b:02X}' for b in data)}?="
 
+    def decoded(t: str | None) -> str | None:
+        return None if t is None else decode_words(" ".join(coded(t[k : k + 40], k // 40) for k in range(0, len(t), 40)))
+
     def run(batches):
         for b in batches:
-            texts = [None if t is None else decode_words(" ".join(coded(t[k : k + 40], k // 40) for k in range(0, len(t), 40))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+            for some in pieces((i.as_py(), decoded(t.as_py())) for i, t in zip(b.column(0), b.column(1), strict=True)):
+                ids, texts = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, decoded string")
 

@@ -233,3 +233,18 @@ def test_saved_files(spark, tmp_path):
     assert (tmp_path / "saved" / "1" / "1 a_b.txt").read_bytes() == b"two"
     (tmp_path / "taken").write_bytes(b"")
     assert all("Error" in r.error for r in save_files(files, f"{tmp_path}/taken").collect())
+
+
+def test_results_leave_in_pieces():
+    """A batch with many files gives several batches of results, each of few bytes, and no result is lost."""
+    import pyarrow as pa
+    from mailquarry.extract import limits
+    from mailquarry.extract.dispatch import _extracting
+
+    n, text = 1200, b"word " * 2000
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["0"] * n), pa.array(["a.txt"] * n), pa.array([text] * n, pa.binary())], names=["message_id", "idx_path", "name", "data"])
+    out = list(_extracting(limits.Limits(), 60.0, 4 << 30)(iter([b])))
+    assert len(out) > 2 and max(x.nbytes for x in out) < 2 * limits.PIECE_BYTES
+    assert [i for x in out for i in x.column(0).to_pylist()] == list(range(n)) and set(x for o in out for x in o.column(5).to_pylist()) == {"ok"}
+    big = [(k, "x" * (limits.PIECE_BYTES + k)) for k in range(3)]
+    assert list(limits.pieces(big)) == [[x] for x in big] and list(limits.pieces([])) == []
