@@ -173,3 +173,15 @@ def test_words_of_excerpts_share_one_fold_table(monkeypatch):
     long = " ".join(["mot élan Été ELLE"] * 500)
     assert excerpt(long, [(["elle"], False), (["ete"], False)], 4) == "mot élan «Été» «ELLE»…"
     assert len(made) <= 1
+
+
+def test_vocabulary_groups_by_token_alone(spark):
+    """No aggregate holds pairs of token and id; rows of one id count as one message, rows without an id as none."""
+    from mailquarry.plans.queries_search import vocabulary
+
+    df = vocabulary(spark.createDataFrame([(1, "a b a"), (1, "a c"), (2, "b"), (None, "b d"), (3, None), (4, "")], "id long, body string"))
+    assert {r.token: (r.n, r.docs) for r in df.collect()} == {"a": (3, 1), "b": (3, 2), "c": (1, 1), "d": (1, 0)}
+    once = vocabulary(spark.createDataFrame([(1, "a b a"), (2, "b")], "id long, body string"))
+    assert {r.token: (r.n, r.docs) for r in once.collect()} == {"a": (2, 1), "b": (2, 2)}
+    keys = [line for line in once._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line]
+    assert keys and all("id#" not in line.split("]")[0] for line in keys)
