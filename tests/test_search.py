@@ -185,3 +185,19 @@ def test_vocabulary_groups_by_token_alone(spark):
     assert {r.token: (r.n, r.docs) for r in once.collect()} == {"a": (2, 1), "b": (2, 2)}
     keys = [line for line in once._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line]
     assert keys and all("id#" not in line.split("]")[0] for line in keys)
+
+
+def test_large_pages_have_no_task_with_all_rows(spark, monkeypatch):
+    """Pages beyond TOP are those of Spark's limit, with nulls and equal keys, and are sorted by an exchange."""
+    from mailquarry.plans import search as S
+
+    rows = [(i, None if i % 4 == 0 else f"s{i % 3}", i % 5 if i % 7 else None) for i in range(60)]
+    case = Case(spark.createDataFrame(rows, "id long, subject string, date_ms long"), spark.createDataFrame([], "message_id long, idx_path string, name string, content string"))
+    twice = Case(case.messages.union(case.messages), case.attachments)
+    asked = [(case, Request(sort=s, limit=n, offset=o)) for s, n, o in (("subject", 20, 0), ("subject:desc", 25, 17), ("date", 30, 50))]
+    asked += [(twice, Request(sort="subject", limit=21, offset=0)), (case, Request(sort="date", limit=5, offset=80))]
+    small = [[x.id for x in S.search(c, r).collect()] for c, r in asked]
+    monkeypatch.setattr(S, "TOP", 4)
+    assert [[x.id for x in S.search(c, r).collect()] for c, r in asked] == small
+    plan = S.search(*asked[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort [" in plan
