@@ -152,26 +152,35 @@ _PRIVATE = r"^(?:10\.|127\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.)"
 
 
 def _between(body: Column, keyword: str) -> Column:
+    from .dates import once
+
     stops = "|".join(s for s in _STOPS if s != keyword)
     value = F.trim(F.regexp_extract(body, rf"(?is)(?:^|\s){keyword}\s+(.*?)(?:\s(?:{stops})\s|$)", 1))
-    return F.when(value != "", F.substring(value, 1, 200))
+    return once(value, lambda x: F.when(x != "", F.substring(x, 1, 200)))
 
 
 def hops(block: Column) -> Column:
     """array<struct<index, from, from_ip, by, with, time>> of the Received headers, oldest first."""
-    from .dates import parse_date
+    from .dates import once, parse_date
 
-    def hop(raw: Column, i: Column) -> Column:
-        body = F.regexp_replace(raw, r"(?s);[^;]*$", "")
-        sender = F.regexp_extract(body, r"(?is)\bfrom\b(.*?)(?:\bby\b|$)", 1)
+    last = lambda a: F.get(a, F.size(a) - 1)
+    filled = lambda c: once(c, lambda x: F.when(x != "", x))
+
+    def address(sender: Column) -> Column:
         six = F.regexp_extract(sender, r"\[(?:IPv6:)?([0-9a-fA-F:]{6,})\]", 1)
         paren = F.regexp_extract(sender, r"\(([0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,7})\)", 1)
         four = F.regexp_extract_all(sender, F.lit(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), F.lit(0))
-        public = F.filter(four, lambda x: ~F.rlike(x, F.lit(_PRIVATE)))
-        last = lambda a: F.get(a, F.size(a) - 1)
-        ip = F.coalesce(F.when(six != "", six), F.when(paren != "", paren), last(public), last(four))
+        of = lambda own: F.coalesce(once(F.filter(own, lambda x: ~F.rlike(x, F.lit(_PRIVATE))), last), last(own))
+        return F.coalesce(filled(six), filled(paren), once(four, of))
+
+    def hop(raw: Column, i: Column) -> Column:
         stamp = F.when(F.contains(raw, F.lit(";")), parse_date(F.regexp_extract(raw, r"(?s);([^;]*)$", 1)))
-        return F.struct((i + 1).alias("index"), _between(body, "from").alias("from"), ip.alias("from_ip"), _between(body, "by").alias("by"), _between(body, "with").alias("with"), stamp.alias("time"))
+
+        def of(body: Column) -> Column:
+            ip = once(F.regexp_extract(body, r"(?is)\bfrom\b(.*?)(?:\bby\b|$)", 1), address)
+            return F.struct((i + 1).alias("index"), _between(body, "from").alias("from"), ip.alias("from_ip"), _between(body, "by").alias("by"), _between(body, "with").alias("with"), stamp.alias("time"))
+
+        return once(F.regexp_replace(raw, r"(?s);[^;]*$", ""), of)
 
     return F.transform(F.reverse(all_of(block, "Received")), hop)
 

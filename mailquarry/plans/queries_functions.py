@@ -15,7 +15,7 @@ from mailquarry.functions import mail as M
 from mailquarry.functions import sensitive as S
 from mailquarry.functions import text as X
 from mailquarry.plans.registry import HTML_TEXT, KEY, MSG, by_key, customers, query
-from mailquarry.sources.case import fixture_messages, table
+from mailquarry.sources.case import fixture_messages, spread, table
 
 
 # --- addresses, domains, subjects -------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ _HOPS = """'Received: from relay' || c_custkey || '.test (relay' || c_custkey ||
 @query("""SELECT c_custkey, k, CASE k WHEN 1 THEN '198.51.100.' || c_custkey % 200 ELSE '192.0.2.' || c_custkey % 250 END AS ip, CASE k WHEN 1 THEN 'relay' || c_custkey || '.test' ELSE 'inbox.test' END AS server,
   CASE k WHEN 1 THEN '2025-03-03 17:20:' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') ELSE '2025-03-03 17:21:00' END AS stamp, CASE k WHEN 2 THEN CAST(60 - c_custkey % 60 AS INTEGER) END AS delay FROM customer, (VALUES (1), (2)) v(k)""")
 def str11_received_hops(spark, sf_dir):
-    own = table(spark, sf_dir, "customer").select("c_custkey", M.hops(M.headers(F.expr(_HOPS.format("STRING")))).alias("p"))
+    own = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", M.hops(M.headers(F.expr(_HOPS.format("STRING")))).alias("p"))
     path = own.select("c_custkey", F.posexplode(F.arrays_zip(F.col("p"), M.with_delays(F.col("p")).alias("d"))).alias("k", "z"))
     hop = path.select("c_custkey", (F.col("k") + 1).alias("k"), F.col("z").getField("p").alias("p"), F.col("z").getField("d").cast("int").alias("delay"))
     return hop.select("c_custkey", "k", F.col("p.from_ip").alias("ip"), F.col("p.by").alias("server"), F.date_format("p.time", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "delay")

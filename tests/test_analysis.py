@@ -63,6 +63,15 @@ def test_header_dates(spark):
     assert {r.s: r.d for r in rows} == given
 
 
+def test_a_header_is_matched_once(spark):
+    """Expressions that are named twice are computed twice: the parts of a date and of a hop must not match their text again and again."""
+    df = spark.createDataFrame([("7 Oct 2025 10:00 +0200",)], "s string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(dates.parse_date(F.col("s"))).count("(?i)(\\d{1,2})") == 2
+    path = plan(mail.hops(mail.headers(F.col("s"))))
+    assert path.count("\\bfrom\\b") == 1 and path.count("(?i)(\\d{1,2})") == 2
+
+
 def test_date_flags(spark):
     now, m, h, d = datetime(2025, 10, 20), timedelta(minutes=1), timedelta(hours=1), timedelta(days=1)
     cases = [
