@@ -11,7 +11,7 @@ import io
 import struct
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from xml.sax.saxutils import escape
 
@@ -35,8 +35,12 @@ TIDY = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 EXTRACTED = f"SELECT message_id, CASE WHEN content = '' THEN 'empty' ELSE 'ok' END AS status, CASE WHEN content <> '' THEN content END AS content FROM (SELECT doc_id AS message_id, {TIDY.format('text')} AS content FROM documents)"
 
 
-def files(spark, sf_dir: str, suffix: str, make: Callable[[int, str], bytes]) -> DataFrame:
-    """message_id, idx_path, name, data: each document as a file that make() writes."""
+def documents(spark, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
+def making(suffix: str, make: Callable[[int, str], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches of documents message_id, idx_path, name, data: each document as a file that make() writes."""
 
     def run(batches):
         for b in batches:
@@ -44,12 +48,20 @@ def files(spark, sf_dir: str, suffix: str, make: Callable[[int, str], bytes]) ->
                 ids, data = zip(*some, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["0"] * len(ids)), pa.array([f"{i}{suffix}" for i in ids]), pa.array(data, pa.binary())], names=["message_id", "idx_path", "name", "data"])
 
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
-    return docs.mapInArrow(run, "message_id long, idx_path string, name string, data binary")
+    return run
+
+
+def files(spark, sf_dir: str, suffix: str, make: Callable[[int, str], bytes]) -> DataFrame:
+    return documents(spark, sf_dir).mapInArrow(making(suffix, make), "message_id long, idx_path string, name string, data binary")
+
+
+def extracted(spark, sf_dir: str, suffix: str, make: Callable[[int, str], bytes], limits: Limits | None = None) -> DataFrame:
+    """Each document as a file that make() writes, and in the same task what is extracted of it."""
+    return extract_frame(documents(spark, sf_dir), limits, made=making(suffix, make))
 
 
 def _content(df: DataFrame) -> DataFrame:
-    return extract_frame(df).select("message_id", "status", "content")
+    return df.select("message_id", "status", "content")
 
 
 def docx(_, text: str) -> bytes:
@@ -92,7 +104,7 @@ def msg(i: int, text: str) -> bytes:
 
 @query(EXTRACTED)
 def ext4_packages(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".docx", docx))
+    return _content(extracted(spark, sf_dir, ".docx", docx))
 
 
 def xlsx(i: int, text: str) -> bytes:
@@ -121,42 +133,42 @@ def pptx(_, text: str) -> bytes:
 
 @query(f"SELECT doc_id AS message_id, 'ok' AS status, trim('Sheet ' || doc_id || chr(10) || {TIDY.format('text')}, chr(10)) AS content FROM documents")
 def ext4_workbooks(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".xlsx", xlsx))
+    return _content(extracted(spark, sf_dir, ".xlsx", xlsx))
 
 
 @query(f"SELECT message_id, status, regexp_replace(content, '\\n+', chr(10) || chr(10), 'g') AS content FROM ({EXTRACTED})")
 def ext4_presentations(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".pptx", pptx))
+    return _content(extracted(spark, sf_dir, ".pptx", pptx))
 
 
 @query(EXTRACTED)
 def ext4_opendocument(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".odt", odt))
+    return _content(extracted(spark, sf_dir, ".odt", odt))
 
 
 @query(EXTRACTED)
 def ext5_binary_office(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".ppt", ppt))
+    return _content(extract_frame(files(spark, sf_dir, ".ppt", ppt)))
 
 
 @query(EXTRACTED)
 def ext9_rtf(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".rtf", rtf))
+    return _content(extracted(spark, sf_dir, ".rtf", rtf))
 
 
 @query(EXTRACTED)
 def ext7_internet_messages(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".eml", eml))
+    return _content(extracted(spark, sf_dir, ".eml", eml))
 
 
 @query(EXTRACTED)
 def ext9_plain_text(spark, sf_dir):
-    return _content(files(spark, sf_dir, ".txt", lambda i, t: t.encode()))
+    return _content(extracted(spark, sf_dir, ".txt", lambda i, t: t.encode()))
 
 
 @query("SELECT doc_id AS message_id, 'unsupported' AS status FROM documents")
 def ext6_pdf_status(spark, sf_dir):
-    return extract_frame(files(spark, sf_dir, ".pdf", lambda i, t: b"%PDF-1.7 " + t.encode())).select("message_id", "status")
+    return extracted(spark, sf_dir, ".pdf", lambda i, t: b"%PDF-1.7 " + t.encode()).select("message_id", "status")
 
 
 @query("SELECT doc_id AS message_id, CASE WHEN octet_length(encode(text)) > 2000 THEN 'toolarge' WHEN text = '' THEN 'empty' ELSE 'ok' END AS status FROM documents")
@@ -166,8 +178,8 @@ def ext3_size_limit(spark, sf_dir):
 
 @query("SELECT doc_id AS message_id, 'error' AS status, false AS has_text FROM documents")
 def ext10_broken_files(spark, sf_dir):
-    bad = files(spark, sf_dir, ".zip", lambda i, t: b"PK\x03\x04" + t.encode())
-    return extract_frame(bad).select("message_id", "status", F.col("content").isNotNull().alias("has_text"))
+    bad = extracted(spark, sf_dir, ".zip", lambda i, t: b"PK\x03\x04" + t.encode())
+    return bad.select("message_id", "status", F.col("content").isNotNull().alias("has_text"))
 
 
 def _messages(spark, sf_dir):
@@ -230,7 +242,7 @@ def txt9_embedded_hits(spark, sf_dir):
 
 @query(f"SELECT message_id, instr(content, 'subject ' || message_id) > 0 AND instr(content, 'deep') > 0 AS whole FROM (SELECT doc_id AS message_id, 'subject ' || doc_id || ' deep' AS content FROM documents)")
 def ext8_message_recursion(spark, sf_dir):
-    c = extract_frame(files(spark, sf_dir, ".msg", lambda i, t: compound(message_tree({0x0037: f"subject {i}", 0x1000: t}, [], [("deep.txt", b"deep")]))))
+    c = extracted(spark, sf_dir, ".msg", lambda i, t: compound(message_tree({0x0037: f"subject {i}", 0x1000: t}, [], [("deep.txt", b"deep")])))
     return c.select("message_id", (F.contains("content", F.concat(F.lit("subject "), "message_id")) & F.contains("content", F.lit("deep"))).alias("whole"))
 
 
@@ -240,12 +252,11 @@ def snk9_eml_export(spark, sf_dir):
 
     def run(batches):
         for b in batches:
-            rows = b.to_pylist()
-            data = [eml_bytes({"subject": f"s {r['lang']}", "body": r["text"]}) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["0"] * len(rows)), pa.array(["m.eml"] * len(rows)), pa.array(data, pa.binary())], names=["message_id", "idx_path", "name", "data"])
+            for some in pieces((i.as_py(), eml_bytes({"subject": f"s {g.as_py()}", "body": t.as_py()})) for i, g, t in zip(*b.columns, strict=True)):
+                ids, data = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["0"] * len(ids)), pa.array(["m.eml"] * len(ids)), pa.array(data, pa.binary())], names=["message_id", "idx_path", "name", "data"])
 
-    mails = docs.mapInArrow(run, "message_id long, idx_path string, name string, data binary")
-    return extract_frame(mails).select("message_id", "content")
+    return extract_frame(docs, made=run).select("message_id", "content")
 
 
 @query("SELECT page_id, sha256(html) AS hash, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, page_id || '/0-1 a_b' || page_id || '.html' AS place FROM pages")

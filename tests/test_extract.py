@@ -248,3 +248,29 @@ def test_results_leave_in_pieces():
     assert [i for x in out for i in x.column(0).to_pylist()] == list(range(n)) and set(x for o in out for x in o.column(5).to_pylist()) == {"ok"}
     big = [(k, "x" * (limits.PIECE_BYTES + k)) for k in range(3)]
     assert list(limits.pieces(big)) == [[x] for x in big] and list(limits.pieces([])) == []
+
+
+def test_files_are_made_and_read_in_one_step(spark):
+    """Files that are made for extraction pass through no second Python process, and only a piece of them is made before their texts leave."""
+    import pyarrow as pa
+    from mailquarry.extract import limits
+    from mailquarry.plans.queries_formats import making
+
+    count = []
+
+    def make(i: int, t: str) -> bytes:
+        count.append(i)
+        return t.encode()
+
+    n = 3000
+    docs = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None if i % 9 == 0 else f"text {i}" for i in range(n)])], names=["doc_id", "text"])
+    out = dispatch._extracting(Limits(), 60.0, 4 << 30)(making(".txt", make)(iter([docs])))
+    first = next(out)
+    assert len(count) <= 2 * limits.PIECE_ROWS and first.num_rows == limits.PIECE_ROWS
+    rest = [x for b in [first, *out] for x in b.to_pylist()]
+    assert [(r["message_id"], r["content"]) for r in rest] == [(i, None if i % 9 == 0 else f"text {i}") for i in range(n)]
+
+    own = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    df = dispatch.extract_frame(own, made=making(".txt", lambda i, t: t.encode()))
+    assert sorted((r.message_id, r.name, r.status, r.content) for r in df.collect()) == sorted((i, f"{i}.txt", "ok", f"text {i}") for i in range(50))
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
