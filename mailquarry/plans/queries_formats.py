@@ -148,7 +148,7 @@ def ext4_opendocument(spark, sf_dir):
 
 @query(EXTRACTED)
 def ext5_binary_office(spark, sf_dir):
-    return _content(extract_frame(files(spark, sf_dir, ".ppt", ppt)))
+    return _content(extracted(spark, sf_dir, ".ppt", ppt))
 
 
 @query(EXTRACTED)
