@@ -173,7 +173,7 @@ def ext6_pdf_status(spark, sf_dir):
 
 @query("SELECT doc_id AS message_id, CASE WHEN octet_length(encode(text)) > 2000 THEN 'toolarge' WHEN text = '' THEN 'empty' ELSE 'ok' END AS status FROM documents")
 def ext3_size_limit(spark, sf_dir):
-    return extract_frame(files(spark, sf_dir, ".txt", lambda i, t: t.encode()), Limits(file_bytes=2000)).select("message_id", "status")
+    return extracted(spark, sf_dir, ".txt", lambda i, t: t.encode(), Limits(file_bytes=2000)).select("message_id", "status")
 
 
 @query("SELECT doc_id AS message_id, 'error' AS status, false AS has_text FROM documents")
