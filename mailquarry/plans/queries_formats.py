@@ -51,10 +51,6 @@ def making(suffix: str, make: Callable[[int, str], bytes]) -> Callable[[Iterator
     return run
 
 
-def files(spark, sf_dir: str, suffix: str, make: Callable[[int, str], bytes]) -> DataFrame:
-    return documents(spark, sf_dir).mapInArrow(making(suffix, make), "message_id long, idx_path string, name string, data binary")
-
-
 def extracted(spark, sf_dir: str, suffix: str, make: Callable[[int, str], bytes], limits: Limits | None = None) -> DataFrame:
     """Each document as a file that make() writes, and in the same task what is extracted of it."""
     return extract_frame(documents(spark, sf_dir), limits, made=making(suffix, make))
@@ -182,9 +178,14 @@ def ext10_broken_files(spark, sf_dir):
     return bad.select("message_id", "status", F.col("content").isNotNull().alias("has_text"))
 
 
+def message_files(spark, sf_dir: str, make: Callable[[int, str], bytes]) -> DataFrame:
+    """Each document as a message file that make() writes, and in the same task the message that is read of it."""
+    made = making(".msg", make)
+    return parse_files(documents(spark, sf_dir), lambda batches: (b.select(["name", "data"]) for b in made(batches)))
+
+
 def _messages(spark, sf_dir):
-    f = files(spark, sf_dir, ".msg", msg)
-    return parse_files(f.select(F.col("name").alias("path"), F.col("data").alias("content")))
+    return message_files(spark, sf_dir, msg)
 
 
 @query("""SELECT doc_id || '.msg' AS file_path, 'subject ' || doc_id AS subject, 'ann' || (doc_id % 7) || '@x.fr' AS sender_email, '<' || doc_id || '@x>' AS message_id, (1700000000 + doc_id) * 1000 AS date_ms, doc_id % 2 = 1 AS is_read,
@@ -195,13 +196,14 @@ def src6_message_files(spark, sf_dir):
 
 @query("SELECT doc_id AS message_id, sha256(text) AS hash FROM documents")
 def src7_compound_streams(spark, sf_dir):
+    made = making(".bin", lambda i, t: compound({"Other": b"x" * (i % 9000), "Dir": {"Text": t.encode()}}))
+
     def run(batches):
-        for b in batches:
-            streams = [CompoundFile(d).stream("Dir", "Text") for d in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(s).hexdigest() for s in streams])], names=["message_id", "hash"])
+        for b in made(batches):
+            hashes = [hashlib.sha256(CompoundFile(d.as_py()).stream("Dir", "Text")).hexdigest() for d in b.column("data")]
+            yield pa.RecordBatch.from_arrays([b.column("message_id"), pa.array(hashes)], names=["message_id", "hash"])
 
-    f = files(spark, sf_dir, ".bin", lambda i, t: compound({"Other": b"x" * (i % 9000), "Dir": {"Text": t.encode()}}))
-    return f.select("message_id", "data").mapInArrow(run, "message_id long, hash string")
+    return documents(spark, sf_dir).mapInArrow(run, "message_id long, hash string")
 
 
 @query("SELECT doc_id || '.msg' AS file_path, k AS idx_path, n AS name, e AS embedded FROM documents, (VALUES ('0', 'first.txt', false), ('1', 'in.msg', true), ('1/0', 'deep.txt', false)) v(k, n, e)")
@@ -234,8 +236,7 @@ def txt9_embedded_hits(spark, sf_dir):
         inner = message_tree({0x0037: "deepest"}, [], [("text.txt", text.encode())], 24)
         return compound(message_tree({0x0037: f"m{i}"}, [], [("first.txt", b"x"), ("in.msg", message_tree({0x0037: "inner"}, [], [("deep.msg", inner), ("other.txt", b"y")], 24))]))
 
-    f = files(spark, sf_dir, ".msg", nested)
-    rows = attachment_rows(parse_files(f.select(F.col("name").alias("path"), F.col("data").alias("content")))).withColumnRenamed("file_path", "message_id")
+    rows = attachment_rows(message_files(spark, sf_dir, nested)).withColumnRenamed("file_path", "message_id")
     marks = family_marks(rows, F.col("data").cast("string").ilike("%the%"))
     return marks.select(F.col("message_id").alias("file_path"), "idx_path", "hit", "below")
 

@@ -78,13 +78,16 @@ def _parse(schema: pa.Schema):
     return run
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Messages of files (path, content)."""
+def parse_files(files: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """Messages of files (path, content). With `made`, files has other rows, whose Arrow batches it turns into batches of those two columns in the same task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(SCHEMA)
-    return files.select("path", "content").mapInArrow(_parse(to_arrow_schema(schema)), schema)
+    run = _parse(to_arrow_schema(schema))
+    if made:
+        return files.mapInArrow(lambda batches: run(made(batches)), schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:

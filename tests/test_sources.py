@@ -69,6 +69,23 @@ def test_csv_export(spark, tmp_path):
     assert cells[27] == '"Reply-To différent, Authentification en échec"' and cells[29] == '"IBAN, N° de sécurité sociale"' and cells[30:] == ["7", "3"]
 
 
+def test_message_files_are_made_and_read_in_one_step(spark):
+    """Message files that are made for their reader pass through no second Python process."""
+    from mailquarry.plans.queries_formats import making
+    from mailquarry.plans.queries_formats import msg as write_msg
+
+    made = making(".msg", lambda i, t: b"no message" if i == 7 else write_msg(i, t))
+    docs = spark.createDataFrame([(i, None if i == 3 else f"text {i}") for i in range(30)], "doc_id long, text string")
+    df = msg.parse_files(docs, lambda batches: (b.select(["name", "data"]) for b in made(batches)))
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r.file_path: r for r in df.collect()}
+    assert set(rows) == {f"{i}.msg" for i in range(30)} and rows["7.msg"].error and rows["7.msg"].attachments is None
+    for i in set(range(30)) - {7}:
+        r = rows[f"{i}.msg"]
+        assert r.subject == f"subject {i}" and [(a.idx_path, a.embedded) for a in r.attachments] == [("0", False), ("1", True), ("1/0", False)]
+        assert bytes(r.attachments[0].data) == (b"" if i == 3 else f"text {i}".encode()) and r.body == ("" if i == 3 else f"text {i}\n") + f"inner {i}\n"
+
+
 def test_eml(spark, tmp_path):
     from email import message_from_bytes, policy
 
