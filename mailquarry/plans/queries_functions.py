@@ -6,7 +6,6 @@ import base64
 import struct
 from datetime import datetime
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailquarry.functions import dates as D
@@ -14,7 +13,7 @@ from mailquarry.functions import domains as N
 from mailquarry.functions import mail as M
 from mailquarry.functions import sensitive as S
 from mailquarry.functions import text as X
-from mailquarry.plans.registry import HTML_TEXT, KEY, MSG, by_key, customers, query
+from mailquarry.plans.registry import HTML_TEXT, KEY, MSG, by_key, customers, query, reading
 from mailquarry.sources.case import fixture_messages, spread, table
 
 
@@ -158,15 +157,11 @@ def str14_rtf_to_text(spark, sf_dir):
             return f"\\'{ord(c):02x}" if 160 <= ord(c) < 256 and k % 2 else "".join(f"\\u{u - 65536 if u > 32767 else u}?" for u in struct.unpack(f"<{len(c.encode('utf-16-le')) // 2}H", c.encode("utf-16-le")))
         return c
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                body = "".join(char(c, i) for c in t or "")
-                out.append(None if t is None else rtf_text(("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}{\\*\\generator x}{\\pict 00ff}\\f0 " + body + "}").encode("ascii")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "content"])
+    def read(i: int, t: str) -> str:
+        body = "".join(char(c, i) for c in t)
+        return rtf_text(("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}{\\*\\generator x}{\\pict 00ff}\\f0 " + body + "}").encode("ascii"))
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, content string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(reading("content", read), "doc_id long, content string")
 
 
 #: What is put behind a page, by page_id modulo their number: a fragment, what is left of it, and whether something was blocked.
@@ -217,12 +212,7 @@ def str17_charset(spark, sf_dir):
                 name = "utf-8"  # what Windows-1252 can't write, and what has no zeros to be known by
         return mark + text.encode(name)
 
-    def run(batches):
-        for b in batches:
-            texts = [None if t is None else decode(coded(i, t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "content"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, content string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(reading("content", lambda i, t: decode(coded(i, t))), "doc_id long, content string")
 
 
 _NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t\\x{00a0}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
@@ -236,7 +226,6 @@ def str18_normalise_text(spark, sf_dir):
 @query("SELECT doc_id, text AS decoded FROM documents")
 def str19_encoded_words(spark, sf_dir):
     """Each text in encoded words of 40 characters, by turns in both codings and two character sets."""
-    from mailquarry.extract.limits import pieces
     from mailquarry.extract.mime import decode_words
 
     def coded(part: str, k: int) -> str:
@@ -244,16 +233,10 @@ def str19_encoded_words(spark, sf_dir):
         data = part.encode(charset)
         return f"=?{charset}?B?{base64.b64encode(data).decode()}?=" if k % 2 else f"=?{charset}?q?{''.join(f'={b:02X}' for b in data)}?="
 
-    def decoded(t: str | None) -> str | None:
-        return None if t is None else decode_words(" ".join(coded(t[k : k + 40], k // 40) for k in range(0, len(t), 40)))
-
-    def run(batches):
-        for b in batches:
-            for some in pieces((i.as_py(), decoded(t.as_py())) for i, t in zip(b.column(0), b.column(1), strict=True)):
-                ids, texts = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+    def decoded(_, t: str) -> str:
+        return decode_words(" ".join(coded(t[k : k + 40], k // 40) for k in range(0, len(t), 40)))
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, decoded string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(reading("decoded", decoded), "doc_id long, decoded string")
 
 
 _FOUR = "lpad(CAST(c_custkey % 10000 AS {0}), 4, '0')"

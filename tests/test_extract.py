@@ -274,3 +274,24 @@ def test_files_are_made_and_read_in_one_step(spark):
     df = dispatch.extract_frame(own, made=making(".txt", lambda i, t: t.encode()))
     assert sorted((r.message_id, r.name, r.status, r.content) for r in df.collect()) == sorted((i, f"{i}.txt", "ok", f"text {i}") for i in range(50))
     assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_texts_of_functions_leave_in_pieces():
+    """Of a batch of texts only a piece is read before the first results leave; no row is lost, and a null stays null."""
+    import pyarrow as pa
+    from mailquarry.extract import limits
+    from mailquarry.plans.registry import reading
+
+    count = []
+
+    def make(i: int, t: str) -> str:
+        count.append(i)
+        return f"{t} {i}"
+
+    n = 3000
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None if i % 9 == 0 else "é" for i in range(n)])], names=["doc_id", "text"])
+    out = reading("content", make)(iter([b]))
+    first = next(out)
+    assert first.num_rows == limits.PIECE_ROWS >= len(count)
+    rest = [x for p in [first, *out] for x in p.to_pylist()]
+    assert rest == [{"doc_id": i, "content": None if i % 9 == 0 else f"é {i}"} for i in range(n)]
