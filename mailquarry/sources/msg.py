@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailquarry.extract.limits import PIECE_BYTES
 from mailquarry.extract.message import Message, read_message
 
 SCHEMA = """file_path string, subject string, sender_name string, sender_email string, recipients array<struct<kind:int,name:string,email:string>>,
@@ -19,9 +20,8 @@ SCHEMA = """file_path string, subject string, sender_name string, sender_email s
  message_id string, in_reply_to string, refs string, conv_key string, topic string, headers string, body string,
  attachments array<struct<idx_path:string,name:string,size:bigint,visible:boolean,embedded:boolean,data:binary>>, error string"""
 
-#: Characters of a body, and of the references, that are kept.
-BODY_CHARS, REFS_CHARS = 1_000_000, 4_000
-EMBEDDED = 20
+#: Most messages in an Arrow batch.
+ROWS = 250
 
 
 def _ms(t) -> int | None:
@@ -50,7 +50,7 @@ def row_of(path: str, read: Callable[[], Message]) -> dict:
         m = read()
     except Exception as e:  # noqa: BLE001  the file's fault, and only its row's
         return {"file_path": path, "error": f"{type(e).__name__}: {e}"[:300]}
-    embedded = [a.message for a in m.attachments if a.message is not None][:EMBEDDED]
+    embedded = [a.message for a in m.attachments if a.message is not None]
     body = "\n".join(x for x in [m.best_body(), *(f"{e.subject or ''}\n{e.best_body()}" for e in embedded)] if x)
     return {
         "file_path": path,
@@ -61,13 +61,28 @@ def row_of(path: str, read: Callable[[], Message]) -> dict:
         "created_ms": _ms(m.created),
         "modified_ms": _ms(m.modified),
         "msg_class": m.message_class,
-        "refs": m.references[-REFS_CHARS:] if m.references else None,
-        "body": body[:BODY_CHARS],
+        "refs": m.references,
+        "body": body,
         "attachments": flat_attachments(m),
         "error": None,
     }
 
 
+def arrow_batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches. Bodies and attachments have any size, so a batch ends at about PIECE_BYTES of them."""
+    held: list[dict] = []
+    size = 0
+    for row in rows:
+        own = len(row.get("body") or "") + sum(len(a["data"] or b"") for a in row.get("attachments") or ())
+        if held and (len(held) == ROWS or size + own > PIECE_BYTES):
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+        held.append({n: row.get(n) for n in schema.names})
+        size += own
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def _parse(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

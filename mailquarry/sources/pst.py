@@ -60,14 +60,7 @@ def _rows(stores: DataFrame, ddl: str, make: Callable[[str, Store], Iterator[dic
 
         for b in batches:
             for k in range(b.num_rows):
-                held: list[dict] = []
-                for row in safe(b.column(0)[k].as_py(), b.column(1)[k].as_py() or b""):
-                    held.append({n: row.get(n) for n in arrow.names})
-                    if len(held) == 250:
-                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                yield from msg.arrow_batches(safe(b.column(0)[k].as_py(), b.column(1)[k].as_py() or b""), arrow)
 
     return stores.select("path", "content").mapInArrow(run, schema)
 

@@ -28,8 +28,6 @@ from mailquarry.sources import msg, pst
 SCHEMAS = {"folders": pst.FOLDERS, "listing": pst.LISTING, "messages": msg.SCHEMA + ", folder string"}
 NODES = 20_000
 SUFFIXES = (".pst", ".ost")
-#: Rows of a batch.
-ROWS = 250
 
 
 def opened(path: str):
@@ -144,16 +142,8 @@ class Reader(DataSourceReader):
     def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(self.schema)
-        held: list[dict] = []
-        for piece in partition.pieces:
-            for row in self._safe(piece):
-                held.append({n: row.get(n) for n in arrow.names})
-                if len(held) == ROWS:
-                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+        rows = (row for piece in partition.pieces for row in self._safe(piece))
+        return msg.arrow_batches(rows, to_arrow_schema(self.schema))
 
     def _safe(self, piece: Piece) -> Iterator[dict]:
         if piece.error:

@@ -1,5 +1,7 @@
 from datetime import UTC, datetime
 
+import duckdb
+
 from mailquarry.operators import store
 from mailquarry.sinks.csv import export_results
 from mailquarry.sinks.eml import eml_bytes, write_eml
@@ -86,6 +88,34 @@ def test_message_files_are_made_and_read_in_one_step(spark):
         assert bytes(r.attachments[0].data) == (b"" if i == 3 else f"text {i}".encode()) and r.body == ("" if i == 3 else f"text {i}\n") + f"inner {i}\n"
 
 
+def test_message_files_have_their_whole_texts(spark, tmp_path):
+    """Bodies, references and embedded messages of any length and number, in files whose table of sectors goes beyond the header."""
+    from mailquarry.plans.catalogue import ORACLES, QUERIES
+
+    texts = ["x" * 1_000_000 + "end", "é😀" * 700_000 + "end", "a b\n" * 3_000_000 + "end", "short", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["src6_message_files"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same = [a == b for a, b in zip(got, sorted(db.sql(ORACLES["src6_message_files"]).fetchall()), strict=True)]
+    assert same == [True] * 5
+
+    refs = " ".join(f"<{k}@x>" for k in range(2000))
+    inner = [(f"{k}.msg", message_tree({0x1000: f"inner {k}"}, [], [], 24)) for k in range(30)]
+    row = msg.message_row("m", compound(message_tree({0x1000: "outer", 0x1039: refs}, [], inner)))
+    assert row["refs"] == refs and row["body"] == "outer\n" + "\n".join(f"\ninner {k}" for k in range(30))
+
+
+def test_batches_of_messages_end_by_size():
+    import pyarrow as pa
+
+    schema = pa.schema([("file_path", pa.string()), ("body", pa.string())])
+    rows = [{"file_path": str(k), "body": "x" * (3_000_000 if k in (5, 6) else 1), "attachments": [{"data": bytes(3_000_000)}] if k == 8 else []} for k in range(520)] + [{"file_path": "520", "error": "e"}]
+    batches = list(msg.arrow_batches(iter(rows), schema))
+    assert [b.num_rows for b in batches] == [6, 2, 250, 250, 13]
+    assert [p for b in batches for p in b["file_path"].to_pylist()] == [str(k) for k in range(521)]
+
+
 def test_eml(spark, tmp_path):
     from email import message_from_bytes, policy
 
